@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sextant.llm.media import op8_media
 from sextant.llm.mixing import op10_mixing
+from sextant.llm.packing import op3_packing
 from sextant.llm.sharding import op5_sharding
 from sextant.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_sharding, op8_media, op9_toxicity, op10_mixing)}
+    return {f.__name__: f for f in (op3_packing, op5_sharding, op8_media, op9_toxicity, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
