@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sextant.llm.jaccard import op4_jaccard
 from sextant.llm.maxent import op1_maxent
 from sextant.llm.media import op8_media
 from sextant.llm.mixing import op10_mixing
@@ -17,7 +18,7 @@ from sextant.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_maxent, op3_packing, op5_sharding, op6_surrogates, op7_syncmers, op8_media, op9_toxicity, op10_mixing)}
+    return {f.__name__: f for f in (op1_maxent, op3_packing, op4_jaccard, op5_sharding, op6_surrogates, op7_syncmers, op8_media, op9_toxicity, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
