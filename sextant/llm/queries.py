@@ -12,13 +12,14 @@ from sextant.llm.media import op8_media
 from sextant.llm.mixing import op10_mixing
 from sextant.llm.packing import op3_packing
 from sextant.llm.pii import op6_surrogates
+from sextant.llm.repeats import op2_repeats
 from sextant.llm.sharding import op5_sharding
 from sextant.llm.syncmers import op7_syncmers
 from sextant.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_maxent, op3_packing, op4_jaccard, op5_sharding, op6_surrogates, op7_syncmers, op8_media, op9_toxicity, op10_mixing)}
+    return {f.__name__: f for f in (op1_maxent, op2_repeats, op3_packing, op4_jaccard, op5_sharding, op6_surrogates, op7_syncmers, op8_media, op9_toxicity, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
