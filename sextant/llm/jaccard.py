@@ -398,5 +398,18 @@ def jaccard_join(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFra
     return out.select("doc_id", "n_shingles", own.alias("component_id"), "text_hash")
 
 
+def one_of_each(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
+    """docs with one document of each component, that with the least doc_id; all columns stay. Rows without doc_id stay."""
+    found = cut(jaccard_join(docs, k, p, q))
+    gone = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= SMALL else gone
+    kept = docs.withColumn("_h", F.xxhash64("text")).join(gone, (F.col("doc_id") == F.col("_d")) & (F.col("_h") == F.col("_t")), "left_anti")
+    again = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    if again:  # rows that repeat a kept document, doc_id and all
+        numbered = kept.filter("doc_id is not null").dropDuplicates(["doc_id", "_h"])
+        kept = numbered.unionByName(kept.filter("doc_id is null"))
+    return kept.drop("_h")
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read_table(spark, sf_dir, "documents"), k=3, p=9, q=10).select("doc_id", "n_shingles", "component_id")
