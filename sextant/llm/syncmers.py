@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from sextant.llm.common import SPACE, read_table
 
 K, S, SKETCH = 5, 2, 64
-#: Rows of a range of doc_id, about, and the most ranges.
-RANGE, RANGES = 16_384, 4096
+#: Rows of a range of doc_id, about, the most ranges, and the quantiles that are asked for.
+RANGE, RANGES, COARSE = 4096, 1 << 18, 128
 
 
 def word_hashes(text: Column) -> Column:
@@ -82,11 +82,17 @@ def with_next(docs: DataFrame, *more: str) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
     count = rows.count()
     n = min(RANGES, max(1, count // RANGE))
-    edges = sorted(set(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
-    edge = F.array(*[F.lit(int(e)) for e in edges]) if edges else None
-    part = F.coalesce(F.size(F.filter(edge, lambda e: e <= F.col("doc_id"))), F.lit(0)) if edges else F.lit(0)
-    rows = rows.withColumn("_part", part)
-    # One row for each range (at most RANGES): its least doc_id and the range before it, the last one for the first.
+    coarse = min(COARSE, n)
+    edges = sorted(set(rows.approxQuantile("doc_id", [i / coarse for i in range(coarse + 1)], 1 / (4 * coarse)))) if n > 1 else []
+    part = F.lit(0)
+    if len(edges) > 1:  # between two quantiles, ranges of equal width; any monotone function of doc_id would do
+        edge, fine = F.array(*[F.lit(int(e)) for e in edges]), -(-n // coarse)
+        k = F.greatest(F.lit(1), F.least(F.lit(len(edges) - 1), F.size(F.filter(edge, lambda e: e <= F.col("doc_id")))))
+        low, high = F.get(edge, k - 1), F.get(edge, k)
+        place = F.floor((F.col("doc_id") - low) / (high - low) * fine)
+        part = F.coalesce(k * fine + F.greatest(F.lit(0), F.least(F.lit(fine - 1), place)), F.lit(0))
+    rows = rows.withColumn("_part", part.cast("long"))
+    # One row for each range (RANGES at most): its least doc_id and the range before it, the last one for the first.
     first = rows.groupBy("_part").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("_first"))
     every = Window.orderBy("_part")
     last = F.max("_part").over(Window.partitionBy(F.lit(1)))
