@@ -11,8 +11,8 @@ In a round each task starts from the shared weights, makes mini-batch gradient u
 out its weights and token count; they are averaged by blocks on the executors and the model (of a fixed size) goes to the
 next round. A round has TASKS tasks at most.
 
-Counts are exact and grow with the corpus: words are counted by 64-bit hash within a task, then by a shuffle. The HEAD most
-frequent words travel as arrays (a fixed bound); the tokens of all others are looked up by a join on the word, with
+Counts are exact and grow with the corpus: words are counted by 64-bit hash within a task, then by a shuffle. The most
+frequent words, HEAD at most, travel as arrays; the tokens of all others are looked up by a join on the word, with
 tokens summed by (text, word) beforehand. No word, source or text is held in one place.
 
 Defined cases: null and empty texts are one end token; a null doc_id counts as held in (its crc32 is null) and keeps its row;
@@ -168,9 +168,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def start(counts: DataFrame) -> Model:
-    """Classes and counts, before training. Collected: HEAD words, and a row for each two-byte ending (65,537 at most)."""
+    """Classes and counts, before training. Collected: HEAD words at most, a row for each two-byte ending (65,537 at most), and
+    a row for each step of a scale of counts (exact up to 4096, then by 1/256 of a power of e: under 16,000)."""
     by_ending = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas().sort_values("ending")
-    head = counts.orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
+    step = F.when(F.col("n") <= 4096, F.col("n")).otherwise(4096 - 2129 + F.floor(F.log("n") * 256))
+    scale = counts.groupBy(step.alias("s")).agg(F.min("n").alias("least"), F.count("*").alias("k")).toPandas().sort_values("s", ascending=False)
+    fits = scale[scale["k"].cumsum() <= HEAD]
+    least = int(fits["least"].min()) if len(fits) else 1 << 62
+    head = counts.filter(F.col("n") >= least).toPandas().sort_values(["n", "word"], ascending=[False, True])
     words = head[head["ending"] >= 0].head(WORDS)
     n, v = by_ending["n"].to_numpy(np.int64, copy=True), by_ending["v"].to_numpy(np.int64, copy=True)
     ending = by_ending["ending"].to_numpy(np.int64)
@@ -271,7 +276,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             columns = [ids, ids, None, np.diff(first), np.zeros(n, np.int64), *sums]
             yield pa.RecordBatch.from_arrays([b.column(0).slice(x, n) if c is None else pa.array(c) for c in columns], names)
             # Tokens of rarer words, summed by (text, word), go to the join.
-            if len(m.head) == HEAD and not known.all():
+            if m.v > len(m.head) and not known.all():
                 t = np.flatnonzero(~known)
                 w, d = h[t], doc[t]
                 order = np.lexsort((d, w))
