@@ -2,37 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.llm.common import cut
 
+#: Edges of a task, about: small edge tables don't take the session's number of partitions.
+EDGES = 200_000
 
-def _state(e: DataFrame) -> tuple:
+
+def _held(df: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges behind a checkpoint, in as many partitions as they need; their number and checksum."""
+    e = cut(df)
     r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return r[0], r[1]
+    # What ended rounds have shuffled can go: Spark deletes it when the driver's garbage is collected.
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return e.coalesce(max(1, r[0] // EDGES)), (r[0], r[1])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of longs -> (node, root): root is the least node of the component; nodes without edges are left out.
 
-    Each round hangs larger neighbours to a node's least neighbour, then smaller ones; the rounds needed grow with the
-    logarithm of the number of nodes. Every round ends in a checkpoint.
+    Each round hangs the larger neighbours of a node to its least neighbour, then the smaller ones; the rounds needed grow with
+    the logarithm of the number of nodes. Every round ends in a checkpoint.
     """
-    e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    before = _state(e)
+    e, before = _held(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     while True:
-        both = e.union(e.select(F.col("b"), F.col("a")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.union(e.select("a", "b").join(least, F.col("a") == F.col("u")).select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        small = large.join(least, F.col("a") == F.col("u"))
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).filter("a <> b").distinct()
-        e = cut(small)
-        after = _state(e)
+        both = e.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))).select("col.u", "col.v")
+        # Larger neighbours: the least neighbour is aggregated before the shuffle, since a node may have very many.
+        least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.col("w")).alias("m"))
+        large = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = large.union(least.filter("w <> m").select("w", "m"))
+        # Smaller neighbours: every edge now leads to a smaller node.
+        small = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))).select("col.a", "col.b")
+        e, after = _held(small.filter("a <> b").distinct())
         if after == before:
             break
         before = after
-    roots = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-    return roots.union(roots.select(F.col("root").alias("node"), F.col("root")).distinct())
+    return e.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("root")), F.struct(F.col("b").alias("node"), F.col("b").alias("root"))))).select("col.*").distinct()
