@@ -66,14 +66,14 @@ class Scheme:
             self.bounds.append(self.bounds[-1] * q // p + 1)
             low, d = self.bounds[-2], max_difference(self.bounds[-1] - 1, p, q)
             s = 0
-            while d and s <= d // 4:
+            for _ in range(64):  # the least slack that covers the empty parts to expect, and three times their spread
                 m = d + 1 + s
-                empty = m * (1 - 1 / m) ** low
-                if s >= empty + 3 * math.sqrt(empty) - 0.3:
+                empty = m * (1 - 1 / m) ** low if m > 1 else 0.0
+                more = max(s, math.ceil(empty + 3 * math.sqrt(empty) - 0.3))
+                if more == s or more > d // 4:
+                    s = s if more == s else 0
                     break
-                s += 1
-            else:
-                s = 0
+                s = more
             self.parts.append(d + 1 + s if d else 0)
             self.slack.append(s)
         self.edges = np.array(self.bounds)
