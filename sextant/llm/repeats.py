@@ -30,11 +30,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sextant.llm.common import _TABLE, U64, cut, groups, mix, powers, read_table, text_bytes
 
-HOT, BLOCK, RANGES = 3000, 2 << 20, 8
+HOT, BLOCK, RANGES = 2000, 1 << 20, 8
+#: Bytes that the first sort of suffixes looks at.
+STEM = 5
 _HIGH, _LOW = U64(0xFFFFFFFF00000000), U64(0xFFFFFFFF)
 
 
@@ -86,8 +87,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """docs (th, text) -> a row for each anchor of each distinct text of a batch, n: how many rows of the batch have it."""
-    names = ["g", "c", "th", "at", "begin", "end", "n"]
+    """docs (th, text) -> a row for each anchor of each distinct text of a batch; size: of its context, n: how often the batch has it."""
+    names, kinds = ["g", "c", "th", "begin", "end", "size", "n"], [*[pa.int64()] * 3, *[pa.int32()] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -98,60 +99,82 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
             data, offsets = text_bytes(b.column(1).take(pa.array(first)))
             for x, y in groups(offsets):
                 base = offsets[x:y] - offsets[x]
-                doc, at, g, c, begin, end = anchors(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], length)
+                doc, _, g, c, begin, end = anchors(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], length)
+                if not len(g):
+                    continue
+                # A stretch that repeats itself has one context again and again: those that touch are one row.
+                sort = np.lexsort((begin, c, g))
+                doc, g, c, begin, end = doc[sort], g[sort], c[sort], begin[sort], end[sort]
+                new = np.r_[True, (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (doc[1:] != doc[:-1]) | (begin[1:] > end[:-1])]
+                head = np.flatnonzero(new)
+                many = np.diff(np.r_[head, len(g)])
+                size = (end - begin)[head]
+                last = end[np.r_[head[1:], len(g)] - 1]
+                doc, g, c, begin = doc[head], g[head], c[head], begin[head]
                 d = doc + x
-                columns = [g.view(np.int64), c.view(np.int64), th[first[d]], at - base[doc], begin - base[doc], end - base[doc], n[d]]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], names)
+                columns = [g.view(np.int64), c.view(np.int64), th[first[d]], begin - base[doc], last - base[doc], size, n[d] * many]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], names)
 
-    return docs.select("th", "text").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return docs.select("th", "text").mapInArrow(run, "g long, c long, th long, begin int, end int, size int, n int")
 
 
 class RunLengthIndex:
-    """A block of byte strings: the run ends of the Burrows-Wheeler transform of all their suffixes, with common prefixes."""
+    """A block of byte strings: the run ends of the Burrows-Wheeler transform of all their suffixes, with common prefixes.
 
-    def __init__(self, segments: list[bytes], longest: int | None = None):
+    least: samples whose common prefix is shorter are left out, as of no use to the caller.
+    """
+
+    def __init__(self, segments: list[bytes], least: int = 1):
         size = np.array([len(s) for s in segments], np.int64)
         self.first = np.r_[0, np.cumsum(size)]
         data = np.frombuffer(b"".join(segments), np.uint8)
         n = len(data)
         self.end = np.repeat(self.first[1:], size)
-        padded = np.zeros(n + 8, U64)
-        padded[:n] = data.astype(U64) + U64(1)
-        key = np.zeros(n, U64)
         here = np.arange(n)
-        left = self.end - here
-        for j in range(7):
-            key = key * U64(257) + np.where(left > j, padded[j : j + n], U64(0))
-        self.levels: list[tuple[int, np.ndarray]] = []
-        h = 7
-        order = np.argsort(key, kind="stable")
-        rank = self._ranks(key, order)
-        self.levels.append((h, rank))
-        most = int(size.max()) if longest is None else longest
+        left = (self.end - here).astype(np.int32)
+        padded = np.zeros(n + STEM, np.int64)
+        padded[:n] = data
+        key = np.zeros(n, np.int64)
+        for j in range(STEM):
+            key = key * 257 + np.where(left > j, padded[j : j + n] + 1, 0)
+        order, rank = self._sorted(key, 257**STEM)
+        self.levels: list[tuple[int, np.ndarray]] = [(STEM, rank)]
+        h, most = STEM, int(size.max(initial=0))
         while h < most and rank.max(initial=0) < n:
-            nxt = np.where(left > h, rank[np.minimum(here + h, n - 1)], 0)
-            key = (rank.astype(U64) << U64(32)) | nxt.astype(U64)
-            order = np.argsort(key, kind="stable")
-            rank = self._ranks(key, order)
+            nxt = np.zeros(n, np.int64)
+            nxt[: n - h] = np.where(left[: n - h] > h, rank[h:], 0)
+            order, rank = self._sorted(rank.astype(np.int64) * (n + 1) + nxt, (n + 1) ** 2)
             h *= 2
             self.levels.append((h, rank))
-        # Suffixes that are equal to their ends keep the order of their segments.
+        # Suffixes that are equal to their ends stand in the order of their places, so those before them do too.
         before = np.where(here > np.repeat(self.first[:-1], size), np.r_[0, data[:-1]], -1 - here) if n else here
         bwt = before[order]
         heads = np.flatnonzero(bwt[1:] != bwt[:-1]) + 1
         self.runs = len(heads) + 1
         a, b = order[heads - 1], order[heads]
+        for h, rank in self.levels:  # pairs that share too little are told by one look
+            if h <= least:
+                same = rank[a] == rank[b]
+                a, b = a[same], b[same]
         lcp = self._common(data, a, b)
+        a, b, lcp = a[lcp >= least], b[lcp >= least], lcp[lcp >= least]
         #: Sampled run ends: places in the text with the match that begins there.
         self.at, self.match = np.r_[a, b], np.r_[lcp, lcp]
 
     @staticmethod
-    def _ranks(key: np.ndarray, order: np.ndarray) -> np.ndarray:
-        sorted_ = key[order]
-        rank = np.empty(len(key), np.int32)
-        rank[order] = np.cumsum(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(key) else 0
-        return rank
+    def _sorted(key: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the order of their keys (equal ones by place), and each place's rank from 1 (equal ones alike)."""
+        n = len(key)
+        bits = max(1, n.bit_length())
+        if bound << bits < 1 << 63:  # key and place in one number: a plain sort
+            both = np.sort((key << bits) | np.arange(n))
+            order, sorted_ = both & ((1 << bits) - 1), both >> bits
+        else:
+            order = np.argsort(key, kind="stable")
+            sorted_ = key[order]
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(np.r_[True, sorted_[1:] != sorted_[:-1]][:n])
+        return order, rank
 
     def _common(self, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common prefixes of pairs of suffixes, within their segments."""
@@ -161,7 +184,7 @@ class RunLengthIndex:
         for h, rank in reversed(self.levels):
             same = (got < most) & (rank[np.minimum(a + got, top)] == rank[np.minimum(b + got, top)])
             got = np.minimum(got + h * same, most)
-        for _ in range(7):
+        for _ in range(STEM):
             same = (got < most) & (data[np.minimum(a + got, top)] == data[np.minimum(b + got, top)])
             if not same.any():
                 break
@@ -202,7 +225,7 @@ def block_marks(length: int):
                 segments.append(bytes(x))
                 th.append(t)
                 begin.append(b)
-        seg, a, z = RunLengthIndex(segments).marks(length)
+        seg, a, z = RunLengthIndex(segments, length).marks(length)
         th, begin = np.array(th, np.int64), np.array(begin, np.int64)
         return pd.DataFrame({"th": th[seg], "begin": begin[seg] + a, "end": begin[seg] + z})
 
@@ -274,12 +297,16 @@ def hot_marks(contexts: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """docs (doc_id, th, text) -> (th, spans): for each text with repeats, stretches (begin, end), overlapping or not, in any order."""
     texts = cut(docs.groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max(F.octet_length("text")).cast("long").alias("size")))
-    g, gc = Window.partitionBy("g"), Window.partitionBy("g", "c")
-    rows = anchor_rows(docs, length).repartition("g")  # the windows below need no other exchange
-    rows = rows.withColumns({"total": F.sum("n").over(g), "lo": F.min("c").over(g), "hi": F.max("c").over(g)}).filter("total > 1")
-    rows = rows.withColumn("same", F.sum("n").over(gc)).withColumn("k", F.row_number().over(gc.orderBy("th", "at")))
-    rows = cut(rows.select("g", "c", "th", "begin", "end", (F.col("same") > 1).alias("done"), ((F.col("lo") != F.col("hi")) & (F.col("k") == 1)).alias("fetched")))
-    wanted = rows.filter("fetched")
+    rows = anchor_rows(docs, length)
+    # Anchors that occur once are dropped. Both sides aggregate before they are shuffled; a hot anchor's rows can be split.
+    often = rows.groupBy("g").agg(F.sum("n").alias("total"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("total > 1")
+    often = often.select(F.col("g").alias("_g"), (F.col("lo") != F.col("hi")).alias("mixed"))
+    rows = cut(rows.join(often, F.col("g") == F.col("_g")).drop("_g"))
+    kinds = rows.groupBy("g", "c", "mixed").agg(F.sum("n").alias("same"), F.min(F.struct("th", "begin", "size")).alias("one"))
+    kinds = cut(kinds)
+    done = kinds.filter("same > 1").select(F.col("g").alias("_g"), F.col("c").alias("_c"))
+    covered = rows.join(done, (F.col("g") == F.col("_g")) & (F.col("c") == F.col("_c")), "left_semi").select("th", F.col("begin").cast("long"), F.col("end").cast("long"))
+    wanted = kinds.filter("mixed").select("g", "c", "one.th", F.col("one.begin").cast("long").alias("begin"), (F.col("one.begin") + F.col("one.size")).cast("long").alias("end"))
     many = wanted.groupBy("g").agg(F.count("*").alias("m")).withColumnRenamed("g", "_g")
     contexts = cut(fetch(docs, wanted.join(texts.select("th", "doc_id"), "th")).join(many, F.col("g") == F.col("_g")).drop("_g"))
     total = contexts.filter(F.col("m") <= HOT).agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
@@ -289,7 +316,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     hot = contexts.filter(F.col("m") > HOT)
     if hot.limit(1).count():
         marks = marks.union(hot_marks(hot, length))
-    marks = marks.union(rows.filter("done").select("th", "begin", "end"))
+    marks = marks.union(covered)
     # Copies of a text are removed whole; their own marks aren't needed.
     copied = texts.filter((F.col("copies") > 1) & (F.col("size") >= length))
     marks = marks.join(copied.select("th"), "th", "left_anti").union(copied.select("th", F.lit(0).cast("long"), "size"))
