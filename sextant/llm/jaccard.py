@@ -12,9 +12,11 @@ J >= p / q, that is d <= r. Equal sets are one node from the start, so copies co
 2. In a region, pivots create Voronoi cells: each node's distance to the pivots is computed, nodes within r of a
    pivot link to it. If x and y link and y lies within r of its pivot, then x lies within 2 r of it: only those boundary nodes
    are compared with the cell's members, and only members whose distances to every pivot are within r of theirs.
-3. Regions of more than LIMIT nodes are first thinned in parallel: all nodes are compared with the region's pivots, those
-   in the cells of the largest linked group stay only if a node outside it is within reach in every pivot's window; then
-   the rest is dealt to sub-regions by nearest pivot, boundary nodes (within 2 r of the nearest) to each, and so on.
+3. Regions of more than LIMIT nodes are first thinned in parallel. Their pivots are some nodes and a virtual one, the set of what
+   most of the region's sets have: two sets within r / 2 of it are within r of each other, and so one group. Nodes of that
+   group stay only if they lie in every pivot's window about the nodes outside it; the rest is dealt to the pivots' cells,
+   boundary nodes (within 2 r of the nearest) to each, where that parts the region. What is still too large is compared in
+   parallel, with all nodes outside the group as pivots, in batches.
 
 Links found connect the nodes; components come from `graph.components`.
 
@@ -44,7 +46,7 @@ from sextant.llm.graph import components
 
 LEVELS = 4
 LIMIT = 2000
-PIVOTS, ROUNDS = 8, 6
+PIVOTS = 8
 #: Documents from whose shingles frequent ones are told, the share that makes one frequent, and the most of them.
 SAMPLE, OFTEN, FREQUENT = 20_000, 1 / 400, 1 << 16
 #: Rows up to which ids are broadcast (16 bytes each), and bytes of pivots a batch.
@@ -207,6 +209,12 @@ def shared_counts(pivot: np.ndarray, flat: np.ndarray, first: np.ndarray) -> np.
     return np.diff(np.r_[0, np.cumsum(hit)][first])
 
 
+def majority(flat: np.ndarray, n: int) -> np.ndarray:
+    """The elements that more than half of n sets have, ascending."""
+    v, c = np.unique(flat, return_counts=True)
+    return v[2 * c > n]
+
+
 class Union:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -223,6 +231,10 @@ class Union:
         return a != b
 
 
+def all_one(u: Union, n: int) -> bool:
+    return len({u.find(x) for x in range(n)}) == 1
+
+
 def region_links(sets: list[np.ndarray], p: int, q: int) -> list[tuple[int, int]]:
     """Links that connect all linked sets of a region, by index."""
     n = len(sets)
@@ -239,9 +251,19 @@ def region_links(sets: list[np.ndarray], p: int, q: int) -> list[tuple[int, int]
         if u.join(a, b):
             links.append((a, b))
 
+    if n > 8:  # a virtual pivot: two sets within r / 2 of it are within r of each other
+        core = majority(flat, n)
+        if len(core):
+            both = shared_counts(core, flat, first)
+            ball = np.flatnonzero(2 * q * both >= (p + q) * (size + len(core) - both))
+            for j in ball[1:]:
+                link(int(ball[0]), int(j))
+
     for i in range(n):
         if not free[i]:
             continue
+        if all_one(u, n):
+            return links
         both = shared_counts(sets[i], flat, first)
         whole = size + size[i] - both
         linked = q * both >= p * whole
@@ -287,77 +309,148 @@ def _links_of_region(p: int, q: int):
     return run
 
 
+def _batches(big: DataFrame, few: DataFrame) -> Iterator[tuple[list[int], dict[int, list]]]:
+    """few (region, node, set) in batches of BATCH_BYTES and a set at most, as arrays by region."""
+    held: dict[int, list] = {}
+    room = BATCH_BYTES
+    for x in few.orderBy("region", "node").toLocalIterator():
+        if len(x.set) > room and held:
+            yield [*held], held
+            held, room = {}, BATCH_BYTES
+        held.setdefault(x.region, []).append((x.node, np.frombuffer(bytes(x.set), U64)))
+        room -= len(x.set)
+    if held:
+        yield [*held], held
+
+
 def _thinned(big: DataFrame, p: int, q: int, salt: int) -> tuple[DataFrame, DataFrame]:
-    """One parallel round over large regions: links to pivots, and the sub-regions (region, node, set) that remain."""
-    spark, r = big.sparkSession, (q - p) / q
+    """One parallel round over large regions: links to pivots, and what remains of each region (region, node, set, out).
+
+    Pivots are the set of what most of the region's sets have (a virtual one) and PIVOTS nodes. Nodes within r / 2 of the
+    virtual pivot link with each other, and are the main group; `out` marks the nodes outside it.
+    """
+    r = (q - p) / q
+    n = big.groupBy("region").agg(F.count("*").alias("n"))
+    core = _counted(big).join(F.broadcast(n) if n.count() <= SMALL else n, "region").filter(F.col("c") * 2 > F.col("n")).groupBy("region").agg(F.array_sort(F.collect_list("h")).alias("hs"))
     by = Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(salt)), "node")
-    chosen = big.select("region", "node").withColumn("_k", F.row_number().over(by)).filter(F.col("_k") <= PIVOTS)
-    pivots = cut(big.join(F.broadcast(chosen.drop("_k")) if chosen.count() <= SMALL else chosen.drop("_k"), ["region", "node"]))
-    sizes = pivots.groupBy("region").agg(F.sum(F.octet_length("set")).alias("n")).collect()  # a row for each large region
-    batches, room = [[]], BATCH_BYTES
-    for x in sorted(sizes, key=lambda x: x.region):
-        if x.n > room and batches[-1]:
-            batches.append([])
-            room = BATCH_BYTES
-        batches[-1].append(x.region)
-        room -= x.n
-    links = rest = None
-    for some in batches:
-        held: dict[int, list] = {}
-        for x in pivots.filter(F.col("region").isin(some)).orderBy("region", "node").toLocalIterator():
-            held.setdefault(x.region, []).append((x.node, np.frombuffer(bytes(x.set), U64)))
-        shared = spark.sparkContext.broadcast(held)
+    chosen = big.select("region", "node").withColumn("_k", F.row_number().over(by)).filter(F.col("_k") <= PIVOTS).drop("_k")
+    pivots = cut(big.join(F.broadcast(chosen) if chosen.count() <= SMALL else chosen, ["region", "node"]))
+    cores = {}
+    out = None
+    for x in cut(core).toLocalIterator():  # a set for each large region
+        cores[x.region] = np.sort(np.array(x.hs, np.int64).view(U64))
+    for regions, held in _batches(big, pivots):
+        shared = big.sparkSession.sparkContext.broadcast((held, {k: cores[k] for k in regions if k in cores}))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            held, cores = shared.value
             for b in batches:
-                linked, distance = [], []
-                for region, node, x in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                    s = np.frombuffer(x, U64)
-                    to, dist = [], []
-                    for other, t in shared.value[region]:
-                        both = len(np.intersect1d(s, t, assume_unique=True))
+                linked, distance, inner = [], [], []
+                for region, x in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                    s = np.frombuffer(x.as_py(), U64)
+                    to, dist, ball = [], [], False
+                    for other, t in [(None, cores.get(region)), *held[region]]:
+                        if t is None:
+                            continue
+                        both = int(shared_counts(t, s, np.array([0, len(s)]))[0]) if len(t) else 0
                         whole = len(s) + len(t) - both
                         dist.append(1 - both / whole)
-                        if q * both >= p * whole:
+                        if other is None:
+                            ball = 2 * q * both >= (p + q) * whole
+                        elif q * both >= p * whole:
                             to.append(other)
                     linked.append(to)
                     distance.append(dist)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(linked, pa.list_(pa.int64())), pa.array(distance, pa.list_(pa.float64()))], ["region", "node", "set", "linked", "distance"])
-
-        d = cut(big.filter(F.col("region").isin(some)).mapInArrow(run, "region long, node long, set binary, linked array<long>, distance array<double>"))
-        found = d.select("node", F.explode("linked").alias("b")).select(F.col("node").alias("a"), "b")
-        # The main group of a region: the pivots linked with the pivot that has most nodes, through any node.
-        pairs = d.filter(F.size("linked") > 1).groupBy("region", "linked").count().collect()  # sets of at most PIVOTS pivots
-        most = d.select("region", F.explode("linked").alias("b")).groupBy("region", "b").count().collect()
-        main: list[tuple[int, int]] = []
-        for region, ps in held.items():
-            index = {node: i for i, (node, _) in enumerate(ps)}
-            u = Union(len(ps))
-            for x in pairs:
-                if x.region == region:
-                    for y in x.linked[1:]:
-                        u.join(index[x.linked[0]], index[y])
-            total = [0] * len(ps)
-            for x in most:
-                if x.region == region:
-                    total[u.find(index[x.b])] += x["count"]
-            root = max(range(len(ps)), key=lambda i: (total[i], -i))
-            main += [(region, node) for node, i in index.items() if u.find(i) == root]
-        tops = spark.createDataFrame(main, "region long, b long").groupBy(F.col("region").alias("_r")).agg(F.collect_list("b").alias("_main"))
-        d = d.join(F.broadcast(tops), F.col("region") == F.col("_r")).withColumn("_out", ~F.arrays_overlap("linked", "_main"))
-        n = [F.col("distance")[j] for j in range(PIVOTS)]
-        bounds = d.filter("_out").groupBy(F.col("region").alias("_r2")).agg(*[F.min(F.get("distance", F.lit(j))).alias(f"_lo{j}") for j in range(PIVOTS)], *[F.max(F.get("distance", F.lit(j))).alias(f"_hi{j}") for j in range(PIVOTS)])
-        d = d.join(F.broadcast(bounds), F.col("region") == F.col("_r2"))  # regions without an outsider are done
-        inside = F.lit(True)
-        for j in range(len(n)):
-            x = F.get("distance", F.lit(j))
-            inside &= x.isNull() | x.between(F.col(f"_lo{j}") - r - 1e-9, F.col(f"_hi{j}") + r + 1e-9)
-        d = d.filter(F.col("_out") | inside)
-        cell = F.filter(F.transform("distance", lambda x, i: F.when(x <= F.array_min("distance") + 2 * r + 1e-9, i)), lambda i: i.isNotNull())
-        left = d.select(F.explode(cell).alias("_cell"), "region", "node", "set").select(F.xxhash64("region", "_cell", F.lit(salt)).alias("region"), "node", "set")
-        links = found if links is None else links.union(found)
-        rest = left if rest is None else rest.union(left)
-    return links, cut(rest)
+                    inner.append(ball)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(linked, pa.list_(pa.int64())), pa.array(distance, pa.list_(pa.float64())), pa.array(inner, pa.bool_())], ["region", "node", "set", "linked", "distance", "inner"])
+
+        d = big.filter(F.col("region").isin(regions)).mapInArrow(run, "region long, node long, set binary, linked array<long>, distance array<double>, inner boolean")
+        out = d if out is None else out.union(d)
+    d = cut(out)
+    found = d.select(F.col("node").alias("a"), F.explode("linked").alias("b"))
+    heads = d.filter("inner").groupBy(F.col("region").alias("_h")).agg(F.min("node").alias("b"))
+    heads = F.broadcast(heads) if n.count() <= SMALL else heads
+    found = found.union(d.filter("inner").join(heads, F.col("region") == F.col("_h")).select(F.col("node").alias("a"), "b"))
+    # Nodes of the main group stay only if they lie in every pivot's window about the nodes outside it.
+    most = PIVOTS + 1
+    bounds = d.filter("not inner").groupBy(F.col("region").alias("_o")).agg(*[f(F.get("distance", F.lit(j))).alias(f"_{w}{j}") for j in range(most) for w, f in (("lo", F.min), ("hi", F.max))])
+    d = d.join(F.broadcast(bounds) if n.count() <= SMALL else bounds, F.col("region") == F.col("_o"))  # regions without an outsider are done
+    inside = F.lit(True)
+    for j in range(most):
+        x = F.get("distance", F.lit(j))
+        inside &= x.isNull() | x.between(F.col(f"_lo{j}") - r - 1e-9, F.col(f"_hi{j}") + r + 1e-9)
+    d = d.filter(~F.col("inner") | inside)
+    # Voronoi cells, with boundary nodes (within 2 r of the nearest pivot) in each: where they part the region.
+    cell = F.filter(F.transform("distance", lambda x, i: F.when(x <= F.array_min("distance") + 2 * r + 1e-9, i)), lambda i: i.isNotNull())
+    d = cut(d.withColumn("_cells", cell))
+    size = d.groupBy(F.col("region").alias("_r")).agg((F.sum(F.size("_cells")) <= 1.5 * F.count("*")).alias("_parts"))
+    d = d.join(F.broadcast(size) if n.count() <= SMALL else size, F.col("region") == F.col("_r"))
+    d = d.select("region", "node", "set", (~F.col("inner")).alias("out"), F.explode(F.when(F.col("_parts"), F.col("_cells")).otherwise(F.array(F.lit(-1)))).alias("_cell"))
+    region = F.when(F.col("_cell") < 0, F.col("region")).otherwise(F.xxhash64("region", "_cell", F.lit(salt)))
+    return found, cut(d.select(region.alias("region"), "node", "set", "out"))
+
+
+def _counted(big: DataFrame) -> DataFrame:
+    """(region, h, c): how many sets of a region have an element; counted in the tasks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            by: dict[int, list] = {}
+            for region, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                by.setdefault(region, []).append(np.frombuffer(x.as_py(), np.int64))
+            for region, sets in by.items():
+                h, c = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), region)), pa.array(h), pa.array(c)], ["region", "h", "c"])
+
+    return big.select("region", "set").mapInArrow(run, "region long, h long, c long").groupBy("region", "h").agg(F.sum("c").alias("c"))
+
+
+def _compared(big: DataFrame, p: int, q: int) -> DataFrame:
+    """Links of large regions that the windows leave: every node outside the main group is a pivot, in batches, for all nodes.
+
+    A task hands out links that connect, not all that it finds: each outsider links once with the main group.
+    """
+    found = None
+    for regions, held in _batches(big, big.filter("out").select("region", "node", "set")):
+        ready = {}
+        for region, items in held.items():
+            flat = np.concatenate([s for _, s in items])
+            own = np.repeat(np.arange(len(items)), [len(s) for _, s in items])
+            order = np.argsort(flat, kind="stable")
+            ready[region] = (np.array([x for x, _ in items], np.int64), np.array([len(s) for _, s in items]), flat[order], own[order].astype(np.int32))
+        shared = big.sparkSession.sparkContext.broadcast(ready)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            unions: dict[int, dict] = {}
+
+            def find(up: dict, x: int) -> int:
+                while up.setdefault(x, x) != x:
+                    up[x] = up[up[x]]
+                    x = up[x]
+                return x
+
+            for b in batches:
+                links = [[], []]
+                for region, node, x, out in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+                    ids, size, flat, own = shared.value[region]
+                    s = np.frombuffer(x.as_py(), U64)
+                    lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+                    k = hi - lo
+                    at = np.repeat(lo - np.r_[0, np.cumsum(k)[:-1]], k) + np.arange(k.sum())
+                    both = np.bincount(own[at], minlength=len(ids))
+                    up = unions.setdefault(region, {})
+                    me = node if out else 0  # the main group is one
+                    for j in np.flatnonzero(q * both >= p * (size + len(s) - both)):
+                        a, c = find(up, me), find(up, int(ids[j]))
+                        if a != c:
+                            up[a] = c
+                            links[0].append(node)
+                            links[1].append(int(ids[j]))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["a", "b"])
+
+        part = big.filter(F.col("region").isin(regions)).select("region", "node", "set", "out").mapInArrow(run, "a long, b long")
+        found = part if found is None else found.union(part)
+    return found
 
 
 def links(docs: DataFrame, table: DataFrame, k: int, p: int, q: int) -> DataFrame:
@@ -368,20 +461,21 @@ def links(docs: DataFrame, table: DataFrame, k: int, p: int, q: int) -> DataFram
     regions = cut(regions.withColumnRenamed("root", "region"))
     reps = table.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = cut(fetch_sets(docs, cut(reps.join(regions, "node").select("doc_id", "node", "region")), k))
-    out = None
-    for turn in range(ROUNDS + 1):
-        size = sets.groupBy(F.col("region").alias("_r")).agg(F.count("*").alias("_n"))
-        large = cut(size.filter(F.col("_n") > LIMIT))
-        n = large.count() if turn < ROUNDS else 0
-        small = sets.join(F.broadcast(large) if n <= SMALL else large, F.col("region") == F.col("_r"), "left_anti") if n else sets
-        found = small.groupBy("region").applyInPandas(_links_of_region(p, q), "a long, b long")
-        out = found if out is None else out.union(found)
-        if not n:
-            break
-        big = sets.join(F.broadcast(large.select("_r")) if n <= SMALL else large.select("_r"), F.col("region") == F.col("_r"), "left_semi")
-        more, sets = _thinned(big, p, q, turn)
-        out = out.union(more)
-    return cut(out)
+    size = sets.groupBy(F.col("region").alias("_r")).agg(F.count("*").alias("_n"))
+    large = cut(size.filter(F.col("_n") > LIMIT).select("_r"))
+    n = large.count()
+    if not n:
+        return cut(sets.groupBy("region").applyInPandas(_links_of_region(p, q), "a long, b long"))
+    hint = F.broadcast(large) if n <= SMALL else large
+    on = F.col("region") == F.col("_r")
+    found, rest = _thinned(cut(sets.join(hint, on, "left_semi")), p, q, 1)
+    size = rest.groupBy(F.col("region").alias("_r")).agg(F.count("*").alias("_n"))
+    still = cut(size.filter(F.col("_n") > LIMIT).select("_r"))
+    again = F.broadcast(still) if still.count() <= SMALL else still
+    small = sets.join(hint, on, "left_anti").union(rest.join(again, on, "left_anti").drop("out"))
+    out = found.union(small.groupBy("region").applyInPandas(_links_of_region(p, q), "a long, b long"))
+    more = _compared(rest.join(again, on, "left_semi"), p, q) if still.count() else None
+    return cut(out if more is None else out.union(more))
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:

@@ -28,12 +28,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.llm.common import _TABLE, U64, cut, groups, mix, powers, read_table, text_bytes
 
-HOT, BLOCK, RANGES = 2000, 1 << 20, 8
+#: An anchor's contexts go to one block up to so many (with length 400, under two megabytes); bytes of a block; ranges of starts.
+HOT, BLOCK, RANGES = 3000, 1 << 20, 8
 #: Bytes that the first sort of suffixes looks at.
 STEM = 5
 _HIGH, _LOW = U64(0xFFFFFFFF00000000), U64(0xFFFFFFFF)
@@ -87,8 +88,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """docs (th, text) -> a row for each anchor of each distinct text of a batch; size: of its context, n: how often the batch has it."""
-    names, kinds = ["g", "c", "th", "begin", "end", "size", "n"], [*[pa.int64()] * 3, *[pa.int32()] * 4]
+    """docs (th, text) -> a row for each anchor of each distinct text of a batch; size: of its context, lead: its place in it, n: how often the batch has it."""
+    names, kinds = ["g", "c", "th", "begin", "end", "size", "lead", "n"], [*[pa.int64()] * 3, *[pa.int32()] * 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -99,23 +100,23 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
             data, offsets = text_bytes(b.column(1).take(pa.array(first)))
             for x, y in groups(offsets):
                 base = offsets[x:y] - offsets[x]
-                doc, _, g, c, begin, end = anchors(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], length)
+                doc, at, g, c, begin, end = anchors(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], length)
                 if not len(g):
                     continue
                 # A stretch that repeats itself has one context again and again: those that touch are one row.
                 sort = np.lexsort((begin, c, g))
-                doc, g, c, begin, end = doc[sort], g[sort], c[sort], begin[sort], end[sort]
+                doc, at, g, c, begin, end = doc[sort], at[sort], g[sort], c[sort], begin[sort], end[sort]
                 new = np.r_[True, (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (doc[1:] != doc[:-1]) | (begin[1:] > end[:-1])]
                 head = np.flatnonzero(new)
                 many = np.diff(np.r_[head, len(g)])
-                size = (end - begin)[head]
+                size, lead = (end - begin)[head], (at - begin)[head]
                 last = end[np.r_[head[1:], len(g)] - 1]
                 doc, g, c, begin = doc[head], g[head], c[head], begin[head]
                 d = doc + x
-                columns = [g.view(np.int64), c.view(np.int64), th[first[d]], begin - base[doc], last - base[doc], size, n[d] * many]
+                columns = [g.view(np.int64), c.view(np.int64), th[first[d]], begin - base[doc], last - base[doc], size, lead, n[d] * many]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], names)
 
-    return docs.select("th", "text").mapInArrow(run, "g long, c long, th long, begin int, end int, size int, n int")
+    return docs.select("th", "text").mapInArrow(run, "g long, c long, th long, begin int, end int, size int, lead int, n int")
 
 
 class RunLengthIndex:
@@ -233,7 +234,7 @@ def block_marks(length: int):
 
 
 def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (doc_id, th, g, c, begin, end), one document for each text: adds the bytes of the contexts."""
+    """wanted (doc_id, th, g, c, begin, end, lead), one document for each text: adds the bytes of the contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -243,55 +244,71 @@ def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for a in range(0, len(some), 20_000):
                     part = some[a : a + 20_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([b.column(0)[i].as_py()] * len(part), pa.int64()), *(pa.array([x[k] for x in part], pa.int64()) for k in ("g", "c", "begin", "end")), pa.array([text[x["begin"] : x["end"]] for x in part], pa.binary())],
-                        ["th", "g", "c", "begin", "end", "bytes"],
+                        [pa.array([b.column(0)[i].as_py()] * len(part), pa.int64()), *(pa.array([x[k] for x in part], pa.int64()) for k in ("g", "c", "begin", "end", "lead")), pa.array([text[x["begin"] : x["end"]] for x in part], pa.binary())],
+                        ["th", "g", "c", "begin", "end", "lead", "bytes"],
                     )
 
-    by = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("g", "c", "begin", "end")).alias("some"))  # a text's own anchors
+    by = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("g", "c", "begin", "end", "lead")).alias("some"))  # a text's own anchors
     by = by.withColumnsRenamed({"doc_id": "_d", "th": "_t"})
     rows = docs.join(by, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select("th", "text", "some")
-    return rows.mapInArrow(run, "th long, g long, c long, begin long, end long, bytes binary")
+    return rows.mapInArrow(run, "th long, g long, c long, begin long, end long, lead long, bytes binary")
 
 
 def hot_marks(contexts: DataFrame, length: int) -> DataFrame:
-    """Contexts (th, begin, end, bytes) of anchors that have many: strings counted by hash, ranges with a lone core left out."""
+    """Contexts (th, begin, end, lead, bytes) of anchors that have many: strings counted by hash, ranges with a lone core left out.
 
-    def hashes(schema: str, whole: bool):
+    Ranges are counted from the anchor, so that equal strings lie in equal ranges whatever a text's borders cut off. A range's
+    core, what all its strings share, lies in each context that has one of them.
+    """
+    reach = length - length // 2
+    step = -(-(reach + 1) // RANGES)
+
+    def hashes(whole: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out: list[list] = [[], [], [], []]
-                for th, begin, data, picks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+                out: list[list] = [[], [], [], [], [], [], []]
+                for th, begin, end, lead, data, picks in zip(*(b.column(c).to_pylist() for c in range(4)), b.column(4), b.column(5).to_pylist(), strict=True):
                     x = np.frombuffer(data.as_py(), np.uint8)
                     starts = np.arange(len(x) - length + 1)
-                    step = -(-len(starts) // RANGES)
+                    ranges = (starts - lead + reach) // step
                     if whole:  # the strings of the ranges that were picked
-                        s = np.concatenate([starts[r * step : (r + 1) * step] for r in sorted(set(picks))])
-                        h, r = window_hashes(x, s, s + length), s
-                    else:  # each range's common core
-                        r = np.arange(-(-len(starts) // step))
-                        last = np.minimum((r + 1) * step, len(starts)) - 1
-                        h = window_hashes(x, last, r * step + length)
-                    for column, v in zip(out, (np.full(len(h), th), np.full(len(h), begin), r, h.view(np.int64)), strict=True):
+                        at = starts[np.isin(ranges, picks)]
+                        h, r = window_hashes(x, at, at + length), np.zeros(len(at), np.int64)
+                    else:
+                        r = np.unique(ranges)
+                        at = np.minimum((r + 1) * step - 1, reach) - reach + lead
+                        h = window_hashes(x, at, r * step - reach + lead + length)
+                    for column, v in zip(out, (np.full(len(h), th), np.full(len(h), begin), np.full(len(h), end), np.full(len(h), lead), r, begin + at, h.view(np.int64)), strict=True):
                         column.append(v)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], ["th", "begin", "r", "h"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], ["th", "begin", "end", "lead", "r", "at", "h"])
 
         return run
 
-    schema = "th long, begin long, r long, h long"
-    contexts = contexts.select("th", "begin", "bytes").dropDuplicates(["th", "begin"])
-    none = F.array().cast("array<long>")
-    cores = contexts.withColumn("picks", none).mapInArrow(hashes(schema, False), schema)
+    schema = "th long, begin long, end long, lead long, r long, at long, h long"
+    contexts = contexts.select("th", "begin", "end", "lead", "bytes").dropDuplicates(["th", "begin", "end", "lead"])
+    cores = contexts.withColumn("picks", F.array().cast("array<long>")).mapInArrow(hashes(False), schema)
 
-    def twice(rows: DataFrame, place) -> DataFrame:
+    def twice(rows: DataFrame) -> DataFrame:
         # A place that stands in two contexts of a text counts once.
+        place = F.struct("th", "at")
         n = rows.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi")
         return rows.join(n.select(F.col("h").alias("_h")), F.col("h") == F.col("_h"), "left_semi")
 
-    picked = twice(cores, F.struct("th", "begin", "r")).groupBy(F.col("th").alias("_t"), F.col("begin").alias("_b")).agg(F.collect_set("r").alias("picks"))
-    again = contexts.join(picked, (F.col("th") == F.col("_t")) & (F.col("begin") == F.col("_b"))).select("th", "begin", "bytes", "picks")
-    strings = again.mapInArrow(hashes(schema, True), schema).select("th", (F.col("begin") + F.col("r")).alias("begin"), F.lit(0).alias("r"), "h")
-    return twice(strings, F.struct("th", "begin")).select("th", "begin", (F.col("begin") + length).alias("end"))
+    picked = twice(cores).groupBy("th", "begin", "end", "lead").agg(F.collect_set("r").alias("picks"))
+    again = contexts.join(picked, ["th", "begin", "end", "lead"]).select("th", "begin", "end", "lead", "bytes", "picks")
+    strings = twice(again.mapInArrow(hashes(True), schema))
+    # A context's strings, a bounded number, as maximal stretches.
+    by = strings.groupBy("th", "begin", "end", "lead").agg(F.array_sort(F.collect_set("at")).alias("ats"))
+    start = F.array().cast("array<struct<b:bigint,e:bigint>>")
+
+    def add(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        one = F.array(F.struct(x.alias("b"), (x + length).alias("e")))
+        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["b"].alias("b"), (x + length).alias("e"))))
+        return F.when((F.size(acc) > 0) & (x <= last["e"]), grown).otherwise(F.concat(acc, one))
+
+    return by.select("th", F.explode(F.aggregate("ats", start, add)).alias("s")).select("th", F.col("s.b").alias("begin"), F.col("s.e").alias("end"))
 
 
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
@@ -302,11 +319,11 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     often = rows.groupBy("g").agg(F.sum("n").alias("total"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("total > 1")
     often = often.select(F.col("g").alias("_g"), (F.col("lo") != F.col("hi")).alias("mixed"))
     rows = cut(rows.join(often, F.col("g") == F.col("_g")).drop("_g"))
-    kinds = rows.groupBy("g", "c", "mixed").agg(F.sum("n").alias("same"), F.min(F.struct("th", "begin", "size")).alias("one"))
+    kinds = rows.groupBy("g", "c", "mixed").agg(F.sum("n").alias("same"), F.min(F.struct("th", "begin", "size", "lead")).alias("one"))
     kinds = cut(kinds)
     done = kinds.filter("same > 1").select(F.col("g").alias("_g"), F.col("c").alias("_c"))
     covered = rows.join(done, (F.col("g") == F.col("_g")) & (F.col("c") == F.col("_c")), "left_semi").select("th", F.col("begin").cast("long"), F.col("end").cast("long"))
-    wanted = kinds.filter("mixed").select("g", "c", "one.th", F.col("one.begin").cast("long").alias("begin"), (F.col("one.begin") + F.col("one.size")).cast("long").alias("end"))
+    wanted = kinds.filter("mixed").select("g", "c", "one.th", F.col("one.begin").cast("long").alias("begin"), (F.col("one.begin") + F.col("one.size")).cast("long").alias("end"), F.col("one.lead").cast("long").alias("lead"))
     many = wanted.groupBy("g").agg(F.count("*").alias("m")).withColumnRenamed("g", "_g")
     contexts = cut(fetch(docs, wanted.join(texts.select("th", "doc_id"), "th")).join(many, F.col("g") == F.col("_g")).drop("_g"))
     total = contexts.filter(F.col("m") <= HOT).agg(F.sum(F.octet_length("bytes"))).first()[0] or 0

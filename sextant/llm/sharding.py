@@ -1,7 +1,7 @@
 """Sharding (native): proportional stratified interleaving.
 
-Rows are shuffled by a seeded hash within each source and ranked; the fractional rank (rank - 1/2) / n places a
-source's rows evenly over [0, 1). All rows in the order of their fractional ranks are cut into shards whose
+Rows are shuffled by a seeded hash within each source and ranked; the fractional rank (rank - phase) / n, with a
+phase in (0, 1) for each source, places its rows evenly over [0, 1). All rows in the order of their fractional ranks are cut into shards whose
 row counts differ by one at most, so that every shard holds every source in its share, up to a row or so.
 
 Scale: ranks are exact without sorting a source, or everything, in one task: hashes (then fractional ranks) are
@@ -46,7 +46,9 @@ def stratified_shards(rows: DataFrame, shards: int = 16, seed: int = 5, key: str
     rows = rows.drop(*OUT).withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
     rows = rows.withColumn("_hb", F.shiftrightunsigned("_h", 54).cast("int"))  # 2 ** 10 ranges
     rows = _places(rows, ["source"], "_hb", [F.col("_h"), F.col(key)])
-    rows = rows.withColumn("_f", (F.col("_rank") - 0.5) / F.col("_all")).drop("_rank", "_all", "_hb")
+    # Each source has a phase of its own, or sources of one size would come in bursts.
+    phase = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "source"), 12).cast("double") + 0.5) / float(1 << 52)
+    rows = rows.withColumn("_f", (F.col("_rank") - phase) / F.col("_all")).drop("_rank", "_all", "_hb")
     rows = rows.withColumn("_fb", F.floor(F.col("_f") * BUCKETS).cast("int"))
     rows = cut(rows)
     rows = _places(rows, [], "_fb", [F.col("_f"), F.col("source"), F.col("_h"), F.col(key)])

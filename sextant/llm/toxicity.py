@@ -223,9 +223,21 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, **how) -> Mod
     if not ids:
         return train([], np.zeros(0))
     some = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").toArrow()
-    rows = rows.sort_by("doc_id")
-    return train(rows["text"].to_pylist(), rows["toxic"].to_numpy(), **how)
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(batches)
+        if found:
+            t = pa.Table.from_batches(found).sort_by("doc_id")
+            m = train(t["text"].to_pylist(), t["toxic"].to_numpy(), **how)
+            yield pa.RecordBatch.from_arrays([pa.array([m.weight.tobytes()], pa.binary()), *(pa.array([float(v)], pa.float64()) for v in (m.bias, m.offset, m.slope, m.more))], ["weight", "bias", "offset", "slope", "more"])
+
+    # One task learns from the bounded sample, not the driver.
+    got = rows.repartition(1).mapInArrow(run, "weight binary, bias double, offset double, slope double, more double").collect()
+    if not got:
+        return train([], np.zeros(0))
+    m = got[0]
+    return Model(np.frombuffer(bytes(m.weight), np.float32), m.bias, m.offset, m.slope, m.more)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

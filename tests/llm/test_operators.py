@@ -1,0 +1,402 @@
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sextant.llm import jaccard, maxent, media, mixing, packing, pii, repeats, sharding, syncmers, toxicity
+from tests.llm.util import BASE, ODD, empty, odd, tokens, wide
+
+
+@pytest.fixture(scope="module")
+def near(spark):
+    """Groups of near copies about the threshold, some chained, and lone documents."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows, k = [], 0
+    for g in range(14):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([4, 12, 30, 80, 300]))]
+        for _ in range(rng.choice([1, 2, 6, 25])):
+            words = list(base)
+            for _ in range(rng.randrange(0, 1 + len(base) // 25)):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            rows.append((k, " ".join(words), "en", f"s{g % 3}", 0))
+            k += 1
+    return rows
+
+
+def components(rows, k, p, q):
+    sets = {}
+    for i, t, *_ in rows:
+        w = tokens(t)
+        sets[i] = frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)]) if w else frozenset()
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if q * both >= p * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = find(a), find(b)
+                    up[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize("k,p,q", [(3, 9, 10), (5, 4, 5)])
+def test_jaccard_join_is_exact(spark, near, k, p, q):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(odd(spark, near), k, p, q).collect()}
+    assert got == components(near, k, p, q)
+
+
+@pytest.mark.parametrize("limit,batch", [(5, 32 << 20), (1, 3000)])
+def test_jaccard_join_splits_large_regions(spark, near, monkeypatch, limit, batch):
+    monkeypatch.setattr(jaccard, "LIMIT", limit)
+    monkeypatch.setattr(jaccard, "BATCH_BYTES", batch)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(odd(spark, near), 3, 9, 10).collect()}
+    assert got == components(near, 3, 9, 10)
+
+
+def test_part_schemes_lose_no_pair():
+    rng = np.random.default_rng(2)
+    for p, q in ((9, 10), (4, 5)):
+        scheme = jaccard.Scheme(p, q)
+        for n in (4, 5, 8, 9, 10, 19, 33, 60, 250):
+            for _ in range(40):
+                a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+                drop = rng.permutation(len(a))[: rng.integers(0, jaccard.max_difference(len(a), p, q) + 1)]
+                b = np.delete(a, drop)
+                both = len(b)
+                if both and q * both >= p * len(a):
+                    x, y = set(scheme.signatures(a, len(a)).tolist()), set(scheme.signatures(b, len(b)).tolist())
+                    assert len(a) == len(b) or x & y
+
+
+def test_jaccard_odd_rows(spark):
+    rows = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.jaccard_join(wide(odd(spark)), 3, 9, 10).collect()}
+    assert rows[(1, 0)] == 1 and rows[(2, 0)] == 2 and rows[(3, 0)] == 3
+    assert [v for (i, _), v in rows.items() if i in (4, 5, 10)] == [4, 4, 4]
+    assert [v for (i, _), v in rows.items() if i is None] == [None]
+    assert jaccard.jaccard_join(empty(spark)).collect() == []
+    kept = jaccard.one_of_each(odd(spark)).collect()
+    assert sorted((r.doc_id for r in kept), key=repr) == sorted([1, 2, 3, 4, None, 6, 7, 8, 9, 11, 12, 13], key=repr)
+
+
+def brute_repeats(rows, length):
+    data = [(i, (t or "").encode()) for i, t, *_ in rows]
+    count = collections.Counter(d[a : a + length] for _, d in data for a in range(len(d) - length + 1))
+    out = []
+    for i, d in data:
+        on = np.zeros(len(d) + 1, int)
+        for a in range(len(d) - length + 1):
+            if count[d[a : a + length]] > 1:
+                on[a] += 1
+                on[a + length] -= 1
+        on = np.cumsum(on)[:-1] > 0
+        kept = np.frombuffer(d, np.uint8)[~on].tobytes()
+        out.append((i, len(d), int(on.sum()), int((on & ~np.r_[False, on[:-1]]).sum()) if len(d) else 0, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def got_repeats(df):
+    return sorted(((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_repeats_are_exact(spark, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = random.Random(7)
+    parts = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (30, 45, 60, 90, 200)]
+    rows = [(k, "".join(rng.choice(parts) if rng.random() < 0.5 else "".join(rng.choice("abcdé ") for _ in range(rng.randrange(40))) for _ in range(8)), "en", "s", 0) for k in range(60)]
+    assert got_repeats(repeats.remove_repeats(odd(spark, rows), 40)) == brute_repeats(rows, 40)
+
+
+def test_repeats_odd_rows(spark):
+    assert got_repeats(repeats.remove_repeats(wide(odd(spark)), 50)) == brute_repeats(ODD, 50)
+    assert repeats.remove_repeats(empty(spark), 50).collect() == []
+
+
+def test_run_length_index():
+    rng = random.Random(1)
+    segments = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 60))) for _ in range(12)]
+    index = repeats.RunLengthIndex(segments)
+    want = []
+    for i, s in enumerate(segments):
+        for a in range(len(s)):
+            best = 0
+            for j, t in enumerate(segments):
+                for b in range(len(t)):
+                    if (i, a) != (j, b):
+                        n = 0
+                        while a + n < len(s) and b + n < len(t) and s[a + n] == t[b + n]:
+                            n += 1
+                        best = max(best, n)
+            want.append(best)
+    assert index.matching_statistics().tolist() == want
+
+
+def test_maxent_counts_and_scores(spark, near):
+    rows = near + [(1000 + k, *r[1:]) for k, r in enumerate(ODD)]
+    df = odd(spark, rows)
+    model, counts = maxent.train(df.filter("doc_id % 7 <> 2"))
+    model_rows = {r.doc_id: r for r in maxent.score(wide(df), model, counts).collect()}
+    c = collections.Counter(w for i, t, *_ in rows if i % 7 != 2 for w in [*tokens(t), None])
+    n, v = sum(c.values()), len(c)
+    gain = 0
+    for i, t, *_ in rows:
+        w, r = [*tokens(t), None], model_rows[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
+        assert math.isclose(r.base_score, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
+        gain += r.score - r.base_score
+    assert gain > 0
+    e, ec = maxent.train(empty(spark))
+    assert maxent.score(empty(spark), e, ec).collect() == []
+    assert {r.n_known for r in maxent.score(df, e, ec).collect()} == {0}
+
+
+def test_maxent_rare_words_are_joined(spark, near, monkeypatch):
+    df = odd(spark, near)
+    model, counts = maxent.train(df)
+    whole = {r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in maxent.score(df, model, counts).collect()}
+    monkeypatch.setattr(maxent, "HEAD", 50)
+    small = maxent.start(maxent.cut(maxent.word_counts(df)))
+    small = maxent.Model(**{**vars(small), "weights": model.weights, "bias": model.bias})
+    assert len(small.head) <= 50 < small.v
+    assert {r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in maxent.score(df, small, counts).collect()} == whole
+
+
+def test_maxent_probabilities_sum_to_one(spark, near):
+    model, counts = maxent.train(odd(spark, near))
+    h = np.array([1, 2, 3], np.uint64)
+    rows = model.features(h, np.array([0, 1, 2]), np.array([0, 3]))
+    assert np.allclose(np.exp(z := model.logits(rows)).sum(1) / np.exp(z).sum(1), 1)
+    assert len(model.class_log) == maxent.CLASSES
+
+
+def test_packing_round_trip(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    rows = packing.pack(wide(odd(spark)), path, windows=3).collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append(r)
+    for pieces in by.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+    for i, text, *_ in ODD:
+        if i == 5:
+            continue
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        at = 0
+        for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start):
+            assert (r.start, r.doc_tokens) == (at, len(ids))
+            assert r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    assert packing.pack(empty(spark), path).collect() == []
+
+
+def test_packing_tokens_equal_the_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    texts = ["a  b\n\n c d e  ", "it's IT'S we'll", "<|endoftext|> x", "12345 ①② ٣٤", "é ñ ﬁ 漢字 🏳️‍🌈", "\x00\x1f\x7f\x85", "\r\n\t  x​"]
+    for x in texts:
+        assert packing.encoder(path).encode_to_numpy(x, disallowed_special=()).tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_sharding_laws(spark):
+    rows = [(i, f"t{i}", "en", "hot" if i % 3 else f"s{i % 17}", 0) for i in range(997)]
+    got = sharding.stratified_shards(odd(spark, rows + ODD), 16).select("doc_id", "source", "shard", "slot").collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.shard].append(r)
+    sizes = [len(x) for x in by.values()]
+    assert sum(sizes) == len(rows) + len(ODD) and max(sizes) - min(sizes) <= 1 and set(by) == set(range(16))
+    assert all(sorted(r.slot for r in x) == list(range(len(x))) for x in by.values())
+    hot = [sum(r.source == "hot" for r in x) for x in by.values()]
+    assert max(hot) - min(hot) <= 8  # of 41: other sources' rounding, 17 of them
+    assert sharding.stratified_shards(empty(spark)).collect() == []
+    few = sharding.stratified_shards(wide(odd(spark, ODD[:3])), 16).collect()
+    assert len({r.shard for r in few}) == 3 and {r.slot for r in few} == {0}
+
+
+def test_mixing(spark):
+    rows = [(i, "w " * (1 + i % 50), "en", f"s{i % 5}" if i % 3 else "hot", 0) for i in range(1200)]
+    out = mixing.mix_sources(wide(odd(spark, rows)))
+    got = out.collect()
+    total = sum(r.size for r in got)
+    sources = sorted({r.source for r in got})
+    size = {s: sum(r.size for r in got if r.source == s) for s in sources}
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(sources)}
+    target, open_ = {}, set(sources)
+    left = total
+    while True:  # water filling
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = [s for s in open_ if share[s] > 3 * size[s]]
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 3 * size[s]
+            left -= target[s]
+            open_.discard(s)
+    for s in sources:
+        mine = [r for r in got if r.source == s]
+        assert all(math.isclose(r.target, target[s], rel_tol=1e-9) and r.source_size == size[s] for r in mine)
+        assert abs(sum(r.taken for r in mine) - target[s]) <= 1
+    assert all(0 <= r.taken <= 3 * r.size for r in got)
+    again = {r.doc_id: r.taken for r in mixing.mix_sources(odd(spark, rows)).collect()}
+    assert again == {r.doc_id: r.taken for r in got}
+    words = collections.Counter(r.source for r in mixing.mixed_rows(odd(spark, rows)).collect() for _ in tokens(r.text))
+    assert all(abs(words[s] - target[s]) <= 1 for s in sources)
+
+
+def test_mixing_odd_rows(spark):
+    got = mixing.mix_sources(odd(spark)).collect()
+    assert len(got) == len(ODD) and sum(r.taken for r in got) == pytest.approx(sum(r.size for r in got), abs=4)
+    assert {r.size for r in got if r.doc_id in (1, 2, 3)} == {0}
+    assert mixing.mix_sources(empty(spark)).collect() == []
+    assert mixing.mixed_rows(empty(spark)).collect() == []
+    none = mixing.mix_sources(odd(spark, ODD[:3])).collect()
+    assert {(r.target, r.taken) for r in none} == {(0.0, 0)}
+
+
+def test_syncmers(spark):
+    rows = syncmers.fingerprints(wide(odd(spark))).collect()
+    by = {r.doc_id: r for r in rows}
+    assert by[1].fingerprint == by[2].fingerprint == by[3].fingerprint == ""
+    assert by[4].fingerprint == by[10].fingerprint == by[5].fingerprint != by[7].fingerprint
+    assert len(by[8].anchors) == 1 and len(by[9].anchors) == 1
+    assert len(by[7].fingerprint.split()) == syncmers.SKETCH
+    w = tokens(BASE)
+    moved = spark.createDataFrame([(1, BASE), (2, "some new opening words here " + BASE)], "doc_id long, text string")
+    a, b = ({(x.hash): x.position for x in r.anchors} for r in syncmers.fingerprints(moved).orderBy("doc_id").collect())
+    assert set(a) <= set(b) and all(b[h] - a[h] == 5 for h in a) and len(a) >= len(w) // 6  # context-free
+    assert syncmers.fingerprints(empty(spark)).collect() == []
+
+
+@pytest.mark.parametrize("size", [4096, 3])
+def test_next_document(spark, size, monkeypatch):
+    monkeypatch.setattr(syncmers, "RANGE", size)
+    rng = random.Random(3)
+    rows = [(i, f"text {i}", "en", "s", 0) for i in rng.sample(range(100_000), 50)] + [(None, "first", "en", "s", 0)]
+    got = {r.text: r.next_text for r in syncmers.with_next(odd(spark, rows)).collect()}
+    order = [r[1] for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))]
+    assert got == dict(zip(order, [*order[1:], order[0]], strict=True))
+    assert syncmers.with_next(empty(spark)).collect() == []
+    assert syncmers.with_next(odd(spark, ODD[3:4])).first().next_text == BASE
+
+
+def test_media_round_trip(spark):
+    got = media.media_columns(media.store_texts(wide(odd(spark)))).collect()
+    assert len(got) == len(ODD)
+    texts = collections.defaultdict(set)
+    for i, t, *_ in ODD:
+        texts[i].add((t or "").encode())
+    for r in got:
+        x = bytes(r.pixels)
+        assert len(x) % 192 == 0 and x and x.rstrip(b" ") in {t.rstrip(b" ") for t in texts[r.doc_id]}
+        assert np.load(__import__("io").BytesIO(bytes(r.tile))).shape == (8, 9) and len(r.feature) == 16
+    bad = spark.createDataFrame([(1, bytearray(b"P6 nonsense")), (2, None), (3, bytearray(b""))], "doc_id long, media binary")
+    assert all(r.pixels is None and r.feature is None for r in media.media_columns(bad).collect())
+
+
+def test_media_formats():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 256, (5, 7, 3)).astype(np.uint8)
+    assert (media.decode(media.encode_ppm(x, "note")) == x).all() and (media.decode(media.encode_bmp(x)) == x).all()
+    assert (media.decode(b"P3\n# c\n2 1\n255\n1 2 3 4 5 6\n") == np.array([[[1, 2, 3], [4, 5, 6]]])).all()
+    assert (media.decode(b"P2 2 2 15 0 15 15 0")[:, :, 0] == [[0, 255], [255, 0]]).all()
+    assert (media.decode(b"P1 3 1 0 1 0")[:, :, 0] == [[255, 0, 255]]).all()
+    assert (media.decode(b"P4 10 1\n" + bytes([0b10000000, 0b01000000]))[:, :, 0] == [[0] + [255] * 8 + [0]]).all()
+    assert media.decode(b"P5 1 1 65535\n" + b"\xff\xff")[0, 0, 0] == 255
+    gray = rng.random((16, 27))
+    assert np.allclose(media.area_resize(gray, 8, 9), gray.reshape(8, 2, 9, 3).mean((1, 3)))
+    assert np.isclose(media.area_resize(gray, 3, 5).mean(), gray.mean())
+
+
+def test_surrogates(spark):
+    rows = [
+        (1, "Mail Bob.Ray@site.example.org or bob.ray@site.example.org, card 4111 1111 1111 1111, 4111111111111111, ip 10.20.30.40."),
+        (2, "Call +1 (017) 555-7713 or +1-017-555-7713; Mr. John Smith met Mrs Anna Bell and Dr John Smith. Госпожа Анна Иванова."),
+        (3, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and DE89370400440532013000, 078-05-1120'),
+        (4, "nothing here, 12 apples"), (5, None), (6, ""), (None, "x@y.org"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("entities", F.lit(1))
+    got = {r.doc_id: r for r in pii.with_surrogates(df).collect()}
+    a = [x.surrogate for x in got[1].entities]
+    assert [x.type for x in got[1].entities] == ["email", "email", "card", "card", "ip"]
+    assert a[0].lower() == a[1] and a[0] != "Bob.Ray@site.example.org" and a[0].endswith(".org")
+    assert a[2].replace(" ", "") == a[3] and a[3][0] == "4" and a[3] != "4111111111111111"
+    digits = [int(c) for c in a[3][::-1]]
+    assert sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+    b = [x.surrogate for x in got[2].entities]
+    assert [c for c in b[0] if c.isdigit()] == [c for c in b[1] if c.isdigit()] and b[0][0:2] == "+1"
+    assert b[2].startswith("Mr. ") and b[2][4:] == b[4][3:] and b[3].split()[1] in pii.FIRST[("latin", "f")]
+    assert b[5].split()[1] in pii.FIRST[("cyrillic", "f")]
+    assert [x.type for x in got[3].entities] == ["secret", "iban", "ssn"]
+    assert got[4].text == rows[3][1] and got[5].text is None and got[6].text == "" and len(got[None].entities) == 1
+    assert not any(s in (got[1].text + got[2].text + got[3].text) for s in ("bob.ray", "555-7713", "John Smith", "04dbebab", "DE8937"))
+    assert pii.with_surrogates(empty(spark)).collect() == []
+
+
+def test_surrogates_stay_distinct(spark):
+    ips = [f"{a}.{b}.1.{c}" for a in range(1, 10) for b in range(1, 10) for c in range(1, 10)]
+    names = [f"Mr {a}{b} {c}" for a in ("Al", "Bo", "Cy") for b in ("an", "en", "in", "on") for c in (f"L{x}{y}" for x in "aeiou" for y in ("ra", "mo", "ke", "ti", "su", "na", "pe", "do", "fi", "gu", "ha", "jo"))]
+    cards = [f"4{i:015d}" for i in range(500)]
+    for values in (ips, names, cards):
+        text = ", ".join(values)
+        got = pii.with_surrogates(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+        s = [x.surrogate for x in got.entities]
+        assert len(s) == len(values) and len(set(s)) == len(values)
+
+
+def test_toxicity_learns_subwords(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(900):
+        w = [rng.choice(words) for _ in range(rng.randrange(5, 60))]
+        toxic = i % 4 == 0
+        if toxic:
+            w[rng.randrange(len(w))] = rng.choice(["zumplewick", "zumplewicks", "vroxterian"])
+        rows.append((i, " ".join(w), "en", "s", 0))
+        labels.append((i, int(toxic)))
+    df, lab = odd(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(df.filter("doc_id % 5 <> 0"), lab)
+    got = {r.doc_id: r.score for r in toxicity.score(wide(df), model).collect()}
+    held = [(got[i], t) for i, t in labels if i % 5 == 0]
+    assert sum((s >= 0.5) == bool(t) for s, t in held) >= 0.95 * len(held)
+    unseen = spark.createDataFrame([(1, f"{words[0]} zumplewyck {words[1]}"), (2, f"{words[0]} {words[5]} {words[1]}")], "doc_id long, text string")
+    a, b = (r.score for r in toxicity.score(unseen, model).orderBy("doc_id").collect())
+    assert a > b + 0.3  # an unseen spelling stands far from a clean text
+    clean = toxicity.keep_clean(df, model)
+    assert clean.columns == df.columns and clean.count() == sum(s < 0.5 for s in got.values())
+
+
+def test_toxicity_odd_rows(spark):
+    none = toxicity.fit(odd(spark), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert {round(r.score, 6) for r in toxicity.score(odd(spark), none).collect()} == {0.5}
+    one = toxicity.fit(odd(spark), spark.createDataFrame([(4, 0), (7, 0), (8, None)], "doc_id long, toxic int"))
+    assert all(0 <= r.score < 0.5 for r in toxicity.score(odd(spark), one).collect())
+    assert toxicity.score(empty(spark), none).collect() == []
