@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import text as X
 from sextant.functions import vectors as V
-from sextant.operators import code, docs, graph, markdown, scan
+from sextant.operators import code, docs, graph, hygiene, markdown, scan
 from sextant.plans import index
 from sextant.schema import chunk_id
 
@@ -377,6 +377,37 @@ def coverage(spark, sf_dir):
     return used.join(said, "w", "left_anti").groupBy("w").agg(F.countDistinct("source").alias("fan_in")).filter("fan_in >= 2")
 
 
+# Rules and similarity -----------------------------------------------------------
+
+
+def _has(expr: str, terms: tuple[str, ...]) -> str:
+    return " OR ".join(f"contains({expr}, '{t}')" for t in terms) or "false"
+
+
+def _roles_sql() -> str:
+    """Points by role from the same rules, as a union of conditions."""
+    arms = [f"SELECT doc_id, {i} AS i, '{role}' AS role, {n} AS n FROM d WHERE {_has('p', path)} OR {_has('t', title)} OR {_has('x', text)}" for i, (role, n, path, title, _, text, _w) in enumerate(hygiene.RULES)]
+    return f"""WITH d AS (SELECT doc_id, lower({SQL_PATH}) AS p, lower(source) AS t, lower(source || chr(10) || text) AS x FROM documents),
+ s AS (SELECT doc_id, role, min(i) AS i, sum(n) AS n FROM ({" UNION ALL ".join(arms)}) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) AS k FROM s),
+ w AS (SELECT d.doc_id, coalesce(max(CASE WHEN k = 1 THEN n END), 0) AS a, coalesce(max(CASE WHEN k = 2 THEN n END), 0) AS b, max(CASE WHEN k = 1 THEN role END) AS role FROM d LEFT JOIN r USING (doc_id) GROUP BY 1)
+ SELECT doc_id, CASE WHEN a < 3 THEN 'unknown' WHEN b >= a - 1 AND b >= 3 THEN 'mixed' ELSE role END AS role,
+ round(CASE WHEN a < 3 THEN 0.25 WHEN b >= a - 1 AND b >= 3 THEN 0.55 ELSE greatest(0, least(1, 0.45 + a / 10.0 - b / 20.0)) END::DOUBLE, 6) AS confidence FROM w"""
+
+
+@query(_roles_sql())
+def doc_roles(spark, sf_dir):
+    d = sections(spark, sf_dir).select("doc_id", "file_path", F.col("source").alias("title"), F.array().cast("array<string>").alias("tags"), F.lit(0).alias("backlinks"), F.concat_ws("\n", "source", "content").alias("text"))
+    return hygiene.with_roles(d).select("doc_id", "role", F.round("role_confidence", 6).alias("confidence"))
+
+
+@query("""WITH t AS (SELECT item_id AS k, unnest(list_distinct(regexp_extract_all(lower(text), '([a-z0-9]{3,})', 1))) AS w FROM benchmark), n AS (SELECT k, count(*) AS m FROM t GROUP BY 1),
+ p AS (SELECT a.k, b.k AS o, count(*) AS c FROM t a JOIN t b ON a.w = b.w AND a.k <> b.k GROUP BY 1, 2), j AS (SELECT p.k, p.o, p.c / (x.m + y.m - p.c) AS s FROM p JOIN n x ON x.k = p.k JOIN n y ON y.k = p.o)
+ SELECT k AS item_id, round(max(s), 6) AS similarity FROM j WHERE s >= 0.15 GROUP BY 1""")
+def section_similarity(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.lit("").alias("heading"), F.col("text").alias("content"))
+    return hygiene.similar_sections(b, "item_id").select("item_id", F.round("similarity", 6).alias("similarity"))
+
+
 # Relational smoke ----------------------------------------------------------------
 
 
