@@ -112,7 +112,10 @@ def links(source: DataFrame, files: DataFrame) -> DataFrame:
     """doc_links: each section's links with their text and line; target_resolved is null where no file answers."""
     rows = source.select("file_path", "heading", "start_line", F.posexplode(F.split("content", "\n")).alias("_at", "_line"))
     by = Window.partitionBy("file_path", "heading", "start_line").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_ticks", F.sum(F.col("_line").rlike("^\\s*```").cast("int")).over(by)).filter("_ticks % 2 = 0")
+    tick = F.col("_line").rlike("^\\s*```").cast("int")
+    whole = Window.partitionBy("file_path", "heading", "start_line")
+    # A fence that isn't closed in its section hides nothing.
+    rows = rows.withColumns({"_ticks": F.sum(tick).over(by), "_all": F.sum(tick).over(whole)}).filter("_ticks % 2 = 0 or _ticks = _all")
     md = F.arrays_zip(F.regexp_extract_all("_line", F.lit(r"\[([^\]]*)\]\(([^)]+)\)"), F.lit(1)).alias("t"), F.regexp_extract_all("_line", F.lit(r"\[([^\]]*)\]\(([^)]+)\)"), F.lit(2)).alias("x"))
     wiki = F.transform(F.regexp_extract_all("_line", F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1)), lambda x: F.struct(x.alias("t"), x.alias("x")))
     md = F.filter(F.transform(md, lambda m: F.struct(m["t"].alias("t"), m["x"].alias("x"))), lambda m: m["x"].endswith(".md") & ~m["x"].startswith("http") & ~m["x"].startswith("#"))
