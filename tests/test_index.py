@@ -201,6 +201,25 @@ def test_hygiene_findings(spark):
     assert [r.confidence for r in rows] == sorted((r.confidence for r in rows), reverse=True)
 
 
+def test_section_triage(spark):
+    spec = "file_path string, role string, backlinks int, heading string, heading_path string, level int, content string, similarity double, near_name string, broken_here int, status_score int, has_status boolean, role_evidence array<string>"
+    case = lambda role, text, sim=0.0, broken=0, back=1, live=False: (f"{role}-{text}.md", role, back, "H", "H", 1, text, sim, "n", broken, 0, live, ["e"])
+    rows = [
+        case("mixed", "an invariant that we must preserve"), case("mixed", "api json payload", 0.3), case("mixed", "plain words"),
+        case("decision_index", "the linked target disagrees in this decision register"), case("decision_index", "register entry, broken link", broken=1),
+        case("decision_index", "derived index of choices"), case("decision_index", "a decision register"), case("decision_index", "recorded on 2024-01-02"),
+        case("research_note", "finding that contradicts the other"), case("research_note", "hypothesis with an evidence gap"), case("research_note", "setup and migration"),
+        case("review_or_decision_record", "rationale of what was accepted"), case("review_or_decision_record", "api json", 0.1),
+    ]
+    got = {r.source_file: (r.acceptance_scenario_id, r.suggested_action, r.expected_human_action_shape) for r in hygiene.section_triage(spark.createDataFrame(rows, spec)).collect()}
+    at = lambda i: got.get(rows[i][0])
+    assert at(0) == ("section-preserve-reduce", "preserve", "ignore") and at(1)[2] == "link" and at(2)[1] == "needs_human_review"
+    assert at(3)[0] == "decision-index-contradiction" and at(4)[0] == "decision-index-target-missing" and at(4)[2] == "link"
+    assert at(5)[0] == "decision-index-derived" and at(6) is None and at(7)[0] == "decision-index-historical-snapshot"
+    assert at(8)[0] == "research-note-conflict" and at(9)[0] == "research-note-evidence-gap" and at(10)[2] == "reduce"
+    assert at(11)[2] == "accept" and at(12)[2] == "reduce"
+
+
 def test_similar_sections_are_exact(spark):
     rng = np.random.default_rng(3)
     words = [f"tok{i}" for i in range(40)]
