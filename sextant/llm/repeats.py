@@ -265,23 +265,25 @@ def hot_marks(contexts: DataFrame, length: int) -> DataFrame:
 
     def hashes(whole: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = ["th", "begin", "end", "lead", "r", "at", "h"]
             for b in batches:
-                out: list[list] = [[], [], [], [], [], [], []]
-                for th, begin, end, lead, data, picks in zip(*(b.column(c).to_pylist() for c in range(4)), b.column(4), b.column(5).to_pylist(), strict=True):
-                    x = np.frombuffer(data.as_py(), np.uint8)
-                    starts = np.arange(len(x) - length + 1)
-                    ranges = (starts - lead + reach) // step
-                    if whole:  # the strings of the ranges that were picked
-                        at = starts[np.isin(ranges, picks)]
-                        h, r = window_hashes(x, at, at + length), np.zeros(len(at), np.int64)
-                    else:
-                        r = np.unique(ranges)
-                        at = np.minimum((r + 1) * step - 1, reach) - reach + lead
-                        h = window_hashes(x, at, r * step - reach + lead + length)
-                    for column, v in zip(out, (np.full(len(h), th), np.full(len(h), begin), np.full(len(h), end), np.full(len(h), lead), r, begin + at, h.view(np.int64)), strict=True):
-                        column.append(v)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], ["th", "begin", "end", "lead", "r", "at", "h"])
+                for first in range(0, b.num_rows, 200):  # a few contexts at a time: each makes `length` / 2 rows at most
+                    part = b.slice(first, 200)
+                    out: list[list] = [[] for _ in names]
+                    for th, begin, end, lead, data, picks in zip(*(part.column(c).to_pylist() for c in range(4)), part.column(4), part.column(5).to_pylist(), strict=True):
+                        x = np.frombuffer(data.as_py(), np.uint8)
+                        starts = np.arange(len(x) - length + 1)
+                        ranges = (starts - lead + reach) // step
+                        if whole:  # the strings of the ranges that were picked
+                            at = starts[np.isin(ranges, picks)]
+                            h, r = window_hashes(x, at, at + length), np.zeros(len(at), np.int64)
+                        else:
+                            r = np.unique(ranges)
+                            at = np.minimum((r + 1) * step - 1, reach) - reach + lead
+                            h = window_hashes(x, at, r * step - reach + lead + length)
+                        for column, v in zip(out, (np.full(len(h), th), np.full(len(h), begin), np.full(len(h), end), np.full(len(h), lead), r, begin + at, h.view(np.int64)), strict=True):
+                            column.append(v)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], names)
 
         return run
 
