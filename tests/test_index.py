@@ -339,3 +339,19 @@ def test_text_functions(spark):
     assert X.safe_pattern("a(b") == r"(?i)a\(b" and get(X.has_word(F.lit("un mot, là"), "mot"))
     assert get(X.preview_line(F.lit("// c\n[<A>]\nlet x = 1"))) == "let x = 1"
     assert get(X.token_set(F.lit("Ab abc ABC d1e2"))) == ["abc", "d1e2"]
+
+
+def test_command_line(spark, tree, tmp_path, capsys):
+    from sextant import cli
+
+    at = ["--index", str(tmp_path / "i")]
+    assert cli.main([*at, "index-code", tree]) == 0 and cli.main([*at, "index-docs", tree]) == 0
+    capsys.readouterr()
+    for command, word in (("status", "chunks"), ("history", "rank=2"), ("broken", "missing.md"), ("catalog", "docs"), ("modules", "app"), ("health", "orphans")):
+        assert cli.main([*at, command]) == 0
+        assert word in capsys.readouterr().out
+    assert cli.main([*at, "fn", "add", "find", "x", "grep(code, x, 5)"]) == 0 and cli.main([*at, "fn", "list"]) == 0
+    assert "find(x)" in capsys.readouterr().out
+    assert cli.main([*at, "--json", "eval", "find('helper')"]) == 0
+    assert "core.py" in capsys.readouterr().out
+    assert cli.main([*at, "fn", "rm", "find"]) == 0 and cli.main([*at, "fn", "rm", "find"]) == 1
