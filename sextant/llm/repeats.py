@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from sextant.llm.common import _TABLE, U64, cut, groups, mix, powers, read_table, text_bytes
 
 #: An anchor's contexts go to one block up to so many (with length 400, under two megabytes); bytes of a block; ranges of starts.
-HOT, BLOCK, RANGES = 3000, 1 << 20, 8
+HOT, BLOCK, RANGES = 3000, 1 << 19, 8
 #: Bytes that the first sort of suffixes looks at.
 STEM = 5
 _HIGH, _LOW = U64(0xFFFFFFFF00000000), U64(0xFFFFFFFF)
@@ -130,8 +130,8 @@ class RunLengthIndex:
         self.first = np.r_[0, np.cumsum(size)]
         data = np.frombuffer(b"".join(segments), np.uint8)
         n = len(data)
-        self.end = np.repeat(self.first[1:], size)
-        here = np.arange(n)
+        self.end = np.repeat(self.first[1:], size).astype(np.int32)
+        here = np.arange(n, dtype=np.int32)
         left = (self.end - here).astype(np.int32)
         padded = np.zeros(n + STEM, np.int64)
         padded[:n] = data
@@ -168,8 +168,11 @@ class RunLengthIndex:
         n = len(key)
         bits = max(1, n.bit_length())
         if bound << bits < 1 << 63:  # key and place in one number: a plain sort
-            both = np.sort((key << bits) | np.arange(n))
-            order, sorted_ = both & ((1 << bits) - 1), both >> bits
+            sorted_ = key << bits
+            sorted_ |= np.arange(n)
+            sorted_.sort()
+            order = (sorted_ & ((1 << bits) - 1)).astype(np.int32)
+            sorted_ >>= bits
         else:
             order = np.argsort(key, kind="stable")
             sorted_ = key[order]
