@@ -64,7 +64,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Texts without this hold no entity: a cheap first look.
-HINT = rf"[0-9]{{2}}|@|(?i:token|key|secret|passwd|password|pwd)\s{{0,2}}[=:]|(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.? \p{{Lu}}"
+HINT = rf"[0-9][.\- ]?[0-9]|@|(?i:token|key|secret|passwd|password|pwd)\s{{0,2}}[=:]|(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.? \p{{Lu}}"
 
 
 def kind(e: Column) -> Column:
