@@ -11,8 +11,8 @@ value (lower-cased, separators aside), so that an entity keeps its surrogate in
 What gives the type away stays: top-level domain, country prefix, a card's first digit, a valid Luhn digit, an IBAN's country.
 
 A name gets a first name of the same gender (from its title) and script and a surname, from lists, by a keyed hash.
-Names that draw the same pair are told apart: the distinct names are ranked within their pair (the collision check), and a
-rank above 0 adds syllables that spell it. Names travel as a table with a row for each distinct name.
+Names that draw the same string (the surname alone for a name of one word, else the pair) are told apart: the distinct names are
+ranked within it (the collision check), and a rank above 0 adds syllables that spell it. Names travel as a table with a row for each distinct name.
 
 Scale: texts aren't shuffled; e-mails, numbers and secrets need no exchange at all. Only when there are names, their distinct
 values are shuffled, and the texts that have them look their surrogates up (broadcast up to SMALL rows, else a join).
@@ -214,7 +214,7 @@ def _spelt(n: Column, syllables: list[str]) -> Column:
 
 
 def name_table(docs: DataFrame, secret: str) -> DataFrame:
-    """(person, first, last): a row for each distinct name in docs (text); no two have the same pair."""
+    """(person, first, last): a row for each distinct name in docs (text); no two are shown alike."""
     e = docs.select(F.explode(F.regexp_extract_all("text", F.lit(PATTERNS["name"]), F.lit(0))).alias("e"))
     gender = F.when(F.col("e").rlike(rf"^(?:{TITLES_F})\.? "), "f").when(F.col("e").rlike(rf"^(?:{TITLES_M})\.? "), "m").otherwise("n")
     # A title with a gender outweighs one without; of two, the lesser letter.
@@ -227,8 +227,10 @@ def name_table(docs: DataFrame, secret: str) -> DataFrame:
     for script, words in LAST.items():
         last = F.when(F.col("script") == script, _pick(words, h[1])).otherwise(last)
     names = names.withColumn("first", first).withColumn("last", last)
-    # The collision check: names that drew one pair are ranked; a surname of its own for each rank above 0.
-    rank = F.row_number().over(Window.partitionBy("first", "last").orderBy(h[0], "person")) - 1
+    # The collision check: names are ranked within the string that is emitted (a name of one word has no first name); a surname of
+    # its own for each rank above 0.
+    shown = F.when(F.col("person").contains(" "), F.col("first")).otherwise("")
+    rank = F.row_number().over(Window.partitionBy(shown, "last").orderBy(h[0], "person")) - 1
     spelt = F.lit(None).cast("string")
     for script, syllables in SYLLABLES.items():
         spelt = F.when(F.col("script") == script, _spelt(F.col("rank"), syllables)).otherwise(spelt)

@@ -371,6 +371,16 @@ def test_surrogates_stay_distinct(spark):
         assert len(s) == len(values) and len(set(s)) == len(values)
 
 
+def test_surrogates_of_one_word_stay_distinct(spark):
+    latin = [f"Mr L{a}{b}{c}" for a in "aeiou" for b in ("ra", "mo", "ke", "ti", "su", "na", "pe", "do") for c in ("n", "ss", "rt", "lm", "x", "ck", "nd", "w", "bb", "th")]
+    cyrillic = [f"Господин Л{a}{b}н" for a in "аеиоу" for b in ("ра", "мо", "ке", "ти", "су", "на", "пе", "до")]
+    both = ["Mr Tom Hardel", "Ms Ann Hardel", "Mr Tom Oswin"]
+    values = latin + cyrillic + both
+    got = pii.with_surrogates(spark.createDataFrame([(i, f"so {x} said") for i, x in enumerate(values)], "doc_id long, text string")).collect()
+    s = [r.entities[0].surrogate for r in got]
+    assert len(s) == len(values) and len(set(s)) == len(values)
+
+
 def test_toxicity_learns_subwords(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
