@@ -10,7 +10,7 @@ Scale: one pass over the texts; what is shuffled is only the pieces of leftover
 partition, in groups of bounded size. Memory: one document's ids and the open windows.
 
 Ids are those of the byte-level BPE in `tokenizer` (a `tokenizers` JSON file); they are computed by tiktoken from that
-file's vocabulary, whose ids are its merge ranks. Strings of special tokens in a text are ordinary text.
+file's vocabulary, whose ids are its merge ranks. Strings of the file's added tokens in a text are those tokens, as with `tokenizers`.
 
 Defined cases: null and empty texts are one end token; a null doc_id stays null; equal rows are packed each; an empty table
 gives no rows; further columns are ignored. A sequence id tells the partition (or merge group) and a count in it.
@@ -46,9 +46,9 @@ def encoder(tokenizer: str):
         byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
         with open(tokenizer, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", ())}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        _ENCODERS[tokenizer] = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[tokenizer] = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
     return _ENCODERS[tokenizer]
 
 
@@ -128,7 +128,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, windows: int = 32,
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = enc.encode_to_numpy(text.as_py() or "", disallowed_special=())
+                ids = enc.encode_to_numpy(text.as_py() or "", allowed_special="all")
                 for pieces in packer.add(doc, np.append(ids, end).astype("<u4")):
                     rows(pieces, count, False)
                     count += 1

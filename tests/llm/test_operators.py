@@ -224,6 +224,21 @@ def test_packing_tokens_equal_the_tokenizer(spark):
         assert packing.encoder(path).encode_to_numpy(x, disallowed_special=()).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_packing_ids_are_the_tokenizers_by_default(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["<|endoftext|> x", "a<|endoftext|>b", "one <|endoftext|>\n<|endoftext|><|endoftext|>", "<|endoftext", "<|endoftext|>", "it's IT'S  12345 漢字"]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [50256, 2124]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    got = {r.doc_id: (r.start, r.length, r.doc_tokens, r.ids_crc32) for r in rows}
+    for i, x in enumerate(texts):
+        ids = np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4")
+        assert got[i] == (0, len(ids), len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_sharding_laws(spark):
     rows = [(i, f"t{i}", "en", "hot" if i % 3 else f"s{i % 17}", 0) for i in range(997)]
     got = sharding.stratified_shards(odd(spark, rows + ODD), 16).select("doc_id", "source", "shard", "slot").collect()
