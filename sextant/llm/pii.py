@@ -2,7 +2,8 @@
 
 Entities (e-mail addresses, IPv4 addresses, telephone, card and social security numbers, IBANs, secrets after a key word or
 as long hexadecimal strings, and names after a title) are found by one pattern and replaced by keyed surrogates of the same type and
-format. Built-in functions only.
+format. A person who has a title once in a text is found there without it too: the full name, the surname, a given name. Built-in
+functions only.
 
 Characters are replaced within their kind (digit, letter, hexadecimal digit, octet), case and punctuation stay. Each
 is shifted by a keyed hash of those before it, once from either end: for a format this is a permutation, so different
@@ -10,9 +11,10 @@ entities never get one surrogate, and no table is needed. The key of the hash ho
 value (lower-cased, separators aside), so that an entity keeps its surrogate in every document and spelling.
 What gives the type away stays: top-level domain, country prefix, a card's first digit, a valid Luhn digit, an IBAN's country.
 
-A name gets a first name of the same gender (from its title) and script and a surname, from lists, by a keyed hash.
-Names that draw the same string (the surname alone for a name of one word, else the pair) are told apart: the distinct names are
-ranked within it (the collision check), and a rank above 0 adds syllables that spell it. Names travel as a table with a row for each distinct name.
+Names are replaced word by word: a given name gets one of the person's gender (from the title) and script, a surname a surname, from
+lists, by a keyed hash; particles (van, de) stay. Words that draw the same are told apart: the distinct words are ranked within what they
+drew (the collision check), and a rank above 0 adds syllables that spell it. So equal surnames stay equal and others differ, whether alone or
+after a given name, in every text. Names travel as a table with a row for each distinct word and person.
 
 Scale: texts aren't shuffled; e-mails, numbers and secrets need no exchange at all. Only when there are names, their distinct
 values are shuffled, and the texts that have them look their surrogates up (broadcast up to SMALL rows, else a join).
@@ -50,6 +52,16 @@ LAST = {
 }
 SYLLABLES = {"latin": "ba ce di fo gu ha je ki lo mu na pe ri so tu va".split(), "cyrillic": "ба ве ги до ду жа зе ки ло му на пе ри со ту фа".split()}
 
+#: Particles of surnames, directly after a title; MIDDLE also after a given name, where the others may be articles.
+MIDDLE = "van der|van den|van de|von der|van|von|bin|ibn|della|dos"
+PARTICLES = MIDDLE + "|de la|de|del|di|da|du|des|la|le|zu|den|ter|ten"
+#: A word of a name: letters after a capital (McDonald, SMITH), with apostrophes (O'Brien, not Smith's), hyphens between such.
+_LETTERS = r"\p{Lu}\p{M}*(?:['’]\p{L})?[\p{L}\p{M}]+(?:['’]\p{Lu}[\p{L}\p{M}]+)*"
+_WORD = rf"{_LETTERS}(?:-{_LETTERS})*"
+_INITIALS = r"(?:(?:\p{Lu}\.)+ ){0,4}"
+NAME = rf"(?:(?:{PARTICLES}) )?{_INITIALS}{_WORD}(?: {_INITIALS}(?:(?:{MIDDLE}) )?{_WORD}){{0,2}}"
+TITLE = rf"(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.? "
+
 _NUM = r"(?<![\p{L}\p{N}])"
 _END = r"(?![\p{L}\p{N}])"
 PATTERNS = {
@@ -60,20 +72,20 @@ PATTERNS = {
     "card": _NUM + r"\d(?:[ \-]?\d){12,18}" + _END,
     "ssn": _NUM + r"\d{3}-\d{2}-\d{4}" + _END,
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}|\d{3}[.\-]\d{3,4}[.\-]\d{4})" + _END + r"|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}" + _END,
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.? \p{{Lu}}\p{{Ll}}+(?:[ \-]\p{{Lu}}\p{{Ll}}+){{0,2}}",
+    "name": rf"{_NUM}{TITLE}{NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Texts without this hold no entity: a cheap first look.
-HINT = rf"[0-9][.\- ]?[0-9]|@|(?i:token|key|secret|passwd|password|pwd)\s{{0,2}}[=:]|(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.? \p{{Lu}}"
+#: Texts without this hold no entity: a cheap first look. It covers each alternative of ANY.
+HINT = rf"[0-9][.\- ]?[0-9]|@|(?i:token|key|secret|passwd|password|pwd)\s{{0,2}}[=:]|[0-9a-fA-F]{{32}}|{TITLE}(?:\p{{Lu}}|(?:{PARTICLES}) )"
 
 
 def kind(e: Column) -> Column:
     """The type of an entity that ANY has found."""
     digits = F.length(F.regexp_replace(e, r"\D", ""))
     return (
-        F.when(e.contains("@"), "email")
+        F.when(e.rlike(rf"^{TITLE}{NAME}$"), "name")
+        .when(e.contains("@"), "email")
         .when(e.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
-        .when(e.rlike(rf"^(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.? \p{{Lu}}\p{{Ll}}"), "name")
         .when(e.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3}"), "iban")
         .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(e.rlike(r"^[+(]|^\d{3}[.\-]\d{3,4}[.\-]\d{4}$"), "phone")
@@ -194,12 +206,10 @@ def surrogate(e: Column, t: Column, secret: str) -> Column:
     )
 
 
-_TITLE = rf"^(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.? "
-
-
 def person(e: Column) -> Column:
-    """The canonical value of a name: without its title, lower-cased."""
-    return F.lower(F.regexp_replace(e, _TITLE, ""))
+    """The canonical value of a name: without its title, lower-cased, particles marked."""
+    name = F.regexp_replace(F.regexp_replace(e, rf"^{TITLE}", ""), "’", "'")
+    return F.lower(F.regexp_replace(name, rf"(?<!\S)({PARTICLES})(?= )", "·$1"))
 
 
 def _pick(words: str, h: Column) -> Column:
@@ -213,58 +223,87 @@ def _spelt(n: Column, syllables: list[str]) -> Column:
     return F.array_join(F.transform(F.split(F.hex(n.cast("long")), ""), lambda c: F.get(table, F.conv(c, 16, 10).cast("int"))), "")
 
 
-def name_table(docs: DataFrame, secret: str) -> DataFrame:
-    """(person, first, last): a row for each distinct name in docs (text); no two are shown alike."""
-    e = docs.select(F.explode(F.regexp_extract_all("text", F.lit(PATTERNS["name"]), F.lit(0))).alias("e"))
+def words(person: Column) -> Column:
+    """The words of a canonical name, each with its particle."""
+    return F.regexp_extract_all(person, F.lit(rf"(?:·(?:{PARTICLES}) )?\S+"), F.lit(0))
+
+
+def name_table(names: DataFrame, secret: str) -> DataFrame:
+    """(person, mention, rank, surrogate) of names (e, with titles): how each distinct person may be mentioned; less rank first.
+
+    Mentions are the full name (0), the surname (1) and given names (2). No two words of a kind have one surrogate.
+    """
     gender = F.when(F.col("e").rlike(rf"^(?:{TITLES_F})\.? "), "f").when(F.col("e").rlike(rf"^(?:{TITLES_M})\.? "), "m").otherwise("n")
     # A title with a gender outweighs one without; of two, the lesser letter.
-    names = e.groupBy(person(F.col("e")).alias("person")).agg(F.min(gender).alias("gender"))
-    names = names.withColumn("script", F.when(F.col("person").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin"))
-    h = [F.xxhash64(F.lit(secret), F.lit(w), F.col("person")) for w in ("first", "last")]
-    first = last = F.lit(None).cast("string")
-    for (script, g), words in FIRST.items():
-        first = F.when((F.col("script") == script) & (F.col("gender") == g), _pick(words, h[0])).otherwise(first)
-    for script, words in LAST.items():
-        last = F.when(F.col("script") == script, _pick(words, h[1])).otherwise(last)
-    names = names.withColumn("first", first).withColumn("last", last)
-    # The collision check: names are ranked within the string that is emitted (a name of one word has no first name); a surname of
-    # its own for each rank above 0.
-    shown = F.when(F.col("person").contains(" "), F.col("first")).otherwise("")
-    rank = F.row_number().over(Window.partitionBy(shown, "last").orderBy(h[0], "person")) - 1
+    persons = names.groupBy(person(F.col("e")).alias("person")).agg(F.min(gender).alias("gender"))
+    parts = persons.select("person", "gender", F.size(words(F.col("person"))).alias("n"), F.posexplode(words(F.col("person"))).alias("at", "part"))
+    parts = parts.withColumn("particle", F.regexp_extract("part", rf"^·((?:{PARTICLES}) )", 1)).withColumn("word", F.regexp_replace("part", rf"^·(?:{PARTICLES}) ", ""))
+    parts = parts.withColumn("kind", F.when(F.col("at") == F.col("n") - 1, "last").otherwise(F.col("gender")))
+    distinct = parts.select("kind", "word").distinct().withColumn("script", F.when(F.col("word").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin"))
+    h = F.xxhash64(F.lit(secret), F.when(F.col("kind") == "last", "last").otherwise("first"), F.col("word"))
+    drawn = F.lit(None).cast("string")
+    for (script, g), items in (FIRST | {(script, "last"): items for script, items in LAST.items()}).items():
+        drawn = F.when((F.col("script") == script) & (F.col("kind") == g), _pick(items, h)).otherwise(drawn)
+    # The collision check: words that drew the same are ranked (given names of all genders together); one of its own for each rank above 0.
+    rank = F.row_number().over(Window.partitionBy(F.col("kind") == "last", "drawn").orderBy(h, "word", "kind")) - 1
     spelt = F.lit(None).cast("string")
     for script, syllables in SYLLABLES.items():
         spelt = F.when(F.col("script") == script, _spelt(F.col("rank"), syllables)).otherwise(spelt)
-    names = names.withColumn("rank", rank).withColumn("last", F.when(F.col("rank") > 0, F.concat("last", F.lit("-"), F.initcap(spelt))).otherwise(F.col("last")))
-    return names.select("person", "first", "last")
+    distinct = distinct.withColumn("drawn", drawn).withColumn("rank", rank)
+    distinct = distinct.select("kind", "word", F.when(F.col("rank") > 0, F.concat("drawn", F.lit("-"), F.initcap(spelt))).otherwise(F.col("drawn")).alias("new"))
+    parts = parts.join(distinct, ["kind", "word"])
+    full = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.concat("particle", "new").alias("s")))), lambda x: x["s"]), " ")
+    whole = parts.groupBy("person").agg(full.alias("surrogate")).select("person", F.col("person").alias("mention"), F.lit(0).alias("rank"), "surrogate")
+    one = parts.filter(~F.col("word").endswith(".")).select("person", F.col("word").alias("mention"), F.when(F.col("kind") == "last", 1).otherwise(2).alias("rank"), F.col("new").alias("surrogate"))
+    return whole.unionByName(one)
+
+
+def mention_pattern(mentions: Column) -> Column:
+    """ANY, or one of a text's own mentions (canonical values), longer ones first."""
+    longest = F.transform(F.array_sort(F.transform(mentions, lambda m: F.struct((-F.length(m)).alias("n"), m.alias("m")))), lambda x: x["m"])
+
+    def literal(m: Column) -> Column:
+        return F.regexp_replace(F.replace(F.replace(m, F.lit("."), F.lit("[.]")), F.lit("'"), F.lit("['’]")), rf"·({PARTICLES}) ", "(?-i:$1) ")
+
+    start = rf"{ANY}|{_NUM}(?=\p{{Lu}}|(?:{PARTICLES}) )(?iu:"
+    return F.concat(F.lit(start), F.array_join(F.transform(longest, literal), "|"), F.lit(f"){_END}"))
 
 
 def with_surrogates(docs: DataFrame, secret: str = "a key") -> DataFrame:
     """docs with a column text: replaces the entities in it, and adds entities, an array of (type, surrogate) in order."""
     docs = docs.drop(*OUT)
-    names = cut(name_table(docs.filter(F.col("text").rlike(PATTERNS["name"])), secret))
-    n = names.count()
-    named = F.lit(None).cast("map<string,string>")
-    if n:
-        found = docs.filter(F.col("text").rlike(PATTERNS["name"])).select(F.xxhash64("text").alias("_h"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(PATTERNS["name"]), F.lit(0)))).alias("e")).distinct()
-        found = found.withColumn("person", person(F.col("e"))).join(F.broadcast(names) if n <= SMALL else names, "person")
-        title = F.regexp_extract("e", _TITLE, 0)
-        new = F.concat(title, F.when(F.col("person").contains(" "), F.concat("first", F.lit(" "), "last")).otherwise(F.col("last")))
-        found = cut(found.groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("e", new.alias("s")))).alias("_named")))
+    titled = docs.filter(F.col("text").rlike(PATTERNS["name"])).select(F.xxhash64("text").alias("_h"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(PATTERNS["name"]), F.lit(0)))).alias("e"))
+    titled = cut(titled.distinct())
+    named = None
+    if titled.limit(1).count():
+        names = cut(name_table(titled, secret))
+        mine = titled.select("_h", person(F.col("e")).alias("person")).distinct()
+        found = mine.join(F.broadcast(names) if names.count() <= SMALL else names, "person")
+        found = found.groupBy("_h", "mention").agg(F.min_by("surrogate", F.struct("rank", "surrogate")).alias("s"))
+        found = cut(found.groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("mention", "s"))).alias("_named")))
         docs = docs.withColumn("_key", F.xxhash64("text")).join(F.broadcast(found) if found.count() <= SMALL else found, F.col("_key") == F.col("_h"), "left").drop("_key", "_h")
         named = F.col("_named")
+        docs = docs.withColumn("_any", F.when(named.isNotNull(), mention_pattern(F.map_keys(named))))
     looked = F.col("text").rlike(HINT)
     none = F.array().cast("array<struct<type:string,surrogate:string>>")
 
+    def by_pattern(f) -> Column:
+        """f of the pattern that a text is searched with."""
+        return f(F.lit(ANY)) if named is None else F.when(named.isNull(), f(F.lit(ANY))).otherwise(f(F.col("_any")))
+
     def replaced(e: Column) -> Column:
         t = kind(e)
-        s = F.when(t == "name", F.coalesce(F.try_element_at(named, e), e)).otherwise(surrogate(e, t, secret))
-        return F.struct(t.alias("type"), s.alias("surrogate"))
+        if named is None:
+            return F.struct(t.alias("type"), surrogate(e, t, secret).alias("surrogate"))
+        new = F.try_element_at(named, person(e))
+        s = F.when(new.isNotNull(), F.concat(F.regexp_extract(e, rf"^{TITLE}", 0), new)).otherwise(surrogate(e, t, secret))
+        return F.struct(F.when(new.isNotNull(), "name").otherwise(t).alias("type"), s.alias("surrogate"))
 
-    docs = docs.withColumn("_found", F.when(looked, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
+    docs = docs.withColumn("_found", F.when(looked, by_pattern(lambda p: F.regexp_extract_all("text", p, F.lit(0)))))
     docs = docs.withColumn("entities", F.when(F.size("_found") > 0, F.transform("_found", replaced)).otherwise(none))
-    parts = F.split("text", ANY, -1)
+    parts = by_pattern(lambda p: F.split("text", p, -1))
     joined = F.array_join(F.transform(parts, lambda x, i: F.concat(x, F.coalesce(F.get(F.col("entities")["surrogate"], i), F.lit("")))), "")
-    return docs.withColumn("text", F.when(F.size("entities") > 0, joined).otherwise(F.col("text"))).drop("_found", "_named")
+    return docs.withColumn("text", F.when(F.size("entities") > 0, joined).otherwise(F.col("text"))).drop("_found", "_named", "_any")
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -396,6 +396,28 @@ def test_surrogates_of_one_word_stay_distinct(spark):
     assert len(s) == len(values) and len(set(s)) == len(values)
 
 
+def test_surrogates_of_later_mentions(spark):
+    rows = [
+        (1, "Mr John Smith came. Smith said that John Smith's dog, Smith’s own, is SMITH's. The smith and Smithson stay; ask John or Mr Smith."),
+        (2, "Smith wrote: no title here."), (3, "Dr Smith and Mr John Smith again; Ms Robin Hale, Mr Robin Dale; Hale met Dale."),
+        (4, "Mr McDonald, Mr O'Brien and Mr O’Brien-Case; McDonald and O’Brien left. Prof J. R. Tolkien; Tolkien. Herr van Gogh: van Gogh, Gogh."),
+        (5, "abcdefabcdefabcdefabcdefabcdefab only"), (6, "Mail Smith@site.example.org, Mr Smith"),
+    ]
+    got = {r.doc_id: r for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first, last = (w := got[1].text.split())[1], w[2].rstrip(".")
+    assert got[1].text == f"Mr {first} {last} came. {last} said that {first} {last}'s dog, {last}’s own, is {last}'s. The smith and Smithson stay; ask {first} or Mr {last}."
+    assert [x.type for x in got[1].entities] == ["name"] * 7
+    assert got[2].text == rows[1][1] and got[3].text.startswith(f"Dr {last} and Mr {first} {last} again; ")
+    a, b, c, d = (x.surrogate.split()[-1] for x in got[3].entities[2:])
+    assert (a, b) == (c, d) and a != b
+    words = got[4].text.replace(".", " ").replace(":", " ").replace(",", " ").replace(";", " ").split()
+    assert not any(x in got[4].text for x in ("Donald", "Mc", "Brien", "Case", "Tolkien", "Gogh"))
+    s = [x.surrogate for x in got[4].entities]
+    assert len(s) == 10 and s[0] == f"Mr {s[3]}" and s[1] == f"Mr {s[4]}" and s[2] != s[1] and s[5].endswith(s[6]) and s[7] == f"Herr {s[8]}" and words[-1] == s[9] == s[8].split()[1]
+    assert [x.type for x in got[5].entities] == ["secret"] and "abcdefabcdef" not in got[5].text
+    assert [x.type for x in got[6].entities] == ["email", "name"] and "Smith" not in got[6].text
+
+
 def test_toxicity_learns_subwords(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
