@@ -6,31 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 32) -> list[str]:
+def shortest_path(edges: DataFrame, start: str, goal: str) -> list[str]:
     """A shortest path in an undirected graph (src, dst), the least parent first; [] where there is none.
 
-    Breadth first: each level is a join of the frontier with the edges; visited nodes are taken out by an anti-join. Levels are
-    written to the checkpoint folder, so that plans stay short and a lost executor costs one level.
+    Breadth first, until the goal is found or no node is new: each level is a join of the frontier with the edges; visited nodes are
+    taken out by an anti-join. As edges go both ways, those are in the frontier or the level before it. Levels are written to the
+    checkpoint folder, so that plans stay short and a lost executor costs one level.
     """
     from sextant.plans.storage import cut
 
     if start == goal:
         return [start]
-    both = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).distinct()
+    both = cut(edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).distinct())
     spark = edges.sparkSession
-    seen = spark.createDataFrame([(start, None)], "node string, parent string")
-    levels = [seen]
-    for _ in range(most):
+    levels = [spark.createDataFrame([(start, None)], "node string, parent string")]
+    while True:
         nxt = levels[-1].select(F.col("node").alias("src")).join(both, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        nxt = cut(nxt.join(seen.select("node"), "node", "left_anti"))
+        for seen in levels[-2:]:
+            nxt = nxt.join(seen.select("node"), "node", "left_anti")
+        nxt = cut(nxt)
         if nxt.limit(1).count() == 0:
             return []
         levels.append(nxt)
         if nxt.filter(F.col("node") == goal).limit(1).count():
             break
-        seen = seen.unionByName(nxt)
-    else:
-        return []
     path = [goal]
     for level in reversed(levels[1:]):
         path.append(level.filter(F.col("node") == path[-1]).first().parent)

@@ -264,6 +264,14 @@ def test_graph(spark):
     assert {r.node: r.fan_in for r in graph.fan(e, compat=True).collect()}["d"] == 3
 
 
+def test_shortest_path_is_as_long_as_it_must_be(spark):
+    chain = [f"n{k:02d}" for k in range(38)]
+    rows = [*zip(chain, chain[1:], strict=False), ("n00", "loop"), ("loop", "n02"), ("n05", "n05"), ("apart", "away")]
+    e = spark.createDataFrame(rows, "src string, dst string")
+    assert graph.shortest_path(e, "n00", "n37") == ["n00", "loop", *chain[2:]]
+    assert graph.shortest_path(e, "n37", "apart") == []
+
+
 def test_expressions():
     names = {"inc": lambda x: x + 1, "find": lambda r: f"found {r}"}
     assert expr.evaluate("a = [1, 2]  # two\npipe(a, len, inc)", names) == 3
