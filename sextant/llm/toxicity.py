@@ -1,18 +1,23 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word's subwords are its bytes' n-grams (3 to 6, with a border mark on either side) and the whole word, each hashed to
-one of 2 ** BITS embedding rows; a word's vector is the mean of its subwords', a window's (WINDOW words) the mean of
-its words', and a linear softmax over two classes scores it. A text's score is a logistic function of its two highest
-windows, so that a few words aren't lost in a long text; every window of the whole text counts. Rows and softmax are trained together (Adagrad, mini-batches).
-Misspellings that were never seen share most n-grams with the words they come from, and so their vectors.
+one of 2 ** BITS embedding rows. A bag's vector is the mean of its words' (each the mean of its subwords'), and a linear softmax
+over two classes scores it. Bags are the single words and the whole text: a text's score is a logistic function of its averaged
+bag, its two highest words and the logarithm of its length, so that a few words aren't lost in a long text, and a
+long clean text isn't rejected for the one odd word that it must have. Every word of the whole text counts.
+
+Rows and softmax are trained together (Adagrad, mini-batches) on words of the labelled texts, a share of each text's. A toxic
+text is mostly clean words: after WARM epochs only those of its words that the model so far scores highest (TOP of them) stand for its
+label, and half of a clean text's are its highest ones. Misspellings that were never seen share most n-grams with the
+words they come from, and so their vectors.
 
 Since softmax(mean(E[b]) W) depends on a row only by E[b] (W1 - W0), a trained model folds exactly into one number a
 row (2 ** BITS floats, a fixed size), which is what is broadcast for scoring. Scoring is one pass over the
 texts in Arrow batches, without a shuffle; memory is bounded by a chunk of about a megabyte (or one text).
 
-Training takes at most `most_rows` labelled rows, in the order of a hash of doc_id (a documented bound: 6000).
+Training takes at most `most_rows` labelled rows that have a document, in the order of a hash of doc_id (a documented bound: 6000).
 
-Defined cases: null and empty texts score the model's bias alone; rows whose label is null aren't learnt from;
+Defined cases: null and empty texts score as a text without words; rows whose label is null aren't learnt from;
 a doc_id with several labels learns from one row (the larger label); with no label of one class the score is the share of
 label 1 (0.5 without labels); equal texts score alike; an empty table gives no rows.
 """
@@ -31,8 +36,10 @@ from sextant.llm.common import U64, crc_mod, groups, mix, powers, read_table, te
 
 BITS = 18
 NGRAMS = (3, 4, 5, 6)
-#: Tokens of a window, and how many windows of a text of either class an epoch draws.
-WINDOW, PICKS, DECAY = 3, (12, 60), 1e-3
+#: Words of a text that an epoch learns from: at least so many, and this share (clean, toxic texts); epochs that draw them at random.
+LEAST, SHARE, WARM = (12, 60), (0.02, 0.2), 3
+#: The share of a toxic text's words that stand for its label after those epochs, the decay of the rows.
+TOP, DECAY = 0.1, 1e-3
 _BYTES = mix(np.arange(300, 557, dtype=np.uint64))  # 256: a word's border
 _LOW = np.r_[np.arange(65), np.arange(97, 123), np.arange(91, 257)]
 
@@ -73,56 +80,45 @@ def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return starts[first], ends[first], which, at[:-1], np.diff(at)
 
 
-def window_of(n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For texts with n tokens from token `at` on: where windows of WINDOW tokens begin, and each text's first window."""
-    k = -(-n // WINDOW)
-    first = np.r_[0, np.cumsum(k)]
-    start = np.repeat(at, k) + (np.arange(first[-1]) - np.repeat(first[:-1], k)) * WINDOW
-    return start, first
-
-
 @dataclass
 class Model:
-    """weight: what each row adds to a window's logit of class 1 over class 0, bias: the logit of a window without words.
+    """weight: what each row adds to a bag's logit of class 1 over class 0, bias: the logit of a bag without words.
 
-    A text's logit is offset + slope * (its largest window's) + more * (its second largest).
+    A text's logit is offset + slopes * (its highest word's, the second highest's, its averaged bag's, log(1 + words)).
     """
 
     weight: np.ndarray
     bias: float
     offset: float = 0.0
-    slope: float = 1.0
-    more: float = 0.0
+    slopes: tuple[float, ...] = (0.0, 0.0, 1.0, 0.0)
 
     def words(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         rows, k = word_rows(data, s, e)
         return np.add.reduceat(self.weight[rows], np.r_[0, np.cumsum(k)[:-1]]) / k
 
-    def peaks(self, texts: pa.Array) -> np.ndarray:
-        """The logits of the two highest windows of each text (the bias where there is none)."""
+    def signals(self, texts: pa.Array) -> np.ndarray:
+        """Of each text: the logits of its two highest words (the bias where there is none) and of its averaged bag, log(1 + words)."""
         data, offsets = text_bytes(texts)
-        out = np.full((len(offsets) - 1, 2), self.bias)
+        out = np.full((len(offsets) - 1, 4), self.bias)
+        out[:, 3] = 0
         for a, b in groups(offsets):
             part, offs = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             s, e, which, at, n = distinct_words(part, offs)
             if not len(which):
                 continue
-            value = self.words(part, s, e)[which]
-            start, first = window_of(n, at)
-            size = np.diff(np.r_[start, len(value)])
-            w = np.add.reduceat(value, start) / size + self.bias
+            value = self.words(part, s, e)[which] + self.bias
             some = np.flatnonzero(n)
-            doc = np.repeat(np.arange(b - a), np.diff(first))
-            order = np.lexsort((-w, doc))
-            lead = first[:-1][some]
-            out[a + some, 0] = w[order[lead]]
-            two = some[np.diff(first)[some] > 1]
-            out[a + two, 1] = w[order[first[:-1][two] + 1]]
+            lead, doc = at[some], np.repeat(np.arange(len(some)), n[some])
+            out[a + some, 2] = np.add.reduceat(value, lead) / n[some]
+            out[a + some, 3] = np.log1p(n[some])
+            out[a + some, 0] = high = np.maximum.reduceat(value, lead)
+            at_high = np.flatnonzero(value == high[doc])
+            value[at_high[np.unique(doc[at_high], return_index=True)[1]]] = -np.inf  # once
+            out[a + some, 1] = np.where(n[some] > 1, np.maximum.reduceat(value, lead), self.bias)
         return out
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        x = self.peaks(texts)
-        return 1 / (1 + np.exp(-np.clip(self.offset + x @ np.array([self.slope, self.more]), -60, 60)))
+        return 1 / (1 + np.exp(-np.clip(self.offset + self.signals(texts) @ np.array(self.slopes), -60, 60)))
 
 
 def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -136,19 +132,31 @@ def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return out
 
 
-def _picked(bag: tuple[np.ndarray, np.ndarray, np.ndarray], begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, weights and window of the windows of a text that begin at the tokens `begin`."""
+def _picked(bag: tuple[np.ndarray, np.ndarray, np.ndarray], tokens_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, weights and owner (0, 1, ...) of some tokens of a text, each a bag of its own."""
     which, rows, first = bag
-    size = np.minimum(WINDOW, len(which) - begin)
-    win = np.repeat(np.arange(len(begin)), size)
-    w = which[np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(len(win))]
+    w = which[tokens_]
     k = (first[1:] - first[:-1])[w]
     at = np.repeat(first[:-1][w] - np.r_[0, np.cumsum(k)[:-1]], k) + np.arange(k.sum())
-    return rows[at], np.repeat(1.0 / (k * size[win]), k).astype(np.float32), np.repeat(win, k)
+    return rows[at], np.repeat(1.0 / k, k).astype(np.float32), np.repeat(np.arange(len(w)), k)
+
+
+def _drawn(bag: tuple[np.ndarray, np.ndarray, np.ndarray], y: int, weight: np.ndarray | None, rng: np.random.Generator) -> np.ndarray:
+    """The tokens of a text of class y that an epoch learns from; weight: the folded model so far, None in the first epochs."""
+    which, rows, first = bag
+    n = len(which)
+    k = max(LEAST[y], int(n * SHARE[y]))
+    drawn = np.unique(rng.integers(0, n, k))
+    if weight is None:
+        return drawn
+    value = (np.add.reduceat(weight[rows], first[:-1]) / np.diff(first))[which]
+    if y:
+        return np.argsort(-value, kind="stable")[: max(2, int(n * TOP))]
+    return np.unique(np.r_[drawn[: k - k // 2], np.argsort(-value, kind="stable")[: k // 2]])
 
 
 def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 8, rate: float = 0.3, seed: int = 3, share: float = 0.2) -> Model:
-    """Joint training of embedding rows and softmax on a bounded list of texts, window by window; `share` of them only calibrate."""
+    """Joint training of embedding rows and softmax on a bounded list of texts, word by word; `share` of them only calibrate."""
     y = np.asarray(labels, np.int64)
     rng = np.random.default_rng(seed)
     part = rng.random(len(y)) < share
@@ -156,32 +164,27 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 8, r
         part[:] = False
     base = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
     if len(set(y)) < 2:
-        return Model(np.zeros(1 << BITS, np.float32), 0.0, float(np.log(base / (1 - base))), 0.0)
+        return Model(np.zeros(1 << BITS, np.float32), 0.0, float(np.log(base / (1 - base))), (0.0, 0.0, 0.0, 0.0))
     learn = np.flatnonzero(~part)
-    bags = dict(zip(learn, _bags([texts[i] for i in learn]), strict=True))
+    bags = {i: b for i, b in zip(learn, _bags([texts[i] for i in learn]), strict=True) if len(b[0])}
     emb = rng.uniform(-0.02, 0.02, (1 << BITS, dim)).astype(np.float32)
     w, b = rng.normal(0, 0.5, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
     ge, gw, gb = np.full((1 << BITS, 1), 1e-4, np.float32), np.full_like(w, 1e-2), np.full_like(b, 1e-2)
     for epoch in range(epochs):
         lr = rate * (1 - 0.8 * epoch / epochs)
-        order = rng.permutation(learn)
+        order = rng.permutation(np.array(list(bags), np.int64))
+        folded = emb @ (w[:, 1] - w[:, 0]) if epoch >= WARM else None
         for a in range(0, len(order), 32):
-            ids, x, win, lab, seen = [], [], [], [], 0
+            ids, x, bag, lab, seen = [], [], [], [], 0
             for i in order[a : a + 32]:
-                n = len(bags[i][0])
-                if not n:
-                    continue
-                begin = np.unique(rng.integers(0, max(1, n - WINDOW + 1), PICKS[y[i]]))
-                r, v, k = _picked(bags[i], begin)
+                r, v, k = _picked(bags[i], _drawn(bags[i], y[i], folded, rng))
                 ids.append(r)
                 x.append(v)
-                win.append(k + seen)
-                lab.append(np.full(len(begin), y[i]))
-                seen += len(begin)
-            if not seen:
-                continue
-            ids, x, win, lab = map(np.concatenate, (ids, x, win, lab))
-            h = np.add.reduceat(emb[ids] * x[:, None], np.flatnonzero(np.r_[True, win[1:] != win[:-1]]), axis=0)
+                bag.append(k + seen)
+                seen += k[-1] + 1
+                lab.append(np.full(k[-1] + 1, y[i]))
+            ids, x, bag, lab = map(np.concatenate, (ids, x, bag, lab))
+            h = np.add.reduceat(emb[ids] * x[:, None], np.flatnonzero(np.r_[True, bag[1:] != bag[:-1]]), axis=0)
             z = h @ w + b
             z -= z.max(1, keepdims=True)
             p = np.exp(z)
@@ -190,7 +193,7 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 8, r
             dh, dw, db = p @ w.T, h.T @ p, p.sum(0)
             sort = np.argsort(ids, kind="stable")
             rows, first = np.unique(ids[sort], return_index=True)
-            g = np.add.reduceat(dh[win[sort]] * x[sort, None], first, axis=0) + DECAY * emb[rows]
+            g = np.add.reduceat(dh[bag[sort]] * x[sort, None], first, axis=0) + DECAY * emb[rows]
             ge[rows] += (g * g).mean(1, keepdims=True)
             emb[rows] -= lr * g / np.sqrt(ge[rows])
             gw += dw * dw
@@ -199,25 +202,26 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 8, r
             b -= 0.3 * lr * db / np.sqrt(gb)
     model = Model((emb @ (w[:, 1] - w[:, 0])).astype(np.float32), float(b[1] - b[0]))
     held = np.flatnonzero(part) if part.any() else learn
-    x = model.peaks(pa.array([texts[i] for i in held], pa.string()))
-    return calibrate(model, x, y[held])
+    return calibrate(model, model.signals(pa.array([texts[i] for i in held], pa.string())), y[held])
 
 
 def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
-    """Fits the text's logit to the two highest windows by Newton steps with a small ridge."""
+    """Fits the text's logit to its signals by Newton steps with a small ridge."""
     mean, scale = x.mean(0), x.std(0) + 1e-6
     f = np.c_[np.ones(len(y)), (x - mean) / scale]
-    c = np.zeros(3)
-    for _ in range(25):
+    ridge = np.r_[1e-3, np.full(x.shape[1], 0.1)]
+    c = np.zeros(f.shape[1])
+    for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(f @ c, -30, 30)))
-        c -= np.linalg.solve((f.T * (p * (1 - p))) @ f + np.diag([1e-3, 0.1, 0.1]), f.T @ (p - y) + np.array([0, 0.1 * c[1], 0.1 * c[2]]))
-    slope = c[1:] / scale
-    return Model(model.weight, model.bias, float(c[0] - slope @ mean), float(slope[0]), float(slope[1]))
+        c -= np.linalg.solve((f.T * (p * (1 - p))) @ f + np.diag(ridge), f.T @ (p - y) + ridge * c)
+    slopes = c[1:] / scale
+    return Model(model.weight, model.bias, float(c[0] - slopes @ mean), tuple(map(float, slopes)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, **how) -> Model:
     """Learns from at most `most_rows` of the rows of labels (doc_id, toxic) that docs (doc_id, text) have."""
     labels = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labels = labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     some = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)  # bounded, hence broadcast
     ids = [(r.doc_id, int(r.toxic)) for r in some.collect()]
     if not ids:
@@ -230,14 +234,14 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, **how) -> Mod
         if found:
             t = pa.Table.from_batches(found).sort_by("doc_id")
             m = train(t["text"].to_pylist(), t["toxic"].to_numpy(), **how)
-            yield pa.RecordBatch.from_arrays([pa.array([m.weight.tobytes()], pa.binary()), *(pa.array([float(v)], pa.float64()) for v in (m.bias, m.offset, m.slope, m.more))], ["weight", "bias", "offset", "slope", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array([m.weight.tobytes()], pa.binary()), pa.array([m.bias]), pa.array([m.offset]), pa.array([list(m.slopes)], pa.list_(pa.float64()))], ["weight", "bias", "offset", "slopes"])
 
     # One task learns from the bounded sample, not the driver.
-    got = rows.repartition(1).mapInArrow(run, "weight binary, bias double, offset double, slope double, more double").collect()
+    got = rows.repartition(1).mapInArrow(run, "weight binary, bias double, offset double, slopes array<double>").collect()
     if not got:
         return train([], np.zeros(0))
     m = got[0]
-    return Model(np.frombuffer(bytes(m.weight), np.float32), m.bias, m.offset, m.slope, m.more)
+    return Model(np.frombuffer(bytes(m.weight), np.float32), m.bias, m.offset, tuple(m.slopes))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
