@@ -6,6 +6,7 @@ lower-casing and hashing are numpy operations over about a megabyte of text at a
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from collections.abc import Iterator
 
@@ -21,6 +22,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Texts are handled in groups of about this many bytes (a longer text is a group of its own).
 CHUNK = 1 << 20
 
+#: Words of more bytes get a cryptographic hash: polynomials modulo 2 ** 64 collide by construction on some strings of 1024 bytes and more.
+LONG_WORD = 128
+
 U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)
 
@@ -31,11 +35,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder that the cluster names."""
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the session's, else spark.checkpoint.dir; a temporary one only where all tasks run in this process."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="checkpoint"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
 
 
 def n_words(text: Column) -> Column:
@@ -73,14 +85,17 @@ _POWERS: dict[str, np.ndarray] = {"p": np.ones(1, U64), "q": np.ones(1, U64)}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base modulo 2**64, and of its inverse."""
-    if len(_POWERS["p"]) < n:
-        n = max(n, CHUNK + 1)
+    """The first n powers of the base modulo 2**64, and of its inverse. Those for more than four chunks aren't kept."""
+    got = _POWERS
+    if len(got["p"]) < n:
+        got = {}
         for k, a in (("p", _BASE), ("q", _inverse(_BASE))):
-            x = np.full(n, U64(a))
+            x = np.full(max(n, CHUNK + 1), U64(a))
             x[0] = 1
-            _POWERS[k] = np.multiply.accumulate(x)
-    return _POWERS["p"][:n], _POWERS["q"][:n]
+            got[k] = np.multiply.accumulate(x)
+        if n <= 4 * CHUNK:
+            _POWERS.update(got)
+    return got["p"][:n], got["q"][:n]
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,6 +142,9 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     c = np.zeros(n + 1, U64)
     np.cumsum(_LOWER_TABLE[data] * p[:n], out=c[1:])
     h = mix((c[ends] - c[starts]) * q[starts] + (ends - starts).astype(U64))
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        low = _LOWER[data[starts[i] : ends[i]]].astype(np.uint8)
+        h[i] = np.frombuffer(hashlib.blake2b(low, digest_size=8).digest(), U64)[0]
     return starts, ends, h, np.searchsorted(starts, offsets)
 
 
