@@ -1,15 +1,19 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). The class is predicted by a softmax whose weights are hashed: rows
-for the previous word, for the word before it (a skip), for the classes of both (a bigram of classes), and for the classes of
-the words one and three back (a skip bigram). Classes: the end of a text, the most frequent words one by one, the
-heaviest two-byte endings, and hashed groups of the other endings; the class of a word follows from its spelling
-alone. Within a class, add-one counts over all training tokens, one place being for unknown words.
+P(word | history) = P(class | history) * P(group | class, history) * P(word | group). Classes: the end of a text, the most frequent words
+one by one, the heaviest two-byte endings, and hashed shares of the other endings; but for those of one word, a class is dealt into
+GROUPS groups by the word's hash. Both factors are softmaxes over hashed features. Of the class: the previous word, the word before
+it (a skip), the classes of both (a bigram of classes), and the classes of the words one and three back (a skip bigram). Of the group: the class
+with the previous word, and with the word before it. Within a group, add-one counts over all training tokens, one place being
+for unknown words, so that the probabilities of all words and of an unknown one sum to one.
 
-Training: bias terms start at the classes' share of the tokens, then every training text is seen once, in ROUNDS slices.
+The tables of hashed features grow with the corpus: two rows for each distinct training word, up to 2 ** MOST_BITS rows (a model of
+2 ** MOST_BITS * (CLASSES + GROUPS) floats, 42 MB, is what a broadcast bears; beyond it more histories share a row).
+
+Training: bias terms start at the counts' shares, then every training text is seen once, in ROUNDS slices.
 In a round each task starts from the shared weights, makes mini-batch gradient updates over its texts, and hands
-out its weights and token count; they are averaged by blocks on the executors and the model (of a fixed size) goes to the
-next round. A round has TASKS tasks at most.
+out what it changed, by row with how often it met the row. Changes are averaged by these numbers, in blocks on the executors, so that
+a history that few tasks meet isn't thinned out by the others; the model goes to the next round. A round has TASKS tasks at most.
 
 Counts are exact and grow with the corpus: words are counted by 64-bit hash within a task, then by a shuffle. The most
 frequent words, HEAD at most, travel as arrays; the tokens of all others are looked up by a join on the word, with
@@ -35,16 +39,17 @@ from pyspark.sql import functions as F
 from sextant.llm.common import U64, crc_mod, cut, groups, mix, read_table, text_bytes, tokens
 
 HEAD = 1 << 17
-ROWS = 1 << 12
-WORDS, ENDINGS, OTHERS = 15, 24, 8
+LEAST_BITS, MOST_BITS = 12, 17
+WORDS, ENDINGS, OTHERS = 15, 40, 8
 CLASSES = 1 + WORDS + ENDINGS + OTHERS
-ROUNDS, TASKS, BATCH, RATE = 3, 4096, 4096, 0.25
-BLOCK = 4096
+GROUPS = 16
+ROUNDS, TASKS, BATCH, RATE = 3, 4096, 4096, 1.0
+#: Rows of a table that are averaged together.
+BLOCK = 512
 END = U64(0x1234567F00D5EED1)
 _LOW = np.arange(256)
 _LOW[65:91] += 32
-_FEATURES = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
-_SHIFT = U64(64 - 12)
+_FEATURES = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
 def stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,16 +68,18 @@ def stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 @dataclass
 class Model:
-    """What scoring needs; every array has a fixed size."""
+    """What scoring needs; every array has a fixed or bounded size."""
 
     tops: np.ndarray  # hashes of the words that are classes, ascending
     top_class: np.ndarray
     ending_class: np.ndarray  # by ending
     head: np.ndarray  # hashes of the most frequent words, ascending
     head_count: np.ndarray
-    class_log: np.ndarray  # log10 of tokens + words + 1 of each class
-    weights: np.ndarray  # (ROWS, CLASSES)
-    bias: np.ndarray
+    group_log: np.ndarray  # log10 of tokens + words + 1 of each (class, group)
+    by_class: np.ndarray  # (rows, CLASSES)
+    by_group: np.ndarray  # (rows, GROUPS)
+    class_bias: np.ndarray
+    group_bias: np.ndarray  # (CLASSES, GROUPS)
     n: int
     v: int
 
@@ -84,7 +91,7 @@ class Model:
         return c
 
     def features(self, hashes: np.ndarray, cls: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """Weight rows of each token's history; histories don't cross texts."""
+        """Rows of each token's history, four of by_class and two of by_group; histories don't cross texts."""
         n = len(hashes)
         place = np.arange(n) - np.repeat(first[:-1], np.diff(first))
         c = (cls + 1).astype(U64)
@@ -95,32 +102,77 @@ class Model:
             return np.where(place >= k, y, U64(0)) if k < n else np.zeros_like(x)
 
         c1, c2, c3 = back(c, 1), back(c, 2), back(c, 3)
-        raw = (back(hashes, 1), back(hashes, 2), mix(c1 + c2 * U64(1009)), mix(c1 * U64(31) + c3 * U64(7919)))
-        return [(((x + U64(k + 1)) * _FEATURES[k]) >> _SHIFT).astype(np.uint16) for k, x in enumerate(raw)]
-
-    def logits(self, rows: list[np.ndarray]) -> np.ndarray:
-        z = self.weights[rows[0]]
-        for r in rows[1:]:
-            z += self.weights[r]
-        z += self.bias
-        z -= z.max(1, keepdims=True)
-        return z
-
-    def learn(self, rows: list[np.ndarray], cls: np.ndarray, rate: float) -> None:
-        """One gradient step for each mini-batch; steps are normalised by how often the batch has a row."""
+        w1, w2 = back(hashes, 1), back(hashes, 2)
+        raw = (w1, w2, mix(c1 + c2 * U64(1009)), mix(c1 * U64(31) + c3 * U64(7919)), mix(w1 + c * U64(100003)), mix(w2 + c * U64(300007)))
+        shift = U64(64 - (len(self.by_class) - 1).bit_length())
+        return [(((x + U64(k + 1)) * _FEATURES[k]) >> shift).astype(np.int32) for k, x in enumerate(raw)]
+
+    def class_logits(self, rows: list[np.ndarray]) -> np.ndarray:
+        return _logits(self.by_class, rows[:4], self.class_bias)
+
+    def group_logits(self, rows: list[np.ndarray], cls: np.ndarray) -> np.ndarray:
+        return _logits(self.by_group, rows[4:], self.group_bias[cls])
+
+    def log10(self, rows: list[np.ndarray], cls: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Of each token, log10 of the probability of its class and group; classes of one word have no groups."""
+        out = np.empty(len(cls))
+        for a in range(0, len(cls), BATCH):
+            some, c = [r[a : a + BATCH] for r in rows], cls[a : a + BATCH]
+            p = _log_chosen(self.class_logits(some), c)
+            m = np.flatnonzero(c > WORDS)
+            p[m] += _log_chosen(self.group_logits([r[m] for r in some], c[m]), group[a : a + BATCH][m])
+            out[a : a + BATCH] = p
+        return out / np.log(10)
+
+    def learn(self, rows: list[np.ndarray], cls: np.ndarray, group: np.ndarray, rate: float, met: tuple[np.ndarray, np.ndarray]) -> None:
+        """One gradient step for each mini-batch; steps are normalised by how often the batch has a row. met counts rows."""
         for a in range(0, len(cls), BATCH):
-            some, y = [r[a : a + BATCH] for r in rows], cls[a : a + BATCH]
-            p = np.exp(self.logits(some))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            for r in some:
-                order = np.argsort(r, kind="stable")
-                at = r[order]
-                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                count = np.diff(np.r_[first, len(at)]).astype(np.float32)
-                g = np.add.reduceat(p[order], first, axis=0)
-                self.weights[at[first]] -= (rate / np.sqrt(count + 4))[:, None] * g
-            self.bias -= rate / np.sqrt(len(y)) * p.sum(0) * 0.1
+            some, c = [r[a : a + BATCH] for r in rows], cls[a : a + BATCH]
+            p = _errors(self.class_logits(some), c)
+            for r in some[:4]:
+                _step(self.by_class, r, p, rate, met[0])
+            self.class_bias -= rate / np.sqrt(len(c)) * p.sum(0) * 0.1
+            m = np.flatnonzero(c > WORDS)
+            if len(m):
+                some = [r[m] for r in some]
+                p = _errors(self.group_logits(some, c[m]), group[a : a + BATCH][m])
+                for r in some[4:]:
+                    _step(self.by_group, r, p, rate, met[1])
+
+
+def _logits(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+    z = table[rows[0]]
+    for r in rows[1:]:
+        z += table[r]
+    z += bias
+    z -= z.max(1, keepdims=True)
+    return z
+
+
+def _log_chosen(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    return z[np.arange(len(z)), chosen] - np.log(np.exp(z).sum(1))
+
+
+def _errors(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    p = np.exp(z)
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(len(p)), chosen] -= 1
+    return p
+
+
+def _step(table: np.ndarray, rows: np.ndarray, errors: np.ndarray, rate: float, met: np.ndarray) -> None:
+    order = np.argsort(rows, kind="stable")
+    at = rows[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    count = np.diff(np.r_[first, len(at)]).astype(np.float32)
+    g = np.add.reduceat(errors[order], first, axis=0)
+    table[at[first]] -= (rate / np.sqrt(count + 4))[:, None] * g
+    met[at[first]] += count
+
+
+def groups_of(hashes: np.ndarray) -> np.ndarray:
+    """The group of a word in its class: from its hash alone."""
+    return (mix(hashes ^ U64(0x5DEECE66D)) % U64(GROUPS)).astype(np.int64)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
@@ -168,8 +220,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def start(counts: DataFrame) -> Model:
-    """Classes and counts, before training. Collected: HEAD words at most, a row for each two-byte ending (65,537 at most), and
-    a row for each step of a scale of counts (exact up to 4096, then by 1/256 of a power of e: under 16,000)."""
+    """Classes and counts, before training. Collected: HEAD words at most, a row for each two-byte ending (65,537 at most), a row for
+    each class and group, and one for each step of a scale of counts (exact up to 4096, then by 1/256 of a power of e: under 16,000)."""
     by_ending = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas().sort_values("ending")
     step = F.when(F.col("n") <= 4096, F.col("n")).otherwise(4096 - 2129 + F.floor(F.log("n") * 256))
     scale = counts.groupBy(step.alias("s")).agg(F.min("n").alias("least"), F.count("*").alias("k")).toPandas().sort_values("s", ascending=False)
@@ -179,62 +231,103 @@ def start(counts: DataFrame) -> Model:
     words = head[head["ending"] >= 0].head(WORDS)
     n, v = by_ending["n"].to_numpy(np.int64, copy=True), by_ending["v"].to_numpy(np.int64, copy=True)
     ending = by_ending["ending"].to_numpy(np.int64)
+    total, kinds = int(n.sum()), int(v.sum())
     for e, k in zip(words["ending"], words["n"], strict=True):  # words that are classes leave their ending's class
-        at = np.searchsorted(ending, e)
-        n[at] -= k
-        v[at] -= 1
+        n[np.searchsorted(ending, e)] -= k
     order = [i for i in np.lexsort((ending, -n)) if ending[i] >= 0]
     ending_class = 1 + WORDS + ENDINGS + (mix(np.arange(65536, dtype=U64)) % U64(OTHERS)).astype(np.int64)
     for rank, i in enumerate(order[:ENDINGS]):
         ending_class[ending[i]] = 1 + WORDS + rank
-    size, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for e, k, w in zip(ending, n, v, strict=True):
-        c = 0 if e < 0 else ending_class[e]
-        size[c] += k
-        kinds[c] += w
-    for rank, k in enumerate(words["n"]):
-        size[1 + rank], kinds[1 + rank] = k, 1
     tops = words["word"].to_numpy(np.int64).view(U64)
     sort = np.argsort(tops)
     h = head["word"].to_numpy(np.int64).view(U64)
     by_hash = np.argsort(h)
-    share = (size + 1) / (size.sum() + CLASSES)
-    return Model(
-        tops[sort], 1 + sort, ending_class, h[by_hash], head["n"].to_numpy(np.int64)[by_hash],
-        np.log10(size + kinds + 1), np.zeros((ROWS, CLASSES), np.float32), np.log(share).astype(np.float32), int(by_ending["n"].sum()), int(by_ending["v"].sum()),
+    bits = min(MOST_BITS, max(LEAST_BITS, (2 * kinds - 1).bit_length()))
+    model = Model(
+        tops[sort], 1 + sort, ending_class, h[by_hash], head["n"].to_numpy(np.int64)[by_hash], np.zeros((CLASSES, GROUPS)),
+        np.zeros((1 << bits, CLASSES), np.float32), np.zeros((1 << bits, GROUPS), np.float32), np.zeros(CLASSES, np.float32), np.zeros((CLASSES, GROUPS), np.float32), total, kinds,
     )
+    size, different = group_sizes(counts, model)
+    model.group_log = np.log10(size + different + 1)
+    model.class_bias = np.log((size.sum(1) + 1) / (total + CLASSES)).astype(np.float32)
+    model.group_bias = np.log((size + 1) / (size.sum(1, keepdims=True) + GROUPS)).astype(np.float32)
+    return model
+
+
+def group_sizes(counts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct words of each class and group; classes of one word have one group, the first."""
+    shared = counts.sparkSession.sparkContext.broadcast((model.tops, model.top_class, model.ending_class))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops, top_class, ending_class = shared.value
+        m = Model(tops, top_class, ending_class, *[np.zeros(0)] * 7, 0, 0)
+        size, kinds = np.zeros(CLASSES * GROUPS, np.int64), np.zeros(CLASSES * GROUPS, np.int64)
+        for b in batches:
+            h, e, n = (b.column(k).to_numpy() for k in range(3))
+            cls = m.classes(h.view(U64), e)
+            at = cls * GROUPS + np.where(cls > WORDS, groups_of(h.view(U64)), 0)
+            np.add.at(size, at, n)
+            kinds += np.bincount(at, minlength=len(kinds))
+        some = np.flatnonzero(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(size[some]), pa.array(kinds[some])], ["at", "n", "v"])
+
+    got = counts.select("word", "ending", "n").mapInArrow(run, "at long, n long, v long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+    size, kinds = np.zeros(CLASSES * GROUPS), np.zeros(CLASSES * GROUPS)
+    for r in got:
+        size[r["at"]], kinds[r["at"]] = r["n"], r["v"]
+    return size.reshape(CLASSES, GROUPS), kinds.reshape(CLASSES, GROUPS)
 
 
 def one_round(docs: DataFrame, model: Model, rate: float) -> Model:
-    """Local gradient updates in every task, then the mean of the tasks' weights by tokens, block by block."""
+    """Local gradient updates in every task, then the mean of the tasks' changes, row by row by how often each met the row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        m = Model(**{**vars(m), "weights": m.weights.copy(), "bias": m.bias.copy()})
+        old = shared.value
+        m = Model(**{**vars(old), "by_class": old.by_class.copy(), "by_group": old.by_group.copy(), "class_bias": old.class_bias.copy()})
+        met = np.zeros(len(m.by_class), np.float32), np.zeros(len(m.by_group), np.float32)
         n = 0
         for _, _, _, data, offsets in _chunks(batches, 0):
             h, e, first = stream(data, offsets)
             cls = m.classes(h, e)
-            m.learn(m.features(h, cls, first), cls, rate)
+            m.learn(m.features(h, cls, first), cls, groups_of(h), rate, met)
             n += len(h)
-        if n:
-            flat = np.concatenate([m.weights.ravel(), m.bias])
-            parts = [flat[a : a + BLOCK].tobytes() for a in range(0, len(flat), BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["block", "n", "weights"])
+        if not n:
+            return
+        names = ["block", "rows", "met", "change"]
+        bias = (m.class_bias - old.class_bias).astype(np.float16)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (np.zeros(1, np.uint16), np.array([n], np.float32), bias))], names)
+        for t, (new, start_) in enumerate(((m.by_class, old.by_class), (m.by_group, old.by_group))):
+            out: list[list] = [[], [], [], []]
+            rows = np.flatnonzero(met[t])
+            edges = np.searchsorted(rows, np.arange(0, len(new) + 1, BLOCK))
+            for k in np.flatnonzero(np.diff(edges)):
+                at = rows[edges[k] : edges[k + 1]]
+                for column, x in zip(out, (t * (1 << 32) + k, (at - k * BLOCK).astype(np.uint16).tobytes(), met[t][at].tobytes(), (new[at] - start_[at]).astype(np.float16).tobytes()), strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], names)
 
     def mean(rows: pd.DataFrame) -> pd.DataFrame:
-        total, n = np.zeros(len(rows["weights"].iloc[0]) // 4), rows["n"].sum()
-        for k, x in zip(rows["n"], rows["weights"], strict=True):
-            total += np.frombuffer(x, np.float32) * (k / n)
-        return pd.DataFrame({"block": rows["block"].iloc[:1], "weights": [total.astype(np.float32).tobytes()]})
+        width = len(rows["change"].iloc[0]) // 2 // (len(rows["rows"].iloc[0]) // 2)
+        total, weight = np.zeros((BLOCK, width)), np.zeros(BLOCK)
+        for r, w, x in zip(rows["rows"], rows["met"], rows["change"], strict=True):
+            at, w = np.frombuffer(r, np.uint16), np.frombuffer(w, np.float32)
+            total[at] += np.frombuffer(x, np.float16).reshape(-1, width) * w[:, None]
+            weight[at] += w
+        at = np.flatnonzero(weight)
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "rows": [at.astype(np.uint16).tobytes()], "change": [(total[at] / weight[at, None]).astype(np.float16).tobytes()]})
 
     some = docs.select("text").coalesce(TASKS)
-    got = some.mapInArrow(run, "block int, n long, weights binary").groupBy("block").applyInPandas(mean, "block int, weights binary").toPandas().sort_values("block")
-    if not len(got):
-        return model
-    flat = np.frombuffer(b"".join(got["weights"]), np.float32)
-    return Model(**{**vars(model), "weights": flat[:-CLASSES].reshape(ROWS, CLASSES).copy(), "bias": flat[-CLASSES:].copy()})
+    got = some.mapInArrow(run, "block long, rows binary, met binary, change binary").groupBy("block").applyInPandas(mean, "block long, rows binary, change binary").toPandas()
+    out = Model(**{**vars(model), "by_class": model.by_class.copy(), "by_group": model.by_group.copy(), "class_bias": model.class_bias.copy()})
+    for block, rows, change in zip(got["block"], got["rows"], got["change"], strict=True):
+        at, x = np.frombuffer(rows, np.uint16), np.frombuffer(change, np.float16)
+        if block < 0:
+            out.class_bias += x
+        else:
+            table, k = (out.by_class, out.by_group)[block >> 32], block & 0xFFFFFFFF
+            table[k * BLOCK + at.astype(np.int64)] += x.reshape(len(at), -1)
+    return out
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
@@ -258,17 +351,13 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         for b, x, y, data, offsets in _chunks(batches, 1):
             h, e, first = stream(data, offsets)
             cls = m.classes(h, e)
-            rows = m.features(h, cls, first)
-            logp = np.empty(len(h))
-            for a in range(0, len(h), BATCH):
-                z = m.logits([r[a : a + BATCH] for r in rows])
-                c = cls[a : a + BATCH]
-                logp[a : a + BATCH] = (z[np.arange(len(c)), c] - np.log(np.exp(z).sum(1))) / np.log(10)
+            group = np.where(cls > WORDS, groups_of(h), 0)
+            logp = m.log10(m.features(h, cls, first), cls, group)
             at = np.minimum(np.searchsorted(m.head, h), max(len(m.head) - 1, 0))
             known = m.head[at] == h if len(m.head) else np.zeros(len(h), bool)
             up = np.where(known, np.log10(m.head_count[at] + 1.0) if len(m.head) else 0.0, 0.0)
             base = up - floor
-            own = up - m.class_log[cls] + logp
+            own = up - m.group_log[cls, group] + logp
             n, doc = y - x, np.repeat(np.arange(y - x), np.diff(first))
             ids = row + np.arange(n)
             row += n
