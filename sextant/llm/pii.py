@@ -1,23 +1,29 @@
 """PII (native): surrogate generation.
 
-Entities (e-mail addresses, IPv4 addresses, telephone, card and social security numbers, IBANs, secrets after a key word or
-as long hexadecimal strings, and names after a title) are found by one pattern and replaced by keyed surrogates of the same type and
+Entities (e-mail addresses, IPv4 and IPv6 addresses, telephone, card and social security numbers, IBANs, secrets after a key word, with a
+known prefix or as long hexadecimal strings, and names after a title) are found by one pattern and replaced by keyed surrogates of the same type and
 format. A person who has a title once in a text is found there without it too: the full name, the surname, a given name. Built-in
 functions only.
 
 Characters are replaced within their kind (digit, letter, hexadecimal digit, octet), case and punctuation stay. Each
 is shifted by a keyed hash of those before it, once from either end: for a format this is a permutation, so different
-entities never get one surrogate, and no table is needed. The key of the hash holds the type, and what is permuted is the canonical
-value (lower-cased, separators aside), so that an entity keeps its surrogate in every document and spelling.
-What gives the type away stays: top-level domain, country prefix, a card's first digit, a valid Luhn digit, an IBAN's country.
+entities never get one surrogate, and no table is needed (a surrogate may by chance be a value that stands elsewhere, which then has another
+surrogate itself). The key of the hash holds the type, and what is permuted is the canonical
+value (lower-cased, separators aside), so that an entity keeps its surrogate in every document and spelling. An e-mail address with letters
+beyond ASCII is permuted as the hexadecimal digits of its bytes.
+What gives the type away stays: top-level domain, country prefix, a card's first digit, a valid Luhn digit, an IBAN's country, a secret's prefix.
+
+The key is a parameter: `key_of` reads it from the session (spark.sextant.pii.key); unset, each run draws one that nobody knows, so that
+nothing can be undone and runs don't agree.
 
 Names are replaced word by word: a given name gets one of the person's gender (from the title) and script, a surname a surname, from
-lists, by a keyed hash; particles (van, de) stay. Words that draw the same are told apart: the distinct words are ranked within what they
-drew (the collision check), and a rank above 0 adds syllables that spell it. So equal surnames stay equal and others differ, whether alone or
+lists, by a keyed hash (scripts without a list get Latin ones); particles (van, de) stay. Words that draw the same are told apart: the distinct
+words are ranked within what they drew (the collision check), and a rank above 0 adds syllables that spell it; a listed name that is some
+real person's too has no rank 0. So equal surnames stay equal and others differ, whether alone or
 after a given name, in every text. Names travel as a table with a row for each distinct word and person.
 
 Scale: texts aren't shuffled; e-mails, numbers and secrets need no exchange at all. Only when there are names, their distinct
-values are shuffled, and the texts that have them look their surrogates up (broadcast up to SMALL rows, else a join).
+values are shuffled (ranks are counted in SPREAD ranges of a hash, so that no drawn name is one task's), and the texts that have them look their surrogates up (broadcast up to SMALL rows, else a join).
 
 Defined cases: a null text stays null and has no entities; an empty text stays empty; null doc_id and repeated rows pass as
 they are; equal entities get equal surrogates everywhere; an empty table gives no rows; further columns pass through,
@@ -26,6 +32,8 @@ columns named like `OUT` are replaced.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +41,13 @@ from sextant.llm.common import cut, read_table
 
 OUT = ("entities",)
 SMALL = 50_000
+#: Ranges of a hash in which the words that drew the same name are ranked.
+SPREAD = 64
+KEY = "spark.sextant.pii.key"
 
 # Titles by gender, and the surrogate lists by script and gender.
-TITLES_F = "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Mlle|Госпожа|Г-жа"
-TITLES_M = "Mr|Herr|Señor|Sr|Monsieur|M|Господин|Г-н"
+TITLES_F = "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Mlle|Госпожа|Г-жа|Κυρία|Κα"
+TITLES_M = "Mr|Herr|Señor|Sr|Monsieur|M|Господин|Г-н|Κύριος|Κος"
 TITLES_N = "Dr|Prof"
 FIRST = {
     ("latin", "f"): "Alma Berta Carla Dora Edith Flora Greta Hanna Irma Julia Klara Lena Maria Nora Olga Paula Rosa Sara Thea Vera",
@@ -45,12 +56,18 @@ FIRST = {
     ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Зоя Ирина Лидия Мария Нина Ольга Полина Раиса София Татьяна",
     ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Леонид Максим Никита Олег Павел Роман Сергей",
     ("cyrillic", "n"): "Саша Женя Валя Слава Паша",
+    ("greek", "f"): "Άννα Ελένη Ιωάννα Κατερίνα Μαρία Νίκη Σοφία Φωτεινή",
+    ("greek", "m"): "Αλέξης Βασίλης Γιάννης Δημήτρης Κώστας Νίκος Πέτρος Στέλιος",
+    ("greek", "n"): "Φώτη Χάρη Άρη Σταύρη",
 }
 LAST = {
     "latin": "Abel Brandt Castell Dorn Ebert Falk Garner Hollis Ibarra Jansen Keller Lindt Moreau Norden Orlow Prado Quist Roth Sander Tellier Urban Vidal Weston Ximenes Yates Zeller",
     "cyrillic": "Белов Волков Громов Данилов Ершов Жуков Зимин Козлов Лебедев Морозов Новиков Орлов Павлов Соколов Титов",
+    "greek": "Αγγέλου Βλάχος Γεωργίου Δήμου Ζέρβας Κόλλιας Λάμπρου Μακρής Νικολάου Παππάς Ρήγας Σταθόπουλος",
 }
-SYLLABLES = {"latin": "ba ce di fo gu ha je ki lo mu na pe ri so tu va".split(), "cyrillic": "ба ве ги до ду жа зе ки ло му на пе ри со ту фа".split()}
+#: Scripts that have lists of their own, and how their words are told.
+SCRIPTS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}
+SYLLABLES = {"latin": "ba ce di fo gu ha je ki lo mu na pe ri so tu va".split(), "cyrillic": "ба ве ги до ду жа зе ки ло му на пе ри со ту фа".split(), "greek": "βα γε δι ζο θυ κα λε μι νο ξυ πα ρε σι το φυ χα".split()}
 
 #: Particles of surnames, directly after a title; MIDDLE also after a given name, where the others may be articles.
 MIDDLE = "van der|van den|van de|von der|van|von|bin|ibn|della|dos"
@@ -65,9 +82,10 @@ TITLE = rf"(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.? "
 _NUM = r"(?<![\p{L}\p{N}])"
 _END = r"(?![\p{L}\p{N}])"
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": r"[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
+    "ipv6": r"(?<![\p{L}\p{N}:])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:(?:[0-9a-fA-F]{1,4}:){2,6}|fe80:):(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,4})?)(?![\p{L}\p{N}:])",
     "ip": _NUM + r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)" + _END,
-    "secret": r"(?i:(?<=(?:token|key|secret|passwd|password|pwd)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_\-+/=]{8,})|" + _NUM + r"[0-9a-fA-F]{32,}" + _END,
+    "secret": r"(?i:(?<=(?:token|key|secret|passwd|password|pwd)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_\-+/=]{8,})|" + _NUM + r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[baprs]-[A-Za-z0-9\-]{10,}|sk-[A-Za-z0-9_\-]{20,}|[0-9a-fA-F]{32,})" + _END,
     "iban": _NUM + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _END,
     "card": _NUM + r"\d(?:[ \-]?\d){12,18}" + _END,
     "ssn": _NUM + r"\d{3}-\d{2}-\d{4}" + _END,
@@ -76,7 +94,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Texts without this hold no entity: a cheap first look. It covers each alternative of ANY.
-HINT = rf"[0-9][.\- ]?[0-9]|@|(?i:token|key|secret|passwd|password|pwd)\s{{0,2}}[=:]|[0-9a-fA-F]{{32}}|{TITLE}(?:\p{{Lu}}|(?:{PARTICLES}) )"
+HINT = rf"[0-9][.\- ]?[0-9]|@|[0-9a-fA-F]:[0-9a-fA-F:]|AKIA|ASIA|gh[pousr]_|xox[baprs]-|sk-[A-Za-z0-9_\-]{{20}}|(?i:token|key|secret|passwd|password|pwd)\s{{0,2}}[=:]|[0-9a-fA-F]{{32}}|{TITLE}(?:\p{{Lu}}|(?:{PARTICLES}) )"
 
 
 def kind(e: Column) -> Column:
@@ -86,6 +104,7 @@ def kind(e: Column) -> Column:
         F.when(e.rlike(rf"^{TITLE}{NAME}$"), "name")
         .when(e.contains("@"), "email")
         .when(e.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
+        .when(e.rlike(r"^[0-9a-fA-F:]*:[0-9a-fA-F:]*$"), "ipv6")
         .when(e.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3}"), "iban")
         .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(e.rlike(r"^[+(]|^\d{3}[.\-]\d{3,4}[.\-]\d{4}$"), "phone")
@@ -185,14 +204,21 @@ def _ip(e: Column, key: Column) -> Column:
 
 def _email(e: Column, key: Column) -> Column:
     local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
-    tld = F.length(F.substring_index(domain, ".", -1))
+    name, top = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), F.substring_index(domain, ".", -1)
     zero = F.lit(0)
-    return F.concat(_mid(local, F.xxhash64(key, F.lit("local")), zero, zero, F.lit(26)), F.lit("@"), _mid(domain, F.xxhash64(key, F.lit("domain")), zero, tld, F.lit(26)))
+
+    def part(x: Column, k: str) -> Column:
+        own = F.xxhash64(key, F.lit(k))
+        coded = F.concat(F.lit("x"), permuted(F.lower(F.hex(F.encode(F.lower(x), "UTF-8"))), F.xxhash64(own, F.lit("bytes")), F.lit(6)))
+        return F.when(x.rlike(r"[^\x00-\x7F]"), coded).otherwise(_mid(x, own, zero, zero, F.lit(26)))
+
+    return F.concat(part(local, "local"), F.lit("@"), part(name, "domain"), F.lit("."), top)
 
 
 def surrogate(e: Column, t: Column, secret: str) -> Column:
     """The surrogate of an entity of type t, names aside."""
     key = F.xxhash64(F.lit(secret), t)
+    mark = F.length(plain(F.regexp_extract(e, r"^(AKIA|ASIA|gh[pousr]_|xox[baprs]-|sk-)", 1)))
     zero, hexes = F.lit(0), F.when(plain(e).rlike("^[0-9a-f]*$"), 6).otherwise(26)
     country = F.length(F.regexp_replace(F.regexp_extract(e, r"^\+(\d{1,3})(?=[ .\-(])", 1), r"\D", ""))
     return (
@@ -202,7 +228,7 @@ def surrogate(e: Column, t: Column, secret: str) -> Column:
         .when(t == "iban", _mid(e, key, F.lit(2), zero, F.lit(26)))
         .when(t == "phone", _mid(e, key, country, zero, F.lit(26)))
         .when(t == "ssn", _mid(e, key, zero, zero, F.lit(26)))
-        .otherwise(_mid(e, key, zero, zero, hexes))
+        .otherwise(_mid(e, key, mark, zero, hexes))
     )
 
 
@@ -239,17 +265,27 @@ def name_table(names: DataFrame, secret: str) -> DataFrame:
     parts = persons.select("person", "gender", F.size(words(F.col("person"))).alias("n"), F.posexplode(words(F.col("person"))).alias("at", "part"))
     parts = parts.withColumn("particle", F.regexp_extract("part", rf"^·((?:{PARTICLES}) )", 1)).withColumn("word", F.regexp_replace("part", rf"^·(?:{PARTICLES}) ", ""))
     parts = parts.withColumn("kind", F.when(F.col("at") == F.col("n") - 1, "last").otherwise(F.col("gender")))
-    distinct = parts.select("kind", "word").distinct().withColumn("script", F.when(F.col("word").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin"))
+    script = F.lit("latin")
+    for name, pattern in SCRIPTS.items():
+        script = F.when(F.col("word").rlike(pattern), name).otherwise(script)
+    distinct = parts.select("kind", "word").distinct().withColumn("script", script)
     h = F.xxhash64(F.lit(secret), F.when(F.col("kind") == "last", "last").otherwise("first"), F.col("word"))
     drawn = F.lit(None).cast("string")
     for (script, g), items in (FIRST | {(script, "last"): items for script, items in LAST.items()}).items():
         drawn = F.when((F.col("script") == script) & (F.col("kind") == g), _pick(items, h)).otherwise(drawn)
-    # The collision check: words that drew the same are ranked (given names of all genders together); one of its own for each rank above 0.
-    rank = F.row_number().over(Window.partitionBy(F.col("kind") == "last", "drawn").orderBy(h, "word", "kind")) - 1
+    # The collision check: words that drew the same are ranked (given names of all genders together), one of its own for each rank above 0.
+    distinct = cut(distinct.withColumns({"drawn": drawn, "last": F.col("kind") == "last", "range": F.pmod(F.shiftright(h, 8), F.lit(SPREAD)).cast("int")}))
+    sizes = distinct.groupBy("last", "drawn", "range").agg(F.count("*").alias("n"))  # SPREAD rows for each listed name at most
+    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("last", "drawn").orderBy("range")) - F.col("n")).drop("n")
+    real = distinct.select("last", F.col("word").alias("_real")).distinct()
+    taken = before.select("last", "drawn").distinct().join(real.withColumnRenamed("last", "_l"), (F.col("last") == F.col("_l")) & (F.lower("drawn") == F.col("_real")), "left_semi").withColumn("taken", F.lit(1))
+    before = before.join(taken, ["last", "drawn"], "left").fillna(0, ["taken"])
+    distinct = distinct.join(F.broadcast(before), ["last", "drawn", "range"])  # bounded by the lists
+    rank = F.row_number().over(Window.partitionBy("last", "drawn", "range").orderBy(h, "word", "kind")) - 1 + F.col("before") + F.col("taken")
+    distinct = distinct.withColumn("rank", rank)
     spelt = F.lit(None).cast("string")
     for script, syllables in SYLLABLES.items():
         spelt = F.when(F.col("script") == script, _spelt(F.col("rank"), syllables)).otherwise(spelt)
-    distinct = distinct.withColumn("drawn", drawn).withColumn("rank", rank)
     distinct = distinct.select("kind", "word", F.when(F.col("rank") > 0, F.concat("drawn", F.lit("-"), F.initcap(spelt))).otherwise(F.col("drawn")).alias("new"))
     parts = parts.join(distinct, ["kind", "word"])
     full = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.concat("particle", "new").alias("s")))), lambda x: x["s"]), " ")
@@ -269,8 +305,13 @@ def mention_pattern(mentions: Column) -> Column:
     return F.concat(F.lit(start), F.array_join(F.transform(longest, literal), "|"), F.lit(f"){_END}"))
 
 
-def with_surrogates(docs: DataFrame, secret: str = "a key") -> DataFrame:
-    """docs with a column text: replaces the entities in it, and adds entities, an array of (type, surrogate) in order."""
+def key_of(spark: SparkSession) -> str:
+    """The session's key; where there is none, one that is drawn for this run and told to nobody."""
+    return spark.conf.get(KEY, None) or secrets.token_hex(16)
+
+
+def with_surrogates(docs: DataFrame, secret: str) -> DataFrame:
+    """docs with a column text: replaces the entities in it, and adds entities, an array of (type, surrogate) in order. secret: the key."""
     docs = docs.drop(*OUT)
     titled = docs.filter(F.col("text").rlike(PATTERNS["name"])).select(F.xxhash64("text").alias("_h"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(PATTERNS["name"]), F.lit(0)))).alias("e"))
     titled = cut(titled.distinct())
@@ -307,5 +348,5 @@ def with_surrogates(docs: DataFrame, secret: str = "a key") -> DataFrame:
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = with_surrogates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = with_surrogates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark))
     return out.select("doc_id", "text", F.size("entities").alias("n_entities"), F.array_join(F.col("entities")["type"], " ").alias("types"))
