@@ -3,7 +3,8 @@
 A document is its set of distinct hashed shingles; Jaccard distance d = 1 - J is a metric, and documents link when
 J >= p / q, that is d <= r. Equal sets are one node from the start, so copies cost nothing.
 
-1. Coarse regions. Sets of sizes a <= b that link differ in at most D elements, D known from a. Cut by hash into
+1. Coarse regions. Pivots alone can't part unrelated texts, all of which are at distance about 1 of each other and of any pivot, so that
+   every window holds them all. Hence: sets of sizes a <= b that link differ in at most D elements, D known from a. Cut by hash into
    D + 1 + s parts, they share at least s + 1 whole parts; nodes of a size class that share a non-empty part fall into one
    bucket. (A set with more than s empty parts is cut again by another hash, up to LEVELS times; where all cuts leave
    too many, empty parts count as shared too. Two linked sets thus always meet.) Frequent shingles, as a bounded sample
@@ -12,21 +13,24 @@ J >= p / q, that is d <= r. Equal sets are one node from the start, so copies co
 2. In a region, pivots create Voronoi cells: each node's distance to the pivots is computed, nodes within r of a
    pivot link to it. If x and y link and y lies within r of its pivot, then x lies within 2 r of it: only those boundary nodes
    are compared with the cell's members, and only members whose distances to every pivot are within r of theirs.
-3. Regions of more than LIMIT nodes are first thinned in parallel. Their pivots are some nodes and a virtual one, the set of what
-   most of the region's sets have: two sets within r / 2 of it are within r of each other, and so one group. Nodes of that
-   group stay only if they lie in every pivot's window about the nodes outside it; the rest is dealt to the pivots' cells,
-   boundary nodes (within 2 r of the nearest) to each, where that parts the region. What is still too large is compared in
-   parallel, with all nodes outside the group as pivots, in batches.
+3. Regions of more than LIMIT nodes or LIMIT_BYTES are joined recursively, in parallel. Their pivots are some nodes and a virtual
+   one, the set of what most of the region's sets have: two sets within r / 2 of it are within r of each other, and so one group, which nodes
+   linked to a pivot of the group enter too. Nodes of that group stay only if they lie in every pivot's window about the nodes outside
+   it; the rest is dealt to the pivots' cells, boundary nodes (within 2 r of the nearest) to each, where that parts the
+   region; cells are regions of the next round. Where no pivot parts a region, its nodes outside the group are compared with all its
+   nodes, in blocks of BLOCK_BYTES on either side: the group's own pairs never are.
 
 Links found connect the nodes; components come from `graph.components`.
 
 Scale: three passes over the texts; what is shuffled are part hashes (about (1 - p / q) / (p / q) * 2 a shingle), narrow
-rows for each document, and the sets of nodes in regions. Frequent shingles (a bounded array) and the pivots of large regions
-(batches of bounded size) are broadcast.
+rows for each document, and the sets of nodes in regions. A task hands out a part that many of its nodes share once, so that a part
+shared by a third of all nodes is a row for each task. Regions are dealt in shards of bounded bytes, each with a copy of the pivots; no set
+is ever on the driver. Frequent shingles (a bounded array) are broadcast, and tables of ids up to SMALL rows.
 
 Defined cases: null, empty and white-space texts have no set and link with nothing, their component is their own; with
-fewer words than a shingle's, the whole sequence is one; rows without doc_id are not linked (component null); repeated rows are
-copies of each other; an empty table gives no rows; further columns are ignored.
+fewer words than a shingle's, the whole sequence is one; rows without doc_id link like others, though their id is nobody's component
+(null where no row of the component has one); repeated rows are copies of each other; an empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -37,20 +41,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sextant.llm.common import U64, cut, groups, mix, read_table, shingle_set, text_bytes, tokens
+from sextant.llm.common import U64, WORD, cut, groups, mix, read_table, shingle_set, text_bytes, tokens
 from sextant.llm.graph import components
 
 LEVELS = 4
-LIMIT = 2000
-PIVOTS = 8
+#: Nodes and bytes up to which a region is one task's, the pivots of larger ones, and how often cells are parted again.
+LIMIT, LIMIT_BYTES, PIVOTS, ROUNDS = 2000, 16 << 20, 8, 12
 #: Documents from whose shingles frequent ones are told, the share that makes one frequent, and the most of them.
 SAMPLE, OFTEN, FREQUENT = 20_000, 1 / 400, 1 << 16
-#: Rows up to which ids are broadcast (16 bytes each), and bytes of pivots a batch.
-SMALL, BATCH_BYTES = 500_000, 32 << 20
+#: Rows up to which ids are broadcast (16 bytes each), and bytes of sets in a shard or block.
+SMALL, BLOCK_BYTES = 500_000, 16 << 20
+#: Part hashes that a task holds before it hands them out.
+HELD = 1_000_000
 
 
 def max_difference(a: int, p: int, q: int) -> int:
@@ -160,13 +166,26 @@ def _without(s: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def part_hashes(docs: DataFrame, k: int, p: int, q: int, common: np.ndarray) -> DataFrame:
-    """docs (text) -> (sig, node)."""
+    """docs (text) -> (sig, node). Of the nodes that share a part within HELD rows, one stands for the part; each other one has a row in
+    common with it under a key of the two, once for all parts that they share."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
+    def combined(sigs: list[np.ndarray], own: list[np.ndarray]) -> pa.RecordBatch:
+        sig, node = np.concatenate(sigs), np.concatenate(own)
+        order = np.argsort(sig, kind="stable")
+        sig, node = sig[order], node[order]
+        new = np.r_[True, sig[1:] != sig[:-1]]
+        head = node[np.flatnonzero(new)][np.cumsum(new) - 1]
+        other = np.flatnonzero(head != node)
+        pairs = np.unique(np.stack([head[other], node[other]]), axis=1)
+        key = mix(mix(pairs[0].view(U64)) ^ pairs[1].view(U64)).view(np.int64)
+        rows = [np.concatenate(x) for x in ((sig[new].view(np.int64), key, key), (node[new], pairs[0], pairs[1]))]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["sig", "node"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme, f = Scheme(p, q), shared.value
+        sigs, own, size, seen = [], [], 0, set()
         for b in batches:
-            sigs, own, size, seen = [], [], 0, set()
             for s in sets_of(b.column(0), k):
                 if not len(s) or (node := node_of(s)) in seen:
                     continue
@@ -175,17 +194,17 @@ def part_hashes(docs: DataFrame, k: int, p: int, q: int, common: np.ndarray) ->
                 sigs.append(x)
                 own.append(np.full(len(x), node, np.int64))
                 size += len(x)
-                if size > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(own))], ["sig", "node"])
-                    sigs, own, size = [], [], 0
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(own))], ["sig", "node"])
+                if size > HELD:
+                    yield combined(sigs, own)
+                    sigs, own, size, seen = [], [], 0, set()
+        if size:
+            yield combined(sigs, own)
 
     return docs.select("text").mapInArrow(run, "sig long, node long")
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """wanted (doc_id, node, region), a document for each node -> (region, node, set): the set's hashes as bytes."""
+    """wanted (doc_id, text_hash, node, region), a row for each node -> (region, node, set): the set's hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,8 +216,13 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             some = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(2).take(some), b.column(1).take(some), pa.array(sets, pa.binary())], ["region", "node", "set"])
 
-    wanted = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "node", "region")
+    docs = docs.select("doc_id", "text")
+    named = wanted.filter("doc_id is not null").drop("text_hash")
+    rows = docs.join(F.broadcast(named) if named.count() <= SMALL else named, "doc_id").select("text", "node", "region")
+    other = wanted.filter("doc_id is null").drop("doc_id")  # nodes of rows without doc_id only
+    if n := other.count():
+        lone = docs.filter("doc_id is null").withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["text_hash"])
+        rows = rows.union(lone.join(F.broadcast(other) if n <= SMALL else other, "text_hash").select("text", "node", "region"))
     return rows.mapInArrow(run, "region long, node long, set binary")
 
 
@@ -231,16 +255,58 @@ class Union:
         return a != b
 
 
-def all_one(u: Union, n: int) -> bool:
-    return len({u.find(x) for x in range(n)}) == 1
+class Overlaps:
+    """Sets of a region as what they differ in from `core`, what most of them have: intersections cost the differences only."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets)
+        self.core = majority(flat, len(sets))
+        rest = flat
+        own = np.repeat(np.arange(len(sets)), self.size)
+        self.missing = np.zeros(len(sets), np.int64)
+        if len(self.core):
+            at = np.minimum(np.searchsorted(self.core, flat), len(self.core) - 1)
+            inside = self.core[at] == flat
+            rest, extra_of = flat[~inside], own[~inside]
+            # What each set lacks of the core, by a table of the core's places, a bounded number of sets at a time.
+            lacks, lacks_of = [], []
+            step = max(1, (1 << 24) // len(self.core))
+            for a in range(0, len(sets), step):
+                n = min(step, len(sets) - a)
+                has = np.zeros((n, len(self.core)), bool)
+                some = inside & (own >= a) & (own < a + n)
+                has[own[some] - a, at[some]] = True
+                i, j = np.nonzero(~has)
+                lacks.append(self.core[j])
+                lacks_of.append(i + a)
+            lacks, lacks_of = np.concatenate(lacks), np.concatenate(lacks_of)
+            self.missing = np.bincount(lacks_of, minlength=len(sets))
+            rest, own = np.concatenate([rest, lacks]), np.concatenate([extra_of, lacks_of])
+            order = np.argsort(own, kind="stable")
+            rest, own = rest[order], own[order]
+        values, self.flat = np.unique(rest, return_inverse=True)
+        self.mark = np.zeros(len(values), bool)
+        self.first = np.r_[0, np.cumsum(np.bincount(own, minlength=len(sets)))]
+
+    def of(self, i: int) -> np.ndarray:
+        """How many elements each set shares with set i."""
+        mine = self.flat[self.first[i] : self.first[i + 1]]
+        self.mark[mine] = True
+        same = np.diff(np.r_[0, np.cumsum(self.mark[self.flat])][self.first])
+        self.mark[mine] = False
+        return same + len(self.core) - self.missing - self.missing[i]
+
+    def pair(self, i: int, j: int) -> int:
+        a, b = (self.flat[self.first[x] : self.first[x + 1]] for x in (i, j))
+        return len(np.intersect1d(a, b, assume_unique=True)) + len(self.core) - int(self.missing[i]) - int(self.missing[j])
 
 
 def region_links(sets: list[np.ndarray], p: int, q: int) -> list[tuple[int, int]]:
     """Links that connect all linked sets of a region, by index."""
     n = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets)
-    first = np.r_[0, np.cumsum(size)]
+    o = Overlaps(sets)
+    size = o.size
     u, links = Union(n), []
     free = np.ones(n, bool)
     owner = np.full(n, -1)
@@ -251,20 +317,18 @@ def region_links(sets: list[np.ndarray], p: int, q: int) -> list[tuple[int, int]
         if u.join(a, b):
             links.append((a, b))
 
-    if n > 8:  # a virtual pivot: two sets within r / 2 of it are within r of each other
-        core = majority(flat, n)
-        if len(core):
-            both = shared_counts(core, flat, first)
-            ball = np.flatnonzero(2 * q * both >= (p + q) * (size + len(core) - both))
-            for j in ball[1:]:
-                link(int(ball[0]), int(j))
+    if n > 8 and len(o.core):  # a virtual pivot: two sets within r / 2 of it are within r of each other
+        both = len(o.core) - o.missing
+        ball = np.flatnonzero(2 * q * both >= (p + q) * (size + len(o.core) - both))
+        for j in ball[1:]:
+            link(int(ball[0]), int(j))
 
     for i in range(n):
         if not free[i]:
             continue
-        if all_one(u, n):
+        if len(links) == n - 1:
             return links
-        both = shared_counts(sets[i], flat, first)
+        both = o.of(i)
         whole = size + size[i] - both
         linked = q * both >= p * whole
         for j in np.flatnonzero(linked & (np.arange(n) != i)):
@@ -291,7 +355,7 @@ def region_links(sets: list[np.ndarray], p: int, q: int) -> list[tuple[int, int]
             for d in windows:  # triangle inequality with the other pivots
                 some = some[np.abs(d[some] - d[x]) <= r]
             for y in some:
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                both = o.pair(int(x), int(y))
                 if q * both >= p * (size[x] + size[y] - both):
                     link(int(x), int(y))
                     break
@@ -309,85 +373,102 @@ def _links_of_region(p: int, q: int):
     return run
 
 
-def _batches(big: DataFrame, few: DataFrame) -> Iterator[tuple[list[int], dict[int, list]]]:
-    """few (region, node, set) in batches of BATCH_BYTES and a set at most, as arrays by region."""
-    held: dict[int, list] = {}
-    room = BATCH_BYTES
-    for x in few.orderBy("region", "node").toLocalIterator():
-        if len(x.set) > room and held:
-            yield [*held], held
-            held, room = {}, BATCH_BYTES
-        held.setdefault(x.region, []).append((x.node, np.frombuffer(bytes(x.set), U64)))
-        room -= len(x.set)
-    if held:
-        yield [*held], held
+def _hinted(df: DataFrame, n: int) -> DataFrame:
+    """A table of regions, a row for each, with a hint where there are few."""
+    return F.broadcast(df) if n <= SMALL else df
+
 
+def _shard(shards: str) -> Column:
+    return F.pmod(F.xxhash64("node"), F.col(shards)).cast("int")
 
-def _thinned(big: DataFrame, p: int, q: int, salt: int) -> tuple[DataFrame, DataFrame]:
-    """One parallel round over large regions: links to pivots, and what remains of each region (region, node, set, out).
 
-    Pivots are the set of what most of the region's sets have (a virtual one) and PIVOTS nodes. Nodes within r / 2 of the
-    virtual pivot link with each other, and are the main group; `out` marks the nodes outside it.
+def _pivots(big: DataFrame, sizes: DataFrame, n: int, salt: int) -> DataFrame:
+    """(region, k, set, id) of large regions: k = 0 the virtual pivot, the set of what most sets have; then PIVOTS nodes at most."""
+    core = _counted(big).join(_hinted(sizes, n), "region").filter(F.col("c") * 2 > F.col("n")).groupBy("region").agg(F.array_sort(F.collect_list("h")).alias("hs"))
+    h = F.xxhash64("node", F.lit(salt))
+    chosen = big.groupBy("region", F.pmod(h, F.lit(PIVOTS)).alias("k")).agg(F.min(F.struct(h.alias("h"), "node"))["node"].alias("node"))  # aggregated before the shuffle
+    chosen = cut(chosen)
+    chosen = big.join(F.broadcast(chosen) if chosen.count() <= SMALL else chosen, ["region", "node"]).select("region", (F.col("k") + 1).cast("int").alias("k"), "set", F.col("node").alias("id"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.sort(np.array(x, np.int64).view(U64)).tobytes() for x in b.column(1).to_pylist()]
+            zeros = np.zeros(b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(zeros.astype(np.int32)), pa.array(sets, pa.binary()), pa.array(zeros.astype(np.int64))], ["region", "k", "set", "id"])
+
+    return cut(chosen.union(core.mapInArrow(packed, "region long, k int, set binary, id long")))
+
+
+def _measured(p: int, q: int):
+    """Of a shard: each node's distances to the pivots, the pivots that it links with, and whether it is of the main group."""
+
+    def run(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, U64) for x in rows["set"]]
+        if not sets:
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("region", "node", "set", "distance", "linked", "inner")})
+        size = np.array([len(s) for s in sets], np.int64)
+        flat, first = np.concatenate(sets), np.r_[0, np.cumsum(size)]
+        distance = np.full((len(sets), PIVOTS + 1), np.nan)
+        linked = np.zeros((len(sets), PIVOTS + 1), bool)
+        inner = np.zeros(len(sets), bool)
+        pivots = [(int(k), np.frombuffer(x, U64), int(i)) for k, x, i in zip(pivots["k"], pivots["pivot"], pivots["id"], strict=True)]
+        core = next((t for k, t, _ in pivots if k == 0), None)
+        ids = np.zeros(PIVOTS + 1, np.int64)
+        for k, t, i in sorted(pivots, key=lambda x: x[0]):
+            both = shared_counts(t, flat, first) if len(t) else np.zeros(len(sets), np.int64)
+            whole = size + len(t) - both
+            distance[:, k] = 1 - both / whole
+            ids[k] = i
+            if k == 0:
+                inner = 2 * q * both >= (p + q) * whole
+            else:
+                linked[:, k] = q * both >= p * whole
+                if core is not None:  # linked with a node of the group: of the group
+                    c = int(shared_counts(core, t, np.array([0, len(t)]))[0])
+                    if 2 * q * c >= (p + q) * (len(t) + len(core) - c):
+                        inner = inner | linked[:, k]
+        return pd.DataFrame({
+            "region": rows["region"].to_numpy(), "node": rows["node"].to_numpy(), "set": rows["set"].to_numpy(),
+            "distance": pd.Series(list(np.where(np.isnan(distance), 9.0, distance)), dtype=object), "linked": pd.Series([ids[x] for x in linked], dtype=object), "inner": inner,
+        })
+
+    return run
+
+
+def _round(big: DataFrame, sizes: DataFrame, n: int, p: int, q: int, salt: int) -> tuple[DataFrame, DataFrame]:
+    """One parallel round over large regions: links to pivots, and what remains of each (region, node, set, out, parted).
+
+    `out` marks the nodes outside the region's main group; parted: the rows are of cells, regions of their own.
     """
     r = (q - p) / q
-    n = big.groupBy("region").agg(F.count("*").alias("n"))
-    core = _counted(big).join(F.broadcast(n) if n.count() <= SMALL else n, "region").filter(F.col("c") * 2 > F.col("n")).groupBy("region").agg(F.array_sort(F.collect_list("h")).alias("hs"))
-    by = Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(salt)), "node")
-    chosen = big.select("region", "node").withColumn("_k", F.row_number().over(by)).filter(F.col("_k") <= PIVOTS).drop("_k")
-    pivots = cut(big.join(F.broadcast(chosen) if chosen.count() <= SMALL else chosen, ["region", "node"]))
-    cores = {}
-    out = None
-    for x in cut(core).toLocalIterator():  # a set for each large region
-        cores[x.region] = np.sort(np.array(x.hs, np.int64).view(U64))
-    for regions, held in _batches(big, pivots):
-        shared = big.sparkSession.sparkContext.broadcast((held, {k: cores[k] for k in regions if k in cores}))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            held, cores = shared.value
-            for b in batches:
-                linked, distance, inner = [], [], []
-                for region, x in zip(b.column(0).to_pylist(), b.column(2), strict=True):
-                    s = np.frombuffer(x.as_py(), U64)
-                    to, dist, ball = [], [], False
-                    for other, t in [(None, cores.get(region)), *held[region]]:
-                        if t is None:
-                            continue
-                        both = int(shared_counts(t, s, np.array([0, len(s)]))[0]) if len(t) else 0
-                        whole = len(s) + len(t) - both
-                        dist.append(1 - both / whole)
-                        if other is None:
-                            ball = 2 * q * both >= (p + q) * whole
-                        elif q * both >= p * whole:
-                            to.append(other)
-                    linked.append(to)
-                    distance.append(dist)
-                    inner.append(ball)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(linked, pa.list_(pa.int64())), pa.array(distance, pa.list_(pa.float64())), pa.array(inner, pa.bool_())], ["region", "node", "set", "linked", "distance", "inner"])
-
-        d = big.filter(F.col("region").isin(regions)).mapInArrow(run, "region long, node long, set binary, linked array<long>, distance array<double>, inner boolean")
-        out = d if out is None else out.union(d)
-    d = cut(out)
-    found = d.select(F.col("node").alias("a"), F.explode("linked").alias("b"))
-    heads = d.filter("inner").groupBy(F.col("region").alias("_h")).agg(F.min("node").alias("b"))
-    heads = F.broadcast(heads) if n.count() <= SMALL else heads
-    found = found.union(d.filter("inner").join(heads, F.col("region") == F.col("_h")).select(F.col("node").alias("a"), "b"))
+    on = _hinted(sizes.select("region", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("shards")), n)
+    pivots = _pivots(big, sizes, n, salt)
+    left = big.join(on, "region").withColumn("shard", _shard("shards")).drop("shards")
+    right = pivots.join(on, "region").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
+    schema = "region long, node long, set binary, distance array<double>, linked array<long>, inner boolean"
+    right = right.select(F.col("region").alias("of"), F.col("shard").alias("part"), "k", "id", F.col("set").alias("pivot"))
+    d = cut(left.groupBy("region", "shard").cogroup(right.groupBy("of", "part")).applyInPandas(_measured(p, q), schema))
+    found = d.select(F.col("node").alias("a"), F.explode("linked").alias("b")).filter("a <> b")
+    heads = d.filter("inner").groupBy("region").agg(F.min("node").alias("b"))
+    found = found.union(d.filter("inner").select("region", F.col("node").alias("a")).join(_hinted(heads, n), "region").select("a", "b"))
     # Nodes of the main group stay only if they lie in every pivot's window about the nodes outside it.
     most = PIVOTS + 1
-    bounds = d.filter("not inner").groupBy(F.col("region").alias("_o")).agg(*[f(F.get("distance", F.lit(j))).alias(f"_{w}{j}") for j in range(most) for w, f in (("lo", F.min), ("hi", F.max))])
-    d = d.join(F.broadcast(bounds) if n.count() <= SMALL else bounds, F.col("region") == F.col("_o"))  # regions without an outsider are done
+    bounds = d.filter("not inner").groupBy("region").agg(*[f(F.get("distance", F.lit(j))).alias(f"_{w}{j}") for j in range(most) for w, f in (("lo", F.min), ("hi", F.max))])
+    d = d.join(_hinted(bounds, n), "region")  # regions without a node outside are done
     inside = F.lit(True)
     for j in range(most):
-        x = F.get("distance", F.lit(j))
-        inside &= x.isNull() | x.between(F.col(f"_lo{j}") - r - 1e-9, F.col(f"_hi{j}") + r + 1e-9)
+        inside &= F.get("distance", F.lit(j)).between(F.col(f"_lo{j}") - r - 1e-9, F.col(f"_hi{j}") + r + 1e-9)
     d = d.filter(~F.col("inner") | inside)
     # Voronoi cells, with boundary nodes (within 2 r of the nearest pivot) in each: where they part the region.
     cell = F.filter(F.transform("distance", lambda x, i: F.when(x <= F.array_min("distance") + 2 * r + 1e-9, i)), lambda i: i.isNotNull())
-    d = cut(d.withColumn("_cells", cell))
-    size = d.groupBy(F.col("region").alias("_r")).agg((F.sum(F.size("_cells")) <= 1.5 * F.count("*")).alias("_parts"))
-    d = d.join(F.broadcast(size) if n.count() <= SMALL else size, F.col("region") == F.col("_r"))
-    d = d.select("region", "node", "set", (~F.col("inner")).alias("out"), F.explode(F.when(F.col("_parts"), F.col("_cells")).otherwise(F.array(F.lit(-1)))).alias("_cell"))
-    region = F.when(F.col("_cell") < 0, F.col("region")).otherwise(F.xxhash64("region", "_cell", F.lit(salt)))
-    return found, cut(d.select(region.alias("region"), "node", "set", "out"))
+    d = cut(d.select("region", "node", "set", (~F.col("inner")).alias("out"), cell.alias("cells")))
+    per = d.select("region", F.explode("cells").alias("cell")).groupBy("region", "cell").agg(F.count("*").alias("m"))
+    part = per.groupBy("region").agg(F.sum("m").alias("copies"), F.max("m").alias("most")).join(d.groupBy("region").agg(F.count("*").alias("all")), "region")
+    part = part.select("region", ((F.col("copies") <= 1.5 * F.col("all")) & (F.col("most") <= 0.8 * F.col("all"))).alias("parted"))
+    d = d.join(_hinted(part, n), "region")
+    d = d.select("region", "node", "set", "out", "parted", F.explode(F.when(F.col("parted"), F.col("cells")).otherwise(F.array(F.lit(-1)))).alias("cell"))
+    region = F.when(F.col("parted"), F.xxhash64("region", "cell", F.lit(salt))).otherwise(F.col("region"))
+    return found, cut(d.select(region.alias("region"), "node", "set", "out", "parted"))
 
 
 def _counted(big: DataFrame) -> DataFrame:
@@ -406,102 +487,118 @@ def _counted(big: DataFrame) -> DataFrame:
 
 
 def _compared(big: DataFrame, p: int, q: int) -> DataFrame:
-    """Links of large regions that the windows leave: every node outside the main group is a pivot, in batches, for all nodes.
+    """Links of large regions that no pivot parts: the nodes outside the main group against all nodes, in blocks of bounded bytes.
 
-    A task hands out links that connect, not all that it finds: each outsider links once with the main group.
+    A block hands out links that connect, not all that it finds: the main group is one.
     """
-    found = None
-    for regions, held in _batches(big, big.filter("out").select("region", "node", "set")):
-        ready = {}
-        for region, items in held.items():
-            flat = np.concatenate([s for _, s in items])
-            own = np.repeat(np.arange(len(items)), [len(s) for _, s in items])
+    nbytes = F.sum(F.octet_length("set"))
+    sizes = big.groupBy("region").agg(F.ceil(nbytes / BLOCK_BYTES).cast("int").alias("shards"), F.ceil(F.coalesce(F.sum(F.when(F.col("out"), F.octet_length("set"))), F.lit(0)) / BLOCK_BYTES).cast("int").alias("blocks"))
+    sizes = cut(sizes.filter("blocks > 0"))
+    on = _hinted(sizes, sizes.count())
+    left = big.join(on, "region").withColumns({"shard": _shard("shards"), "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))}).drop("shards", "blocks")
+    right = big.filter("out").select("region", "node", "set").join(on, "region").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    right = right.select(F.col("region").alias("of"), F.col("block").alias("of_block"), "part", F.col("node").alias("id"), F.col("set").alias("other"))
+
+    def run(rows: pd.DataFrame, outside: pd.DataFrame) -> pd.DataFrame:
+        links: list[tuple[int, int]] = []
+        if len(rows) and len(outside):
+            ids, sets = outside["id"].to_numpy(), [np.frombuffer(x, U64) for x in outside["other"]]
+            size = np.array([len(s) for s in sets], np.int64)
+            flat, own = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), size)
             order = np.argsort(flat, kind="stable")
-            ready[region] = (np.array([x for x, _ in items], np.int64), np.array([len(s) for _, s in items]), flat[order], own[order].astype(np.int32))
-        shared = big.sparkSession.sparkContext.broadcast(ready)
+            flat, own = flat[order], own[order]
+            up: dict[int, int] = {}
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            unions: dict[int, dict] = {}
-
-            def find(up: dict, x: int) -> int:
+            def find(x: int) -> int:
                 while up.setdefault(x, x) != x:
                     up[x] = up[up[x]]
                     x = up[x]
                 return x
 
-            for b in batches:
-                links = [[], []]
-                for region, node, x, out in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
-                    ids, size, flat, own = shared.value[region]
-                    s = np.frombuffer(x.as_py(), U64)
-                    lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
-                    k = hi - lo
-                    at = np.repeat(lo - np.r_[0, np.cumsum(k)[:-1]], k) + np.arange(k.sum())
-                    both = np.bincount(own[at], minlength=len(ids))
-                    up = unions.setdefault(region, {})
-                    me = node if out else 0  # the main group is one
-                    for j in np.flatnonzero(q * both >= p * (size + len(s) - both)):
-                        a, c = find(up, me), find(up, int(ids[j]))
-                        if a != c:
-                            up[a] = c
-                            links[0].append(node)
-                            links[1].append(int(ids[j]))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["a", "b"])
-
-        part = big.filter(F.col("region").isin(regions)).select("region", "node", "set", "out").mapInArrow(run, "a long, b long")
-        found = part if found is None else found.union(part)
-    return found
+            main = next((int(x) for x, o in zip(rows["node"], rows["out"], strict=True) if not o), None)
+            for node, x, o in zip(rows["node"], rows["set"], rows["out"], strict=True):
+                s = np.frombuffer(x, U64)
+                lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+                k = hi - lo
+                at = np.repeat(lo - np.r_[0, np.cumsum(k)[:-1]], k) + np.arange(k.sum())
+                both = np.bincount(own[at], minlength=len(ids))
+                me = int(node) if o else main
+                for j in np.flatnonzero(q * both >= p * (size + len(s) - both)):
+                    a, c = find(me), find(int(ids[j]))
+                    if a != c:
+                        up[a] = c
+                        links.append((int(node), int(ids[j])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return left.groupBy("region", "block", "shard").cogroup(right.groupBy("of", "of_block", "part")).applyInPandas(run, "a long, b long")
 
 
 def links(docs: DataFrame, table: DataFrame, k: int, p: int, q: int) -> DataFrame:
     """(a, b): links between nodes that connect all linked nodes. table: as nodes() makes it, read more than once."""
-    w = Window.partitionBy("sig")
+    w = Window.partitionBy("sig")  # a row for each HELD rows of a task that share the part
     met = part_hashes(docs, k, p, q, frequent(docs, k)).withColumns({"lo": F.min("node").over(w), "hi": F.max("node").over(w)})
     regions = components(met.filter("lo <> hi").select(F.col("node").alias("a"), F.col("lo").alias("b")))
     regions = cut(regions.withColumnRenamed("root", "region"))
-    reps = table.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = cut(fetch_sets(docs, cut(reps.join(regions, "node").select("doc_id", "node", "region")), k))
-    size = sets.groupBy(F.col("region").alias("_r")).agg(F.count("*").alias("_n"))
-    large = cut(size.filter(F.col("_n") > LIMIT).select("_r"))
-    n = large.count()
-    if not n:
-        return cut(sets.groupBy("region").applyInPandas(_links_of_region(p, q), "a long, b long"))
-    hint = F.broadcast(large) if n <= SMALL else large
-    on = F.col("region") == F.col("_r")
-    found, rest = _thinned(cut(sets.join(hint, on, "left_semi")), p, q, 1)
-    size = rest.groupBy(F.col("region").alias("_r")).agg(F.count("*").alias("_n"))
-    still = cut(size.filter(F.col("_n") > LIMIT).select("_r"))
-    again = F.broadcast(still) if still.count() <= SMALL else still
-    small = sets.join(hint, on, "left_anti").union(rest.join(again, on, "left_anti").drop("out"))
-    out = found.union(small.groupBy("region").applyInPandas(_links_of_region(p, q), "a long, b long"))
-    more = _compared(rest.join(again, on, "left_semi"), p, q) if still.count() else None
-    return cut(out if more is None else out.union(more))
+    reps = table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"))
+    work = cut(fetch_sets(docs, cut(reps.join(regions, "node").select("doc_id", "text_hash", "node", "region")), k))
+    found, blocks = [], []
+    for salt in range(ROUNDS + 1):
+        sizes = work.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.octet_length("set")).alias("bytes"))
+        sizes = cut(sizes.filter((F.col("n") > LIMIT) | (F.col("bytes") > LIMIT_BYTES)))
+        n = sizes.count()
+        here = work.join(_hinted(sizes.select("region"), n), "region", "left_anti") if n else work
+        found.append(here.select("region", "node", "set").groupBy("region").applyInPandas(_links_of_region(p, q), "a long, b long"))
+        if not n:
+            break
+        big = cut(work.join(_hinted(sizes.select("region"), n), "region", "left_semi"))
+        if salt == ROUNDS:
+            blocks.append(big.withColumn("out", F.lit(True)).select("region", "node", "set", "out"))
+            break
+        more, rest = _round(big.select("region", "node", "set"), sizes, n, p, q, salt)
+        found.append(more)
+        blocks.append(rest.filter("not parted").drop("parted"))
+        work = rest.filter("parted").select("region", "node", "set")
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    for x in blocks:
+        out = out.union(_compared(x, p, q))
+    return cut(out)
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, n_shingles, component_id, text_hash): components of documents linked at J >= p / q."""
+    """docs (doc_id, text) -> (doc_id, n_shingles, component_id, text_hash, root): components of documents linked at J >= p / q.
+
+    root: a key of the component, null for documents without a set."""
     docs = docs.select("doc_id", "text")
     table = cut(nodes(docs, k))
     roots = components(links(docs, table, k, p, q))
     reps = table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("_least"))
     reps = reps.join(roots.withColumnRenamed("node", "_m"), F.col("node") == F.col("_m"), "left").withColumn("root", F.coalesce("root", "node"))
     groups_ = reps.groupBy(F.col("root").alias("_root")).agg(F.min("_least").alias("_id"))
-    ids = cut(reps.join(groups_, F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), "_id"))
+    ids = cut(reps.join(groups_, F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), "_id", "root"))
     out = table.join(F.broadcast(ids) if ids.count() <= SMALL else ids, F.col("node") == F.col("_node"), "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), "text_hash")
+    return out.select("doc_id", "n_shingles", F.coalesce("_id", "doc_id").alias("component_id"), "text_hash", "root")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
-    """docs with one document of each component, that with the least doc_id; all columns stay. Rows without doc_id stay."""
+    """docs with one document of each component, that with the least doc_id; all columns stay. Rows without doc_id go where a row with
+    one is of their component; else one of theirs stays. Documents without words stay."""
     found = cut(jaccard_join(docs, k, p, q))
-    gone = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct())
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
+    lone = cut(found.filter("doc_id is null and root is not null").select("root", "text_hash", "component_id").distinct())
+    if lone.limit(1).count():
+        stay = lone.filter("component_id is null").groupBy("root").agg(F.min("text_hash").alias("_s"))
+        over = lone.join(stay, "root", "left").filter("component_id is not null or text_hash <> _s")
+        gone = gone.union(over.select(F.lit(None).cast("long"), "text_hash"))
+    gone = cut(gone)
     gone = F.broadcast(gone) if gone.count() <= SMALL else gone
-    kept = docs.withColumn("_h", F.xxhash64("text")).join(gone, (F.col("doc_id") == F.col("_d")) & (F.col("_h") == F.col("_t")), "left_anti")
-    again = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    kept = docs.withColumn("_h", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left_anti")
+    again = found.filter("root is not null and (doc_id = component_id or doc_id is null)").groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count()
     if again:  # rows that repeat a kept document, doc_id and all
-        numbered = kept.filter("doc_id is not null").dropDuplicates(["doc_id", "_h"])
-        kept = numbered.unionByName(kept.filter("doc_id is null"))
+        words = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(WORD))
+        kept = kept.filter(words).dropDuplicates(["doc_id", "_h"]).unionByName(kept.filter(~words))
     return kept.drop("_h")
 
 
