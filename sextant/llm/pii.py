@@ -13,8 +13,8 @@ value (lower-cased, separators aside), so that an entity keeps its surrogate in
 beyond ASCII is permuted as the hexadecimal digits of its bytes.
 What gives the type away stays: top-level domain, country prefix, a card's first digit, a valid Luhn digit, an IBAN's country, a secret's prefix.
 
-The key is a parameter: `key_of` reads it from the session (spark.sextant.pii.key); unset, each run draws one that nobody knows, so that
-nothing can be undone and runs don't agree.
+The key is a parameter: `key_of` reads it from the session (spark.sextant.pii.secret); unset, the session draws one that nobody knows,
+so that its runs agree, those of other sessions don't, and nothing can be undone from the code.
 
 Names are replaced word by word: a given name gets one of the person's gender (from the title) and script, a surname a surname, from
 lists, by a keyed hash (scripts without a list get Latin ones); particles (van, de) stay. Words that draw the same are told apart: the distinct
@@ -43,7 +43,7 @@ OUT = ("entities",)
 SMALL = 50_000
 #: Ranges of a hash in which the words that drew the same name are ranked.
 SPREAD = 64
-KEY = "spark.sextant.pii.key"
+KEY = "spark.sextant.pii.secret"
 
 # Titles by gender, and the surrogate lists by script and gender.
 TITLES_F = "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Mlle|Госпожа|Г-жа|Κυρία|Κα"
@@ -306,8 +306,10 @@ def mention_pattern(mentions: Column) -> Column:
 
 
 def key_of(spark: SparkSession) -> str:
-    """The session's key; where there is none, one that is drawn for this run and told to nobody."""
-    return spark.conf.get(KEY, None) or secrets.token_hex(16)
+    """The session's key; where there is none, one is drawn and kept for the session."""
+    if not spark.conf.get(KEY, None):
+        spark.conf.set(KEY, secrets.token_hex(16))
+    return spark.conf.get(KEY)
 
 
 def with_surrogates(docs: DataFrame, secret: str) -> DataFrame:
