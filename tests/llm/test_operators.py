@@ -58,10 +58,11 @@ def test_jaccard_join_is_exact(spark, near, k, p, q):
     assert got == components(near, k, p, q)
 
 
-@pytest.mark.parametrize("limit,batch", [(5, 32 << 20), (1, 3000)])
-def test_jaccard_join_splits_large_regions(spark, near, monkeypatch, limit, batch):
+@pytest.mark.parametrize("limit,block,rounds", [(5, 16 << 20, 12), (1, 3000, 12), (1, 2000, 0)])
+def test_jaccard_join_splits_large_regions(spark, near, monkeypatch, limit, block, rounds):
     monkeypatch.setattr(jaccard, "LIMIT", limit)
-    monkeypatch.setattr(jaccard, "BATCH_BYTES", batch)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", block)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(odd(spark, near), 3, 9, 10).collect()}
     assert got == components(near, 3, 9, 10)
 
@@ -85,10 +86,33 @@ def test_jaccard_odd_rows(spark):
     rows = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.jaccard_join(wide(odd(spark)), 3, 9, 10).collect()}
     assert rows[(1, 0)] == 1 and rows[(2, 0)] == 2 and rows[(3, 0)] == 3
     assert [v for (i, _), v in rows.items() if i in (4, 5, 10)] == [4, 4, 4]
-    assert [v for (i, _), v in rows.items() if i is None] == [None]
+    assert [v for (i, _), v in rows.items() if i is None] == [4]
     assert jaccard.jaccard_join(empty(spark)).collect() == []
     kept = jaccard.one_of_each(odd(spark)).collect()
-    assert sorted((r.doc_id for r in kept), key=repr) == sorted([1, 2, 3, 4, None, 6, 7, 8, 9, 11, 12, 13], key=repr)
+    assert sorted((r.doc_id for r in kept), key=repr) == sorted([1, 2, 3, 4, 6, 7, 8, 9, 11, 12, 13], key=repr)  # that without doc_id is a near copy of 4
+
+
+def test_jaccard_rows_without_id(spark):
+    """They carry links between others, and keep one of their own."""
+    w = [f"x{i}" for i in range(100)]
+    texts = [" ".join(w), " ".join(w + [f"y{i}" for i in range(5)]), " ".join(w + [f"y{i}" for i in range(11)])]
+    lone = " ".join(f"z{i}" for i in range(50))
+    rows = [(3, texts[0]), (None, texts[1]), (5, texts[2]), (None, lone), (None, lone), (None, lone + " more"), (None, " "), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_join(df, 3, 9, 10).collect()), key=repr)
+    assert got == sorted([(3, 98, 3), (None, 103, 3), (5, 109, 3), (None, 48, None), (None, 48, None), (None, 49, None), (None, 0, None), (None, 0, None)], key=repr)
+    kept = [(r.doc_id, r.text) for r in jaccard.one_of_each(df, 3, 9, 10).collect()]
+    assert len(kept) == 4 and (3, texts[0]) in kept and (None, " ") in kept and (None, "") in kept and sum(t.startswith("z0") for _, t in kept) == 1
+
+
+def test_overlaps_are_intersections():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 60, 80).astype(np.uint64)
+    for common in (True, False):
+        sets = [np.unique(np.r_[rng.permutation(base)[: rng.integers(50, 80)] if common else base[:0], rng.integers(0, 200, rng.integers(1, 30)).astype(np.uint64)]) for _ in range(30)]
+        o = jaccard.Overlaps(sets)
+        want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+        assert [o.of(i).tolist() for i in range(30)] == want and [[o.pair(i, j) for j in range(30)] for i in range(30)] == want
 
 
 def brute_repeats(rows, length):
@@ -235,7 +259,6 @@ def test_packing_round_trip(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rows = packing.pack(wide(odd(spark)), path, windows=3).collect()
     by = collections.defaultdict(list)
     for r in rows:
@@ -265,10 +288,32 @@ def test_packing_tokens_equal_the_tokenizer(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = ["a  b\n\n c d e  ", "it's IT'S we'll", "<|endoftext|> x", "12345 ①② ٣٤", "é ñ ﬁ 漢字 🏳️‍🌈", "\x00\x1f\x7f\x85", "\r\n\t  x​"]
+    texts = ["a  b\n\n c d e  ", "it's IT'S we'll", "<|endoftext|> x", "12345 ①② ٣٤", "é ñ ﬁ 漢字 🏳️‍🌈", "\x00\x1f\x7f\x85", "\r\n\t  x​"]
+    rng = random.Random(6)
+    texts += ["".join(rng.choice(["a", " ", "\n", "'", "s", "é", "漢", "<|endoftext|>", "<|", "1", "\u00a0", "\u3000", "-", "😀", "\u0301", "ſ", "İ"]) for _ in range(60)) for _ in range(300)]
     for x in texts:
-        assert packing.encoder(path).encode_to_numpy(x, disallowed_special=()).tolist() == t.encode(x, add_special_tokens=False).ids
+        assert packing.encoder(path).encode_to_numpy(x, allowed_special="all").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_op3_fills_its_sequences(spark, tmp_path):
+    """The registered query: pieces are gapless, no sequence is over 1024, and little is padding."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.choice([3, 40, 200, 900, 2500]))), "en", "s", 0) for i in range(1500)] + ODD
+    odd(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = packing.op3_packing(spark, str(tmp_path)).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    used = []
+    for pieces in by.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 1024
+        used.append(at)
+    padded = sum((1 << max(0, (u - 1).bit_length())) - u for u in used)
+    assert padded <= 0.05 * sum(used)
 
 
 def test_packing_ids_are_the_tokenizers_by_default(spark):
@@ -544,10 +589,12 @@ def test_surrogates_depend_on_the_key(spark):
     df = spark.createDataFrame([(1, "card 4111 1111 1111 1111, Mr Smith, a.b@site.example.org")], "doc_id long, text string")
     a, b, c = (pii.with_surrogates(df, k).first().text for k in ("k", "k", "other"))
     assert a == b != c
-    assert pii.key_of(spark) != pii.key_of(spark)
+    drawn = pii.key_of(spark)
+    assert drawn == pii.key_of(spark) and len(drawn) == 32
     spark.conf.set(pii.KEY, "mine")
     assert pii.key_of(spark) == "mine"
     spark.conf.unset(pii.KEY)
+    assert pii.key_of(spark) not in (drawn, "mine")
 
 
 def test_surrogates_of_odd_rows(spark):
