@@ -18,7 +18,7 @@ J >= p / q, that is d <= r. Equal sets are one node from the start, so copies co
    linked to a pivot of the group enter too. Nodes of that group stay only if they lie in every pivot's window about the nodes outside
    it; the rest is dealt to the pivots' cells, boundary nodes (within 2 r of the nearest) to each, where that parts the
    region; cells are regions of the next round. Where no pivot parts a region, its nodes outside the group are compared with all its
-   nodes, in blocks of BLOCK_BYTES on either side: the group's own pairs never are.
+   nodes, in shards of SHARD nodes and blocks of BLOCK_BYTES: the group's own pairs never are.
 
 Links found connect the nodes; components come from `graph.components`.
 
@@ -53,8 +53,8 @@ LEVELS = 4
 LIMIT, LIMIT_BYTES, PIVOTS, ROUNDS = 2000, 16 << 20, 8, 12
 #: Documents from whose shingles frequent ones are told, the share that makes one frequent, and the most of them.
 SAMPLE, OFTEN, FREQUENT = 20_000, 1 / 400, 1 << 16
-#: Rows up to which ids are broadcast (16 bytes each), and bytes of sets in a shard or block.
-SMALL, BLOCK_BYTES = 500_000, 16 << 20
+#: Rows up to which ids are broadcast (16 bytes each), bytes of sets in a shard or block, and nodes in a shard.
+SMALL, BLOCK_BYTES, SHARD = 500_000, 16 << 20, 512
 #: Part hashes that a task holds before it hands them out.
 HELD = 1_000_000
 
@@ -378,6 +378,10 @@ def _hinted(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= SMALL else df
 
 
+def _shards(n: Column, nbytes: Column) -> Column:
+    return F.greatest(F.ceil(nbytes / BLOCK_BYTES), F.ceil(n / SHARD)).cast("int")
+
+
 def _shard(shards: str) -> Column:
     return F.pmod(F.xxhash64("node"), F.col(shards)).cast("int")
 
@@ -441,7 +445,7 @@ def _round(big: DataFrame, sizes: DataFrame, n: int, p: int, q: int, salt: int)
     `out` marks the nodes outside the region's main group; parted: the rows are of cells, regions of their own.
     """
     r = (q - p) / q
-    on = _hinted(sizes.select("region", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("shards")), n)
+    on = _hinted(sizes.select("region", _shards(F.col("n"), F.col("bytes")).alias("shards")), n)
     pivots = _pivots(big, sizes, n, salt)
     left = big.join(on, "region").withColumn("shard", _shard("shards")).drop("shards")
     right = pivots.join(on, "region").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
@@ -492,7 +496,7 @@ def _compared(big: DataFrame, p: int, q: int) -> DataFrame:
     A block hands out links that connect, not all that it finds: the main group is one.
     """
     nbytes = F.sum(F.octet_length("set"))
-    sizes = big.groupBy("region").agg(F.ceil(nbytes / BLOCK_BYTES).cast("int").alias("shards"), F.ceil(F.coalesce(F.sum(F.when(F.col("out"), F.octet_length("set"))), F.lit(0)) / BLOCK_BYTES).cast("int").alias("blocks"))
+    sizes = big.groupBy("region").agg(_shards(F.count("*"), nbytes).alias("shards"), F.ceil(F.coalesce(F.sum(F.when(F.col("out"), F.octet_length("set"))), F.lit(0)) / BLOCK_BYTES).cast("int").alias("blocks"))
     sizes = cut(sizes.filter("blocks > 0"))
     on = _hinted(sizes, sizes.count())
     left = big.join(on, "region").withColumns({"shard": _shard("shards"), "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))}).drop("shards", "blocks")
