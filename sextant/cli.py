@@ -1,7 +1,9 @@
 """The command line: index, look, evaluate.
 
     python -m sextant.cli --index DIR index-code ROOT | index-docs ROOT | preflight ROOT | status | history | compare
-    python -m sextant.cli --index DIR orphans | broken | catalog | modules | hotspots | gaps | hygiene | health
+    python -m sextant.cli --index DIR orphans | broken | catalog | modules | hotspots | gaps | hygiene | sessions | scopes
+    python -m sextant.cli --index DIR stale ROOT | health ROOT     (files under ROOT tell what is newer)
+    python -m sextant.cli --index DIR search code|docs TEXT | check TEXT     (embed the text with the configured server; - reads standard input)
     python -m sextant.cli --index DIR eval 'grep(docs, "word", 5)' [--json]     (- reads the expression from standard input)
     python -m sextant.cli --index DIR fn add NAME PARAMS BODY | fn list | fn rm NAME
 """
@@ -18,7 +20,7 @@ from sextant.plans import expr, index
 from sextant.plans.format import render, stamped
 from sextant.plans.storage import Catalog, read_text, write_text
 from sextant.session import session
-from sextant.sources.embeddings import Http
+from sextant.sources.embeddings import Fault, Http
 from sextant.sources.files import Config, in_scope, read_files
 
 FACTS = ["chunks", "imports", "signatures"]
@@ -77,10 +79,29 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[str, int]:
         own, warnings = known.names(primitives() | t)
         print(*warnings, sep="\n", file=sys.stderr)
         return shown(expr.evaluate(sys.stdin.read() if rest[0] == "-" else rest[0], primitives() | t | own), "eval", args.json), 0
+    if args.command in ("stale", "health"):
+        late = index.stale_docs(read_files(spark, rest[0]), t["frontmatters"], t["docs"])
+        return shown(late if args.command == "stale" else index.health(t["sections"], t["links"], late), args.command, args.json), 0
+    if args.command in ("search", "check"):
+        if provider is None:
+            return "no embedding server is configured", 2
+        text = sys.stdin.read() if rest[-1] == "-" else rest[-1]
+        try:
+            if args.command == "check":
+                return shown(index.check(index.check_text(text, t["docs"], catalog.table("doc_vectors"), provider)), "check", args.json), 0
+            code_ = rest[0] == "code"
+            out = index.search_text(text, t["code" if code_ else "docs"], catalog.table("code_vectors" if code_ else "doc_vectors"), provider, "summary_emb" if code_ else "emb", prefix="" if code_ else "search_query: ")
+            return shown(out, "search", args.json), 0
+        except Fault as e:
+            return str(index.embedding_fault(e)), 1
+    if args.command == "scopes":
+        return "\n".join(f"{k}: {', '.join(v)}" for k, v in config.scopes.items()), 0
+    if args.command == "sessions":
+        return shown(index.sessions(spark, f"{args.index}/sessions"), "sessions", args.json), 0
     simple = {
         "orphans": lambda: docs.orphans(t["sections"], t["links"]), "broken": lambda: docs.broken(t["links"]), "catalog": lambda: docs.catalog(t["sections"]),
         "modules": lambda: code.modules(t["code"]), "hotspots": lambda: code.hotspots(t["code"], t["imports"]), "gaps": lambda: docs.gaps(t["docs"]),
-        "hygiene": lambda: hygiene.findings(t["docs"], t["frontmatters"], t["links"]), "health": lambda: index.health(t["sections"], t["links"], t["links"].limit(0)),
+        "hygiene": lambda: hygiene.findings(t["docs"], t["frontmatters"], t["links"]),
     }
     return shown(simple[args.command](), args.command, args.json), 0
 

@@ -98,9 +98,14 @@ def lines(text: Column | str) -> Column:
     return F.split(col(text), "\n")
 
 
+def strip(x: Column) -> Column:
+    """Without white space of any kind on either side."""
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def first_line_where(text: Column | str, test) -> Column:
     """The first line that passes a test, trimmed; null where none does."""
-    return F.trim(F.get(F.filter(lines(text), test), F.lit(0)))
+    return strip(F.get(F.filter(lines(text), test), F.lit(0)))
 
 
 def match_line(text: Column | str, pattern: str) -> Column:
@@ -122,11 +127,20 @@ def first_snippet(text: Column | str, most: int = 120) -> Column:
     return F.when(F.length(line) > most, F.concat(F.substring(line, 1, most - 3), F.lit("..."))).otherwise(line)
 
 
+# Lines that are no prose: headings, bullets, tables, fences, images, and lines that are only a link.
+NO_PROSE = r"^(#|-|\||```|!\[)|^\[.+\]\(.+\)$"
+
+
 def summary_line(text: Column | str, most: int = 120) -> Column:
-    """The first line of prose over ten characters; else the text's beginning on one line; "(no summary)" for none."""
-    prose = first_line_where(text, lambda x: (F.length(F.trim(x)) > 10) & ~F.trim(x).rlike(r"^(#|- |\* |\||```|!\[)|^\[[^\]]*\]\([^)]*\)$"))
-    flat = F.trim(F.regexp_replace(col(text), r"\s+", " "))
-    s = F.coalesce(prose, F.when(flat != "", flat), F.lit("(no summary)"))
+    """The first line of prose over ten characters (under forty with an asterisk in front is none); else the whole text on one line
+    without its first heading marks; "(no summary)" for none."""
+
+    def prose(line: Column) -> Column:
+        x = strip(line)
+        return (F.length(x) > 10) & ~x.rlike(NO_PROSE) & ~(x.startswith("*") & (F.length(x) < 40))
+
+    flat = strip(F.regexp_replace(strip(F.translate(col(text), "\n\r", "  ")), r"^#+\s*", ""))
+    s = F.coalesce(first_line_where(text, prose), F.when(flat != "", flat), F.lit("(no summary)"))
     return F.when(F.length(s) > most, F.concat(F.substring(s, 1, most), F.lit("..."))).otherwise(s)
 
 
@@ -150,7 +164,7 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
 def status_text(text: Column | str) -> Column:
     """Text for comparing status notes: numbers as #, no punctuation, single spaces."""
     x = F.regexp_replace(F.lower(col(text)), r"\b\d+\b", "#")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"[^\w\s#]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(x, r"(?U)[^\w\s#]", " "), r"\s+", " "))
 
 
 def clamp01(x: Column | str) -> Column:

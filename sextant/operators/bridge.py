@@ -10,27 +10,36 @@ from sextant.operators.code import import_edges
 from sextant.operators.graph import fan
 from sextant.operators.scan import first_distinct
 
-# What is read as a code file, and as a qualified member.
-FILE_TOKEN = r"\b([A-Za-z_][\w\-]*\.(?:fs|fsx|cs|ts|tsx|js|jsx|py|go|rs|java|kt))\b"
-MEMBER_TOKEN = r"\b([A-Z][A-Za-z0-9]+)\.([a-zA-Z][A-Za-z0-9_]+)\b"
+# What is read as a code file, and as a qualified member; words have letters of any script.
+FILE_TOKEN = r"(?U)\b(\w[\w.-]*\.(?:fs|fsx|cs|ts|tsx|js|jsx|py|go|rs|java|kt))\b"
+MEMBER_TOKEN = r"(?U)\b([A-Z]\w+\.\w{3,})\b"
 
 
 def symbols(chunks: DataFrame) -> DataFrame:
-    """(symbol, chunk_id): each chunk under its name, module and name, file name and stem, lower-cased."""
-    names = F.array("name", F.concat_ws(".", "module", "name"), X.file_name("file_path"), X.file_stem("file_path"))
-    return chunks.select("chunk_id", F.explode(F.array_distinct(F.transform(names, lambda x: F.lower(x)))).alias("symbol"))
+    """(symbol, chunk_id): each chunk under its name, module and name, file name and stem, lower-cased; of three letters or more."""
+    whole = F.when((F.col("module") != "") & (F.col("name") != ""), F.concat_ws(".", "module", "name"))
+    names = F.array("name", whole, X.file_name("file_path"), X.file_stem("file_path"))
+    return chunks.select("chunk_id", F.explode(F.array_distinct(F.transform(names, lambda x: F.lower(x)))).alias("symbol")).filter(F.length("symbol") >= 3)
 
 
 def drift(sections: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Sections (file_path, heading, content, chunk_id) with the files and members that they name and the code lacks."""
-    code = symbols(chunks).select(F.col("symbol").alias("_s")).distinct()
+    """Sections (file_path, heading, content, chunk_id) with the files and members that they name and the code lacks, as they come.
+
+    A member is missing if neither its module (a chunk's name, or a .fs or .cs file) nor itself (a chunk's name) is there. Each section's
+    tokens are looked up by joins, once for each distinct token."""
+    files = chunks.select(F.lower(X.file_name("file_path")).alias("s")).distinct()
+    names = chunks.filter(F.length("name") >= 3).select(F.lower("name").alias("s")).union(files.filter(F.col("s").rlike(r"\.(fs|cs)$")).select(F.regexp_replace("s", r"\.(fs|cs)$", ""))).distinct()
+    chunk_names = chunks.filter(F.length("name") >= 3).select(F.lower("name").alias("s")).distinct()
     base = sections.select("chunk_id", "file_path", "heading", "content")
-    files = base.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(FILE_TOKEN), F.lit(1)))).alias("token"))
-    files = files.join(code, F.lower("token") == F.col("_s"), "left_anti")
-    members = base.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(MEMBER_TOKEN), F.lit(0)))).alias("token")).filter(~F.col("token").rlike("^" + FILE_TOKEN + "$"))
-    members = members.join(code, F.lower(F.substring_index("token", ".", 1)) == F.col("_s"), "left_anti").join(code, F.lower(F.substring_index("token", ".", -1)) == F.col("_s"), "left_anti")
-    missing = files.union(members).groupBy("chunk_id").agg(F.array_join(F.array_sort(F.collect_set("token")), ", ").alias("missing_symbols"), F.countDistinct("token").alias("count"))
-    return base.drop("content").join(missing, "chunk_id")
+    said = base.select("chunk_id", F.explode(F.concat(
+        F.transform(F.regexp_extract_all("content", F.lit(FILE_TOKEN), F.lit(1)), lambda x, i: F.struct(F.lit(0).alias("kind"), i.alias("at"), x.alias("token"))),
+        F.transform(F.filter(F.regexp_extract_all("content", F.lit(MEMBER_TOKEN), F.lit(1)), lambda x: F.size(F.split(x, r"\.")) == 2), lambda x, i: F.struct(F.lit(1).alias("kind"), i.alias("at"), x.alias("token"))),
+    )).alias("x")).select("chunk_id", "x.*")
+    distinct = said.select("kind", "token").distinct()
+    lost_files = distinct.filter("kind = 0").join(files, F.lower("token") == F.col("s"), "left_anti")
+    members = distinct.filter("kind = 1").join(names, F.lower(F.substring_index("token", ".", 1)) == F.col("s"), "left_anti").join(chunk_names, F.lower(F.substring_index("token", ".", -1)) == F.col("s"), "left_anti")
+    missing = said.join(lost_files.union(members), ["kind", "token"]).groupBy("chunk_id").agg(F.array_distinct(F.array_sort(F.collect_list(F.struct("kind", "at", "token")))["token"]).alias("tokens"))
+    return base.drop("content").join(missing, "chunk_id").select("chunk_id", "file_path", "heading", F.array_join("tokens", ", ").alias("missing_symbols"), F.size("tokens").alias("count"))
 
 
 def coverage(chunks: DataFrame, imports: DataFrame, docs: DataFrame, min_fan_in: int = 2) -> DataFrame:

@@ -97,10 +97,10 @@ def paragraph_rows(texts: DataFrame, column: str = "text") -> DataFrame:
 
 
 def walk(links: DataFrame, file: str, depth: int = 2, direction: str = "out") -> list[dict]:
-    """Along resolved links, or against them: distinct files, depth first, until depth * 10 rows are found."""
+    """Along resolved links, or against them: distinct files, depth first, until depth * 10 rows are found (which bounds what is collected)."""
     a, b = ("source_file", "target_resolved") if direction == "out" else ("target_resolved", "source_file")
     edges = links.filter(F.col("target_resolved").isNotNull()).groupBy(F.col(a).alias("src"), F.col(b).alias("dst")).agg(F.min("line").alias("ord"))
-    return graph.walk(edges, file, depth, 1 << 20, depth * 10)
+    return graph.walk(edges, file, depth, depth * 10, depth * 10)  # no file can give more rows than the whole walk
 
 
 def gaps(source: DataFrame, scope: str = "", min_docs: int = 1, signal: str = "") -> DataFrame:

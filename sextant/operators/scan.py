@@ -48,8 +48,11 @@ def neighborhood(df: DataFrame, chunk: str, before: int = 3, after: int = 3, by:
 
 def all_neighborhoods(df: DataFrame, wanted: DataFrame, before: int = 3, after: int = 3, by: str = "start_line") -> DataFrame:
     """neighborhood() of many rows at once; wanted (chunk_id)."""
-    rows = df.withColumn("_n", F.row_number().over(Window.partitionBy("file_path").orderBy(by, "ord")))
-    centre = rows.join(wanted.select("chunk_id").distinct(), "chunk_id").select(F.col("chunk_id").alias("target"), F.col("file_path").alias("_f"), F.explode(F.sequence(F.col("_n") - before, F.col("_n") + after)).alias("_at"), F.col("_n").alias("_c"))
+    wanted = wanted.select("chunk_id").distinct()
+    # Only files with a wanted row are numbered.
+    some = df.join(df.join(wanted, "chunk_id", "left_semi").select("file_path").distinct(), "file_path", "left_semi")
+    rows = some.withColumn("_n", F.row_number().over(Window.partitionBy("file_path").orderBy(by, "ord")))
+    centre = rows.join(wanted, "chunk_id").select(F.col("chunk_id").alias("target"), F.col("file_path").alias("_f"), F.explode(F.sequence(F.col("_n") - before, F.col("_n") + after)).alias("_at"), F.col("_n").alias("_c"))
     out = centre.join(rows, (F.col("_f") == F.col("file_path")) & (F.col("_at") == F.col("_n")))
     return out.withColumn("distance", F.col("_n") - F.col("_c")).drop("_f", "_at", "_n", "_c")
 

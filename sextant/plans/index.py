@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import text as X
 from sextant.operators import codefiles, docs, markdown, scan
+from sextant.operators.bridge import FILE_TOKEN
 from sextant.plans.storage import Catalog, cut, semantic_state
 from sextant.schema import schema
 from sextant.sources.embeddings import Fault, Provider, fill
@@ -68,7 +69,9 @@ def build_docs_index(catalog: Catalog, files: DataFrame, config: Config, provide
     state, failed = "no-embed", 0
     if provider is not None:
         texts = source.select("chunk_id", markdown.embedding_text(F.col("file_path"), F.col("summary")).alias("text")).dropDuplicates(["chunk_id"])
-        vectors = cut(fill(texts, catalog.spark.createDataFrame([], "chunk_id string, text_hash string, emb array<float>"), provider, config.embedding_batch))
+        old = catalog.table("doc_vectors")  # vectors of sections that haven't changed are kept
+        old = old.filter("emb is not null") if "text_hash" in old.columns else catalog.spark.createDataFrame([], "chunk_id string, text_hash string, emb array<float>")
+        vectors = cut(fill(texts, old, provider, config.embedding_batch))
         failed = vectors.filter("emb is null").count()
         tables["doc_vectors"] = vectors
         state = semantic_state(source.select("chunk_id").distinct(), vectors, "emb")
@@ -131,6 +134,32 @@ def save_session(spark: SparkSession, path: str, name: str, refs: dict[str, str]
     spark.createDataFrame([(name, k, v) for k, v in refs.items()], schema("refs")).write.mode("overwrite").parquet(f"{path}/session={name}")
 
 
+def sessions(spark: SparkSession, path: str) -> DataFrame:
+    """(session, refs): the saved sessions and how many references each has."""
+    return spark.read.schema(schema("refs")).parquet(path).groupBy("session").agg(F.count("*").alias("refs")).orderBy("session")
+
+
+def stale_docs(files: DataFrame, frontmatters: DataFrame, source: DataFrame) -> DataFrame:
+    """Stale documents of an index: files as read_files gives them, source (file_path, content)."""
+    named = source.select("file_path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(FILE_TOKEN), F.lit(1)))).alias("target"))
+    return docs.stale(frontmatters, files.select("file_path", "modified"), named)
+
+
+def check_text(text: str, source: DataFrame, vectors: DataFrame, provider: Provider, threshold: float = 0.75) -> DataFrame:
+    """Novelty of a text's paragraphs against an index. source (chunk_id, file_path, heading, ord), vectors (chunk_id, emb)."""
+    spark = source.sparkSession
+    found = [r.paragraph for r in docs.paragraph_rows(spark.createDataFrame([(text,)], "text string")).collect()]
+    asked = [(p, [float(x) for x in v]) for p, v in zip(found, provider.embed([f"search_query: {p}" for p in found]) if found else [], strict=True)]
+    rows = source.select("chunk_id", "file_path", "heading", "ord").join(vectors.select("chunk_id", "emb"), "chunk_id")
+    return docs.novelty(spark.createDataFrame(asked, "paragraph string, emb array<float>"), rows, threshold)
+
+
+def search_text(text: str, source: DataFrame, vectors: DataFrame, provider: Provider, column: str = "emb", limit: int = 5, prefix: str = "") -> DataFrame:
+    """The rows of an index nearest to a text; the provider embeds it."""
+    vector = [float(x) for x in provider.embed([prefix + text])[0]]
+    return scan.search(source.join(vectors.select("chunk_id", F.col(column).alias("emb")), "chunk_id"), vector, limit).drop("emb", "content")
+
+
 def load_session(spark: SparkSession, path: str, name: str) -> dict[str, str]:
     return {r.ref_id: r.chunk_id for r in spark.read.schema(schema("refs")).parquet(f"{path}/session={name}").collect()}
 

@@ -1,20 +1,22 @@
 """The driver's queries over its tables, and the SQL that they are held against.
 
 Its tables stand in for an index: a document is a section (of the file lang/source/dN.md), its lines are sections where order
-matters; pages and their href values are a link graph; embeddings are section vectors; events are reports.
+matters; embeddings are section vectors; events are reports. `queries_code`, `queries_docs` and `queries_rules` add the primitives of the two indexes
+and the triage, over the tables of `standins`. Every query calls its operator; the SQL has its own terms.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.functions import text as X
 from sextant.functions import vectors as V
-from sextant.operators import code, docs, graph, hygiene, markdown, scan
+from sextant.operators import docs, scan
 from sextant.plans import index
+from sextant.plans.standins import SQL_PATH, path, table
 from sextant.schema import chunk_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,17 +33,6 @@ def query(sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def path() -> Column:
-    return F.concat_ws("/", "lang", "source", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md")))
-
-
-SQL_PATH = "concat_ws('/', lang, source, 'd' || doc_id || '.md')"
-
-
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a section with its text."""
     d = table(spark, sf_dir, "documents")
@@ -51,23 +42,7 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line of a document as a chunk; its name is its place, its level (0 to 6) comes from its length."""
     d = table(spark, sf_dir, "documents").select("doc_id", path().alias("file_path"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    return d.select("doc_id", "file_path", (F.col("line") + 1).alias("start_line"), "content", (F.col("doc_id") * 1_000_000 + F.col("line")).alias("ord"), F.concat_ws(":", F.col("doc_id").cast("string"), (F.col("line") + 1).cast("string")).alias("chunk_id"))
-
-
-def link_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links between pages: page numbers k with /k... in the address; a link is resolved if its text is the last word of a title."""
-    p = table(spark, sf_dir, "pages")
-    rows = p.select(F.col("url").alias("source_file"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target_path"))
-    known = p.select(F.concat(F.lit("/"), F.regexp_extract("url", "/([a-z]{2})/", 1)).alias("t"), F.col("url")).groupBy("t").agg(F.min("url").alias("target_resolved"))
-    return rows.join(known, F.col("target_path") == F.col("t"), "left").drop("t")
-
-
-_LINKS_SQL = """links AS (SELECT l.source_file, l.target_path, k.target_resolved FROM
- (SELECT url AS source_file, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target_path FROM pages) l
- LEFT JOIN (SELECT '/' || regexp_extract(url, '/([a-z]{2})/', 1) AS t, min(url) AS target_resolved FROM pages GROUP BY 1) k ON l.target_path = k.t)"""
-
-
-OPEN = r"(^|[^\p{L}\p{N}_])"
+    return d.select("doc_id", "file_path", (F.col("line") + 1).alias("start_line"), "content", (F.shiftleft("doc_id", 31) + F.col("line")).alias("ord"), F.concat_ws(":", F.col("doc_id").cast("string"), (F.col("line") + 1).cast("string")).alias("chunk_id"))
 
 
 def word_sql(term: str) -> str:
@@ -77,93 +52,25 @@ def word_sql(term: str) -> str:
 # Scans ---------------------------------------------------------------------
 
 
-@query(rf"""SELECT doc_id, {SQL_PATH} AS file_path, len(regexp_extract_all(text, '(?i){OPEN}der')) AS n_like,
- trim(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i){word_sql("der")}'))[1], ' ') AS match_line
- FROM documents WHERE regexp_matches(text, '(?i){word_sql("der")}')""")
-def mentions(spark, sf_dir):
-    rows = scan.mentions(sections(spark, sf_dir), "der", None)
-    opening = F.regexp_count("content", F.lit(f"(?i){OPEN}der"))
-    return rows.select("doc_id", "file_path", opening.cast("long").alias("n_like"), "match_line")
-
-
 @query(r"""SELECT doc_id, lang AS kind, trim(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)ing (the|of) [a-z]+tion'))[1], ' ') AS match_line
  FROM documents WHERE regexp_matches(text, '(?i)ing (the|of) [a-z]+tion') AND lang = 'en' ORDER BY doc_id LIMIT 100""")
 def grep_first_match(spark, sf_dir):
     return scan.grep(sections(spark, sf_dir), "ing (the|of) [a-z]+tion", limit=100, kind="en").select("doc_id", "kind", "match_line")
 
 
-@query(rf"""SELECT doc_id, trim(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word_sql("The")}'))[1], ' ') AS match_line
- FROM documents WHERE regexp_matches(text, '{word_sql("The")}') AND source <> 'src1'""")
-def refs_word(spark, sf_dir):
-    rows = sections(spark, sf_dir).withColumn("name", F.when(F.col("source") == "src1", "The").otherwise(F.col("source")))
-    return code.refs(rows, "The", None).select("doc_id", "match_line")
-
-
-@query(rf"""SELECT doc_id, CASE WHEN regexp_matches(text, '{word_sql("of the")}') THEN 'qualified' ELSE 'local' END AS call_type FROM documents
- WHERE regexp_matches(text, '{word_sql("of the")}') OR (lang = 'en' AND regexp_matches(text, '{word_sql("the")}'))""")
-def callers_kind(spark, sf_dir):
-    whole, own = X.word_pattern("of the"), X.word_pattern("the")
-    how = F.when(F.col("content").rlike(whole), "qualified").when((F.col("lang") == "en") & F.col("content").rlike(own), "local")
-    return sections(spark, sf_dir).withColumn("call_type", how).filter("call_type is not null").select("doc_id", "call_type")
-
-
 @query(rf"SELECT doc_id, sha256({SQL_PATH} || '|' || source || '|' || 1)[1:12] AS chunk_id FROM documents")
 def chunk_ids(spark, sf_dir):
     return sections(spark, sf_dir).select("doc_id", chunk_id(F.col("file_path"), F.col("heading"), F.lit(1)).alias("chunk_id"))
 
 
-@query(r"""WITH f AS (SELECT doc_id, trim(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 10 AND NOT regexp_matches(trim(x), '^(#|- |\* |\||```|!\[)|^\[[^\]]*\]\([^)]*\)$'))[1], ' ') AS p, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS flat FROM documents),
- s AS (SELECT doc_id, coalesce(p, CASE WHEN flat <> '' THEN flat END, '(no summary)') AS s FROM f)
- SELECT doc_id, CASE WHEN length(s) > 120 THEN s[1:120] || '...' ELSE s END AS summary FROM s""")
-def summary_line(spark, sf_dir):
-    return sections(spark, sf_dir).select("doc_id", X.summary_line("content").alias("summary"))
-
-
-@query(r"""SELECT doc_id, len(list_filter(string_split_regex(text, '[ \n\t]'), lambda x: x <> ''))::INT AS words, len(regexp_extract_all(text, '\|'))::INT AS bars FROM documents""")
-def word_link_counts(spark, sf_dir):
-    return sections(spark, sf_dir).select("doc_id", X.word_count("content").alias("words"), F.regexp_count("content", F.lit(r"\|")).alias("bars"))
-
-
 @query("""SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '([a-z0-9]{3,})', 1)))::INT AS tokens FROM documents""")
 def token_counts(spark, sf_dir):
     return sections(spark, sf_dir).select("doc_id", F.size(X.token_set("content")).alias("tokens"))
 
 
-_SIGNAL_SQL = " + ".join(f"(CASE WHEN contains(lower(text), '{p}') THEN {w} ELSE 0 END)" for w, ps in ((2, X.PRESCRIPTIVE), (2, X.CAUSAL), (1, X.DECLARATIVE), (-2, X.HEDGING)) for p in ps)
-
-
-@query(f"SELECT item_id, ({_SIGNAL_SQL} - (CASE WHEN length(text) < 50 THEN 2 ELSE 0 END))::INT AS signal FROM benchmark")
-def knowledge_signal(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", X.knowledge_signal("text").alias("signal"))
-
-
-@query(rf"""SELECT doc_id, regexp_matches(text, '\b20\d{{2}}[-/]\d{{2}}[-/]\d{{2}}\b') AS dated, (CASE WHEN {" OR ".join(f"contains(lower(text), '{t}')" for t in X.STATUS_TEXT)} THEN 2 ELSE 0 END
- + CASE WHEN {" OR ".join(f"contains(lower(source || chr(10) || text), '{t}')" for t in X.STATUS_WORDS)} THEN 1 ELSE 0 END)::INT AS score FROM documents""")
-def status_scores(spark, sf_dir):
-    return sections(spark, sf_dir).select("doc_id", X.has_date("content").alias("dated"), X.status_score("heading", "content").alias("score"))
-
-
 # Lines, sections and windows -------------------------------------------------
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
- h AS (SELECT *, sum(CASE WHEN length(line) % 7 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS sec FROM l)
- SELECT doc_id, sec::BIGINT AS section, min(n)::INT AS start_line, max(n)::INT AS end_line, sha256(string_agg(line, chr(10) ORDER BY n)) AS body FROM h GROUP BY 1, 2""")
-def sections_by_line(spark, sf_dir):
-    rows = line_table(spark, sf_dir)
-    by = Window.partitionBy("doc_id").orderBy("start_line")
-    rows = rows.withColumn("section", F.sum((F.length("content") % 7 == 0).cast("long")).over(by))
-    body = F.array_join(F.array_sort(F.collect_list(F.struct("start_line", "content")))["content"], "\n")
-    return rows.groupBy("doc_id", "section").agg(F.min("start_line").alias("start_line"), F.max("start_line").alias("end_line"), F.sha2(body, 256).alias("body"))
-
-
-@query()
-def heading_path(spark, sf_dir):
-    rows = line_table(spark, sf_dir).withColumn("level", (F.length("content") % 5).cast("int")).withColumn("heading", F.substring("content", 1, 8))
-    w = Window.partitionBy("doc_id").orderBy("start_line")
-    return rows.withColumn("path", markdown.heading_path(w)).select("doc_id", "start_line", "level", "path")
-
-
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), c AS (SELECT doc_id, n AS t FROM l WHERE contains(lower(line), 'worthless'))
  SELECT c.doc_id || ':' || c.t AS target, (l.n - c.t)::INT AS distance, l.n::INT AS start_line, l.line AS content FROM c JOIN l ON l.doc_id = c.doc_id AND l.n BETWEEN c.t - 3 AND c.t + 3""")
 def neighborhood(spark, sf_dir):
@@ -204,16 +111,10 @@ def placement(spark, sf_dir):
     return docs.placement(e, q, 10).select("file_path", "score", "near_section")
 
 
-@query("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 20), b AS (SELECT q.vec_id AS k, max(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS s FROM q, embeddings e WHERE e.vec_id >= 20 GROUP BY 1)
- SELECT k, round_even(s, 3) AS score, CASE WHEN s < 0.5 THEN 'off-topic' WHEN s < 0.6 THEN 'musing' WHEN s >= 0.75 THEN 'covered' ELSE 'novel' END AS status FROM b""")
-def novelty_status(spark, sf_dir):
-    e, _ = _vectors(spark, sf_dir)
-    q = e.filter("ord < 20").select(F.col("ord").alias("k"), F.col("emb").alias("_q"))  # twenty paragraphs
-    best = e.filter("ord >= 20").join(F.broadcast(q), F.size("emb") == F.size("_q")).withColumn("s", V.cosine("emb", "_q")).groupBy("k").agg(F.max("s").alias("s"))
-    return best.select("k", X.rounded("s").alias("score"), docs.novelty_status(F.col("s"), F.lit(0)).alias("status"))
-
-
-@query()
+@query("""WITH RECURSIVE m AS (SELECT 'dir' || (label % 4) AS d, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label % 4 ORDER BY vec_id) AS n FROM embeddings),
+ r AS (SELECT d, n, vec_id, [v] AS c, 0 AS g FROM m WHERE n = 1 UNION ALL SELECT d, n, vec_id, CASE WHEN p IS NULL THEN list_append(c, v) ELSE c END, (CASE WHEN p IS NULL THEN len(c) ELSE p - 1 END)::INT
+  FROM (SELECT m.*, r.c, nullif(list_position(list_transform(r.c, lambda x: list_cosine_similarity(x, m.v) > 0.7), true), 0) AS p FROM r JOIN m ON m.d = r.d AND m.n = r.n + 1))
+ SELECT d AS directory, vec_id::VARCHAR AS file_path, g AS "cluster" FROM r""")
 def cluster_greedy(spark, sf_dir):
     e, _ = _vectors(spark, sf_dir)
     return docs.cluster(e.select(F.concat(F.lit("dir"), (F.col("label") % 4).cast("string")).alias("directory"), F.col("ord").cast("string").alias("file_path"), "emb", "ord"), 0.7)
@@ -222,25 +123,6 @@ def cluster_greedy(spark, sf_dir):
 # Groupings -------------------------------------------------------------------
 
 
-@query("""SELECT source AS directory, count(*) AS docs, sum(n_chars)::BIGINT AS chars, array_to_string(list_sort(list_distinct(list(lang))), ',') AS kinds,
- array_to_string((list('d' || doc_id || '.md' ORDER BY doc_id))[1:3], ', ') AS titles FROM documents GROUP BY source""")
-def catalog(spark, sf_dir):
-    rows = sections(spark, sf_dir).withColumn("name", X.file_name("file_path"))
-    return rows.groupBy(F.col("source").alias("directory")).agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), scan.first_distinct("name", 3).alias("titles"))
-
-
-@query("""SELECT lang AS module, count(*) AS files, count(DISTINCT source) AS sources, array_to_string((list_sort(list_distinct(list(source))))[1:5], ',') AS top FROM documents GROUP BY lang""")
-def modules(spark, sf_dir):
-    rows = sections(spark, sf_dir).withColumn("module", code.module_bucket("file_path"))
-    return rows.groupBy("module").agg(F.count("*").alias("files"), F.countDistinct("source").alias("sources"), F.array_join(F.slice(F.array_sort(F.collect_set("source")), 1, 5), ",").alias("top"))
-
-
-@query(f"""SELECT {SQL_PATH} AS file_path, len(string_split(text, chr(10)))::BIGINT AS chunks, 'd' || doc_id || '.md' AS file FROM documents WHERE regexp_matches('d' || doc_id || '.md', '^d.*7\\.md$')""")
-def files(spark, sf_dir):
-    rows = scan.grouped_files(line_table(spark, sf_dir), "d*7.md")
-    return rows.groupBy("file_path").agg(F.count("*").alias("chunks")).withColumn("file", X.file_name("file_path"))
-
-
 @query("SELECT lang || '/' || source AS directory, count(*) AS files FROM documents GROUP BY 1 ORDER BY files DESC, directory LIMIT 8")
 def breakdown_top8(spark, sf_dir):
     return scan.breakdown(sections(spark, sf_dir))
@@ -251,87 +133,9 @@ def dense_folders(spark, sf_dir):
     return scan.dense_folders(sections(spark, sf_dir))
 
 
-# Links -----------------------------------------------------------------------
-
-
-@query(f"WITH {_LINKS_SQL} SELECT source_file, target_path, count(*) AS n FROM links GROUP BY 1, 2")
-def links(spark, sf_dir):
-    return link_table(spark, sf_dir).groupBy("source_file", "target_path").agg(F.count("*").alias("n"))
-
-
-@query(f"WITH {_LINKS_SQL} SELECT target_resolved AS file, count(*) AS backlinks, count(DISTINCT source_file) AS sources FROM links WHERE target_resolved IS NOT NULL GROUP BY 1")
-def backlinks(spark, sf_dir):
-    return link_table(spark, sf_dir).filter("target_resolved is not null").groupBy(F.col("target_resolved").alias("file")).agg(F.count("*").alias("backlinks"), F.countDistinct("source_file").alias("sources"))
-
-
-@query(f"WITH {_LINKS_SQL} SELECT url AS file_path, count(*) AS sections FROM pages WHERE url NOT IN (SELECT target_resolved FROM links WHERE target_resolved IS NOT NULL) GROUP BY 1")
-def orphans(spark, sf_dir):
-    return docs.orphans(table(spark, sf_dir, "pages").select(F.col("url").alias("file_path")), link_table(spark, sf_dir))
-
-
-@query(f"WITH {_LINKS_SQL} SELECT source_file AS \"from\", target_path AS target, count(*) AS n FROM links WHERE target_resolved IS NULL GROUP BY 1, 2")
-def broken(spark, sf_dir):
-    rows = link_table(spark, sf_dir).withColumns({"link_text": F.lit(""), "source_heading": F.lit(""), "line": F.lit(0)})
-    return docs.broken(rows).groupBy("from", "target").agg(F.count("*").alias("n"))
-
-
-@query(f"""WITH {_LINKS_SQL}, e AS (SELECT source_file AS src, target_path AS dst FROM links)
- SELECT coalesce(i.node, o.node) AS node, coalesce(fan_in, 0)::BIGINT AS fan_in, coalesce(fan_out, 0)::BIGINT AS fan_out, CASE WHEN coalesce(fan_in, 0) > 0 THEN 2 * fan_in - 1 ELSE 0 END::BIGINT AS compat
- FROM (SELECT dst AS node, count(*) AS fan_in FROM e GROUP BY 1) i FULL JOIN (SELECT src AS node, count(*) AS fan_out FROM e GROUP BY 1) o ON i.node = o.node""")
-def hotspots(spark, sf_dir):
-    e = link_table(spark, sf_dir).select(F.col("source_file").alias("src"), F.col("target_path").alias("dst"))
-    return graph.fan(e).withColumn("compat", F.when(F.col("fan_in") > 0, 2 * F.col("fan_in") - 1).otherwise(0).cast("long"))
-
-
-# Graphs ----------------------------------------------------------------------
-
-
-def _country_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return n.select(F.col("r_name").alias("src"), F.col("n_name").alias("dst"), F.col("n_nationkey").cast("long").alias("ord"))
-
-
-@query("""WITH e AS (SELECT r_name AS s, n_name AS d FROM nation JOIN region ON n_regionkey = r_regionkey), a AS (SELECT min(n_name) AS x FROM nation), b AS (SELECT max(n_name) AS y FROM nation WHERE n_regionkey = (SELECT n_regionkey FROM nation ORDER BY n_name LIMIT 1))
- SELECT 1 AS step, x AS node FROM a UNION ALL SELECT 2, s FROM e, a WHERE d = x UNION ALL SELECT 3, y FROM b""")
-def trace_bfs(spark, sf_dir):
-    e = _country_edges(spark, sf_dir)
-    n = table(spark, sf_dir, "nation")
-    least = n.orderBy("n_name").limit(1).first()
-    last = n.filter(F.col("n_regionkey") == least.n_regionkey).agg(F.max("n_name")).first()[0]
-    path = graph.shortest_path(e, least.n_name, last)
-    return spark.createDataFrame([(i + 1, x) for i, x in enumerate(path)], "step int, node string")
-
-
-@query("""SELECT 1 AS hop, r_name AS src, n_name AS dst, r_name || ' → ' || n_name AS trail FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey = 1""")
-def walk_out(spark, sf_dir):
-    r = table(spark, sf_dir, "region").filter("r_regionkey = 1").first().r_name
-    rows = graph.walk(_country_edges(spark, sf_dir), r, depth=2, limit=50)
-    return spark.createDataFrame([(x["hop"], x["src"], x["dst"], x["trail"]) for x in rows], "hop int, src string, dst string, trail string")
-
-
-@query(r"""WITH t AS (SELECT DISTINCT source AS file, lower(unnest(regexp_extract_all(text, '([A-Z][a-z]{5,})', 1))) AS entity FROM documents), g AS (SELECT entity, count(*) AS count FROM t GROUP BY 1)
- SELECT entity, count, CASE WHEN count >= 5 THEN 'god-node' WHEN count >= 2 THEN 'shared' ELSE 'isolated' END AS signal,
- (least(5, length(entity) // 3) + CASE WHEN length(entity) > 12 THEN 1 ELSE 0 END)::INT AS importance FROM g""")
-def gaps(spark, sf_dir):
-    t = sections(spark, sf_dir).select(F.col("source").alias("file"), F.explode(F.regexp_extract_all("content", F.lit("([A-Z][a-z]{5,})"), F.lit(1))).alias("e"))
-    g = t.groupBy(F.lower("e").alias("entity")).agg(F.countDistinct("file").alias("count"))
-    signal = F.when(F.col("count") >= 5, "god-node").when(F.col("count") >= 2, "shared").otherwise("isolated")
-    return g.select("entity", "count", signal.alias("signal"), X.entity_importance("entity").alias("importance"))
-
-
 # Tables over time --------------------------------------------------------------
 
 
-@query("""WITH a AS (SELECT o_orderkey AS k, sha256(o_orderstatus) AS h FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey AS k, sha256(CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END) AS h FROM orders WHERE o_orderkey % 7 <> 0)
- SELECT coalesce(a.k, b.k)::VARCHAR AS file_path, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.h = b.h THEN 'same' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.k = b.k""")
-def changed_diff(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    k = F.col("o_orderkey").cast("string").alias("file_path")
-    old = o.filter("o_orderkey % 3 <> 0").select(k, F.sha2("o_orderstatus", 256).alias("sha256"))
-    new = o.filter("o_orderkey % 7 <> 0").select(k, F.sha2(F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")), 256).alias("sha256"))
-    return scan.hash_diff(old, new)
-
-
 @query("""SELECT event_id, user_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS rank FROM events) WHERE rank <= 10""")
 def history_last10(spark, sf_dir):
     return index.history(table(spark, sf_dir, "events"), 10, ["user_id"], "ts", "event_id").select("event_id", "user_id", "rank")
@@ -356,62 +160,59 @@ def event_windows(spark, sf_dir):
     return event_counts(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 2))
 
 
-# Both indexes ------------------------------------------------------------------
-
-
-@query(r"""WITH b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '([a-z]{4,})', 1)) AS w FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '([a-z]{4,})', 1))) AS w FROM documents)
- SELECT doc_id, count(*) AS count FROM d WHERE w NOT IN (SELECT w FROM b) GROUP BY 1""")
-def drift(spark, sf_dir):
-    words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]{4,})"), F.lit(1))))
-    known = table(spark, sf_dir, "benchmark").select(words("text").alias("w")).distinct()
-    named = table(spark, sf_dir, "documents").select("doc_id", words("text").alias("w"))
-    return named.join(known, "w", "left_anti").groupBy("doc_id").agg(F.count("*").alias("count"))
+# Relational smoke ----------------------------------------------------------------
 
 
-@query(r"""WITH b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '([a-z]{4,})', 1)) AS w FROM benchmark), d AS (SELECT DISTINCT source, unnest(regexp_extract_all(lower(text), '([a-z]{4,})', 1)) AS w FROM documents)
- SELECT w, count(*) AS fan_in FROM d WHERE w NOT IN (SELECT w FROM b) GROUP BY 1 HAVING count(*) >= 2""")
-def coverage(spark, sf_dir):
-    words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]{4,})"), F.lit(1))))
-    said = table(spark, sf_dir, "benchmark").select(words("text").alias("w")).distinct()
-    used = table(spark, sf_dir, "documents").select("source", words("text").alias("w"))
-    return used.join(said, "w", "left_anti").groupBy("w").agg(F.countDistinct("source").alias("fan_in")).filter("fan_in >= 2")
+@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
+def pricing_summary(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
 
 
-# Rules and similarity -----------------------------------------------------------
+@query(rf"""SELECT doc_id, {SQL_PATH} AS file_path, len(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda x: x = 'der'))::INT AS count,
+ trim(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i){word_sql("der")}'))[1], ' ') AS match_line FROM documents WHERE regexp_matches(text, '(?i){word_sql("der")}')""")
+def mentions(spark, sf_dir):
+    return scan.mentions(sections(spark, sf_dir), "der", None).select("doc_id", "file_path", "count", "match_line")
 
 
-def _has(expr: str, terms: tuple[str, ...]) -> str:
-    return " OR ".join(f"contains({expr}, '{t}')" for t in terms) or "false"
+@query(r"""WITH l AS (SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS ls FROM documents),
+ f AS (SELECT doc_id, list_filter(ls, lambda x: length(x) > 10 AND NOT starts_with(x, '#') AND NOT starts_with(x, '-') AND NOT (starts_with(x, '*') AND length(x) < 40) AND NOT starts_with(x, '|') AND NOT starts_with(x, '```') AND NOT starts_with(x, '![') AND NOT regexp_matches(x, '^\[.+\]\(.+\)$'))[1] AS p,
+  regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(10), ' '), chr(13), ' '), '^\s+|\s+$', '', 'g'), '^#+\s*', ''), '^\s+|\s+$', '', 'g') AS flat FROM l),
+ s AS (SELECT doc_id, coalesce(p, CASE WHEN flat <> '' THEN flat END, '(no summary)') AS s FROM f) SELECT doc_id, CASE WHEN length(s) > 120 THEN s[1:120] || '...' ELSE s END AS summary FROM s""")
+def summary_line(spark, sf_dir):
+    return sections(spark, sf_dir).select("doc_id", X.summary_line("content").alias("summary"))
 
 
-def _roles_sql() -> str:
-    """Points by role from the same rules, as a union of conditions."""
-    arms = [f"SELECT doc_id, {i} AS i, '{role}' AS role, {n} AS n FROM d WHERE {_has('p', path)} OR {_has('t', title)} OR {_has('x', text)}" for i, (role, n, path, title, _, text, _w) in enumerate(hygiene.RULES)]
-    return f"""WITH d AS (SELECT doc_id, lower({SQL_PATH}) AS p, lower(source) AS t, lower(source || chr(10) || text) AS x FROM documents),
- s AS (SELECT doc_id, role, min(i) AS i, sum(n) AS n FROM ({" UNION ALL ".join(arms)}) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) AS k FROM s),
- w AS (SELECT d.doc_id, coalesce(max(CASE WHEN k = 1 THEN n END), 0) AS a, coalesce(max(CASE WHEN k = 2 THEN n END), 0) AS b, max(CASE WHEN k = 1 THEN role END) AS role FROM d LEFT JOIN r USING (doc_id) GROUP BY 1)
- SELECT doc_id, CASE WHEN a < 3 THEN 'unknown' WHEN b >= a - 1 AND b >= 3 THEN 'mixed' ELSE role END AS role,
- round(CASE WHEN a < 3 THEN 0.25 WHEN b >= a - 1 AND b >= 3 THEN 0.55 ELSE greatest(0, least(1, 0.45 + a / 10.0 - b / 20.0)) END::DOUBLE, 6) AS confidence FROM w"""
+@query(r"""SELECT doc_id, len(list_filter(string_split_regex(text, '[ \n\t]'), lambda x: x <> ''))::INT AS words FROM documents""")
+def word_counts(spark, sf_dir):
+    return sections(spark, sf_dir).select("doc_id", X.word_count("content").alias("words"))
 
 
-@query(_roles_sql())
-def doc_roles(spark, sf_dir):
-    d = sections(spark, sf_dir).select("doc_id", "file_path", F.col("source").alias("title"), F.array().cast("array<string>").alias("tags"), F.lit(0).alias("backlinks"), F.concat_ws("\n", "source", "content").alias("text"))
-    return hygiene.with_roles(d).select("doc_id", "role", F.round("role_confidence", 6).alias("confidence"))
+@query(r"""SELECT doc_id, (2 * len(list_filter([' should ', ' must ', ' always ', ' never ', ' when ', ' ensure ', ' requires ', ' depends on ', ' means that ', ' because ', ' therefore ', ' so that ', ' in order to ', ' consequence ', ' implies ', ' leads to '], lambda p: contains(lower(text), p)))
+ + len(list_filter([' is a ', ' are ', ' defines ', ' represents ', ' consists of ', ' handles ', ' processes '], lambda p: contains(lower(text), p))) - 2 * len(list_filter([' maybe ', ' perhaps ', ' i wonder ', ' not sure ', ' might ', ' could be ', ' i think ', '?'], lambda p: contains(lower(text), p)))
+ + 2 * len(regexp_extract_all(text, '\b\w+\.(fs|cs|js|ts|py|md)\b')) - CASE WHEN length(text) < 50 THEN 2 ELSE 0 END)::INT AS signal FROM documents""")
+def knowledge_signal(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.knowledge_signal("text").alias("signal"))
 
 
-@query("""WITH t AS (SELECT item_id AS k, unnest(list_distinct(regexp_extract_all(lower(text), '([a-z0-9]{3,})', 1))) AS w FROM benchmark), n AS (SELECT k, count(*) AS m FROM t GROUP BY 1),
- p AS (SELECT a.k, b.k AS o, count(*) AS c FROM t a JOIN t b ON a.w = b.w AND a.k <> b.k GROUP BY 1, 2), j AS (SELECT p.k, p.o, p.c / (x.m + y.m - p.c) AS s FROM p JOIN n x ON x.k = p.k JOIN n y ON y.k = p.o)
- SELECT k AS item_id, round(max(s), 6) AS similarity FROM j WHERE s >= 0.15 GROUP BY 1""")
-def section_similarity(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.lit("").alias("heading"), F.col("text").alias("content"))
-    return hygiene.similar_sections(b, "item_id").select("item_id", F.round("similarity", 6).alias("similarity"))
+@query(r"""WITH d AS (SELECT doc_id, text, CASE WHEN lang = 'en' THEN 'Context Snapshot' WHEN lang = 'de' THEN 'a wave' ELSE source END AS heading FROM documents)
+ SELECT doc_id, regexp_matches(text, '\b20\d{2}[-/]\d{2}[-/]\d{2}\b') AS dated, (CASE WHEN regexp_matches(lower(heading), 'status|progress|current|wave|gate|baseline|platform note|context snapshot') THEN 2 ELSE 0 END
+ + CASE WHEN regexp_matches(lower(heading || chr(10) || text), 'current status|current gate|active wave|delivered|tests baseline|current platform note|currently') THEN 2 ELSE 0 END
+ + CASE WHEN regexp_matches(lower(heading || chr(10) || text), 'tests|passing|baseline|wave|gate') THEN 1 ELSE 0 END)::INT AS score FROM d""")
+def status_scores(spark, sf_dir):
+    heading = F.when(F.col("lang") == "en", "Context Snapshot").when(F.col("lang") == "de", "a wave").otherwise(F.col("source"))
+    return sections(spark, sf_dir).select("doc_id", X.has_date("content").alias("dated"), X.status_score(heading, "content").alias("score"))
 
 
-# Relational smoke ----------------------------------------------------------------
+@query("""WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS h FROM orders WHERE o_orderstatus <> 'P'), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '2-HIGH' THEN 'X' ELSE o_orderstatus END AS h FROM orders WHERE o_orderpriority <> '1-URGENT')
+ SELECT coalesce(a.k, b.k)::VARCHAR AS file_path, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.h = b.h THEN 'same' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.k = b.k""")
+def changed_diff(spark, sf_dir):
+    """Two snapshots of the orders: settled ones, and later all but urgent ones, some of which were changed."""
+    o = table(spark, sf_dir, "orders")
+    k, status = F.col("o_orderkey").cast("string").alias("file_path"), F.col("o_orderstatus")
+    now = F.when((status == "O") & (F.col("o_orderpriority") == "2-HIGH"), "X").otherwise(status)
+    return scan.hash_diff(o.filter(status != "P").select(k, F.sha2(status, 256).alias("sha256")), o.filter("o_orderpriority <> '1-URGENT'").select(k, F.sha2(now, 256).alias("sha256")))
 
 
-@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
-def pricing_summary(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
-    return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+# The primitives of the two indexes and the triage register themselves.
+from sextant.plans import queries_code, queries_docs, queries_rules  # noqa: E402, F401

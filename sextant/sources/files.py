@@ -98,9 +98,59 @@ def in_scope(path: Column | str, dirs: list[str]) -> Column:
 
 
 def changed_paths(spark: SparkSession, repo: str, ref: str) -> DataFrame:
-    """Paths that git names as changed since a commit; empty where git fails."""
+    """Paths that git names as changed since a commit; where git fails, its words are the error."""
     run = subprocess.run(["git", "-C", repo, "diff", "--name-only", ref], capture_output=True, text=True)
-    return spark.createDataFrame([(p,) for p in run.stdout.splitlines() if p and run.returncode == 0], "file_path string")
+    if run.returncode:
+        raise ValueError(f"git diff {ref}: {run.stderr.strip()}")
+    return spark.createDataFrame([(p,) for p in run.stdout.splitlines() if p], "file_path string")
+
+
+def _tabbed(spark: SparkSession, path: str, least: int) -> tuple[DataFrame, Column]:
+    """The lines of a tab-separated file with `least` fields or more, and the fields."""
+    f = F.split("value", "\t")
+    return spark.read.text(path).filter(F.size(f) >= least), f
+
+
+def _list(x: Column) -> Column:
+    return F.filter(F.split(x, ","), lambda y: y != "")
+
+
+def legacy_imports(spark: SparkSession, path: str) -> DataFrame:
+    """(file_path, module) of a tab-separated file of the old kind."""
+    rows, f = _tabbed(spark, path, 2)
+    return rows.select(F.get(f, F.lit(0)).alias("file_path"), F.get(f, F.lit(1)).alias("module"))
+
+
+def legacy_type_refs(spark: SparkSession, path: str) -> DataFrame:
+    """(file_path, types): names apart by commas."""
+    rows, f = _tabbed(spark, path, 2)
+    return rows.select(F.get(f, F.lit(0)).alias("file_path"), _list(F.get(f, F.lit(1))).alias("types"))
+
+
+def legacy_links(spark: SparkSession, path: str) -> DataFrame:
+    """doc_links; an empty resolved target is null."""
+    rows, f = _tabbed(spark, path, 6)
+    names = ("source_file", "source_heading", "target_path", "target_resolved", "link_text")
+    cols = [F.get(f, F.lit(i)).alias(n) for i, n in enumerate(names)]
+    return rows.select(*cols, F.get(f, F.lit(5)).cast("int").alias("line")).withColumn("target_resolved", F.when(F.col("target_resolved") != "", F.col("target_resolved")))
+
+
+def legacy_frontmatters(spark: SparkSession, path: str) -> DataFrame:
+    """frontmatters, without the further keys, which the old kind doesn't keep."""
+    rows, f = _tabbed(spark, path, 6)
+    cols = [F.get(f, F.lit(i)).alias(n) for i, n in enumerate(("file_path", "id", "title", "status"))]
+    none = F.lit(None).cast("map<string,string>").alias("extra")
+    return rows.select(*cols, _list(F.get(f, F.lit(4))).alias("tags"), _list(F.get(f, F.lit(5))).alias("related"), none)
+
+
+def peer_index(spark: SparkSession, root: str, override: str | None = None, name: str = ".sextant-docs") -> str | None:
+    """Where the other index lies: the folder that was named, the index folder in it, or the one beside the repository's own; None without one."""
+    from sextant.plans.storage import read_text
+
+    for at in (override, f"{override}/{name}") if override else (f"{root}/{name}",):
+        if read_text(spark, f"{at}/current.json") is not None:
+            return at
+    return None
 
 
 def legacy_source(spark: SparkSession, path: str) -> DataFrame:

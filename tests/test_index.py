@@ -194,16 +194,19 @@ def test_hygiene_findings(spark):
     links = spark.createDataFrame([("docs/roadmap.md", "Current status", "x", "docs/current-status.md", "x", 1), ("docs/readme.md", "Current status", "x", "docs/current-status.md", "x", 1)], "source_file string, source_heading string, target_path string, target_resolved string, link_text string, line int")
     meta = spark.createDataFrame([], "file_path string, title string, tags array<string>")
     got = hygiene.findings(s, meta, links)
-    assert set(got.columns) == set(hygiene.COLUMNS)
+    assert got.columns == list(hygiene.COLUMNS)
     rows = got.collect()
-    assert {r.canonical_owner_candidate for r in rows} == {"docs/current-status.md"}
-    assert {r.source_file for r in rows if r.finding_type == "live_status_outside_owner"} >= {"docs/archive/old.md", "docs/roadmap.md"}
+    assert {r.canonical_owner_candidate for r in rows if r.finding_type == "live_status_triage"} == {"docs/current-status.md"}
+    assert {r.source_file for r in rows if r.finding_type == "live_status_triage"} >= {"docs/archive/old.md", "docs/roadmap.md"}
+    owner = [r for r in rows if r.finding_type == "canonical_owner_candidate"]
+    assert len(owner) == 1 and owner[0].source_file == "docs/current-status.md" and owner[0].evidence[0].startswith("Candidate score ")
+    assert {r.finding_type for r in rows} >= {"canonical_owner_candidate", "live_status_triage", "orphan_triage"} and all(r.why_flagged for r in rows)
     assert [r.confidence for r in rows] == sorted((r.confidence for r in rows), reverse=True)
 
 
 def test_section_triage(spark):
-    spec = "file_path string, role string, backlinks int, heading string, heading_path string, level int, content string, similarity double, near_name string, broken_here int, status_score int, has_status boolean, role_evidence array<string>"
-    case = lambda role, text, sim=0.0, broken=0, back=1, live=False: (f"{role}-{text}.md", role, back, "H", "H", 1, text, sim, "n", broken, 0, live, ["e"])
+    spec = "file_path string, role string, backlinks int, heading string, heading_path string, level int, content string, similarity double, near_name string, broken_here array<string>, status_score int, has_status boolean, role_evidence array<string>"
+    case = lambda role, text, sim=0.0, broken=0, back=1, live=False: (f"{role}-{text}.md", role, back, "H", "H", 1, text, sim, "n", ["x.md"] * broken, 0, live, ["e"])
     rows = [
         case("mixed", "an invariant that we must preserve"), case("mixed", "api json payload", 0.3), case("mixed", "plain words"),
         case("decision_index", "the linked target disagrees in this decision register"), case("decision_index", "register entry, broken link", broken=1),
@@ -355,11 +358,67 @@ def test_command_line(spark, tree, tmp_path, capsys):
     at = ["--index", str(tmp_path / "i")]
     assert cli.main([*at, "index-code", tree]) == 0 and cli.main([*at, "index-docs", tree]) == 0
     capsys.readouterr()
-    for command, word in (("status", "chunks"), ("history", "rank=2"), ("broken", "missing.md"), ("catalog", "docs"), ("modules", "app"), ("health", "orphans")):
-        assert cli.main([*at, command]) == 0
+    for command, word in (("status", "chunks"), ("history", "rank=2"), ("broken", "missing.md"), ("catalog", "docs"), ("modules", "app"), ("health", "orphans"), ("scopes", "")):
+        assert cli.main([*at, command, *([tree] if command == "health" else [])]) == 0
         assert word in capsys.readouterr().out
     assert cli.main([*at, "fn", "add", "find", "x", "grep(code, x, 5)"]) == 0 and cli.main([*at, "fn", "list"]) == 0
     assert "find(x)" in capsys.readouterr().out
     assert cli.main([*at, "--json", "eval", "find('helper')"]) == 0
     assert "core.py" in capsys.readouterr().out
     assert cli.main([*at, "fn", "rm", "find"]) == 0 and cli.main([*at, "fn", "rm", "find"]) == 1
+
+
+def test_summary_lines(spark):
+    get = lambda t: spark.range(1).select(X.summary_line(F.lit(t)).alias("x")).first().x
+    assert get("-dash without a space, long\nthe line that counts") == "the line that counts"
+    assert get("* a short one of stars\nprose of some length here") == "prose of some length here"
+    assert get("* but a star line of more than forty characters is prose") == "* but a star line of more than forty characters is prose"
+    assert get("[a](b) and [c](d)\n\t a line with tabs about it \t") == "a line with tabs about it"
+    assert get("## Short") == "Short" and get("#\n") == "(no summary)" and get("") == "(no summary)"
+    assert get("x" * 130) == "x" * 120 + "..."
+
+
+def test_drift_tokens(spark):
+    s = spark.createDataFrame([("c", "d.md", "H", "see My.Core.fs, 2fa.py, Foo_Bar.bazzy, Foo.Do, Known.member, Lost.member and Core.fs; Core.fs")], "chunk_id string, file_path string, heading string, content string")
+    chunks = spark.createDataFrame([("1", "src/Core.fs", "M", "Known")], "chunk_id string, file_path string, module string, name string")
+    assert bridge.drift(s, chunks).first().missing_symbols == "My.Core.fs, 2fa.py, My.Core, Foo_Bar.bazzy, Lost.member"
+
+
+def test_legacy_tables(spark, tmp_path):
+    (tmp_path / "i.tsv").write_text("a.py\tos\nshort\n")
+    (tmp_path / "t.tsv").write_text("a.py\tCore,,Thing\n")
+    (tmp_path / "l.tsv").write_text("a.md\tH\tb.md\t\tb\t3\na.md\tH\tc.md\tc.md\tc\t4\nx\ty\n")
+    (tmp_path / "f.tsv").write_text("a.md\tid\tT\tdraft\tx,y\t\n")
+    assert [tuple(r) for r in files.legacy_imports(spark, str(tmp_path / "i.tsv")).collect()] == [("a.py", "os")]
+    assert files.legacy_type_refs(spark, str(tmp_path / "t.tsv")).first().types == ["Core", "Thing"]
+    assert [(r.target_resolved, r.line) for r in files.legacy_links(spark, str(tmp_path / "l.tsv")).orderBy("line").collect()] == [(None, 3), ("c.md", 4)]
+    f = files.legacy_frontmatters(spark, str(tmp_path / "f.tsv")).first()
+    assert (f.title, f.tags, f.related) == ("T", ["x", "y"], [])
+
+
+def test_peer_index_and_text_search(spark, found, config, tmp_path):
+    root = tmp_path / "repo"
+    assert files.peer_index(spark, str(root)) is None
+    provider = embeddings.Hashed(32)
+    cat = Catalog(spark, str(root / ".sextant-docs"))
+    index.build_docs_index(cat, found, config, provider)
+    assert files.peer_index(spark, str(root)) == files.peer_index(spark, "elsewhere", str(root)) == str(root / ".sextant-docs")
+    assert files.peer_index(spark, "elsewhere", str(root / ".sextant-docs")) == str(root / ".sextant-docs") and files.peer_index(spark, "elsewhere", str(tmp_path)) is None
+
+    class Counting(embeddings.Hashed):
+        def embed(self, texts):
+            raise embeddings.Fault("refused", "nothing should be asked again")
+
+    index.build_docs_index(cat, found, config, Counting(32))  # every vector is kept
+    assert cat.table("doc_vectors").filter("emb is null").count() == 0
+    source, vectors = cat.table("doc_source"), cat.table("doc_vectors")
+    assert index.search_text("docs/wiki.md Only an opening, nothing links out of here at all.", source, vectors, provider, limit=1).first().file_path == "docs/wiki.md"
+    got = index.check(index.check_text("A paragraph that is long enough to be looked at.\n\nshort", source, vectors, provider)).collect()
+    assert sum(r["count"] for r in got) == 1
+    index.save_session(spark, str(tmp_path / "s"), "mine", {"R1": "a", "R2": "b"})
+    assert [tuple(r) for r in index.sessions(spark, str(tmp_path / "s")).collect()] == [("mine", 2)]
+
+
+def test_git_failures_are_told(spark, tmp_path):
+    with pytest.raises(ValueError, match="git diff"):
+        files.changed_paths(spark, str(tmp_path), "HEAD")
