@@ -7,13 +7,14 @@ it (a skip), the classes of both (a bigram of classes), and the classes of the w
 with the previous word, and with the word before it. Within a group, add-one counts over all training tokens, one place being
 for unknown words, so that the probabilities of all words and of an unknown one sum to one.
 
-The tables of hashed features grow with the corpus: two rows for each distinct training word, up to 2 ** MOST_BITS rows (a model of
-2 ** MOST_BITS * (CLASSES + GROUPS) floats, 42 MB, is what a broadcast bears; beyond it more histories share a row).
+The tables of hashed features grow with the corpus: a row or more for each distinct training word, up to 2 ** MOST_BITS rows (a model of
+2 ** MOST_BITS * (CLASSES + GROUPS) numbers, 21 MB as they travel, is what a broadcast bears; beyond it more histories share a row).
 
 Training: bias terms start at the counts' shares, then every training text is seen once, in ROUNDS slices.
 In a round each task starts from the shared weights, makes mini-batch gradient updates over its texts, and hands
 out what it changed, by row with how often it met the row. Changes are averaged by these numbers, in blocks on the executors, so that
-a history that few tasks meet isn't thinned out by the others; the model goes to the next round. A round has TASKS tasks at most.
+a history that few tasks meet isn't thinned out by the others; the model goes to the next round. A task has TOKENS tokens or more, so that what it hands out is
+in proportion to what it reads; a round has TASKS tasks at most.
 
 Counts are exact and grow with the corpus: words are counted by 64-bit hash within a task, then by a shuffle. The most
 frequent words, HEAD at most, travel as arrays; the tokens of all others are looked up by a join on the word, with
@@ -43,7 +44,9 @@ LEAST_BITS, MOST_BITS = 12, 17
 WORDS, ENDINGS, OTHERS = 15, 40, 8
 CLASSES = 1 + WORDS + ENDINGS + OTHERS
 GROUPS = 16
-ROUNDS, TASKS, BATCH, RATE = 3, 4096, 4096, 1.0
+ROUNDS, BATCH, RATE = 3, 4096, 1.0
+#: Training tokens of a task (over all rounds), and the most tasks of a round.
+TOKENS, TASKS = 1_500_000, 4096
 #: Rows of a table that are averaged together.
 BLOCK = 512
 END = U64(0x1234567F00D5EED1)
@@ -83,6 +86,14 @@ class Model:
     n: int
     v: int
 
+    def packed(self) -> Model:
+        """With the tables in half precision, as they travel."""
+        return Model(**{**vars(self), "by_class": self.by_class.astype(np.float16), "by_group": self.by_group.astype(np.float16)})
+
+    def unpacked(self) -> Model:
+        """A copy to work with."""
+        return Model(**{**vars(self), "by_class": self.by_class.astype(np.float32), "by_group": self.by_group.astype(np.float32), "class_bias": self.class_bias.copy()})
+
     def classes(self, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
         c = np.where(endings < 0, 0, self.ending_class[endings])
         if len(self.tops):
@@ -242,7 +253,7 @@ def start(counts: DataFrame) -> Model:
     sort = np.argsort(tops)
     h = head["word"].to_numpy(np.int64).view(U64)
     by_hash = np.argsort(h)
-    bits = min(MOST_BITS, max(LEAST_BITS, (2 * kinds - 1).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (kinds - 1).bit_length()))
     model = Model(
         tops[sort], 1 + sort, ending_class, h[by_hash], head["n"].to_numpy(np.int64)[by_hash], np.zeros((CLASSES, GROUPS)),
         np.zeros((1 << bits, CLASSES), np.float32), np.zeros((1 << bits, GROUPS), np.float32), np.zeros(CLASSES, np.float32), np.zeros((CLASSES, GROUPS), np.float32), total, kinds,
@@ -280,11 +291,11 @@ def group_sizes(counts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray
 
 def one_round(docs: DataFrame, model: Model, rate: float) -> Model:
     """Local gradient updates in every task, then the mean of the tasks' changes, row by row by how often each met the row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.packed())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old = shared.value
-        m = Model(**{**vars(old), "by_class": old.by_class.copy(), "by_group": old.by_group.copy(), "class_bias": old.class_bias.copy()})
+        m = old.unpacked()
         met = np.zeros(len(m.by_class), np.float32), np.zeros(len(m.by_group), np.float32)
         n = 0
         for _, _, _, data, offsets in _chunks(batches, 0):
@@ -317,9 +328,10 @@ def one_round(docs: DataFrame, model: Model, rate: float) -> Model:
         at = np.flatnonzero(weight)
         return pd.DataFrame({"block": rows["block"].iloc[:1], "rows": [at.astype(np.uint16).tobytes()], "change": [(total[at] / weight[at, None]).astype(np.float16).tobytes()]})
 
-    some = docs.select("text").coalesce(TASKS)
+    some = docs.select("text").coalesce(max(1, min(TASKS, model.n // TOKENS)))
     got = some.mapInArrow(run, "block long, rows binary, met binary, change binary").groupBy("block").applyInPandas(mean, "block long, rows binary, change binary").toPandas()
-    out = Model(**{**vars(model), "by_class": model.by_class.copy(), "by_group": model.by_group.copy(), "class_bias": model.class_bias.copy()})
+    shared.destroy()  # every task of the round is done
+    out = model.unpacked()
     for block, rows, change in zip(got["block"], got["rows"], got["change"], strict=True):
         at, x = np.frombuffer(rows, np.uint16), np.frombuffer(change, np.float16)
         if block < 0:
@@ -342,11 +354,11 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_tokens, n_known, train_tokens, base_score, score), scores in log10."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.packed())
     names = ["word", "row", "doc_id", "n_tokens", "tail", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, row = shared.value, TaskContext.get().partitionId() << 33
+        m, row = shared.value.unpacked(), TaskContext.get().partitionId() << 33
         floor = np.log10(m.n + m.v + 1)
         for b, x, y, data, offsets in _chunks(batches, 1):
             h, e, first = stream(data, offsets)
