@@ -3,12 +3,12 @@
 P(word | history) = P(class | history) * P(group | class, history) * P(word | group). Classes: the end of a text, the most frequent words
 one by one, the heaviest two-byte endings, and hashed shares of the other endings; but for those of one word, a class is dealt into
 GROUPS groups by the word's hash. Both factors are softmaxes over hashed features. Of the class: the previous word, the word before
-it (a skip), the classes of both (a bigram of classes), and the classes of the words one and three back (a skip bigram). Of the group: the class
-with the previous word, and with the word before it. Within a group, add-one counts over all training tokens, one place being
+it (a skip), and the classes of both (a bigram of classes). Of the group: the class with the previous word, and with the word before it (a
+bigram and a skip bigram). Within a group, add-one counts over all training tokens, one place being
 for unknown words, so that the probabilities of all words and of an unknown one sum to one.
 
 The tables of hashed features grow with the corpus: a row or more for each distinct training word, up to 2 ** MOST_BITS rows (a model of
-2 ** MOST_BITS * (CLASSES + GROUPS) numbers, 21 MB as they travel, is what a broadcast bears; beyond it more histories share a row).
+2 ** MOST_BITS * (CLASSES + GROUPS) numbers, 8 MB as they travel, is what a broadcast bears; beyond it more histories share a row).
 
 Training: bias terms start at the counts' shares, then every training text is seen once, in ROUNDS slices.
 In a round each task starts from the shared weights, makes mini-batch gradient updates over its texts, and hands
@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from sextant.llm.common import U64, crc_mod, cut, groups, mix, read_table, text_bytes, tokens
 
 HEAD = 1 << 17
-LEAST_BITS, MOST_BITS = 12, 17
-WORDS, ENDINGS, OTHERS = 15, 40, 8
+LEAST_BITS, MOST_BITS = 12, 16
+WORDS, ENDINGS, OTHERS = 15, 24, 8
 CLASSES = 1 + WORDS + ENDINGS + OTHERS
 GROUPS = 16
 ROUNDS, BATCH, RATE = 3, 4096, 1.0
@@ -52,7 +52,7 @@ BLOCK = 512
 END = U64(0x1234567F00D5EED1)
 _LOW = np.arange(256)
 _LOW[65:91] += 32
-_FEATURES = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+_FEATURES = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 
 
 def stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +102,7 @@ class Model:
         return c
 
     def features(self, hashes: np.ndarray, cls: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """Rows of each token's history, four of by_class and two of by_group; histories don't cross texts."""
+        """Rows of each token's history, three of by_class and two of by_group; histories don't cross texts."""
         n = len(hashes)
         place = np.arange(n) - np.repeat(first[:-1], np.diff(first))
         c = (cls + 1).astype(U64)
@@ -112,17 +112,16 @@ class Model:
             y[k:] = x[:-k] if k < n else x[:0]
             return np.where(place >= k, y, U64(0)) if k < n else np.zeros_like(x)
 
-        c1, c2, c3 = back(c, 1), back(c, 2), back(c, 3)
         w1, w2 = back(hashes, 1), back(hashes, 2)
-        raw = (w1, w2, mix(c1 + c2 * U64(1009)), mix(c1 * U64(31) + c3 * U64(7919)), mix(w1 + c * U64(100003)), mix(w2 + c * U64(300007)))
+        raw = (w1, w2, mix(back(c, 1) + back(c, 2) * U64(1009)), mix(w1 + c * U64(100003)), mix(w2 + c * U64(300007)))
         shift = U64(64 - (len(self.by_class) - 1).bit_length())
-        return [(((x + U64(k + 1)) * _FEATURES[k]) >> shift).astype(np.int32) for k, x in enumerate(raw)]
+        return [(((x + U64(k + 1)) * _FEATURES[k]) >> shift).astype(np.uint16) for k, x in enumerate(raw)]  # sorted fast
 
     def class_logits(self, rows: list[np.ndarray]) -> np.ndarray:
-        return _logits(self.by_class, rows[:4], self.class_bias)
+        return _logits(self.by_class, rows[:3], self.class_bias)
 
     def group_logits(self, rows: list[np.ndarray], cls: np.ndarray) -> np.ndarray:
-        return _logits(self.by_group, rows[4:], self.group_bias[cls])
+        return _logits(self.by_group, rows[3:], self.group_bias[cls])
 
     def log10(self, rows: list[np.ndarray], cls: np.ndarray, group: np.ndarray) -> np.ndarray:
         """Of each token, log10 of the probability of its class and group; classes of one word have no groups."""
@@ -140,14 +139,14 @@ class Model:
         for a in range(0, len(cls), BATCH):
             some, c = [r[a : a + BATCH] for r in rows], cls[a : a + BATCH]
             p = _errors(self.class_logits(some), c)
-            for r in some[:4]:
+            for r in some[:3]:
                 _step(self.by_class, r, p, rate, met[0])
             self.class_bias -= rate / np.sqrt(len(c)) * p.sum(0) * 0.1
             m = np.flatnonzero(c > WORDS)
             if len(m):
                 some = [r[m] for r in some]
                 p = _errors(self.group_logits(some, c[m]), group[a : a + BATCH][m])
-                for r in some[4:]:
+                for r in some[3:]:
                     _step(self.by_group, r, p, rate, met[1])
 
 
@@ -174,11 +173,24 @@ def _errors(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
 def _step(table: np.ndarray, rows: np.ndarray, errors: np.ndarray, rate: float, met: np.ndarray) -> None:
     order = np.argsort(rows, kind="stable")
     at = rows[order]
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    count = np.diff(np.r_[first, len(at)]).astype(np.float32)
-    g = np.add.reduceat(errors[order], first, axis=0)
-    table[at[first]] -= (rate / np.sqrt(count + 4))[:, None] * g
-    met[at[first]] += count
+    new = np.empty(len(at) + 1, bool)
+    new[0] = new[-1] = True
+    np.not_equal(at[1:], at[:-1], out=new[1:-1])
+    lone = new[:-1] & new[1:]  # rows that the batch has once need no sum
+    i = order[lone]
+    alone = at[lone]
+    table[alone] -= (rate / np.sqrt(5)).astype(np.float32) * errors[i]
+    met[alone] += 1
+    many = ~lone
+    if many.any():
+        at, order = at[many], order[many]
+        first = np.flatnonzero(new[:-1][many])
+        count = np.diff(np.append(first, len(at))).astype(np.float32)
+        g = np.add.reduceat(errors[order], first, axis=0)
+        g *= (rate / np.sqrt(count + 4))[:, None]
+        at = at[first]
+        table[at] -= g
+        met[at] += count
 
 
 def groups_of(hashes: np.ndarray) -> np.ndarray:
