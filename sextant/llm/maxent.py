@@ -47,8 +47,8 @@ GROUPS = 16
 ROUNDS, BATCH, RATE = 3, 4096, 1.0
 #: Training tokens of a task (over all rounds), and the most tasks of a round.
 TOKENS, TASKS = 1_500_000, 4096
-#: Rows of a table that are averaged together.
-BLOCK = 512
+#: Rows of a table that are averaged together, and the largest logit.
+BLOCK, EDGE = 512, 40.0
 END = U64(0x1234567F00D5EED1)
 _LOW = np.arange(256)
 _LOW[65:91] += 32
@@ -151,23 +151,27 @@ class Model:
 
 
 def _logits(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-    z = table[rows[0]]
+    """Sums of the rows, held within EDGE so that their exponentials need no scaling."""
+    z = np.take(table, rows[0], axis=0)
     for r in rows[1:]:
-        z += table[r]
+        z += np.take(table, r, axis=0)
     z += bias
-    z -= z.max(1, keepdims=True)
-    return z
+    return np.clip(z, -EDGE, EDGE, out=z)
 
 
 def _log_chosen(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    return z[np.arange(len(z)), chosen] - np.log(np.exp(z).sum(1))
+    """The logarithms of the softmax's chosen entries; z is used up."""
+    out = z[np.arange(len(z)), chosen]
+    np.exp(z, out=z)
+    return out - np.log(z @ np.ones(z.shape[1], np.float32))
 
 
 def _errors(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    p = np.exp(z)
-    p /= p.sum(1, keepdims=True)
-    p[np.arange(len(p)), chosen] -= 1
-    return p
+    """The softmax less one at the chosen entries, in place of z."""
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
+    z[np.arange(len(z)), chosen] -= 1
+    return z
 
 
 def _step(table: np.ndarray, rows: np.ndarray, errors: np.ndarray, rate: float, met: np.ndarray) -> None:
