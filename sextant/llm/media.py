@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from sextant.llm.common import read_table
 
 WIDTH = 64
+#: Bytes of media that are handled at a time.
+RUN = 32 << 20
 _HEADER = re.compile(rb"(?:\s|#[^\n]*\n)*(\d+)")
 
 
@@ -145,15 +147,27 @@ def text_to_media(payload: bytes) -> bytes:
     return encode_ppm(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 3), f"bytes {n}")
 
 
+def _runs(values: pa.Array) -> Iterator[tuple[int, int]]:
+    """Begins and lengths of runs of binary values of about RUN bytes together, one value at least, 512 at most."""
+    size = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in values], np.int64)
+    ends = np.cumsum(size)
+    a = 0
+    while a < len(size):
+        past = ends[a] - size[a] + RUN
+        n = max(1, min(512, int(np.searchsorted(ends, past, "right")) - a))
+        yield a, n
+        a += n
+
+
 def store_texts(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, media): each text's bytes stored as an image."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.binary()) if not pa.types.is_binary(b.column(1).type) else b.column(1)
-            for a in range(0, len(texts), 512):  # few at a time, whatever the batch size
-                media = [text_to_media(x.as_py() or b"") for x in texts.slice(a, 512)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, 512), pa.array(media, pa.binary())], ["doc_id", "media"])
+            for a, n in _runs(texts):
+                media = [text_to_media(x.as_py() or b"") for x in texts.slice(a, n)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, n), pa.array(media, pa.binary())], ["doc_id", "media"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, media binary")
 
@@ -163,8 +177,8 @@ def media_columns(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a in range(0, b.num_rows, 512):
-                part, out = b.slice(a, 512), []
+            for a, n in _runs(b.column(1)):
+                part, out = b.slice(a, n), []
                 for x in part.column(1):
                     try:
                         out.append(features(x.as_py() or b""))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import SPACE, cut, n_words, read_table
+from sextant.llm.common import SPACE, WORD, cut, n_words, read_table
 
 BUCKETS = 1024
 #: Up to so many sources, the table with a row for each is broadcast; beyond, it is joined by a shuffle.
@@ -30,9 +30,10 @@ OUT = ("size", "source_size", "target", "taken")
 
 
 def quality_weight(text: Column, size: Column) -> Column:
-    """A weight from 0.25 to 1: halved for texts under 20 words and for texts whose mean word length is unusual."""
+    """A weight from 0.25 to 1 that rises with a text's length and falls as its mean word length leaves that of prose. A better judge of
+    quality, such as a classifier's score, is passed to the operator as a column."""
     mean = F.length(text) / F.greatest(size, F.lit(1))
-    return F.when(size >= 20, 1.0).otherwise(0.5) * F.when(mean.between(3, 12), 1.0).otherwise(0.5)
+    return 0.25 + 0.75 * (size / (size + 20)) * F.exp(-F.abs(mean - 7) / 7)
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -101,14 +102,14 @@ def mix_sources(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (1,
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row as often as it is taken, a part as its first words joined by single spaces; the columns of docs."""
+    """The mix itself: each row as often as it is taken, a part as its first words with their spacing; the columns of docs."""
     keep = [F.col(c) for c in docs.columns]
     how = {"seed": 17, "quality": None, "weights": (1, 2, 3), "most": 3.0} | how
     taken = take(ranked(docs, how["seed"], how["quality"]), how["weights"], how["most"])
     whole = F.col("_epochs") + F.when(F.col("_part") == F.col("size"), F.lit(1)).otherwise(0)
     full = taken.filter("size > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(whole, F.lit(1))))).filter(whole > 0).select(*keep)
     some = taken.filter("_part > 0 and _part < size")
-    first = F.concat_ws(" ", F.slice(F.split(F.regexp_replace("text", f"^{SPACE}", ""), SPACE), 1, F.col("_part").cast("int")))
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"(?:{SPACE})?{WORD}"), F.lit(0)), 1, F.col("_part").cast("int")), "")
     return full.unionByName(some.withColumn("text", first).select(*keep))
 
 

@@ -43,7 +43,10 @@ def _places(rows: DataFrame, by: list[str], bucket: str, order: list) -> DataFra
 
 def stratified_shards(rows: DataFrame, shards: int = 16, seed: int = 5, key: str = "doc_id") -> DataFrame:
     """rows with doc_id and source: adds shard (0 to shards - 1) and slot (from 0, gapless in its shard)."""
-    rows = rows.drop(*OUT).withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
+    rows = rows.drop(*OUT)
+    # Rows without a key are shuffled by all that they hold, so that they don't lie in one range.
+    plain = [f.name for f in rows.schema.fields if f.dataType.typeName() in ("string", "long", "integer", "short", "double", "boolean", "date", "timestamp")]
+    rows = rows.withColumn("_h", F.when(F.col(key).isNull(), F.xxhash64(F.lit(seed), *plain)).otherwise(F.xxhash64(F.lit(seed), F.col(key))))
     rows = rows.withColumn("_hb", F.shiftrightunsigned("_h", 54).cast("int"))  # 2 ** 10 ranges
     rows = _places(rows, ["source"], "_hb", [F.col("_h"), F.col(key)])
     # Each source has a phase of its own, or sources of one size would come in bursts.
