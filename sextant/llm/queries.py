@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sextant.llm import divergence
+from sextant.llm.divergence import op12_divergence
 from sextant.llm.jaccard import op4_jaccard
 from sextant.llm.maxent import op1_maxent
 from sextant.llm.media import op8_media
 from sextant.llm.mixing import op10_mixing
+from sextant.llm.notices import op11_notices
 from sextant.llm.packing import op3_packing
 from sextant.llm.pii import op6_surrogates
 from sextant.llm.repeats import op2_repeats
@@ -19,7 +22,7 @@ from sextant.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_maxent, op2_repeats, op3_packing, op4_jaccard, op5_sharding, op6_surrogates, op7_syncmers, op8_media, op9_toxicity, op10_mixing)}
+    return {f.__name__: f for f in (op1_maxent, op2_repeats, op3_packing, op4_jaccard, op5_sharding, op6_surrogates, op7_syncmers, op8_media, op9_toxicity, op10_mixing, op11_notices, op12_divergence)}
 
 
 #: Links by counting shared shingles, components by reachability.
@@ -35,4 +38,4 @@ JACCARD_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(transla
 
 def oracle_sql() -> dict[str, str]:
     """The other operators depend on hashes, trained weights or image features that SQL doesn't have; tests/llm holds them against plain versions."""
-    return {"op4_jaccard": JACCARD_SQL}
+    return {"op4_jaccard": JACCARD_SQL, "op12_divergence": divergence.SQL}
