@@ -103,22 +103,66 @@ def walk(links: DataFrame, file: str, depth: int = 2, direction: str = "out") ->
     return graph.walk(edges, file, depth, depth * 10, depth * 10)  # no file can give more rows than the whole walk
 
 
-def gaps(source: DataFrame, scope: str = "", min_docs: int = 1, signal: str = "") -> DataFrame:
-    """Entities by the files that name them: god-node, shared or isolated. source (file_path, content)."""
-    names = source.select("file_path", F.explode(X.entity_refs("content")).alias("entity")).select("entity", X.file_stem("file_path").alias("file"))
-    if scope:
-        s = F.lit(scope).alias("s")
-        wanted = X.normalize_entity(s)
-        names = names.filter((F.col("entity") == wanted) | F.col("entity").startswith(F.concat(wanted, F.lit("."))) | F.startswith(wanted, F.concat("entity", F.lit("."))))
-    total = source.agg(F.countDistinct("file_path").alias("total_files"))
-    stems = source.select(F.lower(X.file_stem("file_path")).alias("_stem")).distinct()
-    out = names.groupBy("entity").agg(F.array_join(F.array_sort(F.collect_set("file")), ", ").alias("sources"), F.countDistinct("file").alias("count"))
-    out = out.join(stems, F.col("entity") == F.col("_stem"), "left").join(F.broadcast(total), F.lit(True))  # one row
+def entity_rows(source: DataFrame) -> DataFrame:
+    """(entity, file_path): what each file names, once. source (file_path, content)."""
+    return source.select("file_path", F.explode(X.entity_refs("content")).alias("entity")).distinct()
+
+
+def entity_table(named: DataFrame, files: DataFrame, sample: int | None = None) -> DataFrame:
+    """By entity: how many files name it, its signal and importance, and their names, or the first `sample` of them.
+
+    named (entity, file_path), files (file_path). With `sample`, no more than so many names of an entity are ever held together.
+    """
+    total = files.agg(F.countDistinct("file_path").alias("total_files"))
+    stems = files.select(F.lower(X.file_stem("file_path")).alias("_stem")).distinct()
+    names = named.select("entity", X.file_stem("file_path").alias("file")).distinct()
+    out = names.groupBy("entity").agg(F.count("*").alias("count"))
+    shown = names
+    if sample is not None:
+        shown = names.withColumn("_k", F.row_number().over(Window.partitionBy("entity").orderBy("file"))).filter(F.col("_k") <= sample)
+    shown = shown.groupBy("entity").agg(F.array_join(F.array_sort(F.collect_list("file")), ", ").alias("sources"))
+    out = out.join(shown, "entity").join(stems, F.col("entity") == F.col("_stem"), "left").join(F.broadcast(total), F.lit(True))  # one row
     god = F.greatest(F.lit(5), F.ceil(F.col("total_files") * 0.05))
     out = out.withColumn("signal", F.when(F.col("count") >= god, "god-node").when(F.col("count") >= 2, "shared").otherwise("isolated"))
-    out = out.withColumn("importance", X.entity_importance("entity", F.col("_stem").isNotNull())).drop("_stem")
-    out = out.filter(F.col("count") >= min_docs)
-    return out if not signal else out.filter(F.col("signal") == signal)
+    out = out.withColumn("importance", X.entity_importance("entity", F.col("_stem").isNotNull()))
+    return out.select("entity", "sources", "count", "total_files", "signal", "importance")
+
+
+def in_entity_scope(scope: str):
+    """Is the entity the scope, below it or above it?"""
+    wanted = X.normalize_entity(F.lit(scope))
+    return (F.col("entity") == wanted) | F.col("entity").startswith(F.concat(wanted, F.lit("."))) | F.startswith(wanted, F.concat("entity", F.lit(".")))
+
+
+def gaps(source: DataFrame, scope: str = "", min_docs: int = 1, signal: str = "") -> DataFrame:
+    """Entities by the files that name them: god-nodes first, then shared, then isolated ones; the most named, most important first.
+    source (file_path, content)."""
+    named = entity_rows(source)
+    out = entity_table(named.filter(in_entity_scope(scope)) if scope else named, source).filter(F.col("count") >= min_docs)
+    out = out if not signal else out.filter(F.col("signal") == signal)
+    kind = F.when(F.col("signal") == "god-node", 0).when(F.col("signal") == "shared", 1).otherwise(2)
+    return out.orderBy(kind, F.desc("count"), F.desc("importance"), "entity")
+
+
+def gaps_note(source: DataFrame, scope: str = "", min_docs: int = 1, signal: str = "") -> DataFrame:
+    """Why gaps() is empty, in one row (note, total_entities, total_files); no row where it isn't."""
+    named = entity_rows(source)
+    every = entity_table(named, source)
+    here = every.filter(in_entity_scope(scope)) if scope else every
+    fits = F.col("count") >= min_docs
+    fits = fits & (F.col("signal") == signal) if signal else fits
+    seen = here.agg(F.count("*").alias("matched"), F.coalesce(F.max(fits), F.lit(False)).alias("any"), F.array_join(F.array_sort(F.collect_set("signal")), ", ").alias("signals"))
+    of = named.agg(F.countDistinct("entity").alias("total_entities")).join(F.broadcast(source.agg(F.countDistinct("file_path").alias("total_files"))), F.lit(True))
+    none = F.lit("No cross-document entity references found.")
+    note = none
+    if signal:
+        note = F.format_string(f"No entities with signal '{signal}' found (minDocs={min_docs}). The index has %d entities across %d files.", "total_entities", "total_files")
+    if scope and signal:
+        note = F.format_string(f"Scope '{scope}' matched %d entities, but none have signal '{signal}'. Found signals: %s. Try gaps({{scope: '{scope}'}}) without signal filter.", "matched", "signals")
+    if scope:
+        lost = F.format_string(f"No entities matching scope '{scope}' found. The index has %d entities across %d files. Scope uses exact/prefix matching on normalized (lowercase) names — try a shorter prefix or gaps() with no scope to see available entities.", "total_entities", "total_files")
+        note = F.when(F.col("matched") == 0, lost).otherwise(note)
+    return of.join(F.broadcast(seen), F.lit(True)).filter(~F.col("any")).select(note.alias("note"), "total_entities", "total_files")  # one row on either side
 
 
 def cluster(vectors: DataFrame, threshold: float = 0.7) -> DataFrame:

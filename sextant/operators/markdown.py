@@ -13,6 +13,8 @@ from sextant.functions import text as X
 from sextant.schema import chunk_id
 
 HEADING = r"^(#{1,6})\s+(.+)$"
+#: Levels of headings; 0 is what stands before the first.
+LEVELS = 7
 
 
 def file_lines(files: DataFrame) -> DataFrame:
@@ -81,7 +83,7 @@ def sections(files: DataFrame, fence_aware: bool = False) -> DataFrame:
     level = F.when(F.col("_sec") == 0, 0).otherwise(F.length(F.regexp_extract("_head", HEADING, 1)))
     heading = F.when(F.col("_sec") == 0, F.coalesce(F.when(F.col("title") != "", F.col("title")), F.lit("(intro)"))).otherwise(F.trim(F.regexp_extract("_head", HEADING, 2)))
     s = s.withColumn("level", level.cast("int")).withColumn("heading", heading)
-    s = s.withColumn("heading_path", heading_path(Window.partitionBy("file_path").orderBy("_sec")))
+    s = with_heading_path(s, "file_path", "_sec")
     s = s.withColumn("content", F.trim("content")).withColumn("summary", X.summary_line("content")).withColumn("out_links", raw_links("content"))
     order = F.dense_rank().over(Window.partitionBy("file_path").orderBy("_sec")).cast("long")
     return s.select(
@@ -92,13 +94,21 @@ def sections(files: DataFrame, fence_aware: bool = False) -> DataFrame:
     )
 
 
-def heading_path(by) -> Column:
-    """The headings above a section and its own: those before it that nothing of their level or less has closed since."""
-    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = F.collect_list(F.struct(F.col("level").alias("l"), F.col("heading").alias("h"))).over(upto)
-    start = F.array().cast("array<struct<l:int,h:string>>")
-    stack = F.aggregate(seen, start, lambda acc, x: F.concat(F.filter(acc, lambda y: y["l"] < x["l"]), F.array(x)))
-    return F.array_join(stack["h"], " > ")
+def with_heading_path(rows: DataFrame, file: str, order: str, name: str = "heading_path") -> DataFrame:
+    """Adds the headings above a section and its own: those before it that nothing of their level or less has closed since.
+
+    The state of a row is the last heading of each level so far, so that a file of any number of headings takes linear time.
+    """
+    upto = Window.partitionBy(file).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = [f"_last{n}" for n in range(LEVELS)]
+    rows = rows.withColumns({c: F.max(F.when(F.col("level") == n, F.struct(F.col(order).alias("at"), F.col("heading").alias("h")))).over(upto) for n, c in enumerate(at)})
+    above = []
+    for n, c in enumerate(at):
+        stands = F.col("level") >= n
+        for lower in at[:n]:
+            stands = stands & (F.col(lower).isNull() | (F.col(lower)["at"] < F.col(c)["at"]))
+        above.append(F.when(stands, F.col(c)["h"]))
+    return rows.withColumn(name, F.array_join(F.array_compact(F.array(*above)), " > ")).drop(*at)
 
 
 def raw_links(content: Column | str) -> Column:

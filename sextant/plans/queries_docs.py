@@ -170,11 +170,8 @@ def md_embedding_text(spark, sf_dir):
  h AS (SELECT doc_id, n, line AS heading, (length(line) % 5)::INT AS level FROM l)
  SELECT a.doc_id, a.n::INT AS start_line, a.level, (SELECT string_agg(b.heading, ' > ' ORDER BY b.n) FROM h b WHERE b.doc_id = a.doc_id AND (b.n = a.n OR (b.n < a.n AND b.level < (SELECT min(c.level) FROM h c WHERE c.doc_id = a.doc_id AND c.n > b.n AND c.n <= a.n)))) AS path FROM h a""")
 def heading_path(spark, sf_dir):
-    from pyspark.sql import Window
-
     rows = line_table(spark, sf_dir).withColumn("level", (F.length("content") % 5).cast("int")).withColumn("heading", F.col("content"))
-    w = Window.partitionBy("doc_id").orderBy("start_line")
-    return rows.withColumn("path", markdown.heading_path(w)).select("doc_id", "start_line", "level", "path")
+    return markdown.with_heading_path(rows, "doc_id", "start_line", "path").select("doc_id", "start_line", "level", "path")
 
 
 # Windows and health --------------------------------------------------------------

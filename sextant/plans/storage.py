@@ -12,11 +12,20 @@ from pyspark.sql import functions as F
 from sextant.schema import TABLES, schema
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that spark.checkpoint.dir names; one of its own only where that is unset."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of its own only where that is unset and all tasks run in this process."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="checkpoint"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
