@@ -1,8 +1,8 @@
 """Source divergence audit: how far the vocabularies of a language's sources lie apart, by a byte-level tokenizer.
 
 Texts of a chunk are one UTF-8 buffer. A lookup table over its bytes marks those of terms (ASCII letters and everything beyond ASCII), and so
-the boundaries; a second one lower-cases A-Z. xxhash groups the slices, and every slice is then compared byte by byte with the first one of its
-group; those that differ are grouped anew, so that equal hashes never decide. Counts leave a task by term, not by hash, and are summed by
+the boundaries; a second one lower-cases A-Z. xxhash groups the slices (of those that are one and the same number of up to 8 bytes, one is hashed), and
+every hashed slice is then compared byte by byte with the first one of its group; those that differ are grouped anew, so that equal hashes never decide. Counts leave a task by term, not by hash, and are summed by
 the term's bytes.
 
 The terms in at least `least` documents of a language are its vocabulary. With count c of N in a group, and V terms, a term's share is
@@ -37,9 +37,11 @@ IN_TERM[:65] = IN_TERM[91:97] = IN_TERM[123:128] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+_UPTO = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
 SCALE, PRIOR = 1_000_000_000, 5
 #: Bytes of text that are tokenised at a time (a longer text alone), terms of a block, bytes that are compared at a time.
-CHUNK, BLOCK, COMPARE = 4 << 20, 4096, 1 << 20
+CHUNK, BLOCK, COMPARE = 8 << 20, 4096, 1 << 20
 
 
 def slices(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,10 +73,16 @@ def _differs(low: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) ->
     return out
 
 
-def same_slices(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashed=xxhash.xxh3_64_intdigest) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each slice, equal for equal bytes, and one slice of each number."""
+def packed(low: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Slices of up to 8 bytes as one number each. Terms have no zero bytes, so that equal numbers are equal slices."""
+    whole = np.concatenate([low, np.zeros(8, np.uint8)])
+    return np.ndarray(len(low) + 1, "<u8", whole, strides=(1,))[starts] & _UPTO[size]
+
+
+def grouped(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashed=xxhash.xxh3_64_intdigest) -> tuple[np.ndarray, np.ndarray]:
+    """Slices grouped by their hashes, each compared with the first of its group; those that differ are grouped anew."""
     whole = low.tobytes()
-    h = np.fromiter((hashed(whole[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+    h = np.fromiter(map(hashed, map(whole.__getitem__, map(slice, starts.tolist(), ends.tolist()))), np.uint64, len(starts))
     size, ids, shown, todo, base = ends - starts, np.empty(len(starts), np.int64), [], np.arange(len(starts)), 0
     while len(todo):
         _, first, which = np.unique(h[todo], return_index=True, return_inverse=True)
@@ -90,16 +98,37 @@ def same_slices(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashed=xx
     return ids, np.concatenate(shown) if shown else np.zeros(0, np.int64)
 
 
-def _counted(low: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+def same_slices(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashed=xxhash.xxh3_64_intdigest) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each slice, equal for equal bytes, and one slice of each number. Of short slices that are the same number, one is hashed."""
+    size = ends - starts
+    short, long = np.flatnonzero(size <= 8), np.flatnonzero(size > 8)
+    _, first, which = np.unique(packed(low, starts[short], size[short]), return_index=True, return_inverse=True)
+    chosen = np.concatenate([short[first], long])
+    found, shown = grouped(low, starts[chosen], ends[chosen], hashed)
+    ids = np.empty(len(starts), np.int64)
+    ids[short], ids[long] = found[: len(first)][which], found[len(first) :]
+    return ids, chosen[shown]
+
+
+def cut_out(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.BinaryArray:
+    """The slices as an Arrow column, without a Python object for each."""
+    size = ends - starts
+    offsets = np.zeros(len(size) + 1, np.int32)
+    np.cumsum(size, out=offsets[1:])
+    data = low[np.arange(int(offsets[-1])) + np.repeat(starts - offsets[:-1], size)]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _counted(low: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
     """Of the texts of a chunk: group, term, occurrences and documents, a row for each term of a group."""
     starts, ends, text = slices(low, offsets)
     ids, shown = same_slices(low, starts, ends)
     n = max(1, len(shown))
-    keys, count = np.unique(group[text] * n + ids, return_counts=True)
-    pairs = np.unique(text * n + ids)
-    _, docs = np.unique(group[pairs // n] * n + pairs % n, return_counts=True)
-    whole = [low[s:e].tobytes() for s, e in zip(starts[shown].tolist(), ends[shown].tolist(), strict=True)]
-    return keys // n, [whole[i] for i in (keys % n).tolist()], count, docs
+    # Each term of a text once, with its occurrences there; then by group.
+    pairs, each = np.unique(text * n + ids, return_counts=True)
+    keys, which, docs = np.unique(group[pairs // n] * n + pairs % n, return_inverse=True, return_counts=True)
+    count = np.bincount(which, each, len(keys)).astype(np.int64)
+    return keys // n, cut_out(low, starts[shown], ends[shown]).take(pa.array(keys % n)), count, docs
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -109,13 +138,13 @@ def term_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             names = {}
             group = np.array([names.setdefault(x, len(names)) for x in zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), strict=True)], np.int64)
-            names = list(names)
+            langs, sources = (pa.array(x, pa.string()) for x in zip(*names, strict=True)) if names else (pa.array([], pa.string()),) * 2
             data, offsets = text_bytes(batch["text"])
             for a, b in groups(offsets, CHUNK):
                 at = offsets[a : b + 1]
                 of, terms, n, k = _counted(LOWER[data[at[0] : at[-1]]], at - at[0], group[a:b])
-                of = of.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([names[g][0] for g in of], pa.string()), pa.array([names[g][1] for g in of], pa.string()), pa.array(terms, pa.binary()), pa.array(n, pa.int64()), pa.array(k, pa.int64())], ["lang", "source", "term", "n", "docs"])
+                of = pa.array(of)
+                yield pa.RecordBatch.from_arrays([langs.take(of), sources.take(of), terms, pa.array(n), pa.array(k)], ["lang", "source", "term", "n", "docs"])
 
     rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.col("text").cast("binary").alias("text"))
     found = rows.mapInArrow(run, "lang string, source string, term binary, n long, docs long").withColumn("term", F.col("term").cast("string"))
