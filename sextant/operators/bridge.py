@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.functions import text as X
-from sextant.operators.code import import_edges
-from sextant.operators.graph import fan
+from sextant.operators.code import fan_in
+from sextant.operators.contain import standing
 from sextant.operators.scan import first_distinct
 
 # What is read as a code file, and as a qualified member; words have letters of any script.
@@ -43,13 +43,14 @@ def drift(sections: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def coverage(chunks: DataFrame, imports: DataFrame, docs: DataFrame, min_fan_in: int = 2) -> DataFrame:
-    """Files imported at least so often whose stem (of three letters or more) and name no document has as a word.
-
-    Documents are tokenised once and joined by token: no pattern for each file.
-    """
-    f = fan(import_edges(chunks, imports)).filter(F.col("fan_in") >= min_fan_in).withColumnRenamed("node", "file_path").select("file_path", "fan_in")
-    words = docs.select(F.explode(F.array_distinct(F.concat(F.regexp_extract_all(F.lower("content"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), F.regexp_extract_all(F.lower("content"), F.lit(r"([\p{L}\p{N}_\-]+\.[\p{L}\p{N}]+)"), F.lit(1))))).alias("_w")).distinct()
-    rows = chunks.groupBy("file_path").agg(F.count("*").alias("chunks"), F.sum(F.col("end_line") - F.col("start_line") + 1).cast("long").alias("loc"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), first_distinct("name", 5).alias("top_symbols"))
-    rows = rows.join(f, "file_path").withColumn("_stem", F.when(F.length(X.file_stem("file_path")) >= 3, F.lower(X.file_stem("file_path"))))
-    rows = rows.join(words, F.col("_stem") == F.col("_w"), "left_anti").join(words, F.lower(X.file_name("file_path")) == F.col("_w"), "left_anti")
-    return rows.drop("_stem")
+    """Files, by name, that others import at least so often and no document names: neither the stem (of three letters or more) nor the
+    whole name stands between word borders, case aside. Those imported most come first."""
+    f = fan_in(chunks, imports).filter(F.col("fan_in") >= min_fan_in)
+    names = f.select("file", F.explode(F.array_distinct(F.array(F.lower("file"), F.when(F.length(X.file_stem("file")) >= 3, F.lower(X.file_stem("file"))).otherwise(F.lower("file"))))).alias("name"))
+    told = names.join(standing(names, docs.select(F.lower("content").alias("content"))), "name", "left_semi").select("file").distinct()
+    f = f.join(told, "file", "left_anti")
+    rows = chunks.withColumn("file", X.file_name("file_path")).join(f.select("file"), "file", "left_semi").groupBy("file").agg(
+        F.min_by("file_path", "ord").alias("file_path"), F.count("*").alias("chunks"), F.sum(F.col("end_line") - F.col("start_line") + 1).cast("long").alias("loc"),
+        F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), first_distinct("name", 5).alias("top_symbols"),
+    )
+    return rows.join(f, "file").select("file_path", "fan_in", "chunks", "loc", "kinds", "top_symbols").orderBy(F.desc("fan_in"), "file_path")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import text as X
-from sextant.operators import graph, scan
-from sextant.operators.scan import changed, explain_match, grep, neighborhood, search, similar  # noqa: F401
+from sextant.operators import contain, graph, scan
+from sextant.operators.scan import changed, explain_match, grep, search, similar  # noqa: F401
+from sextant.plans.storage import cut
 
 
 def context(chunks: DataFrame, imports: DataFrame, file: str) -> DataFrame:
@@ -39,9 +40,27 @@ def dependents_of(imports: DataFrame, pattern: str) -> DataFrame:
     return imports.filter(X.icontains("module", pattern)).select(X.file_name("file_path").alias("file")).distinct()
 
 
-def expand(chunks: DataFrame, source: DataFrame, chunk: str) -> DataFrame:
+def expand(chunks: DataFrame, source: DataFrame, chunk: str, imports: DataFrame | None = None) -> DataFrame:
+    """A chunk with its code; with imports, also what its file imports and the files that import a module which holds its file's stem."""
     out = chunks.filter(F.col("chunk_id") == chunk).join(source.select("chunk_id", F.col("content").alias("code")), "chunk_id", "left")
-    return out.withColumn("code", F.coalesce("code", F.lit("(source not loaded)")))
+    out = out.withColumn("code", F.coalesce("code", F.lit("(source not loaded)")))
+    if imports is None:
+        return out
+    one = out.select("chunk_id", F.col("file_path").alias("_path"), F.lower(X.file_stem("file_path")).alias("_stem"))  # one row
+    own = imports.join(F.broadcast(one), F.col("file_path") == F.col("_path")).groupBy("chunk_id").agg(F.array_sort(F.collect_list("module")).alias("imports"))
+    users = imports.join(F.broadcast(one), F.contains(F.lower("module"), F.col("_stem"))).groupBy("chunk_id").agg(F.array_sort(F.collect_set(X.file_name("file_path"))).alias("dependents"))
+    out = out.join(own, "chunk_id", "left").join(users, "chunk_id", "left")
+    none = F.array().cast("array<string>")
+    return out.withColumns({c: F.coalesce(c, none) for c in ("imports", "dependents")})
+
+
+#: The most chunks on either side of one that the code index shows.
+BESIDE = 5
+
+
+def neighborhood(chunks: DataFrame, chunk: str, before: int = 3, after: int = 3) -> DataFrame:
+    """A chunk's file around it, five chunks each way at most."""
+    return scan.neighborhood(chunks, chunk, min(before, BESIDE), min(after, BESIDE))
 
 
 def files(chunks: DataFrame, imports: DataFrame, pattern: str | None = None) -> DataFrame:
@@ -87,39 +106,95 @@ def callers(chunks: DataFrame, qualified: str, limit: int | None = 20) -> DataFr
     return scan.first(rows, limit).withColumn("match_line", lines)
 
 
-def reference_edges(chunks: DataFrame, names: DataFrame) -> DataFrame:
-    """(src, dst, ord): name src stands as a word in chunk dst. Words are exploded once and joined with the names."""
-    words = chunks.select("ord", F.col("name").alias("dst"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"([\p{L}_][\p{L}\p{N}_]*)"), F.lit(1)))).alias("src"))
-    return words.join(names.select(F.col("name").alias("src")).distinct(), "src").filter("src <> dst")
+def short_name(name: Column | str) -> Column:
+    return F.substring_index(X.col(name), ".", -1)
+
+
+def walk(chunks: DataFrame, name: str, depth: int = 2, limit: int = 5) -> DataFrame:
+    """References of references, depth first: (at, hop, chunk_id, name, file, line, match_line, trail), 3 * depth * limit rows at most.
 
+    The first `limit` chunks that hold a name as a word, other than those of that name, are its references; from each, the last segment of its name
+    is looked for next, if it is longer than two letters and no part of a split chunk. Each hop is one pass over the chunks: their words are
+    joined with the frontier, which has limit ** hop names at most.
+    """
+    spark = chunks.sparkSession
+    file = F.concat(F.lit(" ("), X.file_name("file_path"), F.lit(":"), F.col("start_line").cast("string"), F.lit(")"))
+    goes_on = (F.length(short_name("name")) > 2) & ~F.contains(short_name("name"), F.lit("_part"))
 
-def walk(chunks: DataFrame, name: str, depth: int = 2, limit: int = 5) -> list[dict]:
-    """References of references: a chunk's last dotted segment is looked for next."""
-    return graph.walk(reference_edges(chunks.withColumn("name", F.substring_index("name", ".", -1)), chunks.select(F.substring_index("name", ".", -1).alias("name"))), name, depth, limit)
+    def hop(frontier: DataFrame, k: int) -> DataFrame:
+        wanted = frontier.select("src", contain.key_run("src").alias("word"))
+        words = contain.words(chunks, "chunk_id", "ord", "name")
+        hits = words.join(wanted, "word").filter(F.col("name") != F.col("src"))
+        # A name of several words is verified where its longest word stands.
+        several = ~F.col("src").rlike(r"(?U)^\w+$")
+        odd = hits.filter(several).join(chunks.select("chunk_id", "content"), "chunk_id").filter(F.regexp_like("content", contain.word_pattern("src"))).drop("content")
+        hits = hits.filter(~several).unionByName(odd)
+        hits = graph.first_of(hits.select("src", "ord", F.col("chunk_id").alias("dst")), limit)
+        rows = hits.join(chunks.select(F.col("chunk_id").alias("dst"), "name", "file_path", "start_line", "content"), "dst")
+        line = F.trim(F.get(F.filter(X.lines("content"), lambda x: F.regexp_like(x, contain.word_pattern("src"))), F.lit(0)))
+        return rows.select("src", "ord", "dst", F.when(goes_on, short_name("name")).alias("next"), F.concat("name", file).alias("said"), "name", X.file_name("file_path").alias("file"), F.col("start_line").alias("line"), F.coalesce(line, F.lit("")).alias("match_line"))
+
+    start = spark.createDataFrame([(name,)], "src string")
+    edges = graph.reached(start, depth, hop)
+    rows = graph.depth_first(edges, start.withColumn("said", F.col("src")), depth, 3 * depth * limit, unseen=False).filter("dst is not null")
+    return rows.join(edges.select("src", "dst", "name", "file", "line", "match_line"), ["src", "dst"]).select("at", "hop", F.col("dst").alias("chunk_id"), "name", "file", "line", "match_line", "trail")
+
+
+def named_files(chunks: DataFrame) -> DataFrame:
+    """(file, stem): the names of files; stems of three letters or more are what an import is matched with."""
+    return chunks.select(X.file_name("file_path").alias("file")).distinct().withColumn("stem", F.lower(X.file_stem("file")))
 
 
 def import_edges(chunks: DataFrame, imports: DataFrame) -> DataFrame:
-    """(src, dst) between files: src imports a module whose last segment, or path, ends in dst's stem."""
-    stems = chunks.select("file_path").distinct().select(F.col("file_path").alias("dst"), F.lower(X.file_stem("file_path")).alias("stem"))
-    last = F.lower(F.regexp_replace(F.element_at(F.split("module", r"[./\\:]+"), -1), r"\.[^.]*$", ""))
-    return imports.select(F.col("file_path").alias("src"), last.alias("stem")).join(stems, "stem").filter("src <> dst").select("src", "dst")
+    """(src, dst) between the names of files, once: src imports a module that holds dst's stem anywhere, case aside."""
+    names = named_files(chunks)
+    said = imports.select(X.file_name("file_path").alias("src"), F.lower("module").alias("text")).distinct()
+    hits = contain.held(said.select("text"), names.select(F.col("stem").alias("part")))
+    return said.join(hits, "text").join(names.select(F.col("file").alias("dst"), F.col("stem").alias("part")), "part").filter("src <> dst").select("src", "dst").distinct()
+
+
+def fan_in(chunks: DataFrame, imports: DataFrame, compat: bool = False) -> DataFrame:
+    """(file, fan_in): how many imports of other files hold a file's stem; compat: 2 n - 1 for n, as an old counter had it.
+
+    Modules are counted before they are matched, so that one which a third of all files import is one row; a file's own imports are taken off."""
+    names = named_files(chunks)
+    n = imports.groupBy(F.lower("module").alias("text")).agg(F.count("*").alias("n"))
+    stem = F.lower(X.file_stem("file_path"))
+    own = imports.filter((F.length(stem) >= contain.GRAM) & F.contains(F.lower("module"), stem)).groupBy(X.file_name("file_path").alias("file")).agg(F.count("*").alias("own"))
+    hits = contain.held(n.select("text"), names.select(F.col("stem").alias("part"))).join(n, "text").groupBy("part").agg(F.sum("n").alias("n"))
+    out = names.join(hits, F.col("stem") == F.col("part")).join(own, "file", "left").select("file", (F.col("n") - F.coalesce("own", F.lit(0))).alias("fan_in")).filter("fan_in > 0")
+    return out.withColumn("fan_in", 2 * F.col("fan_in") - 1) if compat else out
 
 
 def hotspots(chunks: DataFrame, imports: DataFrame, by: str = "chunks", least: int = 1, compat: bool = False) -> DataFrame:
-    """By file: chunks, lines of code, imports in and out; those with `least` of `by`, most first."""
+    """By file of at least `least` chunks: chunks, lines of code, imports of it by others and its own, the most of `by` first."""
     rows = chunks.groupBy("file_path").agg(F.count("*").alias("chunks"), F.sum(F.col("end_line") - F.col("start_line") + 1).cast("long").alias("loc"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
-    f = graph.fan(import_edges(chunks, imports), compat).withColumnRenamed("node", "file_path")
-    rows = rows.join(f, "file_path", "left").fillna(0, ["fan_in", "fan_out"])
-    return rows.filter(F.col(by) >= least).orderBy(F.desc(by), "file_path")
-
-
-def trace(chunks: DataFrame, imports: DataFrame, start: str, goal: str) -> dict:
-    """The shortest import path between the files that define two names."""
-    found = {}
-    for name in (start, goal):
-        hit = chunks.filter(F.col("name") == name).orderBy("ord").limit(1).collect() or chunks.filter(X.icontains("name", name)).orderBy("ord").limit(1).collect()
-        if not hit:
-            return {"error": f"{name} not found"}
-        found[name] = hit[0].file_path
-    path = graph.shortest_path(import_edges(chunks, imports), found[start], found[goal])
-    return {"path": path, "length": len(path)} if path else {"error": "no path"}
+    rows = rows.filter(F.col("chunks") >= least).withColumn("file", X.file_name("file_path"))
+    out = imports.groupBy("file_path").agg(F.count("*").alias("fan_out"))
+    rows = rows.join(fan_in(chunks, imports, compat), "file", "left").join(out, "file_path", "left").fillna(0, ["fan_in", "fan_out"])
+    return rows.select("file_path", "chunks", "loc", "kinds", "fan_in", "fan_out").orderBy(F.desc(by), "file_path")
+
+
+def resolved_file(chunks: DataFrame, text: str) -> str | None:
+    """The name of the first file, in the index's order, whose name holds a text, case aside."""
+    hit = chunks.filter(X.icontains(X.file_name("file_path"), text)).orderBy("ord").limit(1).select(X.file_name("file_path").alias("f")).first()
+    return hit.f if hit else None
+
+
+def trace(chunks: DataFrame, imports: DataFrame, start: str, goal: str) -> DataFrame:
+    """The shortest way between two files over imports in either direction: (step, node, length, error), a row for each file, length in edges;
+    one row with the error where a text names no file or there is no way."""
+    spark = chunks.sparkSession
+    found = {t: resolved_file(chunks, t) for t in (start, goal)}
+
+    def error(text: str) -> DataFrame:
+        return spark.createDataFrame([(None, None, None, text)], "step int, node string, length int, error string")
+
+    for t, f in found.items():
+        if f is None:
+            return error(f"could not resolve '{t}' to a file")
+    a, b = found[start], found[goal]
+    path = cut(graph.shortest_path(import_edges(chunks, imports), a, b))
+    if path.isEmpty():
+        return error(f"no path from '{a}' to '{b}'")
+    return path.select("step", "node", (F.max("step").over(Window.partitionBy(F.lit(1))) - 1).alias("length"), F.lit(None).cast("string").alias("error"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import text as X
@@ -96,11 +96,31 @@ def paragraph_rows(texts: DataFrame, column: str = "text") -> DataFrame:
     return texts.withColumn("paragraph", F.explode(paragraphs(column)))
 
 
-def walk(links: DataFrame, file: str, depth: int = 2, direction: str = "out") -> list[dict]:
-    """Along resolved links, or against them: distinct files, depth first, until depth * 10 rows are found (which bounds what is collected)."""
+def walk(links: DataFrame, file: str, depth: int = 2, direction: str = "out") -> DataFrame:
+    """Along resolved links, or against them, depth first: (hop, src, path, via, trail).
+
+    A file is entered once, and none once depth * 10 rows are found; every file that an entered one leads to, and that wasn't entered before
+    it, is a row. Which files are entered depends on the first links of each only, so that all of them never meet in one task.
+    """
+    spark = links.sparkSession
+    most = depth * 10
     a, b = ("source_file", "target_resolved") if direction == "out" else ("target_resolved", "source_file")
-    edges = links.filter(F.col("target_resolved").isNotNull()).groupBy(F.col(a).alias("src"), F.col(b).alias("dst")).agg(F.min("line").alias("ord"))
-    return graph.walk(edges, file, depth, depth * 10, depth * 10)  # no file can give more rows than the whole walk
+    edges = links.filter(F.col("target_resolved").isNotNull()).groupBy(F.col(a).alias("src"), F.col(b).alias("dst")).agg(F.min(F.struct("line", "link_text")).alias("l"))
+    edges = edges.select("src", "dst", F.col("l.line").alias("ord"), F.col("l.link_text").alias("via"))
+
+    def told(path: Column, via: Column) -> Column:
+        return F.concat(X.file_name(path), F.lit(" ("), via, F.lit(")"))
+
+    def hop(frontier: DataFrame, k: int) -> DataFrame:
+        # Those entered before are left out, and they are `most` and one at most.
+        near = graph.first_of(edges.join(frontier, "src", "left_semi"), 2 * most + 2)
+        return near.select("src", "ord", "dst", F.col("dst").alias("next"), told(F.col("dst"), F.col("via")).alias("said"))
+
+    start = spark.createDataFrame([(file,)], "src string")
+    first = graph.reached(start, depth, hop)
+    entered = graph.depth_first(first, start.withColumn("said", X.file_name("src")), depth, most, unseen=True).filter("dst is null").select("src", "hop", "trail", "met")
+    rows = edges.join(entered, "src").filter(~F.expr("array_contains(met, dst)"))
+    return rows.select("hop", "src", F.col("dst").alias("path"), "via", F.concat("trail", F.lit(" → "), told(F.col("dst"), F.col("via"))).alias("trail"))
 
 
 def entity_rows(source: DataFrame) -> DataFrame:

@@ -1,84 +1,102 @@
-"""Paths and walks over edge tables, hop by hop; what a caller bounds (hops, hits) bounds what reaches the driver."""
+"""Paths and walks over edge tables, level by level. Levels are tables in the checkpoint folder: no row of them passes through the driver, plans
+stay short, and a lost executor costs one level."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sextant.plans.storage import cut
+
 
-def shortest_path(edges: DataFrame, start: str, goal: str) -> list[str]:
-    """A shortest path in an undirected graph (src, dst), the least parent first; [] where there is none.
+def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
+    """(step, node): a shortest path in an undirected graph (src, dst), the least parent first; no row where there is none.
 
     Breadth first, until the goal is found or no node is new: each level is a join of the frontier with the edges; visited nodes are
-    taken out by an anti-join. As edges go both ways, those are in the frontier or the level before it. Levels are written to the
-    checkpoint folder, so that plans stay short and a lost executor costs one level.
+    taken out by an anti-join. As edges go both ways, those are in the frontier or the level before it.
     """
-    from sextant.plans.storage import cut
-
+    spark = edges.sparkSession
+    first = spark.createDataFrame([(start, None)], "node string, parent string")
     if start == goal:
-        return [start]
+        return first.select(F.lit(1).alias("step"), "node")
     both = cut(edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).distinct())
-    spark = edges.sparkSession
-    levels = [spark.createDataFrame([(start, None)], "node string, parent string")]
+    levels = [first]
     while True:
         nxt = levels[-1].select(F.col("node").alias("src")).join(both, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         for seen in levels[-2:]:
             nxt = nxt.join(seen.select("node"), "node", "left_anti")
         nxt = cut(nxt)
-        if nxt.limit(1).count() == 0:
-            return []
+        if nxt.isEmpty():
+            return first.limit(0).select(F.lit(1).alias("step"), "node")
         levels.append(nxt)
-        if nxt.filter(F.col("node") == goal).limit(1).count():
+        if not nxt.filter(F.col("node") == goal).isEmpty():
             break
-    path = [goal]
-    for level in reversed(levels[1:]):
-        path.append(level.filter(F.col("node") == path[-1]).first().parent)
-    return path[::-1]
-
-
-def bounded_edges(edges: DataFrame, start: str, depth: int, fan: int) -> dict[str, list]:
-    """For each name reached within depth hops, its first `fan` edges (src, dst, ord, more): depth * fan names at most a hop."""
-    rows: dict[str, list] = {}
-    frontier = [start]
-    for _ in range(depth):
-        ask = [x for x in dict.fromkeys(frontier) if x not in rows]
-        if not ask:
-            break
-        hit = edges.filter(F.col("src").isin(ask))
-        hit = hit.withColumn("_k", F.row_number().over(Window.partitionBy("src").orderBy("ord"))).filter(F.col("_k") <= fan).drop("_k")
-        for name in ask:
-            rows[name] = []
-        frontier = []
-        for r in hit.orderBy("src", "ord").collect():
-            rows[r.src].append(r)
-            frontier.append(r.dst)
-    return rows
-
-
-def walk(edges: DataFrame, start: str, depth: int = 2, limit: int = 5, most: int | None = None) -> list[dict]:
-    """Depth first from a name: every edge met is a row with its hop and trail; a name is entered once."""
-    rows = bounded_edges(edges, start, depth, limit)
-    most = depth * limit * 3 if most is None else most
-    out: list[dict] = []
-    seen = set()
-
-    def visit(name: str, hop: int, trail: list[str]) -> None:
-        if hop > depth or name in seen or len(out) >= most:
-            return
-        seen.add(name)
-        for r in rows.get(name, []):
-            if len(out) >= most:
-                return
-            out.append({"hop": hop, "src": name, "dst": r.dst, "trail": " → ".join([*trail, r.dst])})
-            visit(r.dst, hop + 1, [*trail, r.dst])
+    # Back from the goal: one row a level.
+    at = levels[-1].filter(F.col("node") == goal)
+    path = at.select(F.lit(len(levels)).alias("step"), "node")
+    for k in range(len(levels) - 1, 0, -1):
+        at = cut(levels[k - 1].join(at.select(F.col("parent").alias("node")), "node", "left_semi"))
+        path = path.union(at.select(F.lit(k).alias("step"), "node"))
+    return path
+
 
-    visit(start, 1, [start])
+def reached(start: DataFrame, depth: int, hop: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """The edges of all names within `depth` hops. start (src); hop gives a frontier's edges, a row each, with src and, where the walk may go on, next."""
+    frontier, known, out = start, start, None
+    for k in range(1, depth + 1):
+        found = cut(hop(frontier, k))
+        out = found if out is None else out.unionByName(found)
+        frontier = found.select(F.col("next").alias("src")).filter("src is not null").distinct().join(known, "src", "left_anti")
+        if k < depth:
+            frontier = cut(frontier)
+            known = known.union(frontier)
     return out
 
 
-def fan(edges: DataFrame, compat: bool = False) -> DataFrame:
-    """(node, fan_in, fan_out) of an edge table (src, dst); compat: 2 n - 1 for n, as an old counter had it."""
-    i = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("fan_in"))
-    o = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("fan_out"))
-    out = i.join(o, "node", "full_outer").fillna(0, ["fan_in", "fan_out"])
-    return out.withColumn("fan_in", F.when(F.col("fan_in") > 0, 2 * F.col("fan_in") - 1).otherwise(0)) if compat else out
+def first_of(edges: DataFrame, fan: int) -> DataFrame:
+    """The first `fan` edges of each src, by ord, then dst."""
+    return edges.withColumn("_k", F.row_number().over(Window.partitionBy("src").orderBy("ord", "dst"))).filter(F.col("_k") <= fan).drop("_k")
+
+
+ENTRIES = "at int, hop int, src string, dst string, trail string, met array<string>"
+
+
+def depth_first(edges: DataFrame, start: DataFrame, depth: int, most: int, unseen: bool) -> DataFrame:
+    """Walks in order, depth first, entering a name once and none beyond `depth` hops or `most` rows: (at, hop, src, dst, trail, met).
+
+    edges (src, ord, dst, next, said): said is what an edge adds to the trail. A row for each edge met, and one without dst for each name
+    that is entered, with the names entered before it and itself (met). unseen: edges to names that were entered before are left out.
+    One task; what it gets is bounded by the caller: the names within `depth` hops and the first edges of each.
+    """
+    import pandas as pd
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        begin = rows[rows["ord"].isna()].iloc[0]
+        rows = rows[rows["ord"].notna()].sort_values(["src", "ord", "dst"])
+        out_of = {k: list(zip(g["dst"], g["next"], g["said"], strict=True)) for k, g in rows.groupby("src", sort=False)}
+        found: list[tuple] = []
+        met: list[str] = []
+        n = 0
+
+        def enter(name: str, hop: int, trail: str) -> None:
+            nonlocal n
+            if hop > depth or name in met or n >= most:
+                return
+            met.append(name)
+            found.append((len(found), hop, name, None, trail, list(met)))
+            ways = [w for w in out_of.get(name, ()) if not (unseen and w[0] in met)]
+            for dst, nxt, said in ways:
+                if not unseen and n >= most:
+                    return
+                n += 1
+                found.append((len(found), hop, name, dst, f"{trail} → {said}", None))
+                if nxt is not None:
+                    enter(nxt, hop + 1, f"{trail} → {said}")
+
+        enter(begin["src"], 1, begin["said"])
+        return pd.DataFrame(found, columns=["at", "hop", "src", "dst", "trail", "met"])
+
+    both = edges.select("src", F.col("ord").cast("long").alias("ord"), "dst", "next", "said").unionByName(start.select("src", "said"), allowMissingColumns=True)
+    return both.groupBy().applyInPandas(lambda rows: run(rows.astype(object).where(rows.notna(), None)), ENTRIES)

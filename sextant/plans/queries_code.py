@@ -42,11 +42,13 @@ def code_deps(spark, sf_dir):
     return code.dependents_of(S.code_imports(spark, sf_dir), "Promo.P1")
 
 
-@query(f"WITH {CODE} SELECT name, file_path, sha256(content) AS code FROM chunks WHERE name = 'S1'")
+@query(f"""WITH {CODE} SELECT name, file_path, sha256(content) AS code, (SELECT string_agg(module, ', ' ORDER BY module) FROM imports i WHERE i.file_path = c.file_path) AS imports,
+ (SELECT string_agg(DISTINCT regexp_extract(file_path, '[^/]*$'), ', ' ORDER BY regexp_extract(file_path, '[^/]*$')) FROM imports WHERE contains(lower(module), 's1')) AS dependents FROM chunks c WHERE name = 'S1'""")
 def code_expand(spark, sf_dir):
     c = S.code_chunks(spark, sf_dir)
     target = c.filter("name = 'S1'").first().chunk_id
-    return code.expand(c.drop("content"), c, target).select("name", "file_path", F.sha2("code", 256).alias("code"))
+    out = code.expand(c.drop("content"), c, target, S.code_imports(spark, sf_dir))
+    return out.select("name", "file_path", F.sha2("code", 256).alias("code"), F.array_join("imports", ", ").alias("imports"), F.array_join("dependents", ", ").alias("dependents"))
 
 
 @query(f"""WITH {CODE}, c AS (SELECT file_path, count(*) AS chunks, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, regexp_extract(file_path, '[^/]*$') AS file FROM chunks GROUP BY 1)
@@ -78,27 +80,36 @@ def code_callers(spark, sf_dir):
     return code.callers(S.code_chunks(spark, sf_dir), f"Parts.{p.p_type}.P{p.p_partkey}", None).select("name", "call_type", "match_line")
 
 
-@query(f"""WITH {CODE}, e AS (SELECT 'S' || s AS src, 'P' || p AS dst, p AS ord FROM deals UNION ALL SELECT 'P' || p, 'S' || s, 1000000000 + s FROM deals UNION ALL SELECT 'P' || (a.p - 1), 'P' || a.p, a.p FROM parts a JOIN parts b ON b.p = a.p - 1),
- r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ord) AS k FROM e), one AS (SELECT * FROM r WHERE src = 'P1' AND k <= 3)
- SELECT 1 AS hop, src, dst, src || ' → ' || dst AS trail FROM one UNION ALL SELECT 2, r.src, r.dst, one.src || ' → ' || one.dst || ' → ' || r.dst FROM one JOIN r ON r.src = one.dst AND r.k <= 3""")
+#: Names shorter than three letters aren't gone on from.
+_HITS = r"""w AS (SELECT ord, name, file_path, start_line, content, unnest(list_distinct(regexp_extract_all(content, '[\p{L}\p{N}_]+'))) AS word FROM chunks),
+ e AS (SELECT word AS src, name AS dst, regexp_extract(file_path, '[^/]*$') AS file, start_line AS line, trim(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '(^|[^\p{L}\p{N}_])' || word || '([^\p{L}\p{N}_]|$)'))[1], ' ') AS match_line, row_number() OVER (PARTITION BY word ORDER BY ord) AS k FROM w WHERE word <> name)"""
+
+
+@query(f"""WITH {CODE}, {_HITS}, one AS (SELECT *, src || ' → ' || dst || ' (' || file || ':' || line || ')' AS trail FROM e WHERE src = 'P100' AND k <= 3)
+ SELECT 1 AS hop, dst AS name, file, line, match_line, trail FROM one UNION ALL SELECT 2, e.dst, e.file, e.line, e.match_line, one.trail || ' → ' || e.dst || ' (' || e.file || ':' || e.line || ')' FROM one JOIN e ON e.src = one.dst AND e.k <= 3 WHERE length(one.dst) > 2""")
 def code_walk(spark, sf_dir):
-    rows = code.walk(S.code_chunks(spark, sf_dir), "P1", 2, 3)
-    return spark.createDataFrame([(r["hop"], r["src"], r["dst"], r["trail"]) for r in rows], "hop int, src string, dst string, trail string")
+    """Up to nine parts, and those suppliers with three letters or more."""
+    return code.walk(S.code_chunks(spark, sf_dir), "P100", 2, 3).select("hop", "name", "file", "line", "match_line", "trail")
+
+
+#: Files by name, and the imports that hold their stems anywhere (P12's stem stands in P123 too).
+_FANS = """names AS (SELECT DISTINCT regexp_extract(file_path, '[^/]*$') AS file, lower(regexp_replace(regexp_extract(file_path, '[^/]*$'), '\\.[^.]*$', '')) AS stem FROM chunks),
+ said AS (SELECT regexp_extract(file_path, '[^/]*$') AS src, lower(module) AS m, count(*) AS n FROM imports GROUP BY 1, 2), ms AS (SELECT DISTINCT m FROM said),
+ held AS (SELECT m, file FROM ms JOIN names ON contains(m, stem) AND length(stem) >= 3), near AS (SELECT src, file, n FROM said JOIN held USING (m) WHERE src <> file),
+ ins AS (SELECT file, sum(n)::BIGINT AS fan_in FROM near GROUP BY 1), outs AS (SELECT file_path, count(*) AS fan_out FROM imports GROUP BY 1)"""
 
 
-@query(f"""WITH {CODE}, i AS (SELECT dst AS file_path, count(*) AS fan_in FROM edges GROUP BY 1), o AS (SELECT src AS file_path, count(*) AS fan_out FROM edges GROUP BY 1)
- SELECT c.file_path, count(*) AS chunks, sum(end_line - start_line + 1)::BIGINT AS loc, string_agg(DISTINCT kind, ',') AS kinds, coalesce(any_value(fan_in), 0)::BIGINT AS fan_in, coalesce(any_value(fan_out), 0)::BIGINT AS fan_out
- FROM chunks c LEFT JOIN i USING (file_path) LEFT JOIN o USING (file_path) GROUP BY 1""")
+@query(f"""WITH {CODE}, {_FANS} SELECT c.file_path, count(*) AS chunks, sum(end_line - start_line + 1)::BIGINT AS loc, string_agg(DISTINCT kind, ',') AS kinds, coalesce(any_value(fan_in), 0)::BIGINT AS fan_in, coalesce(any_value(fan_out), 0)::BIGINT AS fan_out
+ FROM chunks c LEFT JOIN ins ON ins.file = regexp_extract(c.file_path, '[^/]*$') LEFT JOIN outs USING (file_path) GROUP BY 1""")
 def code_hotspots(spark, sf_dir):
     return code.hotspots(S.code_chunks(spark, sf_dir), S.code_imports(spark, sf_dir))
 
 
-@query(f"""WITH {CODE}, a AS (SELECT s, file_path FROM sups WHERE s = 1), b AS (SELECT s, file_path FROM sups WHERE s = 2),
- m AS (SELECT min(parts.file_path) AS f FROM deals x JOIN deals y USING (p) JOIN parts USING (p) WHERE x.s = 1 AND y.s = 2)
- SELECT 1 AS step, file_path AS node FROM a UNION ALL SELECT 2, f FROM m UNION ALL SELECT 3, file_path FROM b""")
+@query(f"""WITH {CODE}, {_FANS}, m AS (SELECT min(a.file) AS f FROM near a JOIN near b USING (file) WHERE a.src = 'S1.py' AND b.src = 'S2.py')
+ SELECT 1 AS step, 'S1.py' AS node, 2 AS length UNION ALL SELECT 2, f, 2 FROM m UNION ALL SELECT 3, 'S2.py', 2""")
 def code_trace(spark, sf_dir):
-    found = code.trace(S.code_chunks(spark, sf_dir), S.code_imports(spark, sf_dir), "S1", "S2")
-    return spark.createDataFrame([(i + 1, x) for i, x in enumerate(found["path"])], "step int, node string")
+    """Two suppliers, named by a part of their files' names, import a part in common."""
+    return code.trace(S.code_chunks(spark, sf_dir), S.code_imports(spark, sf_dir), "s1.P", "s2.p").select("step", "node", "length")
 
 
 @query(f"""WITH {CODE} SELECT c.name, CASE WHEN name LIKE 'S%' THEN 'none' WHEN end_line > 30 THEN 'partial' WHEN end_line > 20 THEN 'path+name+line' ELSE 'chunk_id' END AS source_match FROM chunks c""")
@@ -130,8 +141,8 @@ def drift(spark, sf_dir):
     return bridge.drift(S.notes(spark, sf_dir), S.code_chunks(spark, sf_dir)).drop("chunk_id")
 
 
-@query(f"""WITH {CODE}, i AS (SELECT dst AS file_path, count(*) AS fan_in FROM edges GROUP BY 1 HAVING count(*) >= 2), said AS (SELECT DISTINCT file_path FROM deals JOIN parts USING (p) WHERE back = 0)
- SELECT file_path, fan_in, 1::BIGINT AS chunks, (end_line - start_line + 1)::BIGINT AS loc, kind AS kinds, name AS top_symbols FROM chunks JOIN i USING (file_path) WHERE file_path NOT IN (SELECT file_path FROM said)""")
+@query(f"""WITH {CODE}, {_FANS}, said_of AS (SELECT DISTINCT file_path FROM deals JOIN parts USING (p) WHERE back = 0)
+ SELECT c.file_path, fan_in, 1::BIGINT AS chunks, (end_line - start_line + 1)::BIGINT AS loc, kind AS kinds, name AS top_symbols FROM chunks c JOIN ins ON ins.file = regexp_extract(c.file_path, '[^/]*$') AND fan_in >= 2 WHERE c.file_path NOT IN (SELECT file_path FROM said_of)""")
 def coverage(spark, sf_dir):
     return bridge.coverage(S.code_chunks(spark, sf_dir), S.code_imports(spark, sf_dir), S.notes(spark, sf_dir), 2)
 

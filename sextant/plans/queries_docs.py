@@ -70,19 +70,21 @@ def doc_broken(spark, sf_dir):
     return docs.broken(S.doc_links(spark, sf_dir))
 
 
-@query(f"""WITH {DOCS}, e AS (SELECT source_file AS src, target_resolved AS dst, min(line) AS ord FROM links WHERE target_resolved IS NOT NULL GROUP BY 1, 2), a AS (SELECT e.* FROM e JOIN docs ON src = file_path WHERE doc_id = 7)
- SELECT 1 AS hop, src, dst, src || ' → ' || dst AS trail FROM a UNION ALL SELECT 2, e.src, e.dst, a.src || ' → ' || a.dst || ' → ' || e.dst FROM a JOIN e ON e.src = a.dst""")
+_STEP = "regexp_extract({0}.dst, '[^/]*$') || ' (' || {0}.via || ')'"
+
+
+@query(f"""WITH {DOCS}, e AS (SELECT source_file AS src, target_resolved AS dst, arg_min(link_text, line) AS via FROM links WHERE target_resolved IS NOT NULL GROUP BY 1, 2), a AS (SELECT e.*, 'd7.md → ' || {_STEP.format("e")} AS trail FROM e JOIN docs ON src = file_path WHERE doc_id = 7)
+ SELECT 1 AS hop, src, dst AS path, via, trail FROM a UNION ALL SELECT 2, e.src, e.dst, e.via, a.trail || ' → ' || {_STEP.format("e")} FROM a JOIN e ON e.src = a.dst WHERE e.dst <> a.src""")
 def doc_walk(spark, sf_dir):
     start = S.doc_sections(spark, sf_dir).filter("doc_id = 7").first().file_path
-    rows = docs.walk(S.doc_links(spark, sf_dir), start, 2)
-    return spark.createDataFrame([(r["hop"], r["src"], r["dst"], r["trail"]) for r in rows], "hop int, src string, dst string, trail string")
+    return docs.walk(S.doc_links(spark, sf_dir), start, 2)
 
 
-@query(f"""WITH {DOCS}, e AS (SELECT DISTINCT target_resolved AS src, source_file AS dst FROM links WHERE target_resolved IS NOT NULL), a AS (SELECT e.* FROM e JOIN docs ON src = file_path WHERE doc_id = 7) SELECT 1 AS hop, src, dst FROM a""")
+@query(f"""WITH {DOCS}, e AS (SELECT target_resolved AS src, source_file AS dst, arg_min(link_text, line) AS via FROM links WHERE target_resolved IS NOT NULL GROUP BY 1, 2)
+ SELECT 1 AS hop, src, dst AS path, via, 'd7.md → ' || {_STEP.format("e")} AS trail FROM e JOIN docs ON src = file_path WHERE doc_id = 7""")
 def doc_walk_in(spark, sf_dir):
     start = S.doc_sections(spark, sf_dir).filter("doc_id = 7").first().file_path
-    rows = docs.walk(S.doc_links(spark, sf_dir), start, 1, "in")
-    return spark.createDataFrame([(r["hop"], r["src"], r["dst"]) for r in rows], "hop int, src string, dst string")
+    return docs.walk(S.doc_links(spark, sf_dir), start, 1, "in")
 
 
 _COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.v)"
