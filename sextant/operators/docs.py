@@ -10,6 +10,7 @@ from sextant.functions import vectors as V
 from sextant.operators import graph, scan
 from sextant.operators.markdown import paragraphs
 from sextant.operators.scan import changed, grep, mentions, neighborhood, search, similar  # noqa: F401
+from sextant.plans.storage import cut
 
 
 def catalog(sections: DataFrame) -> DataFrame:
@@ -185,33 +186,115 @@ def gaps_note(source: DataFrame, scope: str = "", min_docs: int = 1, signal: str
     return of.join(F.broadcast(seen), F.lit(True)).filter(~F.col("any")).select(note.alias("note"), "total_entities", "total_files")  # one row on either side
 
 
-def cluster(vectors: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """vectors (directory, file_path, emb, ord), a row for each file: groups by the first member within `threshold`, in order.
+#: Vectors that are settled at a time, and about how many of a folder meet the centres in one task.
+LEADERS, SHARD = 1024, 4096
+#: Fewer documents than these aren't split.
+FEWEST = 4
 
-    Sequential by nature; a folder's direct children are one group.
-    """
+
+def _unit(rows) -> "np.ndarray":  # noqa: F821
+    """Vectors of length one; zeros stay, and so are near nothing."""
+    import numpy as np
+
+    m = np.array([np.asarray(v, dtype=np.float64) for v in rows["emb"]])
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def _settled(threshold: float):
+    """Of a block in its order: those that no earlier centre of the block is near to."""
     import numpy as np
     import pandas as pd
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord")
-        centres: list = []
-        group = []
-        for v in rows["emb"]:
-            x = np.asarray(v, dtype=np.float64)
-            norm = np.linalg.norm(x)
-            near = next((k for k, (c, n) in enumerate(centres) if n and norm and len(c) == len(x) and float(c @ x) / (n * norm) > threshold), None)
-            if near is None:
-                centres.append((x, norm))
-                near = len(centres) - 1
-            group.append(near)
-        return pd.DataFrame({"directory": rows["directory"], "file_path": rows["file_path"], "cluster": pd.Series(group, index=rows.index, dtype="int32")})
-
-    return vectors.groupBy("directory").applyInPandas(run, "directory string, file_path string, cluster int")
+        rows = rows.sort_values(["ord", "file_path"])
+        m = _unit(rows)
+        covered, centres = np.zeros(len(m), bool), []
+        for i in range(len(m)):
+            if not covered[i]:
+                centres.append(i)
+                covered |= m @ m[i] >= threshold
+        return rows.iloc[centres]
+
+    return run
+
+
+def _uncovered(threshold: float):
+    import pandas as pd
+
+    def run(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) == 0 or len(centres) == 0:
+            return rows
+        return rows[(_unit(rows) @ _unit(centres).T).max(axis=1) < threshold]
+
+    return run
+
+
+def _nearest(rows, centres):
+    """Each row with the nearest of the centres that come before it or are itself: the first of equally near ones."""
+    import numpy as np
+    import pandas as pd
+
+    if len(rows) == 0 or len(centres) == 0:
+        return pd.DataFrame({"directory": [], "file_path": [], "sim": [], "cluster": []})
+    centres = centres.sort_values("cluster")
+    sim = _unit(rows) @ _unit(centres).T
+    vo, lo = rows["ord"].to_numpy()[:, None], centres["ord"].to_numpy()[None, :]
+    vp, lp = rows["file_path"].to_numpy()[:, None], centres["file_path"].to_numpy()[None, :]
+    own = (vo == lo) & (vp == lp)
+    sim = np.where(own, 9.0, np.where((lo < vo) | ((lo == vo) & (lp < vp)), sim, -9.0))
+    best = sim.argmax(axis=1)
+    return pd.DataFrame({"directory": rows["directory"].to_numpy(), "file_path": rows["file_path"].to_numpy(), "sim": sim.max(axis=1), "cluster": centres["cluster"].to_numpy()[best]})
+
+
+def cluster(vectors: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """vectors (directory, file_path, emb, ord), a row for each file, of one length: (directory, file_path, cluster, suggestion).
+
+    In order, a file joins the nearest centre at `threshold` or more, or is a centre itself. Folders of fewer than four files, or of
+    fewer than four with vectors, aren't split: one row says so.
+
+    Whether a file is a centre depends on earlier centres alone. So the first LEADERS open files of each folder are settled among
+    themselves in order, those that a new centre is near to are taken out everywhere, and so on until none is open; then each file looks for its
+    nearest earlier centre. Both are matrix products of a shard of a folder with LEADERS centres at most; rounds are tables in the checkpoint folder.
+    """
+    rows = vectors.select("directory", "file_path", F.col("ord").cast("long").alias("ord"), "emb")
+    n = rows.groupBy("directory").agg(F.count("*").alias("docs"), F.count_if(F.coalesce(F.size("emb"), F.lit(0)) > 0).alias("embedded"))
+    few = n.filter((F.col("docs") < FEWEST) | (F.col("embedded") < FEWEST))
+    said = F.when(F.col("docs") < FEWEST, f"Folder has fewer than {FEWEST} docs — no split needed.").otherwise("Not enough embedded docs to cluster.")
+    told = few.select("directory", F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("int").alias("cluster"), said.alias("suggestion"))
+
+    many = n.filter((F.col("docs") >= FEWEST) & (F.col("embedded") >= FEWEST)).select("directory", F.ceil(F.col("embedded") / SHARD).alias("shards"))
+    schema = "directory string, file_path string, ord long, emb array<double>, shard int"
+    shard = F.pmod(F.xxhash64("file_path"), F.col("shards")).cast("int")
+    rows = cut(rows.filter(F.size("emb") > 0).join(many, "directory").select("directory", "file_path", "ord", F.col("emb").cast("array<double>").alias("emb"), shard.alias("shard")))
+    shards = rows.select(F.col("directory").alias("of"), F.col("shard").alias("part")).distinct()
+
+    def everywhere(centres: DataFrame) -> DataFrame:
+        return centres.join(shards, F.col("directory") == F.col("of")).drop("directory", "shard")
+
+    left, centres = rows, None
+    while not left.isEmpty():
+        order = Window.partitionBy("directory").orderBy("ord", "file_path")
+        block = left.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= LEADERS).drop("_k")
+        found = cut(block.groupBy("directory").applyInPandas(_settled(threshold), schema))
+        centres = found if centres is None else centres.union(found)
+        last = block.groupBy("directory").agg(F.max(F.struct("ord", "file_path")).alias("_last"))
+        rest = left.join(last, "directory").filter(F.struct("ord", "file_path") > F.col("_last")).drop("_last")
+        left = cut(rest.groupBy("directory", "shard").cogroup(everywhere(found).groupBy("of", "part")).applyInPandas(_uncovered(threshold), schema))
+    if centres is None:
+        return told
+    numbered = centres.withColumn("cluster", (F.row_number().over(Window.partitionBy("directory").orderBy("ord", "file_path")) - 1).cast("int"))
+    numbered = everywhere(numbered).withColumn("of_block", F.floor(F.col("cluster") / LEADERS).cast("int"))
+    blocks = numbered.groupBy("of").agg(F.max("of_block").alias("blocks"))
+    spread = rows.join(blocks, F.col("directory") == F.col("of")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks")))).drop("of", "blocks")
+    near = spread.groupBy("directory", "shard", "block").cogroup(numbered.groupBy("of", "part", "of_block")).applyInPandas(_nearest, "directory string, file_path string, sim double, cluster int")
+    best = near.groupBy("directory", "file_path").agg(F.max_by("cluster", F.struct("sim", -F.col("cluster"))).alias("cluster"))
+    return best.select("directory", "file_path", "cluster", F.lit(None).cast("string").alias("suggestion")).unionByName(told)
 
 
 def suggested_folders(clusters: DataFrame) -> DataFrame:
     """A name for each cluster of two or more: the two most frequent words of its file names."""
+    clusters = clusters.filter("cluster is not null")
     words = clusters.select("directory", "cluster", F.explode(F.split(F.lower(X.file_stem("file_path")), r"[^\p{L}]+")).alias("w")).filter(F.length("w") > 2)
     n = words.groupBy("directory", "cluster", "w").count()
     by = Window.partitionBy("directory", "cluster").orderBy(F.desc("count"), "w")

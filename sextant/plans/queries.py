@@ -111,13 +111,16 @@ def placement(spark, sf_dir):
     return docs.placement(e, q, 10).select("file_path", "score", "near_section")
 
 
-@query("""WITH RECURSIVE m AS (SELECT 'dir' || (label % 4) AS d, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label % 4 ORDER BY vec_id) AS n FROM embeddings),
- r AS (SELECT d, n, vec_id, [v] AS c, 0 AS g FROM m WHERE n = 1 UNION ALL SELECT d, n, vec_id, CASE WHEN p IS NULL THEN list_append(c, v) ELSE c END, (CASE WHEN p IS NULL THEN len(c) ELSE p - 1 END)::INT
-  FROM (SELECT m.*, r.c, nullif(list_position(list_transform(r.c, lambda x: list_cosine_similarity(x, m.v) > 0.7), true), 0) AS p FROM r JOIN m ON m.d = r.d AND m.n = r.n + 1))
- SELECT d AS directory, vec_id::VARCHAR AS file_path, g AS "cluster" FROM r""")
+#: The nearest of the centres so far (the first of equally near ones), if at 0.7 or more, else a centre of its own; one folder has three files.
+@query("""WITH RECURSIVE w AS (SELECT CASE WHEN vec_id < 3 THEN 'few' ELSE 'dir' || (label % 4) END AS d, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+ m AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY vec_id) AS n FROM w WHERE d <> 'few'),
+ r AS (SELECT d, n, vec_id, [v] AS c, 0 AS g FROM m WHERE n = 1 UNION ALL SELECT d, n, vec_id, CASE WHEN best < 0.7 THEN list_append(c, v) ELSE c END, (CASE WHEN best < 0.7 THEN len(c) ELSE list_position(s, best) - 1 END)::INT
+  FROM (SELECT *, list_max(s) AS best FROM (SELECT m.*, r.c, list_transform(r.c, lambda x: list_cosine_similarity(x, m.v)) AS s FROM r JOIN m ON m.d = r.d AND m.n = r.n + 1)))
+ SELECT d AS directory, vec_id::VARCHAR AS file_path, g AS "cluster", NULL::VARCHAR AS suggestion FROM r UNION ALL SELECT 'few', NULL, NULL, 'Folder has fewer than 4 docs — no split needed.'""")
 def cluster_greedy(spark, sf_dir):
     e, _ = _vectors(spark, sf_dir)
-    return docs.cluster(e.select(F.concat(F.lit("dir"), (F.col("label") % 4).cast("string")).alias("directory"), F.col("ord").cast("string").alias("file_path"), "emb", "ord"), 0.7)
+    folder = F.when(F.col("ord") < 3, "few").otherwise(F.concat(F.lit("dir"), (F.col("label") % 4).cast("string")))
+    return docs.cluster(e.select(folder.alias("directory"), F.col("ord").cast("string").alias("file_path"), "emb", "ord"), 0.7)
 
 
 # Groupings -------------------------------------------------------------------

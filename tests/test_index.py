@@ -244,9 +244,9 @@ def test_gaps_novelty_cluster(spark):
     got = {r.entity: (r["count"], r.signal, r.total_files) for r in docs.gaps(src).collect()}
     assert got["deliveryengine"] == (2, "shared", 3) and got["text"][1] == "isolated"
     assert docs.gaps(src, scope="DeliveryEngine").count() == 1 and docs.gaps(src, signal="god-node").count() == 0
-    vec = spark.createDataFrame([("d", "x.md", "H", [1.0, 0.0], 1), ("d", "y.md", "H", [0.9, 0.1], 2), ("d", "z-notes.md", "H", [0.0, 1.0], 3)], "directory string, file_path string, heading string, emb array<float>, ord long")
-    assert [r.cluster for r in docs.cluster(vec).orderBy("file_path").collect()] == [0, 0, 1]
-    assert docs.suggested_folders(docs.cluster(vec)).count() == 1
+    vec = spark.createDataFrame([("d", "x.md", "H", [1.0, 0.0], 1), ("d", "y.md", "H", [0.9, 0.1], 2), ("d", "z-notes.md", "H", [0.0, 1.0], 3), ("d", "zz.md", "H", [0.1, 1.0], 4)], "directory string, file_path string, heading string, emb array<float>, ord long")
+    assert [r.cluster for r in docs.cluster(vec).orderBy("file_path").collect()] == [0, 0, 1, 1]
+    assert docs.suggested_folders(docs.cluster(vec)).count() == 2
     p = spark.createDataFrame([("A service must always be started because of x.", [1.0, 0.0])], "paragraph string, emb array<float>")
     assert docs.novelty(p, vec).first().status == "covered"
     assert docs.placement(vec.withColumn("heading_path", F.col("heading")), [1.0, 0.0], 2).first().file_path == "x.md"
