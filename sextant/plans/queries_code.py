@@ -171,13 +171,13 @@ def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Python file for each supplier: an import for each part, a function and a class."""
     lines = F.concat(F.lit("import parts.p"), F.col("p").cast("string"))
     rows = S.deals(spark, sf_dir).groupBy("s").agg(S._joined(F.struct(F.col("p").alias("k"), lines.alias("line"))).alias("i"))
-    tail = "\n\n\ndef sell(x):\n    return x\n\n\nclass Shop:\n    name = 'Shopkeeper'\n\n    def open(self):\n        return Missing\n"
+    tail = "\n\n\ndef sell(x):\n    return x\n\n\nclass Shop:\n    name = 'Shopkeeper'\n\n    def open(self):\n        return Missing(HTTP, Abc)  # of Nobody\n"
     return rows.select(F.concat(F.lit("src/shop"), F.col("s").cast("string"), F.lit(".py")).alias("file_path"), F.concat("i", F.lit(tail)).alias("content"))
 
 
 @query("""WITH d AS (SELECT l_suppkey AS s, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1), c AS (SELECT 'src/shop' || s || '.py' AS file_path, 'src.shop' || s AS module, n FROM d)
  SELECT file_path, module, 'sell' AS name, 'let' AS kind, (n + 3)::INT AS start_line, (n + 4)::INT AS end_line, sha256('def sell(x):' || chr(10) || '    return x') AS body FROM c
- UNION ALL SELECT file_path, module, 'Shop', 'type', (n + 7)::INT, (n + 11)::INT, sha256('class Shop:' || chr(10) || '    name = ''Shopkeeper''' || chr(10) || chr(10) || '    def open(self):' || chr(10) || '        return Missing') FROM c""")
+ UNION ALL SELECT file_path, module, 'Shop', 'type', (n + 7)::INT, (n + 11)::INT, sha256('class Shop:' || chr(10) || '    name = ''Shopkeeper''' || chr(10) || chr(10) || '    def open(self):' || chr(10) || '        return Missing(HTTP, Abc)  # of Nobody') FROM c""")
 def extract_chunks(spark, sf_dir):
     return codefiles.source_table(_scripts(spark, sf_dir)).select("file_path", "module", "name", "kind", "start_line", "end_line", F.sha2("content", 256).alias("body"))
 
@@ -187,7 +187,7 @@ def extract_imports(spark, sf_dir):
     return codefiles.extract(_scripts(spark, sf_dir), "imports")
 
 
-@query("""SELECT DISTINCT 'src/shop' || l_suppkey || '.py' AS file_path, 'Missing, Shopkeeper' AS types FROM lineitem""")
+@query("""SELECT DISTINCT 'src/shop' || l_suppkey || '.py' AS file_path, 'HTTP, Missing' AS types FROM lineitem""")
 def extract_type_refs(spark, sf_dir):
     return codefiles.type_refs(_scripts(spark, sf_dir)).select("file_path", F.array_join("types", ", ").alias("types"))
 
