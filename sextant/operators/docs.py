@@ -9,6 +9,7 @@ from sextant.functions import text as X
 from sextant.functions import vectors as V
 from sextant.operators import graph, scan
 from sextant.operators.markdown import paragraphs
+from sextant.operators.nearest import nearest
 from sextant.operators.scan import changed, grep, mentions, neighborhood, search, similar  # noqa: F401
 from sextant.plans.storage import cut
 
@@ -83,11 +84,12 @@ def novelty_status(score, signal, threshold: float = 0.75):
 def novelty(texts: DataFrame, vectors: DataFrame, threshold: float = 0.75) -> DataFrame:
     """texts (paragraph, emb): each paragraph's nearest section and whether it is new. vectors (file_path, heading, emb, ord).
 
-    The paragraphs, a user's text, are broadcast; sections stream past them and keep the best of each by partial aggregation.
+    All paragraphs are compared with all sections in blocks, by matrix products; only each paragraph's best section of a shard is kept.
     """
-    q = texts.select("paragraph", F.col("emb").alias("_q")).withColumn("_k", F.monotonically_increasing_id())
-    pairs = vectors.join(F.broadcast(q), F.size("emb") == F.size("_q"))
-    best = pairs.withColumn("score", V.cosine("emb", "_q")).filter("score is not null").groupBy("_k").agg(F.max_by(F.struct("file_path", "heading", "score"), F.struct("score", -F.col("ord"))).alias("b"))
+    q = cut(texts.select("paragraph", F.col("emb").cast("array<double>").alias("asked")).withColumn("_k", F.monotonically_increasing_id()))
+    rows = vectors.withColumn("ord", F.col("ord").cast("long"))
+    near = nearest(q.select(F.col("_k").alias("id"), "asked"), rows.select("ord", F.col("emb").cast("array<double>").alias("emb")))
+    best = near.join(rows.select("ord", "file_path", "heading"), "ord").select(F.col("id").alias("_k"), F.struct("file_path", "heading", "score").alias("b"))
     out = q.join(best, "_k", "left").withColumn("signal", X.knowledge_signal("paragraph"))
     score = F.coalesce("b.score", F.lit(0.0))
     return out.select(F.when(F.length("paragraph") > 120, F.concat(F.substring("paragraph", 1, 120), F.lit("..."))).otherwise(F.col("paragraph")).alias("paragraph"), novelty_status(score, F.col("signal"), threshold).alias("status"), X.rounded(score).alias("score"), "signal", X.file_name(F.col("b.file_path")).alias("near_doc"), F.col("b.heading").alias("near_section"))

@@ -266,10 +266,10 @@ def entities(spark, sf_dir):
 
 @query("""WITH t AS (SELECT doc_id AS k, unnest(list_distinct(regexp_extract_all(lower(coalesce(source, '') || chr(10) || text), '([a-z0-9]{3,})', 1))) AS w FROM documents), n AS (SELECT k, count(*) AS m FROM t GROUP BY 1),
  p AS (SELECT a.k, b.k AS o, count(*) AS c FROM t a JOIN t b ON a.w = b.w AND a.k <> b.k GROUP BY 1, 2), j AS (SELECT p.k, p.o, p.c / (x.m + y.m - p.c) AS s FROM p JOIN n x ON x.k = p.k JOIN n y ON y.k = p.o)
- SELECT k AS doc_id, round(max(s), 6) AS similarity FROM j WHERE s >= 0.5 GROUP BY 1""")
+ SELECT k AS doc_id, arg_max(o, struct_pack(s := s, o := o)) AS near, round(max(s), 6) AS similarity FROM j WHERE s >= 0.5 GROUP BY 1""")
 def section_similarity(spark, sf_dir):
     s = S.doc_sections(spark, sf_dir)
-    return hygiene.similar_sections(s, "doc_id", 0.5).select("doc_id", F.round("similarity", 6).alias("similarity"))
+    return hygiene.similar_sections(s, "doc_id", 0.5).select("doc_id", "near", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"""WITH {DOCS} SELECT d.file_path, coalesce(m.title, 'd' || doc_id) AS title, coalesce(m.tags, '') AS tags, (SELECT count(*) FROM links l WHERE l.target_resolved = d.file_path)::INT AS backlinks, (SELECT count(*) FROM links l WHERE l.source_file = d.file_path) AS outlinks,
