@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import text as X
+from sextant.plans.storage import cut
 from sextant.schema import chunk_id
 
 HEADING = r"^(#{1,6})\s+(.+)$"
@@ -140,16 +141,29 @@ def normalized_path(path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
-def resolve_links(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds target_resolved: the first that is a file of: beside the source, from the root, and both with .md added."""
+def link_tries(rows: DataFrame) -> DataFrame:
+    """Each link with the paths that are tried for it, in their order (_try, _path): beside the source, from the root, and both with .md added."""
     beside = F.concat_ws("/", X.directory("source_file"), "target_path")
     tries = F.array(beside, F.col("target_path"), F.concat(beside, F.lit(".md")), F.concat("target_path", F.lit(".md")))
-    tried = rows.select("*", F.posexplode(F.transform(tries, normalized_path)).alias("_try", "_path"))
+    return rows.select("*", F.posexplode(F.transform(tries, normalized_path)).alias("_try", "_path"))
+
+
+def resolve_links(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds target_resolved: the first of the paths that are tried which is a file. rows have an _id, which goes."""
     known = files.select(normalized_path(X.slashed("file_path")).alias("_path"), F.col("file_path").alias("_file")).distinct()
-    tried = tried.join(known, "_path", "left")
+    tried = link_tries(rows).join(known, "_path", "left")
     return tried.groupBy(*rows.columns).agg(F.min(F.when(F.col("_file").isNotNull(), F.struct("_try", "_file")))["_file"].alias("target_resolved")).drop("_id")
 
 
+def refreshed_links(links: DataFrame, files: DataFrame, came_or_went: DataFrame) -> DataFrame:
+    """doc_links after files came or went (file_path): only links that are tried at the path of such a file are resolved anew."""
+    rows = cut(links.withColumn("_id", F.monotonically_increasing_id()))
+    moved = came_or_went.select(normalized_path(X.slashed("file_path")).alias("_path")).distinct()
+    ids = link_tries(rows).join(moved, "_path", "left_semi").select("_id").distinct()
+    again = resolve_links(rows.drop("target_resolved").join(ids, "_id", "left_semi"), files)
+    return rows.join(ids, "_id", "left_anti").drop("_id").unionByName(again)
+
+
 def doc_sections(source: DataFrame) -> DataFrame:
     """The index rows of sections, with word and link counts."""
     return source.select("chunk_id", "ord", "file_path", "heading", "heading_path", "level", "start_line", "end_line", "summary", "tags", F.size("out_links").alias("link_count"), X.word_count("content").alias("word_count"))

@@ -61,11 +61,27 @@ def build_code_index(catalog: Catalog, files: DataFrame, config: Config, provide
 
 
 def build_docs_index(catalog: Catalog, files: DataFrame, config: Config, provider: Provider | None = None) -> dict:
+    """Parses the files that are new or changed since the last run (by hash); of the other files' links only those are resolved anew that
+    a file which came or went could answer. The tables are those of a full build."""
     began = time.time()
-    md = cut(doc_files(files, config))
-    source = cut(markdown.sections(md))
-    links = markdown.links(source, md)
-    tables = {"doc_source": source, "doc_sections": markdown.doc_sections(source), "doc_links": links, "frontmatters": markdown.front_matter(md)}
+    md = doc_files(files, config)
+    md = cut(md if "sha256" in md.columns else md.withColumn("sha256", F.sha2(F.coalesce("content", F.lit("")), 256)))
+    now, before = md.select("file_path", "sha256"), catalog.table("doc_hashes")
+    fresh = catalog.freshness(docs_layout=LAYOUT) == "fresh"
+    diff = cut(scan.hash_diff(before if fresh else before.limit(0), now))
+    touched = diff.filter(F.col("change") != "same")
+    todo = md.join(touched.filter(F.col("change").isin("added", "modified")).select("file_path"), "file_path", "left_semi")
+
+    def old(name: str) -> DataFrame:
+        table = catalog.table(name)
+        return table if fresh else table.limit(0)
+
+    new = cut(markdown.sections(todo))
+    source = cut(_merged(old("doc_source"), new, touched))
+    others = old("doc_links").join(touched.select(F.col("file_path").alias("source_file")), "source_file", "left_anti")
+    moved = diff.filter(F.col("change").isin("added", "removed"))
+    links = markdown.links(new, md).unionByName(markdown.refreshed_links(others, md, moved))
+    tables = {"doc_source": source, "doc_sections": markdown.doc_sections(source), "doc_links": links, "frontmatters": _merged(old("frontmatters"), markdown.front_matter(todo), touched), "doc_hashes": now}
     state, failed = "no-embed", 0
     if provider is not None:
         texts = source.select("chunk_id", markdown.embedding_text(F.col("file_path"), F.col("summary")).alias("text")).dropDuplicates(["chunk_id"])
@@ -75,7 +91,7 @@ def build_docs_index(catalog: Catalog, files: DataFrame, config: Config, provide
         failed = vectors.filter("emb is null").count()
         tables["doc_vectors"] = vectors
         state = semantic_state(source.select("chunk_id").distinct(), vectors, "emb")
-    catalog.save(tables, layout=LAYOUT, semantic_state=state)
+    catalog.save(tables, docs_layout=LAYOUT, docs_semantic_state=state)
     return report("docs", state, began, failed, source.count(), links.count(), 0)
 
 

@@ -65,8 +65,9 @@ class Catalog:
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.root}/{version}/{name}")
         kept = {}
-        if old:
-            kept = json.loads(read_text(self.spark, f"{self.root}/current.json"))["tables"]
+        if old:  # what another index under the same root has said stays
+            said = json.loads(read_text(self.spark, f"{self.root}/current.json"))
+            kept, meta = said["tables"], said["meta"] | meta
         kept |= {name: f"{version}/{name}" for name in tables}
         write_text(self.spark, f"{self.root}/current.json", json.dumps({"version": version, "tables": kept, "meta": meta}))
         return version

@@ -28,6 +28,7 @@ TABLES = {
     "frontmatters": "file_path string, id string, title string, status string, tags array<string>, related array<string>, extra map<string,string>",
     "doc_vectors": "chunk_id string, emb array<float>",
     "file_hashes": "file_path string, sha256 string",
+    "doc_hashes": "file_path string, sha256 string",
     "refs": "session string, ref_id string, chunk_id string",
     "invocations": "kind string, completed_at timestamp, message string, batches int, failed_batches int, duration_ms long, semantic_state string, chunks int, imports int, signatures int",
 }
