@@ -64,11 +64,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's result is written to the shared checkpoint folder and read again. An empty table gives no rows."""
     docs = read_table(spark, sf_dir, "documents")
     at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
-        docs = spark.read.parquet(f"{at}/{k}")
-    out = STAGES[-1][1](spark, docs, sf_dir)
-    # The last stage has read its texts once and keeps its pieces in a checkpoint: what was written for it can go.
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    return out
+    try:
+        for k, (_, stage) in enumerate(STAGES[:-1]):
+            stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
+            docs = spark.read.parquet(f"{at}/{k}")
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        # The last stage has read its texts once and keeps its pieces in a checkpoint: what was written for it can go, as after a failure.
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

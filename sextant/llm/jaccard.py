@@ -588,9 +588,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFra
 
 def one_of_each(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFrame:
     """docs with one document of each component, that with the least doc_id; all columns stay. Rows without doc_id go where a row with
-    one is of their component; else one of theirs stays. Documents without words stay."""
+    one is of their component; else one of theirs stays. Documents without words stay. Columns named _near_id, _near_hash and _near_own are its own."""
     found = cut(jaccard_join(docs, k, p, q))
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_near_id"), F.col("text_hash").alias("_near_hash")).distinct()
     lone = cut(found.filter("doc_id is null and root is not null").select("root", "text_hash", "component_id").distinct())
     if lone.limit(1).count():
         stay = lone.filter("component_id is null").groupBy("root").agg(F.min("text_hash").alias("_s"))
@@ -598,12 +598,12 @@ def one_of_each(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5) -> DataFram
         gone = gone.union(over.select(F.lit(None).cast("long"), "text_hash"))
     gone = cut(gone)
     gone = F.broadcast(gone) if gone.count() <= SMALL else gone
-    kept = docs.withColumn("_h", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left_anti")
+    kept = docs.withColumn("_near_own", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_near_id")) & (F.col("_near_own") == F.col("_near_hash")), "left_anti")
     again = found.filter("root is not null and (doc_id = component_id or doc_id is null)").groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count()
     if again:  # rows that repeat a kept document, doc_id and all
         words = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(WORD))
-        kept = kept.filter(words).dropDuplicates(["doc_id", "_h"]).unionByName(kept.filter(~words))
-    return kept.drop("_h")
+        kept = kept.filter(words).dropDuplicates(["doc_id", "_near_own"]).unionByName(kept.filter(~words))
+    return kept.drop("_near_own")
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

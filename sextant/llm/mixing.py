@@ -102,15 +102,18 @@ def mix_sources(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (1,
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row as often as it is taken, a part as its first words with their spacing; the columns of docs."""
-    keep = [F.col(c) for c in docs.columns]
+    """The mix itself: each row as often as it is taken, a part as its first words with their spacing; the columns of docs, whatever their names."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
     how = {"seed": 17, "quality": None, "weights": (1, 2, 3), "most": 3.0} | how
-    taken = take(ranked(docs, how["seed"], how["quality"]), how["weights"], how["most"])
+    # What the mix adds has names that a caller's columns may have too: those are kept apart.
+    narrow = docs.select("doc_id", "text", "source", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("_row"))
+    keep = [F.col(f"_row.`{c}`").alias(c) if c in others else F.col(c) for c in docs.columns]
+    taken = take(ranked(narrow, how["seed"], how["quality"]), how["weights"], how["most"])
     whole = F.col("_epochs") + F.when(F.col("_part") == F.col("size"), F.lit(1)).otherwise(0)
     full = taken.filter("size > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(whole, F.lit(1))))).filter(whole > 0).select(*keep)
     some = taken.filter("_part > 0 and _part < size")
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"(?:{SPACE})?{WORD}"), F.lit(0)), 1, F.col("_part").cast("int")), "")
-    return full.unionByName(some.withColumn("text", first).select(*keep))
+    return full.union(some.withColumn("text", first).select(*keep))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

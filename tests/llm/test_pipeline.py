@@ -7,7 +7,10 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from sextant.llm import jaccard, mixing
 from tests.llm.test_operators import components
 from tests.llm.util import ODD, odd, tokens
 
@@ -102,3 +105,27 @@ def test_packing_is_a_round_trip(spark, stages, tables):
     again = corpus_pipeline.run(spark, tables[0])
     key = lambda p: (str(p.doc_id), p.doc_tokens)
     assert collections.Counter(key(p) for p in again.collect() if p.start == 0) == collections.Counter(key(p) for p in pieces if p.start == 0)
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    rows = [(i, f"word{i} " * (5 + i), "en", "s" if i % 3 else "t", 0) for i in range(12)]
+    clash = {c: F.lit(c) for c in ("size", "target", "source_size", "taken", "_h", "_d", "_t", "_v", "_b", "_w", "_s", "_part", "_copy", "_epochs")}
+    docs = odd(spark, rows).withColumns(clash)
+    for stage in (mixing.mixed_rows, lambda d: jaccard.one_of_each(d, k=5, p=4, q=5)):
+        got = stage(docs)
+        assert got.columns == docs.columns and got.count() > 0
+        assert all(r[c] == c for r in got.collect() for c in clash)
+
+
+def test_a_failed_stage_leaves_nothing_behind(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    odd(spark, [(1, "a b c", "en", "s", 5)]).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def fails(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("same", lambda s, d, _: d), ("fails", fails), ("never", fails)])
+    with pytest.raises(RuntimeError, match="lost"):
+        corpus_pipeline.run(spark, str(tmp_path))
+    assert not list(Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).glob("pipeline-*/*"))
