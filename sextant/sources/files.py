@@ -9,6 +9,7 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sextant.functions import text as X
 from sextant.schema import schema
@@ -153,10 +154,19 @@ def peer_index(spark: SparkSession, root: str, override: str | None = None, name
     return None
 
 
+_SOURCE = "cid string, filePath string, moduleName string, name string, kind string, startLine int, endLine int, content string, context string"
+
+
 def legacy_source(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of a JSON-lines file of the old kind; lines that aren't JSON are dropped."""
-    spec = "cid string, filePath string, moduleName string, name string, kind string, startLine int, endLine int, content string, context string"
-    return spark.read.schema(spec).option("mode", "DROPMALFORMED").json(path).select(F.col("cid").alias("chunk_id"), F.col("filePath").alias("file_path"), F.col("moduleName").alias("module"), "name", "kind", F.col("startLine").alias("start_line"), F.col("endLine").alias("end_line"), "content", "context")
+    """Chunks of a JSON-lines file of the old kind; lines that can't be read are lost_lines()."""
+    rows = spark.read.schema(_SOURCE).option("mode", "DROPMALFORMED").json(path)
+    return rows.select(F.col("cid").alias("chunk_id"), F.col("filePath").alias("file_path"), F.col("moduleName").alias("module"), "name", "kind", F.col("startLine").alias("start_line"), F.col("endLine").alias("end_line"), "content", "context")
+
+
+def lost_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line): the lines of such a file that are no JSON of that shape."""
+    read = F.from_json("value", _SOURCE + ", _lost string", {"columnNameOfCorruptRecord": "_lost"})
+    return spark.read.text(path).filter(read["_lost"].isNotNull()).select(F.col("value").alias("line"))
 
 
 def legacy_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -173,20 +183,67 @@ def legacy_chunks(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*cols, extra.cast("map<string,string>").alias("extra"))
 
 
-def legacy_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(position, emb) of a binary matrix: count and length as 32-bit integers, then little-endian floats."""
-    import numpy as np
-    import pandas as pd
+#: Bytes of a matrix that one task reads.
+MATRIX_PART = 64 << 20
+
+
+class MatrixReader(DataSourceReader):
+    """Parts of a matrix as ranges of its rows; each task opens the file at its own place."""
 
-    def run(batches):
-        for b in batches:
-            for data in b["content"]:
-                n, dim = np.frombuffer(data, "<i4", 2)
-                m = np.frombuffer(data, "<f4", int(n) * int(dim), 8).reshape(int(n), int(dim))
-                for a in range(0, len(m), 10_000):
-                    yield pd.DataFrame({"position": np.arange(a, min(a + 10_000, len(m))), "emb": list(m[a : a + 10_000])})
+    def __init__(self, path: str, rows: int, length: int, part: int) -> None:
+        self.path, self.rows, self.length = path, rows, length
+        self.step = max(1, part // max(1, 4 * length))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "position long, emb array<float>")
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition((a, min(a + self.step, self.rows))) for a in range(0, self.rows, self.step)]
+
+    def read(self, partition: InputPartition):
+        import numpy as np
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(self.path)
+        first, last = partition.value if partition else (0, 0)  # an empty matrix has no parts
+        with store.open_input_file(path) as f:
+            for a in range(first, last, 10_000):
+                b = min(a + 10_000, last)
+                m = np.frombuffer(f.read_at((b - a) * 4 * self.length, 8 + a * 4 * self.length), "<f4")
+                if len(m) != (b - a) * self.length:
+                    raise ValueError(f"{self.path} ends before row {b} of {self.rows}")
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * self.length, pa.int32()), pa.array(m, pa.float32()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, b), pa.int64()), lists], ["position", "emb"])
+
+
+class Matrix(DataSource):
+    """spark.read.format("matrix"): options path (a uri), rows, length and part."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "matrix"
+
+    def schema(self) -> str:
+        return "position long, emb array<float>"
+
+    def reader(self, schema) -> MatrixReader:
+        return MatrixReader(self.options["path"], int(self.options["rows"]), int(self.options["length"]), int(self.options.get("part", MATRIX_PART)))
+
+
+def legacy_vectors(spark: SparkSession, path: str, part: int = MATRIX_PART) -> DataFrame:
+    """(position, emb) of a binary matrix: count and length as 32-bit integers, then little-endian floats.
+
+    The header is read first; then every task reads `part` bytes of rows, so that a file of any size is many tasks.
+    """
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    at = store.makeQualified(at)
+    stream = store.open(at)
+    try:
+        rows, length = (jvm.java.lang.Integer.reverseBytes(stream.readInt()) for _ in range(2))
+    finally:
+        stream.close()
+    spark.dataSource.register(Matrix)
+    return spark.read.format("matrix").option("path", at.toString()).option("rows", rows).option("length", length).option("part", part).load()
 
 
 def empty(spark: SparkSession, name: str) -> DataFrame:

@@ -56,3 +56,20 @@ def test_after_edits_the_index_is_the_whole_one(spark, tmp_path, monkeypatch):
     index.build_docs_index(kept, files(spark, texts), config)
     assert parsed[-1] == set() and all(rows(kept, name) == rows(whole, name) for name in TABLES)
     assert any("target_resolved=None" not in r for r in rows(kept, "doc_links")) and any("target_resolved=None" in r for r in rows(kept, "doc_links"))
+
+
+def test_a_matrix_is_read_in_parts(spark, tmp_path):
+    import numpy as np
+    import pytest
+
+    from sextant.sources.files import legacy_vectors
+
+    m = np.arange(60, dtype="<f4").reshape(20, 3)
+    (tmp_path / "a.emb").write_bytes(np.array([20, 3], "<i4").tobytes() + m.tobytes())
+    df = legacy_vectors(spark, f"{tmp_path}/a.emb", part=7 * 12)
+    assert df.rdd.getNumPartitions() == 3 and {r.position: list(r.emb) for r in df.collect()} == {i: list(x) for i, x in enumerate(m)}
+    (tmp_path / "none.emb").write_bytes(np.array([0, 3], "<i4").tobytes())
+    assert legacy_vectors(spark, f"{tmp_path}/none.emb").collect() == []
+    (tmp_path / "cut.emb").write_bytes(np.array([20, 3], "<i4").tobytes() + m.tobytes()[:-4])
+    with pytest.raises(Exception, match="ends before row 20"):
+        legacy_vectors(spark, f"{tmp_path}/cut.emb").collect()
