@@ -204,6 +204,10 @@ def test_hygiene_findings(spark):
     assert len(owner) == 1 and owner[0].source_file == "docs/current-status.md" and owner[0].evidence[0].startswith("Candidate score ")
     assert {r.finding_type for r in rows} >= {"canonical_owner_candidate", "live_status_triage", "orphan_triage"} and all(r.why_flagged for r in rows)
     assert [r.confidence for r in rows] == sorted((r.confidence for r in rows), reverse=True)
+    parts = ["canonical_owner_candidate", "live_status_triage", "section_triage", "orphan_triage", "gap_triage"]
+    places = [(-r.confidence, parts.index(r.finding_type), r.source_file) for r in rows]
+    assert places == sorted(places) and hygiene.findings_note(got, s).collect() == []
+    assert hygiene.findings_note(got.limit(0), s).first()[:] == ("No hygiene findings detected for the current index.", 4)
 
 
 def test_section_triage(spark):
