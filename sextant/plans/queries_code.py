@@ -81,12 +81,13 @@ def code_callers(spark, sf_dir):
 
 
 #: Names shorter than three letters aren't gone on from.
-_HITS = r"""w AS (SELECT ord, name, file_path, start_line, content, unnest(list_distinct(regexp_extract_all(content, '[\p{L}\p{N}_]+'))) AS word FROM chunks),
- e AS (SELECT word AS src, name AS dst, regexp_extract(file_path, '[^/]*$') AS file, start_line AS line, trim(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '(^|[^\p{L}\p{N}_])' || word || '([^\p{L}\p{N}_]|$)'))[1], ' ') AS match_line, row_number() OVER (PARTITION BY word ORDER BY ord) AS k FROM w WHERE word <> name)"""
+_HITS = r"""w AS (SELECT ord, name, file_path, start_line, unnest(list_distinct(regexp_extract_all(content, '[\p{L}\p{N}_]+'))) AS word FROM chunks),
+ e AS (SELECT word AS src, name AS dst, regexp_extract(file_path, '[^/]*$') AS file, start_line AS line, row_number() OVER (PARTITION BY word ORDER BY ord) AS k FROM w WHERE word <> name),
+ one AS (SELECT *, src || ' → ' || dst || ' (' || file || ':' || line || ')' AS trail FROM e WHERE src = 'P100' AND k <= 3),
+ two AS (SELECT 1 AS hop, src, dst, file, line, trail FROM one UNION ALL SELECT 2, e.src, e.dst, e.file, e.line, one.trail || ' → ' || e.dst || ' (' || e.file || ':' || e.line || ')' FROM one JOIN e ON e.src = one.dst AND e.k <= 3 WHERE length(one.dst) > 2)"""
 
 
-@query(f"""WITH {CODE}, {_HITS}, one AS (SELECT *, src || ' → ' || dst || ' (' || file || ':' || line || ')' AS trail FROM e WHERE src = 'P100' AND k <= 3)
- SELECT 1 AS hop, dst AS name, file, line, match_line, trail FROM one UNION ALL SELECT 2, e.dst, e.file, e.line, e.match_line, one.trail || ' → ' || e.dst || ' (' || e.file || ':' || e.line || ')' FROM one JOIN e ON e.src = one.dst AND e.k <= 3 WHERE length(one.dst) > 2""")
+@query(rf"""WITH {CODE}, {_HITS} SELECT hop, dst AS name, file, line, trim(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '(^|[^\p{{L}}\p{{N}}_])' || src || '([^\p{{L}}\p{{N}}_]|$)'))[1], ' ') AS match_line, trail FROM two JOIN chunks c ON c.name = two.dst""")
 def code_walk(spark, sf_dir):
     """Up to nine parts, and those suppliers with three letters or more."""
     return code.walk(S.code_chunks(spark, sf_dir), "P100", 2, 3).select("hop", "name", "file", "line", "match_line", "trail")
