@@ -5,6 +5,7 @@
     python -m sextant.cli --index DIR stale ROOT | health ROOT     (files under ROOT tell what is newer)
     python -m sextant.cli --index DIR search code|docs TEXT | check TEXT     (embed the text with the configured server; - reads standard input)
     python -m sextant.cli --index DIR eval 'grep(docs, "word", 5)' [--json]     (- reads the expression from standard input)
+    python -m sextant.cli --index DIR repl     (expressions from standard input, one a line; what they assign stays; :quit ends)
     python -m sextant.cli --index DIR fn add NAME PARAMS BODY | fn list | fn rm NAME
 """
 
@@ -12,12 +13,14 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sextant.operators import bridge, code, docs, hygiene, scan
 from sextant.plans import expr, index
 from sextant.plans.format import render, stamped
+from sextant.plans.rows import plain
 from sextant.plans.storage import Catalog, read_text, write_text
 from sextant.session import session
 from sextant.sources.embeddings import Fault, Http
@@ -45,6 +48,22 @@ def shown(value: object, source: str, as_json: bool) -> str:
     return render(stamped(value, source), as_json=as_json) if isinstance(value, DataFrame) else str(value)
 
 
+def repl(lines: Iterable[str], names: dict[str, object], as_json: bool = False) -> Iterator[str]:
+    """What each line says: a line that fails is told and changes nothing."""
+    for text in map(str.strip, lines):
+        if text == ":quit":
+            return
+        if not text or text.startswith("#"):
+            continue
+        try:
+            value, own = expr.run(text, names)
+            names = names | own
+            if not own or list(own.values())[-1] is not value:
+                yield shown(plain(value), "repl", as_json)
+        except Exception as e:  # noqa: BLE001 - a wrong expression doesn't end the loop
+            yield f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> tuple[str, int]:
     """The text to print and the exit code."""
     catalog, rest = Catalog(spark, args.index), args.rest
@@ -79,6 +98,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[str, int]:
         own, warnings = known.names(primitives() | t)
         print(*warnings, sep="\n", file=sys.stderr)
         return shown(expr.evaluate(sys.stdin.read() if rest[0] == "-" else rest[0], primitives() | t | own), "eval", args.json), 0
+    if args.command == "repl":
+        known = expr.Functions.from_json(read_text(spark, functions) or "[]", set(primitives()))
+        own, warnings = known.names(primitives() | t)
+        print(*warnings, sep="\n", file=sys.stderr)
+        for said in repl(sys.stdin, primitives() | t | own, args.json):
+            print(said, flush=True)
+        return "", 0
     if args.command in ("stale", "health"):
         late = index.stale_docs(read_files(spark, rest[0]), t["frontmatters"], t["docs"])
         return shown(late if args.command == "stale" else index.health(t["sections"], t["links"], late), args.command, args.json), 0

@@ -218,4 +218,4 @@ def changed_diff(spark, sf_dir):
 
 
 # The primitives of the two indexes and the triage register themselves.
-from sextant.plans import queries_code, queries_docs, queries_index, queries_rules  # noqa: E402, F401
+from sextant.plans import queries_code, queries_docs, queries_expr, queries_index, queries_rules  # noqa: E402, F401
