@@ -151,3 +151,69 @@ def live_status(spark, sf_dir):
     links = spark.createDataFrame([], "source_file string, target_resolved string")
     out = hygiene.live_status(d, status, hygiene.status_owner(d, status), links).filter("finding_type = 'live_status_triage'")
     return out.select("source_file", "acceptance_scenario_id", "suggested_action", "expected_human_action_shape", "confidence", "risk", "canonical_owner_candidate")
+
+
+# The triage as a whole -------------------------------------------------------------
+
+#: Folders, by the length of a document, and what its section says, by its number.
+FOLDERS = ("a/b/", "a/spec/", "a/design/", "a/research/", "a/decision-index/", "a/adr/", "a/archive/")
+SAYS = ("plain words", "an invariant that we must preserve", "api json payload", "a hypothesis with an evidence gap", "register entry, broken link", "it was accepted", "finding that contradicts the other", "written at the time")
+
+
+def _triaged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sections and links: each document is a file of one section with a phrase and forty words of its own; each eleventh states live status instead,
+    a few name an entity of their own. Two of three link to the next document, each seventh twice more, each fifth to a file that isn't there."""
+    d = S.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    id_, live = F.col("doc_id").cast("string"), F.col("doc_id") % 11 == 5
+    folder = lambda n: F.element_at(F.array(*map(F.lit, FOLDERS)), (n % 7 + 1).cast("int"))
+    path = F.concat(folder(F.col("n_chars")), F.lit("d"), id_, F.lit(".md"))
+    says = F.when(live, "tests baseline delivered").otherwise(F.element_at(F.array(*map(F.lit, SAYS)), (F.col("doc_id") % 8 + 1).cast("int")))
+    own = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: F.concat(F.lit("q"), id_, F.lit("z"), k.cast("string"))), " ")
+    named = F.when(F.col("doc_id") % 50 == 7, F.concat(F.lit(" `Lonelyentity"), F.translate(id_, "0123456789", "abcdefghij"), F.lit("`"))).otherwise("")
+    heading = F.when(live, "Current status").otherwise("Notes")
+    s = d.select("doc_id", id_.alias("chunk_id"), F.col("doc_id").alias("ord"), path.alias("file_path"), heading.alias("heading"), heading.alias("heading_path"), F.lit(1).alias("level"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.concat(says, F.lit(" "), own, named).alias("content"))
+    to = s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("file_path").alias("target_resolved"))
+    times = F.when(F.col("doc_id") % 3 != 0, 1).otherwise(0) + F.when(F.col("doc_id") % 7 == 0, 2).otherwise(0)
+    links = s.join(to, "doc_id").select(F.col("file_path").alias("source_file"), F.col("heading").alias("source_heading"), F.lit("next").alias("target_path"), "target_resolved", F.explode(F.array_repeat(F.lit(1), times)).alias("line"))
+    lost = s.filter("doc_id % 5 = 0").select(F.col("file_path").alias("source_file"), F.col("heading").alias("source_heading"), F.lit("gone.md").alias("target_path"), F.lit(None).cast("string").alias("target_resolved"), F.lit(1).alias("line"))
+    return s.drop("doc_id"), links.unionByName(lost)
+
+
+#: In SQL: the points of roles by folder and by phrase, and how many terms of each kind a phrase holds, counted by hand; then the rules. No two files share an eighth of their words.
+@query(f"""WITH d AS (SELECT doc_id AS k, (n_chars % 7)::INT AS f, CASE WHEN doc_id % 11 = 5 THEN 8 ELSE (doc_id % 8)::INT END AS g FROM documents),
+ folders(f, folder, historical, spec, deep, note, idx, entry, record) AS (VALUES (0, 'a/b/', 0, 0, 0, 0, 0, 0, 0), (1, 'a/spec/', 0, 2, 0, 0, 0, 0, 0), (2, 'a/design/', 0, 0, 2, 0, 0, 0, 0), (3, 'a/research/', 0, 0, 0, 3, 0, 0, 0), (4, 'a/decision-index/', 0, 0, 0, 0, 4, 3, 3), (5, 'a/adr/', 0, 0, 0, 0, 0, 0, 3), (6, 'a/archive/', 4, 0, 0, 0, 0, 0, 0)),
+ phrases(g, historical, spec, deep, note, idx, record, u, ge, ix, de, mi, hi, re, co, ga) AS (VALUES (0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0), (1, 0, 0, 3, 0, 0, 0, 3, 0, 0, 0, 0, 0, 0, 0, 0), (2, 0, 3, 0, 0, 0, 0, 0, 3, 0, 0, 0, 0, 0, 0, 0), (3, 0, 0, 0, 3, 0, 0, 0, 0, 0, 0, 0, 0, 2, 0, 1),
+  (4, 0, 0, 0, 0, 3, 0, 0, 0, 1, 0, 1, 0, 0, 0, 0), (5, 0, 0, 0, 0, 0, 2, 0, 0, 0, 1, 0, 0, 0, 0, 0), (6, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 1, 0), (7, 2, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0, 0, 0), (8, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0)),
+ o AS (SELECT k, f, g, folder || 'd' || k || '.md' AS file, (CASE WHEN k % 3 <> 0 THEN 1 ELSE 0 END + CASE WHEN k % 7 = 0 THEN 2 ELSE 0 END) * (k + 1 IN (SELECT k FROM d))::INT AS nexts, (k % 5 = 0)::INT AS broken FROM d JOIN folders USING (f)),
+ b AS (SELECT o.*, o.nexts + o.broken AS outs, coalesce(p.nexts, 0) AS backs FROM o LEFT JOIN o p ON p.k = o.k - 1),
+ points AS (SELECT k, unnest([{{'i': 0, 'role': 'canonical_live_status_owner', 'n': CASE WHEN g = 8 THEN least(2, backs) ELSE 0 END}}, {{'i': 1, 'role': 'historical_archive', 'n': x.historical + y.historical}}, {{'i': 2, 'role': 'implemented_spec', 'n': x.spec + y.spec}}, {{'i': 3, 'role': 'research_deep_dive', 'n': x.deep + y.deep}},
+  {{'i': 4, 'role': 'research_note', 'n': x.note + y.note}}, {{'i': 5, 'role': 'decision_index', 'n': x.idx + y.idx}}, {{'i': 7, 'role': 'entrypoint_or_index_doc', 'n': x.entry}}, {{'i': 8, 'role': 'review_or_decision_record', 'n': x.record + y.record}}]) AS s FROM b JOIN folders x USING (f) JOIN phrases y USING (g)),
+ ranked AS (SELECT k, s.role AS role, s.n AS n, row_number() OVER (PARTITION BY k ORDER BY s.n DESC, s.i) AS nth FROM points),
+ roles AS (SELECT k, CASE WHEN max(n) < 3 THEN 'unknown' WHEN max(n) FILTER (WHERE nth = 2) >= greatest(3, max(n) - 1) THEN 'mixed' ELSE max(role) FILTER (WHERE nth = 1) END AS role FROM ranked GROUP BY k),
+ p AS (SELECT b.*, role, u, ge, ix, de, mi, hi, re, co, ga, u > 0 AND ge = 0 AS own, ge >= 2 AS scaffold, mi > 0 OR broken > 0 AS lost, ix + de + hi > 0 OR (u > 0 AND ge = 0) AS memory FROM b JOIN roles USING (k) JOIN phrases USING (g)),
+ sec AS (SELECT *, CASE role WHEN 'mixed' THEN CASE WHEN u > 0 AND NOT scaffold THEN 'preserve ignore medium' WHEN scaffold AND u = 0 THEN 'reduce reduce medium' ELSE 'needs_human_review needs_human_review high' END
+   WHEN 'decision_index' THEN CASE WHEN lost AND memory THEN 'preserve link medium' WHEN hi > 0 OR (memory AND NOT scaffold) THEN 'preserve accept low' WHEN scaffold AND NOT memory THEN 'reduce reduce medium' ELSE 'needs_human_review link medium' END
+   WHEN 'research_note' THEN CASE WHEN co > 0 THEN 'needs_human_review link medium' WHEN ga > 0 THEN 'preserve link medium' WHEN (re > 0 OR own) AND NOT scaffold THEN 'preserve link low' WHEN scaffold AND re = 0 AND NOT own THEN 'reduce reduce medium' ELSE 'needs_human_review link medium' END
+   WHEN 'review_or_decision_record' THEN CASE WHEN (de > 0 OR own) AND NOT scaffold THEN 'preserve accept low' WHEN scaffold AND de = 0 AND NOT own THEN 'reduce reduce medium' ELSE 'needs_human_review needs_human_review medium' END END AS told,
+  CASE role WHEN 'mixed' THEN 'section-preserve-reduce' WHEN 'decision_index' THEN CASE WHEN lost THEN 'decision-index-target-missing' WHEN hi > 0 THEN 'decision-index-historical-snapshot' ELSE 'decision-index-section-preserve-reduce' END
+   WHEN 'research_note' THEN CASE WHEN co > 0 THEN 'research-note-conflict' WHEN ga > 0 THEN 'research-note-evidence-gap' ELSE 'research-note-section-preserve-reduce' END ELSE 'decision-record-section-preserve-reduce' END AS scenario,
+  CASE role WHEN 'mixed' THEN 0.45::DOUBLE + (u + ge) / 10 WHEN 'decision_index' THEN 0.48::DOUBLE + (ix + mi + hi) / 12 + de / 14 + (u + ge) / 18 + broken / 10 WHEN 'research_note' THEN 0.5::DOUBLE + re / 12 + co / 10 + ga / 10 + u / 14 + ge / 16 ELSE 0.45::DOUBLE + (de + u + ge) / 12 END AS sure FROM p WHERE g < 8 AND role IN ('mixed', 'decision_index', 'research_note', 'review_or_decision_record')),
+ sections AS (SELECT file, 'section_triage' AS kind, scenario, role, CASE WHEN sure < 0.7 OR split_part(told, ' ', 3) = 'high' THEN 'needs_human_review' ELSE split_part(told, ' ', 1) END AS action, split_part(told, ' ', 2) AS shape, sure, split_part(told, ' ', 3) AS risk FROM sec WHERE NOT (role = 'decision_index' AND told = 'preserve accept low' AND hi = 0)),
+ scored AS (SELECT *, 1 + least(2, backs) - CASE WHEN role = 'historical_archive' THEN 2 ELSE 0 END AS score FROM p WHERE g = 8),
+ best AS (SELECT *, row_number() OVER (ORDER BY score DESC, file) AS nth, coalesce(lead(score) OVER (ORDER BY score DESC, file), 0) AS second FROM scored),
+ owners AS (SELECT file, 'canonical_owner_candidate' AS kind, 'neon-live-status' AS scenario, role, 'needs_human_review' AS action, 'needs_human_review' AS shape, 0.45::DOUBLE + score / 12 + greatest(0, score - second) / 15 AS sure, 'medium' AS risk FROM best WHERE nth = 1),
+ lives AS (SELECT file, 'live_status_triage', 'neon-live-status-stale', role, 'needs_human_review', CASE WHEN role = 'historical_archive' THEN 'archive' ELSE 'reduce' END, 0.4::DOUBLE + 5 / 85 / 1.4 + 2 / 12, CASE WHEN role IN ('mixed', 'unknown') THEN 'high' ELSE 'medium' END FROM best WHERE nth > 1),
+ dives AS (SELECT file, 'section_triage', 'neon-deep-dive-protection', role, 'preserve', 'ignore', 0.88::DOUBLE, 'low' FROM p WHERE role = 'research_deep_dive' AND backs > 0 AND u > 0 AND g < 8),
+ alone AS (SELECT file, role, CASE WHEN role = 'decision_index' AND (broken > 0 OR g = 4) THEN 'preserve link 0.84 medium' WHEN role = 'decision_index' AND outs >= 2 THEN 'preserve ignore 0.86 low' WHEN f = 4 AND outs >= 3 THEN 'preserve ignore 0.92 low' WHEN role = 'historical_archive' THEN 'preserve ignore 0.82 low'
+   WHEN role = 'research_deep_dive' THEN 'preserve link 0.86 low' WHEN role = 'review_or_decision_record' AND outs >= 2 THEN 'preserve ignore 0.85 low' WHEN role = 'review_or_decision_record' THEN 'preserve link 0.8 medium' WHEN role = 'research_note' AND ga > 0 THEN 'preserve link 0.82 medium'
+   WHEN role = 'research_note' THEN 'preserve link 0.8 medium' WHEN outs = 0 THEN 'needs_human_review link 0.74 medium' ELSE 'needs_human_review link 0.62 medium' END AS told FROM p WHERE backs = 0),
+ orphans AS (SELECT file, 'orphan_triage', 'orphan-actionability', role, split_part(told, ' ', 1), split_part(told, ' ', 2), split_part(told, ' ', 3)::DOUBLE, split_part(told, ' ', 4) FROM alone),
+ named AS (SELECT *, 'lonelyentity' || translate(k::VARCHAR, '0123456789', 'abcdefghij') AS e FROM p WHERE k % 50 = 7),
+ gaps AS (SELECT file, 'gap_triage', 'gap-explainability', role, 'needs_human_review', 'link', 0.76::DOUBLE, 'medium' FROM named ORDER BY least(5, len(e) // 3) DESC, e LIMIT 5)
+ SELECT file AS source_file, kind AS finding_type, scenario AS acceptance_scenario_id, role AS doc_role, action AS suggested_action, shape AS expected_human_action_shape, round_even(sure, 3) AS confidence, risk
+ FROM (FROM sections UNION ALL FROM owners UNION ALL FROM lives UNION ALL FROM dives UNION ALL FROM orphans UNION ALL FROM gaps)""")
+def hygiene_whole(spark, sf_dir):
+    s, links = _triaged(spark, sf_dir)
+    meta = spark.createDataFrame([], "file_path string, title string, tags array<string>")
+    found = hygiene.findings(s, meta, links)
+    return found.select("source_file", "finding_type", "acceptance_scenario_id", "doc_role", "suggested_action", "expected_human_action_shape", "confidence", "risk")
