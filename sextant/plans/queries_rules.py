@@ -202,7 +202,7 @@ def _triaged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
  scored AS (SELECT *, 1 + least(2, backs) - CASE WHEN role = 'historical_archive' THEN 2 ELSE 0 END AS score FROM p WHERE g = 8),
  best AS (SELECT *, row_number() OVER (ORDER BY score DESC, file) AS nth, coalesce(lead(score) OVER (ORDER BY score DESC, file), 0) AS second FROM scored),
  owners AS (SELECT file, 'canonical_owner_candidate' AS kind, 'neon-live-status' AS scenario, role, 'needs_human_review' AS action, 'needs_human_review' AS shape, 0.45::DOUBLE + score / 12 + greatest(0, score - second) / 15 AS sure, 'medium' AS risk FROM best WHERE nth = 1),
- lives AS (SELECT file, 'live_status_triage', 'neon-live-status-stale', role, 'needs_human_review', CASE WHEN role = 'historical_archive' THEN 'archive' ELSE 'reduce' END, 0.4::DOUBLE + 5 / 85 / 1.4 + 2 / 12, CASE WHEN role IN ('mixed', 'unknown') THEN 'high' ELSE 'medium' END FROM best WHERE nth > 1),
+ lives AS (SELECT file, 'live_status_triage', 'neon-live-status-stale', role, 'needs_human_review', CASE WHEN role = 'historical_archive' THEN 'archive' ELSE 'reduce' END, 0.4::DOUBLE + 5 / (85 + (k % 50 = 7)::INT + (SELECT k % 50 = 7 FROM best WHERE nth = 1)::INT) / 1.4 + 2 / 12, CASE WHEN role IN ('mixed', 'unknown') THEN 'high' ELSE 'medium' END FROM best WHERE nth > 1),
  dives AS (SELECT file, 'section_triage', 'neon-deep-dive-protection', role, 'preserve', 'ignore', 0.88::DOUBLE, 'low' FROM p WHERE role = 'research_deep_dive' AND backs > 0 AND u > 0 AND g < 8),
  alone AS (SELECT file, role, CASE WHEN role = 'decision_index' AND (broken > 0 OR g = 4) THEN 'preserve link 0.84 medium' WHEN role = 'decision_index' AND outs >= 2 THEN 'preserve ignore 0.86 low' WHEN f = 4 AND outs >= 3 THEN 'preserve ignore 0.92 low' WHEN role = 'historical_archive' THEN 'preserve ignore 0.82 low'
    WHEN role = 'research_deep_dive' THEN 'preserve link 0.86 low' WHEN role = 'review_or_decision_record' AND outs >= 2 THEN 'preserve ignore 0.85 low' WHEN role = 'review_or_decision_record' THEN 'preserve link 0.8 medium' WHEN role = 'research_note' AND ga > 0 THEN 'preserve link 0.82 medium'
