@@ -9,6 +9,7 @@ from sextant.functions import text as X
 from sextant.operators.code import fan_in
 from sextant.operators.contain import standing
 from sextant.operators.scan import first_distinct
+from sextant.plans.storage import cut
 
 # What is read as a code file, and as a qualified member; words have letters of any script.
 FILE_TOKEN = r"(?U)\b(\w[\w.-]*\.(?:fs|fsx|cs|ts|tsx|js|jsx|py|go|rs|java|kt))\b"
@@ -45,7 +46,7 @@ def drift(sections: DataFrame, chunks: DataFrame) -> DataFrame:
 def coverage(chunks: DataFrame, imports: DataFrame, docs: DataFrame, min_fan_in: int = 2) -> DataFrame:
     """Files, by name, that others import at least so often and no document names: neither the stem (of three letters or more) nor the
     whole name stands between word borders, case aside. Those imported most come first."""
-    f = fan_in(chunks, imports).filter(F.col("fan_in") >= min_fan_in)
+    f = cut(fan_in(chunks, imports).filter(F.col("fan_in") >= min_fan_in))  # asked for several times
     names = f.select("file", F.explode(F.array_distinct(F.array(F.lower("file"), F.when(F.length(X.file_stem("file")) >= 3, F.lower(X.file_stem("file"))).otherwise(F.lower("file"))))).alias("name"))
     told = names.join(standing(names, docs.select(F.lower("content").alias("content"))), "name", "left_semi").select("file").distinct()
     f = f.join(told, "file", "left_anti")

@@ -143,3 +143,26 @@ def test_gaps_come_in_order_with_a_note(spark):
     assert docs.gaps_note(source, min_docs=3, signal="isolated").first().note == "No entities with signal 'isolated' found (minDocs=3). The index has 4 entities across 6 files."
     empty = docs.gaps_note(source.limit(0)).first()
     assert (empty.note, empty.total_entities, empty.total_files) == ("No cross-document entity references found.", 0, 0)
+
+
+def test_lookups_are_joins_on_equality_of_narrow_rows(spark):
+    """Parts that share their runs (p1000001, p1000002, ...) never meet all texts that have the run, and a text isn't copied for each of its words."""
+    texts, parts = spark.createDataFrame([("parts.p1000001",), ("parts.p1000002",)], "text string"), spark.createDataFrame([("p1000001",), ("p1000003",)], "part string")
+    held = contain.held(texts, parts)
+    assert [tuple(r) for r in held.collect()] == [("parts.p1000001", "p1000001")]
+    assert "Contains(" not in held._jdf.queryExecution().optimizedPlan().toString()
+    names = spark.createDataFrame([("p1.fs",), ("p2.fs",), ("a-b-c.fs",), ("b-c",)], "name string")
+    stood = contain.standing(names, spark.createDataFrame([("see `p1.fs`\nnot p2-fs, a-b-d.fs",), ("x a-b-c.fs",)], "content string"))
+    assert {r.name for r in stood.collect()} == {"p1.fs", "a-b-c.fs", "b-c"}
+    made = [x for x in stood._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate explode" in x]
+    assert made and not any("content#" in x and "[0]" not in x for x in made), made  # [0]: the text that is exploded isn't kept beside its words
+
+
+def test_a_hop_over_imports_is_its_edges_both_ways(spark):
+    """Without making all edges, which grow with files times the modules that hold their stems."""
+    chunks, imports = chunk_table(spark, FILES), spark.createDataFrame(IMPORTS, "file_path string, module string")
+    edges = {tuple(r) for r in code.import_edges(chunks, imports).collect()}
+    hop = code.import_hop(chunks, imports)
+    for files in (["index.js"], ["main.rs", "chunker-core.js"], ["lone.py"]):
+        got = {tuple(r) for r in hop(spark.createDataFrame([(f,) for f in files], "src string")).collect()}
+        assert got == {e for e in edges | {(b, a) for a, b in edges} if e[0] in files}
