@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,12 +155,30 @@ def import_edges(chunks: DataFrame, imports: DataFrame) -> DataFrame:
     return said.join(hits, "text").join(names.select(F.col("file").alias("dst"), F.col("stem").alias("part")), "part").filter("src <> dst").select("src", "dst").distinct()
 
 
+def import_hop(chunks: DataFrame, imports: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """The edges of import_edges, in either direction, of the files (src) that are asked for: (src, dst). By way of the modules, as
+    a module stands once for all files that import it and a stem once for all modules that hold it; all edges are never made."""
+    names = named_files(chunks)
+    said = cut(imports.select(X.file_name("file_path").alias("src"), F.lower("module").alias("text")))
+    hits = contain.held(said.select("text"), names.select(F.col("stem").alias("part")))
+    met = cut(hits.join(names.select(F.col("file").alias("dst"), F.col("stem").alias("part")), "part").select("text", "dst"))
+
+    def hop(files: DataFrame) -> DataFrame:
+        files = graph.small(files)
+        out = said.join(files, "src").join(met, "text").select("src", "dst")
+        held = met.withColumnRenamed("dst", "src").join(files, "src")
+        into = said.withColumnRenamed("src", "dst").join(graph.small(held), "text").select("src", "dst")
+        return out.union(into).filter("src <> dst")
+
+    return hop
+
+
 def fan_in(chunks: DataFrame, imports: DataFrame, compat: bool = False) -> DataFrame:
     """(file, fan_in): how many imports of other files hold a file's stem; compat: 2 n - 1 for n, as an old counter had it.
 
     Modules are counted before they are matched, so that one which a third of all files import is one row; a file's own imports are taken off."""
     names = named_files(chunks)
-    n = imports.groupBy(F.lower("module").alias("text")).agg(F.count("*").alias("n"))
+    n = cut(imports.groupBy(F.lower("module").alias("text")).agg(F.count("*").alias("n")))
     stem = F.lower(X.file_stem("file_path"))
     own = imports.filter((F.length(stem) >= contain.GRAM) & F.contains(F.lower("module"), stem)).groupBy(X.file_name("file_path").alias("file")).agg(F.count("*").alias("own"))
     hits = contain.held(n.select("text"), names.select(F.col("stem").alias("part"))).join(n, "text").groupBy("part").agg(F.sum("n").alias("n"))
@@ -194,7 +214,7 @@ def trace(chunks: DataFrame, imports: DataFrame, start: str, goal: str) -> DataF
         if f is None:
             return error(f"could not resolve '{t}' to a file")
     a, b = found[start], found[goal]
-    path = cut(graph.shortest_path(import_edges(chunks, imports), a, b))
+    path = cut(graph.shortest_way(spark, import_hop(chunks, imports), a, b))
     if path.isEmpty():
         return error(f"no path from '{a}' to '{b}'")
     return path.select("step", "node", (F.max("step").over(Window.partitionBy(F.lit(1))) - 1).alias("length"), F.lit(None).cast("string").alias("error"))

@@ -5,26 +5,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.plans.storage import cut
 
 
+#: A table of so many rows at most is sent to all tasks.
+FEW = 20_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The table, to be broadcast if its rows are counted to be few."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
-    """(step, node): a shortest path in an undirected graph (src, dst), the least parent first; no row where there is none.
+    """shortest_way over a table of edges (src, dst), which go both ways."""
+    if start == goal:
+        return shortest_way(edges.sparkSession, lambda files: files, start, goal)
+    both = cut(edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).distinct())
+    return shortest_way(edges.sparkSession, lambda files: files.join(both, "src"), start, goal)
+
 
-    Breadth first, until the goal is found or no node is new: each level is a join of the frontier with the edges; visited nodes are
+def shortest_way(spark: SparkSession, hop: Callable[[DataFrame], DataFrame], start: str, goal: str) -> DataFrame:
+    """(step, node): a shortest path in an undirected graph, the least parent first; no row where there is none. hop gives the edges (src, dst) of nodes (src).
+
+    Breadth first, until the goal is found or no node is new: each level is a hop from the frontier; visited nodes are
     taken out by an anti-join. As edges go both ways, those are in the frontier or the level before it.
     """
-    spark = edges.sparkSession
     first = spark.createDataFrame([(start, None)], "node string, parent string")
     if start == goal:
         return first.select(F.lit(1).alias("step"), "node")
-    both = cut(edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).distinct())
     levels = [first]
     while True:
-        nxt = levels[-1].select(F.col("node").alias("src")).join(both, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        nxt = hop(levels[-1].select(F.col("node").alias("src"))).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         for seen in levels[-2:]:
             nxt = nxt.join(seen.select("node"), "node", "left_anti")
         nxt = cut(nxt)
