@@ -188,8 +188,8 @@ def gaps_note(source: DataFrame, scope: str = "", min_docs: int = 1, signal: str
     return of.join(F.broadcast(seen), F.lit(True)).filter(~F.col("any")).select(note.alias("note"), "total_entities", "total_files")  # one row on either side
 
 
-#: Vectors that are settled at a time, and about how many of a folder meet the centres in one task.
-LEADERS, SHARD = 1024, 4096
+#: Vectors that are settled at a time, about how many of a folder meet the centres in one task, and how many of those are multiplied at a time.
+LEADERS, SHARD, STEP = 8192, 4096, 256
 #: Fewer documents than these aren't split.
 FEWEST = 4
 
@@ -222,12 +222,14 @@ def _settled(threshold: float):
 
 
 def _uncovered(threshold: float):
+    import numpy as np
     import pandas as pd
 
     def run(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
         if len(rows) == 0 or len(centres) == 0:
             return rows
-        return rows[(_unit(rows) @ _unit(centres).T).max(axis=1) < threshold]
+        m, c = _unit(rows), _unit(centres).T
+        return rows[np.concatenate([(m[i : i + STEP] @ c).max(axis=1) for i in range(0, len(m), STEP)]) < threshold]
 
     return run
 
@@ -239,14 +241,23 @@ def _nearest(rows, centres):
 
     if len(rows) == 0 or len(centres) == 0:
         return pd.DataFrame({"directory": [], "file_path": [], "sim": [], "cluster": []})
+    # Clusters are numbered in the order of their centres, so that those before a row are the first ones.
     centres = centres.sort_values("cluster")
-    sim = _unit(rows) @ _unit(centres).T
-    vo, lo = rows["ord"].to_numpy()[:, None], centres["ord"].to_numpy()[None, :]
-    vp, lp = rows["file_path"].to_numpy()[:, None], centres["file_path"].to_numpy()[None, :]
-    own = (vo == lo) & (vp == lp)
-    sim = np.where(own, 9.0, np.where((lo < vo) | ((lo == vo) & (lp < vp)), sim, -9.0))
-    best = sim.argmax(axis=1)
-    return pd.DataFrame({"directory": rows["directory"].to_numpy(), "file_path": rows["file_path"].to_numpy(), "sim": sim.max(axis=1), "cluster": centres["cluster"].to_numpy()[best]})
+    place = pd.concat([x[["ord", "file_path"]] for x in (centres, rows)], ignore_index=True).groupby(["ord", "file_path"]).ngroup().to_numpy()
+    of_centre, of_row = place[: len(centres)], place[len(centres) :]
+    before = np.searchsorted(of_centre, of_row)
+    own = np.where(of_centre[np.minimum(before, len(centres) - 1)] == of_row, np.minimum(before, len(centres) - 1), -1)
+    m, c = _unit(rows), _unit(centres).T
+    best, most = np.zeros(len(m), np.int64), np.zeros(len(m))
+    for i in range(0, len(m), STEP):
+        sim = m[i : i + STEP] @ c
+        at = np.arange(len(sim))
+        sim[np.arange(len(centres))[None, :] >= before[i : i + STEP, None]] = -9.0
+        mine = own[i : i + STEP]
+        sim[at[mine >= 0], mine[mine >= 0]] = 9.0
+        best[i : i + STEP] = sim.argmax(axis=1)
+        most[i : i + STEP] = sim[at, best[i : i + STEP]]
+    return pd.DataFrame({"directory": rows["directory"].to_numpy(), "file_path": rows["file_path"].to_numpy(), "sim": most, "cluster": centres["cluster"].to_numpy()[best]})
 
 
 def cluster(vectors: DataFrame, threshold: float = 0.7) -> DataFrame:

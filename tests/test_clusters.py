@@ -46,3 +46,18 @@ def test_the_nearest_centre_counts_and_few_files_are_not_split(spark):
     assert {(r.directory, r.file_path): r.cluster for r in got if r.suggestion is None} == {("a", "1"): 0, ("a", "2"): 1, ("a", "3"): 1, ("a", "4"): 2}  # 3 is at 0.75 of the first as well
     assert {r.directory: r.suggestion for r in got if r.suggestion} == {"b": "Folder has fewer than 4 docs — no split needed.", "c": "Not enough embedded docs to cluster."}
     assert docs.cluster(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_products_are_bounded_and_rounds_few(spark, monkeypatch):
+    """A task multiplies STEP rows at a time with a block's centres, which may therefore be many; folders that are all apart take few rounds."""
+    import pandas as pd
+
+    assert docs.LEADERS >= 8192 and docs.STEP * docs.LEADERS * 8 <= 32 << 20
+    monkeypatch.setattr(docs, "STEP", 2)
+    dice = np.random.default_rng(3)
+    rows = pd.DataFrame({"directory": "a", "file_path": [f"f{i}" for i in range(40)], "ord": np.arange(40) // 3, "emb": list(dice.normal(size=(40, 3)))})
+    rows = rows.sort_values(["ord", "file_path"], ignore_index=True)
+    centres = docs._settled(0.7)(rows).assign(cluster=lambda x: range(len(x)))
+    got = docs._nearest(rows.sample(frac=1, random_state=1), centres).set_index("file_path")["cluster"].to_dict()
+    assert got == {p: k for (_, p), k in plain([("a", r.file_path, r.emb.tolist(), r.ord) for r in rows.itertuples()], 0.7).items()}
+    assert len(docs._uncovered(0.7)(rows, centres)) == 0
