@@ -243,13 +243,13 @@ def entity_refs(text: Column | str, namespaces: tuple[str, ...] = NAMESPACES) ->
     """Distinct normalised entities that a text names: files, modules, types in back-ticks and paths."""
 
     def found(pattern: str) -> Column:
-        return F.regexp_extract_all(col(text), F.lit(pattern), F.lit(1))
+        return F.array_distinct(F.regexp_extract_all(col(text), F.lit(pattern), F.lit(1)))
 
     modules = F.filter(found(ENTITY_MODULE), lambda m: ~m.rlike(r"\.(fs|cs|js|md)$"))
     names = F.filter(found(ENTITY_NAME), lambda m: ~m.rlike(r"\.\w{1,4}$"))
     paths = F.transform(found(ENTITY_PATH), lambda m: F.substring_index(m, "/", -1))
     every = F.concat(found(ENTITY_FILE), found(ENTITY_BARE), modules, names, paths)
-    every = F.transform(every, lambda e: normalize_entity(e, namespaces))
+    every = F.transform(F.array_distinct(every), lambda e: normalize_entity(e, namespaces))
     return F.array_distinct(F.filter(every, lambda e: F.length(e) >= 3))
 
 

@@ -127,8 +127,8 @@ def walk(links: DataFrame, file: str, depth: int = 2, direction: str = "out") ->
 
 
 def entity_rows(source: DataFrame) -> DataFrame:
-    """(entity, file_path): what each file names, once. source (file_path, content)."""
-    return source.select("file_path", F.explode(X.entity_refs("content")).alias("entity")).distinct()
+    """(entity, file_path): what each row's text names. source (file_path, content)."""
+    return source.select("file_path", F.explode(X.entity_refs("content")).alias("entity"))
 
 
 def entity_table(named: DataFrame, files: DataFrame, sample: int | None = None) -> DataFrame:
@@ -139,12 +139,13 @@ def entity_table(named: DataFrame, files: DataFrame, sample: int | None = None)
     total = files.agg(F.countDistinct("file_path").alias("total_files"))
     stems = files.select(F.lower(X.file_stem("file_path")).alias("_stem")).distinct()
     names = named.select("entity", X.file_stem("file_path").alias("file")).distinct()
-    out = names.groupBy("entity").agg(F.count("*").alias("count"))
-    shown = names
+    shown = F.col("file")
     if sample is not None:
-        shown = names.withColumn("_k", F.row_number().over(Window.partitionBy("entity").orderBy("file"))).filter(F.col("_k") <= sample)
-    shown = shown.groupBy("entity").agg(F.array_join(F.array_sort(F.collect_list("file")), ", ").alias("sources"))
-    out = out.join(shown, "entity").join(stems, F.col("entity") == F.col("_stem"), "left").join(F.broadcast(total), F.lit(True))  # one row
+        names = names.withColumn("_k", F.row_number().over(Window.partitionBy("entity").orderBy("file")))
+        shown = F.when(F.col("_k") <= sample, F.col("file"))
+    # One pass: who doesn't ask for the names pays nothing for them.
+    out = names.groupBy("entity").agg(F.count("*").alias("count"), F.array_join(F.array_sort(F.collect_list(shown)), ", ").alias("sources"))
+    out = out.join(stems, F.col("entity") == F.col("_stem"), "left").join(F.broadcast(total), F.lit(True))  # one row
     god = F.greatest(F.lit(5), F.ceil(F.col("total_files") * 0.05))
     out = out.withColumn("signal", F.when(F.col("count") >= god, "god-node").when(F.col("count") >= 2, "shared").otherwise("isolated"))
     out = out.withColumn("importance", X.entity_importance("entity", F.col("_stem").isNotNull()))
@@ -161,7 +162,8 @@ def gaps(source: DataFrame, scope: str = "", min_docs: int = 1, signal: str = ""
     """Entities by the files that name them: god-nodes first, then shared, then isolated ones; the most named, most important first.
     source (file_path, content)."""
     named = entity_rows(source)
-    out = entity_table(named.filter(in_entity_scope(scope)) if scope else named, source).filter(F.col("count") >= min_docs)
+    files = cut(source.select("file_path").distinct())  # asked for twice, without the texts
+    out = entity_table(named.filter(in_entity_scope(scope)) if scope else named, files).filter(F.col("count") >= min_docs)
     out = out if not signal else out.filter(F.col("signal") == signal)
     kind = F.when(F.col("signal") == "god-node", 0).when(F.col("signal") == "shared", 1).otherwise(2)
     return out.orderBy(kind, F.desc("count"), F.desc("importance"), "entity")

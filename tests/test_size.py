@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from sextant.operators import hygiene
+from sextant.operators import docs, hygiene
 
 
 def _written(spark) -> dict[tuple[int, int], tuple[int, int]]:
@@ -37,3 +37,15 @@ def test_similar_sections_of_some_among_copies(spark):
     df = spark.createDataFrame([("a", "", "red green blue"), ("b", "", "red green blue"), ("c", "", "red green blue black"), ("d", "", "white")], "chunk_id string, heading string, content string")
     got = {r.chunk_id: (r.near, r.similarity) for r in hygiene.similar_sections(df, only=df.filter("chunk_id in ('a', 'c')")).collect()}
     assert got == {"a": ("b", 1.0), "c": ("b", 0.75)}
+
+
+def test_gaps_read_each_text_once(spark):
+    df = spark.createDataFrame([(f"a/f{i}.md", f"Uses `Engine{chr(97 + i % 7)}` and `core{i}.py`, again `core{i}.py`") for i in range(60)], "file_path string, content string")
+    reads = lambda out: out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(content")
+    asked = hygiene.gap_candidates(docs.gaps(df)).select("entity", "count", "signal", "importance")
+    assert reads(asked) == 5  # a time for each pattern
+    assert "collect_list" not in asked._jdf.queryExecution().optimizedPlan().toString()
+    by = {r.entity: (r["count"], r.sources) for r in docs.gaps(df).collect()}
+    assert by["core3"] == (1, "f3") and by["enginea"] == (9, ", ".join(sorted(f"f{i}" for i in range(0, 60, 7)))) and len(by) == 67
+    named = docs.entity_rows(df)
+    assert {r.entity: r.sources for r in docs.entity_table(named, df, sample=2).collect()}["enginea"] == "f0, f14"
