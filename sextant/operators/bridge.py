@@ -16,6 +16,10 @@ FILE_TOKEN = r"(?U)\b(\w[\w.-]*\.(?:fs|fsx|cs|ts|tsx|js|jsx|py|go|rs|java|kt))\b
 MEMBER_TOKEN = r"(?U)\b([A-Z]\w+\.\w{3,})\b"
 
 
+#: What a token of a document is looked up as.
+FILE, MODULE, MEMBER = 0, 1, 2
+
+
 def symbols(chunks: DataFrame) -> DataFrame:
     """(symbol, chunk_id): each chunk under its name, module and name, file name and stem, lower-cased; of three letters or more."""
     whole = F.when((F.col("module") != "") & (F.col("name") != ""), F.concat_ws(".", "module", "name"))
@@ -26,21 +30,28 @@ def symbols(chunks: DataFrame) -> DataFrame:
 def drift(sections: DataFrame, chunks: DataFrame) -> DataFrame:
     """Sections (file_path, heading, content, chunk_id) with the files and members that they name and the code lacks, as they come.
 
-    A member is missing if neither its module (a chunk's name, or a .fs or .cs file) nor itself (a chunk's name) is there. Each section's
-    tokens are looked up by joins, once for each distinct token."""
-    files = chunks.select(F.lower(X.file_name("file_path")).alias("s")).distinct()
-    names = chunks.filter(F.length("name") >= 3).select(F.lower("name").alias("s")).union(files.filter(F.col("s").rlike(r"\.(fs|cs)$")).select(F.regexp_replace("s", r"\.(fs|cs)$", ""))).distinct()
-    chunk_names = chunks.filter(F.length("name") >= 3).select(F.lower("name").alias("s")).distinct()
+    A member is missing if neither its module (a chunk's name, or a .fs or .cs file) nor itself (a chunk's name) is there. Each section's text is
+    read once; its distinct tokens are looked up by one join on equality."""
+    # What the code has, a row each: files, what a member may stand under, and what it may be. A chunk's names alone are read.
+    code = chunks.select(F.lower(X.file_name("file_path")).alias("file"), F.when(F.length("name") >= 3, F.lower("name")).alias("name"))
+    stem = F.when(F.col("file").rlike(r"\.(fs|cs)$"), F.regexp_replace("file", r"\.(fs|cs)$", ""))
+    has = lambda role, s: F.struct(F.lit(role).alias("role"), s.alias("s"))
+    known = code.select(F.explode(F.array(has(FILE, F.col("file")), has(MODULE, stem), has(MODULE, F.col("name")), has(MEMBER, F.col("name")))).alias("x")).select("x.*").filter("s is not null").distinct()
     base = sections.select("chunk_id", "file_path", "heading", "content")
-    said = base.select("chunk_id", F.explode(F.concat(
-        F.transform(F.regexp_extract_all("content", F.lit(FILE_TOKEN), F.lit(1)), lambda x, i: F.struct(F.lit(0).alias("kind"), i.alias("at"), x.alias("token"))),
-        F.transform(F.filter(F.regexp_extract_all("content", F.lit(MEMBER_TOKEN), F.lit(1)), lambda x: F.size(F.split(x, r"\.")) == 2), lambda x, i: F.struct(F.lit(1).alias("kind"), i.alias("at"), x.alias("token"))),
-    )).alias("x")).select("chunk_id", "x.*")
-    distinct = said.select("kind", "token").distinct()
-    lost_files = distinct.filter("kind = 0").join(files, F.lower("token") == F.col("s"), "left_anti")
-    members = distinct.filter("kind = 1").join(names, F.lower(F.substring_index("token", ".", 1)) == F.col("s"), "left_anti").join(chunk_names, F.lower(F.substring_index("token", ".", -1)) == F.col("s"), "left_anti")
-    missing = said.join(lost_files.union(members), ["kind", "token"]).groupBy("chunk_id").agg(F.array_distinct(F.array_sort(F.collect_list(F.struct("kind", "at", "token")))["token"]).alias("tokens"))
-    return base.drop("content").join(missing, "chunk_id").select("chunk_id", "file_path", "heading", F.array_join("tokens", ", ").alias("missing_symbols"), F.size("tokens").alias("count"))
+    tokens = lambda pattern: F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)))
+    members = F.filter(tokens(MEMBER_TOKEN), lambda x: F.size(F.split(x, r"\.")) == 2)
+    looked = lambda x, i, role, s: F.struct(F.lit(role).alias("role"), F.lower(s).alias("s"), i.alias("at"), x.alias("token"))
+    said = base.select("chunk_id", "file_path", "heading", F.explode(F.concat(
+        F.transform(tokens(FILE_TOKEN), lambda x, i: looked(x, i, FILE, x)),
+        F.transform(members, lambda x, i: looked(x, i, MODULE, F.substring_index(x, ".", 1))),
+        F.transform(members, lambda x, i: looked(x, i, MEMBER, F.substring_index(x, ".", -1))),
+    )).alias("x")).select("chunk_id", "file_path", "heading", "x.*")
+    lost = said.join(known, ["role", "s"], "left_anti")
+    # A file is missing if it isn't there, a member if neither its module nor itself is.
+    by = lost.groupBy("chunk_id", "file_path", "heading").agg(F.array_sort(F.collect_list(F.struct(F.least("role", F.lit(MODULE)).alias("kind"), "at", "role", "token"))).alias("x"))
+    pair = F.filter("x", lambda x, i: (x["role"] == FILE) | ((x["role"] == MEMBER) & (i > 0) & (F.get("x", i - 1)["role"] == MODULE) & (F.get("x", i - 1)["at"] == x["at"])))
+    found = by.select("chunk_id", "file_path", "heading", F.array_distinct(F.transform(pair, lambda x: x["token"])).alias("tokens")).filter(F.size("tokens") > 0)
+    return found.select("chunk_id", "file_path", "heading", F.array_join("tokens", ", ").alias("missing_symbols"), F.size("tokens").alias("count"))
 
 
 def coverage(chunks: DataFrame, imports: DataFrame, docs: DataFrame, min_fan_in: int = 2) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from sextant.operators import docs, hygiene
+from sextant.operators import bridge, docs, hygiene
 
 
 def _written(spark) -> dict[tuple[int, int], tuple[int, int]]:
@@ -49,3 +49,13 @@ def test_gaps_read_each_text_once(spark):
     assert by["core3"] == (1, "f3") and by["enginea"] == (9, ", ".join(sorted(f"f{i}" for i in range(0, 60, 7)))) and len(by) == 67
     named = docs.entity_rows(df)
     assert {r.entity: r.sources for r in docs.entity_table(named, df, sample=2).collect()}["enginea"] == "f0, f14"
+
+
+def test_drift_reads_each_text_once(spark):
+    texts = ["`Lost.Thing` in a.fs, b.fs, `Lost.Thing` and b.fs", "Known.Thing, Lost.Method, Other.Known, lib.Known.Deep and c.java", "Core.fs and Core.Missing", "Gone.java, Gone.java"]
+    notes = spark.createDataFrame([(f"n{i}", f"notes/{i}.md", "Notes", t) for i, t in enumerate(texts)], "chunk_id string, file_path string, heading string, content string")
+    code = spark.createDataFrame([("x/a.fs", "Known"), ("x/core.fs", "Method"), ("y/b2.fs", "ab")], "file_path string, name string")
+    out = bridge.drift(notes, code)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(content") == 3  # files, and members under their modules and by themselves
+    got = {r.file_path: (r.missing_symbols, r["count"]) for r in out.collect()}
+    assert got == {"notes/0.md": ("b.fs, Lost.Thing", 2), "notes/1.md": ("c.java", 1), "notes/3.md": ("Gone.java", 1)}
