@@ -116,23 +116,21 @@ def walk(chunks: DataFrame, name: str, depth: int = 2, limit: int = 5) -> DataFr
     """References of references, depth first: (at, hop, chunk_id, name, file, line, match_line, trail), 3 * depth * limit rows at most.
 
     The first `limit` chunks that hold a name as a word, other than those of that name, are its references; from each, the last segment of its name
-    is looked for next, if it is longer than two letters and no part of a split chunk. Each hop is one pass over the chunks: their words are
-    joined with the frontier, which has limit ** hop names at most.
+    is looked for next, if it is longer than two letters and no part of a split chunk. Each hop is one pass over the chunks, whose words are
+    looked up among those of the frontier where they are: it has limit ** hop names at most and goes to all tasks.
     """
     spark = chunks.sparkSession
     file = F.concat(F.lit(" ("), X.file_name("file_path"), F.lit(":"), F.col("start_line").cast("string"), F.lit(")"))
     goes_on = (F.length(short_name("name")) > 2) & ~F.contains(short_name("name"), F.lit("_part"))
 
     def hop(frontier: DataFrame, k: int) -> DataFrame:
-        wanted = frontier.select("src", contain.key_run("src").alias("word"))
-        words = contain.words(chunks, "chunk_id", "ord", "name")
-        hits = words.join(wanted, "word").filter(F.col("name") != F.col("src"))
+        wanted = F.broadcast(cut(frontier.select("src", contain.key_run("src").alias("word"))))
+        asked = F.broadcast(wanted.agg(F.collect_set("word").alias("asked")))  # one row
+        hits = chunks.select("chunk_id", "ord", "name", "file_path", "start_line", "content").join(asked, F.lit(True)).withColumn("found", F.array_intersect(contain.runs("content"), "asked"))
+        hits = hits.filter(F.size("found") > 0).drop("asked").withColumn("word", F.explode("found")).drop("found").join(wanted, "word").filter(F.col("name") != F.col("src"))
         # A name of several words is verified where its longest word stands.
-        several = ~F.col("src").rlike(r"(?U)^\w+$")
-        odd = hits.filter(several).join(chunks.select("chunk_id", "content"), "chunk_id").filter(F.regexp_like("content", contain.word_pattern("src"))).drop("content")
-        hits = hits.filter(~several).unionByName(odd)
-        hits = graph.first_of(hits.select("src", "ord", F.col("chunk_id").alias("dst")), limit)
-        rows = hits.join(chunks.select(F.col("chunk_id").alias("dst"), "name", "file_path", "start_line", "content"), "dst")
+        hits = hits.filter(F.col("src").rlike(r"(?U)^\w+$") | F.regexp_like("content", contain.word_pattern("src")))
+        rows = graph.first_of(hits.withColumnRenamed("chunk_id", "dst"), limit)
         line = F.trim(F.get(F.filter(X.lines("content"), lambda x: F.regexp_like(x, contain.word_pattern("src"))), F.lit(0)))
         return rows.select("src", "ord", "dst", F.when(goes_on, short_name("name")).alias("next"), F.concat("name", file).alias("said"), "name", X.file_name("file_path").alias("file"), F.col("start_line").alias("line"), F.coalesce(line, F.lit("")).alias("match_line"))
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from sextant.operators import bridge, docs, hygiene
+from sextant.operators import bridge, code, docs, hygiene
 
 
 def _written(spark) -> dict[tuple[int, int], tuple[int, int]]:
@@ -59,3 +59,12 @@ def test_drift_reads_each_text_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(content") == 3  # files, and members under their modules and by themselves
     got = {r.file_path: (r.missing_symbols, r["count"]) for r in out.collect()}
     assert got == {"notes/0.md": ("b.fs, Lost.Thing", 2), "notes/1.md": ("c.java", 1), "notes/3.md": ("Gone.java", 1)}
+
+
+def test_code_walk_shuffles_no_words(spark):
+    rows = [(f"k{i}", i, f"name{i}", f"f{i}.py", 1, " ".join(f"w{i}x{j}" for j in range(200)) + (" start" if i in (3, 5) else "") + (" name3" if i == 9 else "") + ("\ncalls Some.Thing here" if i == 11 else "")) for i in range(100)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, ord long, name string, file_path string, start_line int, content string")
+    records, _, got = written(spark, lambda: code.walk(chunks, "start", 2, 3))
+    assert [(r.hop, r.name, r.match_line.split(" ")[-1]) for r in sorted(got, key=lambda r: r.at)] == [(1, "name3", "start"), (2, "name9", "name3"), (1, "name5", "start")]
+    assert records < 2000  # there are 20,000 words
+    assert [(r.name, r.match_line) for r in code.walk(chunks, "Some.Thing", 1, 3).collect()] == [("name11", "calls Some.Thing here")]
