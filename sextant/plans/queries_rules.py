@@ -9,6 +9,7 @@ from sextant.operators import docs, hygiene
 from sextant.plans import standins as S
 from sextant.plans.queries import query
 from sextant.plans.queries_code import _GAPS
+from sextant.plans.storage import cut
 
 #: Folder, text and backlinks of documents; role and confidence that they get.
 ROLES = (
@@ -127,7 +128,9 @@ def _status_docs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         F.col("p_partkey").alias("ord"), F.lit("H").alias("heading_path"), _name().alias("chunk_id"), (F.col("p_size") % 3).alias("backlinks"), _name().alias("title"),
     )
     d = s.select("file_path", "title", F.array().cast("array<string>").alias("tags"), "backlinks", F.concat_ws("\n", "heading", "content").alias("text"), F.col("heading_path").alias("primary"))
-    return hygiene.with_roles(d), s.drop("backlinks", "title")
+    # A small file, but much to do for each row: dealt out, and judged once.
+    d = d.repartition(4 * spark.sparkContext.defaultParallelism, "file_path")
+    return cut(hygiene.with_roles(d)), s.drop("backlinks", "title")
 
 
 _STATUS = """d AS (SELECT CASE WHEN p_size >= 48 THEN 'a/status/' ELSE 'a/' END || 'P' || p_partkey || '.md' AS file_path, p_type, p_size >= 48 AS named, p_size % 3 AS b FROM part WHERE p_type IN ('ECONOMY', 'PROMO')),
