@@ -71,6 +71,29 @@ def test_op2(spark, table):
     assert got == brute_repeats(some, 400)
 
 
+def test_op2_planted_passages(spark, tmp_path):
+    """A passage of over 50 words that two documents share is told by its bytes: 399 stay, 400 go; n_bytes is the same either way."""
+    rng = random.Random(33)
+    word = lambda n: "".join(rng.choice("bcdfglmnprst") for _ in range(n))
+    prose = lambda n: " ".join(word(6) for _ in range(n))
+    rows, want = [], {}
+    for k, size in enumerate((399, 400, 401, 560)):
+        passage = " ".join(word(5) for _ in range(size // 6 - 1))
+        passage += " " + word(size - len(passage) - 1)
+        assert len(passage) == size and len(passage.split()) > 50
+        for i, (a, b) in enumerate((("A", "B"), ("C", "D"))):  # capitals part what stands beside the passage
+            rows.append((10 * k + i, f"{prose(40)}{a}{passage}{b}{prose(30 + i)}", "en", "s", 0))
+            want[10 * k + i] = (size if size >= 400 else 0, int(size >= 400))
+    for i in range(100, 108):
+        rows.append((i, prose(120), "en", "s", 0))
+        want[i] = (0, 0)
+    odd(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = repeats.op2_repeats(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in got} == want
+    assert {r.doc_id: r.n_bytes for r in got} == {i: len(t.encode()) for i, t, *_ in rows}
+    assert sorted((tuple(r) for r in got), key=repr) == brute_repeats(rows, 400)
+
+
 def test_op4(spark, table, tmp_path):
     import duckdb
 
