@@ -170,16 +170,28 @@ def part_hashes(docs: DataFrame, k: int, p: int, q: int, common: np.ndarray) ->
     common with it under a key of the two, once for all parts that they share."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
-    def combined(sigs: list[np.ndarray], own: list[np.ndarray]) -> pa.RecordBatch:
-        sig, node = np.concatenate(sigs), np.concatenate(own)
+    def combined(sigs: list[np.ndarray], own: list[int]) -> pa.RecordBatch:
+        """Empties both lists: a task's part hashes are held once, and not while its rows are sent."""
+        sig = np.concatenate(sigs)
+        node = np.repeat(np.array(own, np.int64), [len(x) for x in sigs])
+        sigs.clear()
+        own.clear()
         order = np.argsort(sig, kind="stable")
         sig, node = sig[order], node[order]
+        del order
         new = np.r_[True, sig[1:] != sig[:-1]]
-        head = node[np.flatnonzero(new)][np.cumsum(new) - 1]
-        other = np.flatnonzero(head != node)
-        pairs = np.unique(np.stack([head[other], node[other]]), axis=1)
-        key = mix(mix(pairs[0].view(U64)) ^ pairs[1].view(U64)).view(np.int64)
-        rows = [np.concatenate(x) for x in ((sig[new].view(np.int64), key, key), (node[new], pairs[0], pairs[1]))]
+        sig, head = sig[new], node[new]
+        a, b = np.repeat(head, np.diff(np.r_[np.flatnonzero(new), len(node)])), node
+        other = a != b
+        a, b = a[other], b[other]
+        del node, new, other
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        del order
+        once = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+        a, b = a[once], b[once]
+        key = mix(mix(a.view(U64)) ^ b.view(U64)).view(np.int64)
+        rows = [np.concatenate(x) for x in ((sig.view(np.int64), key, key), (head, a, b))]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["sig", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,11 +204,11 @@ def part_hashes(docs: DataFrame, k: int, p: int, q: int, common: np.ndarray) ->
                 seen.add(node)
                 x = scheme.signatures(_without(s, f), len(s))
                 sigs.append(x)
-                own.append(np.full(len(x), node, np.int64))
+                own.append(node)
                 size += len(x)
                 if size > HELD:
                     yield combined(sigs, own)
-                    sigs, own, size, seen = [], [], 0, set()
+                    size, seen = 0, set()
         if size:
             yield combined(sigs, own)
 

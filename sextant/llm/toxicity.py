@@ -40,6 +40,8 @@ NGRAMS = (3, 4, 5, 6)
 LEAST, SHARE, WARM = (12, 60), (0.02, 0.2), 3
 #: The share of a toxic text's words that stand for its label after those epochs, the decay of the rows.
 TOP, DECAY = 0.1, 1e-3
+#: Words whose subwords are held at a time.
+WORDS = 1 << 13
 _BYTES = mix(np.arange(300, 557, dtype=np.uint64))  # 256: a word's border
 _LOW = np.r_[np.arange(65), np.arange(97, 123), np.arange(91, 257)]
 
@@ -93,8 +95,11 @@ class Model:
     slopes: tuple[float, ...] = (0.0, 0.0, 1.0, 0.0)
 
     def words(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        rows, k = word_rows(data, s, e)
-        return np.add.reduceat(self.weight[rows], np.r_[0, np.cumsum(k)[:-1]]) / k
+        out = np.zeros(len(s))
+        for a in range(0, len(s), WORDS):
+            rows, k = word_rows(data, s[a : a + WORDS], e[a : a + WORDS])
+            out[a : a + WORDS] = _means(self.weight, rows, np.r_[0, np.cumsum(k)])
+        return out
 
     def signals(self, texts: pa.Array) -> np.ndarray:
         """Of each text: the logits of its two highest words (the bias where there is none) and of its averaged bag, log(1 + words)."""
@@ -121,35 +126,53 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.offset + self.signals(texts) @ np.array(self.slopes), -60, 60)))
 
 
-def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each text: its tokens as indices of its distinct words, and those words' rows with where they begin."""
-    out = []
-    for t in texts:
-        data = np.frombuffer((t or "").encode("utf-8", "replace"), np.uint8)
-        s, e, which, _, _ = distinct_words(data, np.array([0, len(data)]))
-        rows, k = word_rows(data, s, e) if len(which) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        out.append((which, rows.astype(np.int32), np.r_[0, np.cumsum(k)]))
+def _bags(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of each text: its tokens as indices of the distinct words of all texts; those words' rows, and where each word's begin (one more at
+    the end). A word's rows are held once, however many texts have it."""
+    data, offsets = text_bytes(pa.array([(t or "").encode("utf-8", "replace") for t in texts], pa.large_binary()))
+    known, number = np.zeros(0, U64), np.zeros(0, np.int32)  # hashes of the words so far, ascending, and their indices
+    tokens_, rows, counts = [], bytearray(), []
+    for a, b in groups(offsets):
+        part = data[offsets[a] : offsets[b]]
+        s, e, h, at = tokens(part, offsets[a : b + 1] - offsets[a])
+        v, first = np.unique(h, return_index=True)
+        new = first[~np.isin(v, known, assume_unique=True)]
+        for k in range(0, len(new), WORDS):
+            r, n = word_rows(part, s[new[k : k + WORDS]], e[new[k : k + WORDS]])
+            rows += r.astype(np.int32).tobytes()
+            counts.append(n)
+        number = np.r_[number, np.arange(len(known), len(known) + len(new), dtype=np.int32)]
+        known = np.r_[known, h[new]]
+        order = np.argsort(known)
+        known, number = known[order], number[order]
+        tokens_ += np.split(number[np.searchsorted(known, h)], at[1:-1])
+    return tokens_, np.frombuffer(rows, np.int32), np.cumsum(np.concatenate([np.zeros(1, np.int64), *counts]))
+
+
+def _means(weight: np.ndarray, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """What each word adds to a bag: the mean weight of its rows rows[first[i]:first[i + 1]]."""
+    out = np.zeros(len(first) - 1)
+    for a in range(0, len(out), WORDS):
+        at = first[a : a + WORDS + 1]
+        out[a : a + WORDS] = np.add.reduceat(weight[rows[at[0] : at[-1]]], at[:-1] - at[0]) / np.diff(at)
     return out
 
 
-def _picked(bag: tuple[np.ndarray, np.ndarray, np.ndarray], tokens_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, weights and owner (0, 1, ...) of some tokens of a text, each a bag of its own."""
-    which, rows, first = bag
-    w = which[tokens_]
-    k = (first[1:] - first[:-1])[w]
-    at = np.repeat(first[:-1][w] - np.r_[0, np.cumsum(k)[:-1]], k) + np.arange(k.sum())
+def _picked(w: np.ndarray, rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, weights and owner (0, 1, ...) of some tokens, given as words, each a bag of its own."""
+    k = first[w + 1] - first[w]
+    at = np.repeat(first[w] - np.r_[0, np.cumsum(k)[:-1]], k) + np.arange(k.sum())
     return rows[at], np.repeat(1.0 / k, k).astype(np.float32), np.repeat(np.arange(len(w)), k)
 
 
-def _drawn(bag: tuple[np.ndarray, np.ndarray, np.ndarray], y: int, weight: np.ndarray | None, rng: np.random.Generator) -> np.ndarray:
-    """The tokens of a text of class y that an epoch learns from; weight: the folded model so far, None in the first epochs."""
-    which, rows, first = bag
+def _drawn(which: np.ndarray, y: int, words: np.ndarray | None, rng: np.random.Generator) -> np.ndarray:
+    """The tokens of a text of class y that an epoch learns from; words: what each word adds in the model so far, None in the first epochs."""
     n = len(which)
     k = max(LEAST[y], int(n * SHARE[y]))
     drawn = np.unique(rng.integers(0, n, k))
-    if weight is None:
+    if words is None:
         return drawn
-    value = (np.add.reduceat(weight[rows], first[:-1]) / np.diff(first))[which]
+    value = words[which]
     if y:
         return np.argsort(-value, kind="stable")[: max(2, int(n * TOP))]
     return np.unique(np.r_[drawn[: k - k // 2], np.argsort(-value, kind="stable")[: k // 2]])
@@ -166,18 +189,19 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 8, r
     if len(set(y)) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 0.0, float(np.log(base / (1 - base))), (0.0, 0.0, 0.0, 0.0))
     learn = np.flatnonzero(~part)
-    bags = {i: b for i, b in zip(learn, _bags([texts[i] for i in learn]), strict=True) if len(b[0])}
+    bags, rows_of, first_of = _bags([texts[i] for i in learn])
+    bags = {i: b for i, b in zip(learn, bags, strict=True) if len(b)}
     emb = rng.uniform(-0.02, 0.02, (1 << BITS, dim)).astype(np.float32)
     w, b = rng.normal(0, 0.5, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
     ge, gw, gb = np.full((1 << BITS, 1), 1e-4, np.float32), np.full_like(w, 1e-2), np.full_like(b, 1e-2)
     for epoch in range(epochs):
         lr = rate * (1 - 0.8 * epoch / epochs)
         order = rng.permutation(np.array(list(bags), np.int64))
-        folded = emb @ (w[:, 1] - w[:, 0]) if epoch >= WARM else None
+        words = _means(emb @ (w[:, 1] - w[:, 0]), rows_of, first_of) if epoch >= WARM else None
         for a in range(0, len(order), 32):
             ids, x, bag, lab, seen = [], [], [], [], 0
             for i in order[a : a + 32]:
-                r, v, k = _picked(bags[i], _drawn(bags[i], y[i], folded, rng))
+                r, v, k = _picked(bags[i][_drawn(bags[i], y[i], words, rng)], rows_of, first_of)
                 ids.append(r)
                 x.append(v)
                 bag.append(k + seen)
@@ -233,7 +257,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, **how) -> Mod
         found = list(batches)
         if found:
             t = pa.Table.from_batches(found).sort_by("doc_id")
-            m = train(t["text"].to_pylist(), t["toxic"].to_numpy(), **how)
+            texts, labels = t["text"].to_pylist(), t["toxic"].to_numpy()
+            del found, t
+            m = train(texts, labels, **how)
             yield pa.RecordBatch.from_arrays([pa.array([m.weight.tobytes()], pa.binary()), pa.array([m.bias]), pa.array([m.offset]), pa.array([list(m.slopes)], pa.list_(pa.float64()))], ["weight", "bias", "offset", "slopes"])
 
     # One task learns from the bounded sample, not the driver.

@@ -2,15 +2,17 @@
 
 import collections
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sextant.llm import jaccard, mixing
+from sextant.llm import jaccard, mixing, toxicity
 from tests.llm.test_operators import components
 from tests.llm.util import ODD, odd, tokens
 
@@ -129,3 +131,52 @@ def test_a_failed_stage_leaves_nothing_behind(spark, tmp_path, monkeypatch):
     with pytest.raises(RuntimeError, match="lost"):
         corpus_pipeline.run(spark, str(tmp_path))
     assert not list(Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).glob("pipeline-*/*"))
+
+
+def _texts(n):
+    rng = random.Random(5)
+    words = [f"{rng.randrange(10**6)}word" for _ in range(400)]
+    return [" ".join(rng.choices(words, k=300)) for _ in range(n)]
+
+
+def test_training_holds_a_words_rows_once():
+    """A worker keeps for later stages what training took: the rows of a word must not be held for each text that has it."""
+    texts = _texts(3000)
+    tracemalloc.start()
+    try:
+        toxicity.train(texts, np.arange(len(texts)) % 2, epochs=1)
+        assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_words_of_several_groups_are_numbered_alike(monkeypatch):
+    texts = ["b a b", "", "c B a", None, "é a"]
+    whole = toxicity._bags(texts)
+    monkeypatch.setattr(toxicity, "groups", lambda offsets: ((i, i + 1) for i in range(len(offsets) - 1)))
+    monkeypatch.setattr(toxicity, "WORDS", 1)
+    for bags, rows, first in (whole, toxicity._bags(texts)):
+        assert [len(b) for b in bags] == [3, 0, 3, 0, 2] and len(first) == 5 and first[-1] == len(rows)
+        a, b = bags[0][1], bags[0][0]
+        assert bags[0].tolist() == [b, a, b] and bags[2].tolist()[1:] == [b, a] and bags[4][1] == a and len({a, b, bags[2][0], bags[4][0]}) == 4
+        assert rows[first[a] : first[a + 1]].tolist() == toxicity.word_rows(np.frombuffer(b"a", np.uint8), np.array([0]), np.array([1]))[0].tolist()
+
+
+def test_part_hashes_are_not_held_while_they_are_sent(monkeypatch):
+    class Docs:  # as much of a DataFrame as hands back the tasks' function
+        value = np.zeros(0, np.uint64)
+        sparkSession = sparkContext = property(lambda self: self)
+        broadcast = select = lambda self, _: self
+        mapInArrow = staticmethod(lambda run, _: run)
+
+    texts = _texts(3000)
+    monkeypatch.setattr(jaccard, "HELD", 200_000)
+    batch = pa.record_batch([pa.array(texts[:1500] + [f"{t} {i} more" for i, t in enumerate(texts)])], ["text"])
+    run, held = jaccard.part_hashes(Docs(), 5, 4, 5, Docs.value), []
+    tracemalloc.start()
+    try:
+        for _ in run(iter([batch])):
+            held.append(tracemalloc.get_traced_memory()[0])
+    finally:
+        tracemalloc.stop()
+    assert len(held) > 2 and max(held) < 6 << 20
