@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sextant.llm.common import U64, WORD, cut, groups, mix, read_table, shingle_set, text_bytes, tokens
+from sextant.llm.common import SMALL_CHUNK, U64, WORD, cut, groups, mix, read_table, shingle_set, text_bytes, tokens
 from sextant.llm.graph import components
 
 LEVELS = 4
@@ -115,7 +115,7 @@ class Scheme:
 def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The shingle set of each text, ascending hashes."""
     data, offsets = text_bytes(column)
-    for a, b in groups(offsets):
+    for a, b in groups(offsets, SMALL_CHUNK):
         _, _, h, at = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         for i in range(b - a):
             yield shingle_set(h[at[i] : at[i + 1]], k)

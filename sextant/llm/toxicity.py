@@ -13,7 +13,7 @@ words they come from, and so their vectors.
 
 Since softmax(mean(E[b]) W) depends on a row only by E[b] (W1 - W0), a trained model folds exactly into one number a
 row (2 ** BITS floats, a fixed size), which is what is broadcast for scoring. Scoring is one pass over the
-texts in Arrow batches, without a shuffle; memory is bounded by a chunk of about a megabyte (or one text).
+texts in Arrow batches, without a shuffle; memory is bounded by a chunk of about a quarter of a megabyte (or one text).
 
 Training takes at most `most_rows` labelled rows that have a document, in the order of a hash of doc_id (a documented bound: 6000).
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import U64, crc_mod, groups, mix, powers, read_table, text_bytes, tokens
+from sextant.llm.common import SMALL_CHUNK, U64, crc_mod, groups, mix, powers, read_table, text_bytes, tokens
 
 BITS = 18
 NGRAMS = (3, 4, 5, 6)
@@ -106,7 +106,7 @@ class Model:
         data, offsets = text_bytes(texts)
         out = np.full((len(offsets) - 1, 4), self.bias)
         out[:, 3] = 0
-        for a, b in groups(offsets):
+        for a, b in groups(offsets, SMALL_CHUNK):
             part, offs = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             s, e, which, at, n = distinct_words(part, offs)
             if not len(which):
