@@ -180,3 +180,15 @@ def test_part_hashes_are_not_held_while_they_are_sent(monkeypatch):
     finally:
         tracemalloc.stop()
     assert len(held) > 2 and max(held) < 6 << 20
+
+
+def test_shingles_and_scores_take_little_more_than_their_texts():
+    column = pa.array(_texts(1500))
+    model = toxicity.Model(np.ones(1 << toxicity.BITS, np.float32), 0.1)
+    for run in (lambda: sum(map(len, jaccard.sets_of(column, 5))), lambda: model.scores(column).sum()):
+        tracemalloc.start()
+        try:
+            run()
+            assert tracemalloc.get_traced_memory()[1] < 20 << 20
+        finally:
+            tracemalloc.stop()
