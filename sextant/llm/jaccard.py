@@ -9,7 +9,9 @@ J >= p / q, that is d <= r. Equal sets are one node from the start, so copies co
    bucket. (A set with more than s empty parts is cut again by another hash, up to LEVELS times; where all cuts leave
    too many, empty parts count as shared too. Two linked sets thus always meet.) Frequent shingles, as a bounded sample
    shows them, are left out of the parts on both sides, which keeps the bound and makes common passages harmless.
-   Nodes connected by buckets form a region; nodes alone in all their buckets have no link.
+   A node that shares fewer whole parts of each cut than s + 1 and those of its own that are empty has no link; the others, connected by
+   shared parts, form regions. In regions of more than LIMIT nodes or LIMIT_BYTES, nodes go of whose elements less than the share p / q is in
+   another set of the region: a few elements in common would otherwise connect more and more nodes as the corpus grows.
 2. In a region, pivots create Voronoi cells: each node's distance to the pivots is computed, nodes within r of a
    pivot link to it. If x and y link and y lies within r of its pivot, then x lies within 2 r of it: only those boundary nodes
    are compared with the cell's members, and only members whose distances to every pivot are within r of theirs.
@@ -22,9 +24,9 @@ J >= p / q, that is d <= r. Equal sets are one node from the start, so copies co
 
 Links found connect the nodes; components come from `graph.components`.
 
-Scale: three passes over the texts; what is shuffled are part hashes (about (1 - p / q) / (p / q) * 2 a shingle), narrow
-rows for each document, and the sets of nodes in regions. A task hands out a part that many of its nodes share once, so that a part
-shared by a third of all nodes is a row for each task. Regions are dealt in shards of bounded bytes, each with a copy of the pivots; no set
+Scale: three passes over the texts, a fourth where regions are large; what is shuffled are part hashes (about (1 - p / q) / (p / q) * 2 a shingle, 12 bytes
+each, packed; a range of hashes with about BUCKET of them is looked at together), narrow rows for each document, and the sets of nodes in regions. Tables
+and shuffles are deleted as soon as nothing reads them. Regions are dealt in shards of bounded bytes, each with a copy of the pivots; no set
 is ever on the driver. Frequent shingles (a bounded array) are broadcast, and tables of ids up to SMALL rows.
 
 Defined cases: null, empty and white-space texts have no set and link with nothing, their component is their own; with
@@ -45,18 +47,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sextant.llm.common import SMALL_CHUNK, U64, WORD, cut, groups, mix, read_table, shingle_set, text_bytes, tokens
+from sextant.llm.common import SMALL_CHUNK, U64, WORD, cut, drop, groups, mix, read_table, shingle_set, text_bytes, tokens
 from sextant.llm.graph import components
 
-LEVELS = 4
+LEVELS, MOST_NEED = 4, 31
 #: Nodes and bytes up to which a region is one task's, the pivots of larger ones, and how often cells are parted again.
 LIMIT, LIMIT_BYTES, PIVOTS, ROUNDS = 2000, 16 << 20, 8, 12
 #: Documents from whose shingles frequent ones are told, the share that makes one frequent, and the most of them.
 SAMPLE, OFTEN, FREQUENT = 20_000, 1 / 400, 1 << 16
 #: Rows up to which ids are broadcast (16 bytes each), bytes of sets in a shard or block, and nodes in a shard.
 SMALL, BLOCK_BYTES, SHARD = 500_000, 16 << 20, 512
-#: Part hashes that a task holds before it hands them out.
-HELD = 1_000_000
+#: Part hashes that a task holds before it hands them out, and that are looked at together, about.
+HELD = BUCKET = 1_000_000
+#: What is kept of a node's hash while parts are counted, bits of a part's hash beside those that its bucket tells, and bytes of both with the mark.
+NAME, TAG, PLANES = (1 << 48) - 1, U64((1 << 40) - 1), 12
 
 
 def max_difference(a: int, p: int, q: int) -> int:
@@ -88,8 +92,18 @@ class Scheme:
 
     def signatures(self, rest: np.ndarray, size: int) -> np.ndarray:
         """Hashes of the parts of a set of `size` elements, of which `rest` are cut; both as the smaller and the larger one of a pair."""
+        return self.marked(rest, size)[0]
+
+    def marked(self, rest: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """signatures(), and a byte for each: which cut of the set it is of (three bits), and how many parts of that cut the set shares with others at
+        least if it links with any (five bits, at most MOST_NEED). Of s + 1 parts that linked sets share, no more can be empty than are of either set."""
         c = int(np.searchsorted(self.edges, size, "right")) - 1
-        out = []
+        out, marks = [np.zeros(0, U64)], [np.zeros(0, np.uint8)]
+
+        def add(sig: np.ndarray, i: int, level: int, need: int) -> None:
+            out.append(sig)
+            marks.append(np.full(len(sig), ((c - i) * LEVELS + level) | min(max(need, 1), MOST_NEED) << 3, np.uint8))
+
         for i in (c - 1, c):
             if i < 0 or not self.parts[i]:
                 continue
@@ -103,13 +117,13 @@ class Scheme:
                 tag = U64((i << 40) + (level << 36) + (m << 1))
                 full = part[first]
                 if len(x):
-                    out.append(mix(np.add.reduceat(mix(x + U64(77)), first) + mix(full.astype(U64) * U64(4099) + tag)))
+                    add(mix(np.add.reduceat(mix(x + U64(77)), first) + mix(full.astype(U64) * U64(4099) + tag)), i, level, self.slack[i] + 1 - (m - len(first)))
                 if m - len(first) <= self.slack[i]:
                     break
             else:
                 none = np.setdiff1d(np.arange(m), full)
-                out.append(mix(mix(none.astype(U64) * U64(4099) + tag) + U64(5)))
-        return np.concatenate(out) if out else np.zeros(0, U64)
+                add(mix(mix(none.astype(U64) * U64(4099) + tag) + U64(5)), i, LEVELS - 1, 1)
+        return np.concatenate(out), np.concatenate(marks)
 
 
 def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -155,7 +169,7 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
 
     some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(share)) == 0)
     counted = some.select("text").mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= max(8, int(count / share * OFTEN)))
-    return np.sort(counted.orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas()["h"].to_numpy(np.int64).view(U64))
+    return np.sort(cut(counted.orderBy(F.desc("count"), "h").limit(FREQUENT)).toPandas()["h"].to_numpy(np.int64).view(U64))
 
 
 def _without(s: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -165,54 +179,107 @@ def _without(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return s[common[at] != s]
 
 
-def part_hashes(docs: DataFrame, k: int, p: int, q: int, common: np.ndarray) -> DataFrame:
-    """docs (text) -> (sig, node). Of the nodes that share a part within HELD rows, one stands for the part; each other one has a row in
-    common with it under a key of the two, once for all parts that they share."""
+def _packed(tag: np.ndarray, name: np.ndarray, mark: np.ndarray) -> bytes:
+    """Ascending numbers of 40 bits, numbers of 48 and bytes, by planes: 12 bytes each, of which what steps are short compresses well."""
+    out = np.empty((PLANES, len(tag)), np.uint8)
+    out[:5] = np.diff(tag, prepend=U64(0)).view(np.uint8).reshape(-1, 8)[:, :5].T
+    out[5:11] = name.view(np.uint8).reshape(-1, 8)[:, :6].T
+    out[11] = mark
+    return out.tobytes()
+
+
+def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    planes = np.frombuffer(block, np.uint8).reshape(PLANES, -1)
+    both = np.zeros((2, planes.shape[1], 8), np.uint8)
+    both[0, :, :5], both[1, :, :6] = planes[:5].T, planes[5:11].T
+    tag, name = both.view(U64)[:, :, 0]
+    return np.cumsum(tag, dtype=U64), name, planes[11]
+
+
+def part_hashes(docs: DataFrame, k: int, p: int, q: int, common: np.ndarray, buckets: int = 1) -> DataFrame:
+    """docs (text) -> (bucket, block): of each node's parts the hash, the node's name and the mark, HELD at a time, packed by ranges of the hash."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
-    def combined(sigs: list[np.ndarray], own: list[int]) -> pa.RecordBatch:
-        """Empties both lists: a task's part hashes are held once, and not while its rows are sent."""
-        sig = np.concatenate(sigs)
-        node = np.repeat(np.array(own, np.int64), [len(x) for x in sigs])
-        sigs.clear()
-        own.clear()
-        order = np.argsort(sig, kind="stable")
-        sig, node = sig[order], node[order]
-        del order
-        new = np.r_[True, sig[1:] != sig[:-1]]
-        sig, head = sig[new], node[new]
-        a, b = np.repeat(head, np.diff(np.r_[np.flatnonzero(new), len(node)])), node
-        other = a != b
-        a, b = a[other], b[other]
-        del node, new, other
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
+    def combined(sigs: list[np.ndarray], marks: list[np.ndarray], own: list[int]) -> pa.RecordBatch:
+        """Empties the lists: a task's part hashes are held once, and not while its rows are sent."""
+        sig, mark = np.concatenate(sigs), np.concatenate(marks)
+        name = np.repeat(np.array(own, np.int64).view(U64) & U64(NAME), [len(x) for x in sigs])
+        for x in (sigs, marks, own):
+            x.clear()
+        bucket = ((sig >> U64(32)) * U64(buckets)) >> U64(32)
+        sig &= TAG
+        order = np.lexsort((sig, bucket))
+        sig, mark, name, bucket = sig[order], mark[order], name[order], bucket[order]
         del order
-        once = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
-        a, b = a[once], b[once]
-        key = mix(mix(a.view(U64)) ^ b.view(U64)).view(np.int64)
-        rows = [np.concatenate(x) for x in ((sig.view(np.int64), key, key), (head, a, b))]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["sig", "node"])
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        blocks = [_packed(sig[a:b], name[a:b], mark[a:b]) for a, b in zip(first, np.r_[first[1:], len(sig)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme, f = Scheme(p, q), shared.value
-        sigs, own, size, seen = [], [], 0, set()
+        sigs, marks, own, size, seen = [], [], [], 0, set()
         for b in batches:
             for s in sets_of(b.column(0), k):
                 if not len(s) or (node := node_of(s)) in seen:
                     continue
                 seen.add(node)
-                x = scheme.signatures(_without(s, f), len(s))
+                x, mark = scheme.marked(_without(s, f), len(s))
                 sigs.append(x)
+                marks.append(mark)
                 own.append(node)
                 size += len(x)
                 if size > HELD:
-                    yield combined(sigs, own)
+                    yield combined(sigs, marks, own)
                     size, seen = 0, set()
         if size:
-            yield combined(sigs, own)
+            yield combined(sigs, marks, own)
 
-    return docs.select("text").mapInArrow(run, "sig long, node long")
+    return docs.select("text").mapInArrow(run, "bucket int, block binary")
+
+
+def shared_parts(parts: DataFrame) -> DataFrame:
+    """Of part_hashes(), those parts that several nodes have, each once for each node; their hashes are numbers within the bucket from here on."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        tag, name, mark = (np.concatenate(x) for x in zip(*(_unpacked(b.as_py()) for b in rows.column(1)), strict=True))
+        order = np.lexsort((name, tag))
+        tag, name, mark = tag[order], name[order], mark[order]
+        once = np.r_[True, (tag[1:] != tag[:-1]) | (name[1:] != name[:-1])]
+        tag, name, mark = tag[once], name[once], mark[once]
+        new = np.r_[True, tag[1:] != tag[:-1]]
+        several = np.diff(np.r_[np.flatnonzero(new), len(tag)]) > 1
+        group = np.cumsum(new) - 1
+        keep = several[group]
+        blocks = [_packed(group[keep].astype(U64), name[keep], mark[keep])] if keep.any() else []
+        return pa.table({"bucket": rows.column(0).slice(0, len(blocks)), "block": pa.array(blocks, pa.binary())})
+
+    return parts.groupBy("bucket").applyInArrow(run, "bucket int, block binary")
+
+
+def _part_rows(parts: DataFrame) -> DataFrame:
+    """(part, name, cut, need) of shared_parts()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for bucket, block in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                group, name, mark = _unpacked(block.as_py())
+                part = (group + U64(bucket << 32)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(name.view(np.int64)), pa.array((mark & 7).astype(np.int32)), pa.array((mark >> 3).astype(np.int32))], ["part", "name", "cut", "need"])
+
+    return parts.mapInArrow(run, "part long, name long, cut int, need int")
+
+
+def regions_of(docs: DataFrame, table: DataFrame, k: int, p: int, q: int) -> DataFrame:
+    """(name, region) of the nodes that may link: those that share as many parts with others as linked sets do, connected by shared parts."""
+    n = table.agg(F.sum("n_shingles")).first()[0] or 0
+    parts = cut(shared_parts(part_hashes(docs, k, p, q, frequent(docs, k), max(1, -(-n * 2 * (q - p) // p // BUCKET)))))
+    able = cut(_part_rows(parts).groupBy("name", "cut").agg(F.count("*").alias("c"), F.min("need").alias("need")).filter("c >= need").select("name").distinct())
+    rows = _part_rows(parts).select("part", "name").join(_hinted(able, able.count()), "name", "left_semi")
+    met = rows.withColumn("lo", F.min("name").over(Window.partitionBy("part"))).filter("name <> lo")
+    out = cut(components(met.select(F.col("name").alias("a"), F.col("lo").alias("b"))).select(F.col("node").alias("name"), F.col("root").alias("region")))
+    drop(parts)
+    drop(able)
+    return out
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -390,8 +457,8 @@ def _hinted(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= SMALL else df
 
 
-def _shards(n: Column, nbytes: Column) -> Column:
-    return F.greatest(F.ceil(nbytes / BLOCK_BYTES), F.ceil(n / SHARD)).cast("int")
+def _shards(n: Column, nbytes: Column, most: int = SHARD) -> Column:
+    return F.greatest(F.ceil(nbytes / BLOCK_BYTES), F.ceil(n / most)).cast("int")
 
 
 def _shard(shards: str) -> Column:
@@ -469,6 +536,7 @@ def _round(big: DataFrame, sizes: DataFrame, n: int, p: int, q: int, salt: int)
     found = found.union(d.filter("inner").select("region", F.col("node").alias("a")).join(_hinted(heads, n), "region").select("a", "b"))
     # Nodes of the main group stay only if they lie in every pivot's window about the nodes outside it.
     most = PIVOTS + 1
+    found, whole = cut(found), d
     bounds = d.filter("not inner").groupBy("region").agg(*[f(F.get("distance", F.lit(j))).alias(f"_{w}{j}") for j in range(most) for w, f in (("lo", F.min), ("hi", F.max))])
     d = d.join(_hinted(bounds, n), "region")  # regions without a node outside are done
     inside = F.lit(True)
@@ -478,13 +546,17 @@ def _round(big: DataFrame, sizes: DataFrame, n: int, p: int, q: int, salt: int)
     # Voronoi cells, with boundary nodes (within 2 r of the nearest pivot) in each: where they part the region.
     cell = F.filter(F.transform("distance", lambda x, i: F.when(x <= F.array_min("distance") + 2 * r + 1e-9, i)), lambda i: i.isNotNull())
     d = cut(d.select("region", "node", "set", (~F.col("inner")).alias("out"), cell.alias("cells")))
+    drop(whole)
+    cells = d
     per = d.select("region", F.explode("cells").alias("cell")).groupBy("region", "cell").agg(F.count("*").alias("m"))
     part = per.groupBy("region").agg(F.sum("m").alias("copies"), F.max("m").alias("most")).join(d.groupBy("region").agg(F.count("*").alias("all")), "region")
     part = part.select("region", ((F.col("copies") <= 1.5 * F.col("all")) & (F.col("most") <= 0.8 * F.col("all"))).alias("parted"))
     d = d.join(_hinted(part, n), "region")
     d = d.select("region", "node", "set", "out", "parted", F.explode(F.when(F.col("parted"), F.col("cells")).otherwise(F.array(F.lit(-1)))).alias("cell"))
     region = F.when(F.col("parted"), F.xxhash64("region", "cell", F.lit(salt))).otherwise(F.col("region"))
-    return found, cut(d.select(region.alias("region"), "node", "set", "out", "parted"))
+    rest = cut(d.select(region.alias("region"), "node", "set", "out", "parted"))
+    drop(cells)
+    return found, rest
 
 
 def _counted(big: DataFrame) -> DataFrame:
@@ -502,13 +574,28 @@ def _counted(big: DataFrame) -> DataFrame:
     return big.select("region", "set").mapInArrow(run, "region long, h long, c long").groupBy("region", "h").agg(F.sum("c").alias("c"))
 
 
+def _peeled(big: DataFrame, p: int, q: int) -> DataFrame:
+    """The nodes of large regions (region, node, set) that may link: linked sets share the share p / q of either, so that many of a set's elements have
+    another set of the region as well. What met by parts of a few common elements goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for region, node, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                h = np.frombuffer(x.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), region)), pa.array(np.full(len(h), node)), pa.array(h)], ["region", "node", "h"])
+
+    n = F.count("*").over(Window.partitionBy("region", "h"))
+    met = big.mapInArrow(run, "region long, node long, h long").withColumn("c", n).filter("c > 1").groupBy("region", "node").agg(F.count("*").alias("c"))
+    return big.join(met, ["region", "node"]).filter(F.col("c") * q * 8 >= F.octet_length("set") * p).select("region", "node", "set")
+
+
 def _compared(big: DataFrame, p: int, q: int) -> DataFrame:
     """Links of large regions that no pivot parts: the nodes outside the main group against all nodes, in blocks of bounded bytes.
 
     A block hands out links that connect, not all that it finds: the main group is one.
     """
     nbytes = F.sum(F.octet_length("set"))
-    sizes = big.groupBy("region").agg(_shards(F.count("*"), nbytes).alias("shards"), F.ceil(F.coalesce(F.sum(F.when(F.col("out"), F.octet_length("set"))), F.lit(0)) / BLOCK_BYTES).cast("int").alias("blocks"))
+    sizes = big.groupBy("region").agg(_shards(F.count("*"), nbytes, 8 * SHARD).alias("shards"), F.ceil(F.coalesce(F.sum(F.when(F.col("out"), F.octet_length("set"))), F.lit(0)) / BLOCK_BYTES).cast("int").alias("blocks"))
     sizes = cut(sizes.filter("blocks > 0"))
     on = _hinted(sizes, sizes.count())
     left = big.join(on, "region").withColumns({"shard": _shard("shards"), "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))}).drop("shards", "blocks")
@@ -552,29 +639,41 @@ def _compared(big: DataFrame, p: int, q: int) -> DataFrame:
 
 def links(docs: DataFrame, table: DataFrame, k: int, p: int, q: int) -> DataFrame:
     """(a, b): links between nodes that connect all linked nodes. table: as nodes() makes it, read more than once."""
-    w = Window.partitionBy("sig")  # a row for each HELD rows of a task that share the part
-    met = part_hashes(docs, k, p, q, frequent(docs, k)).withColumns({"lo": F.min("node").over(w), "hi": F.max("node").over(w)})
-    regions = components(met.filter("lo <> hi").select(F.col("node").alias("a"), F.col("lo").alias("b")))
-    regions = cut(regions.withColumnRenamed("root", "region"))
-    reps = table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"))
-    work = cut(fetch_sets(docs, cut(reps.join(regions, "node").select("doc_id", "text_hash", "node", "region")), k))
-    found, blocks = [], []
-    for salt in range(ROUNDS + 1):
-        sizes = work.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.octet_length("set")).alias("bytes"))
+    regions = regions_of(docs, table, k, p, q)
+    reps = table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"), F.max("n_shingles").alias("n"))
+    wanted = cut(reps.withColumn("name", F.col("node").bitwiseAND(F.lit(NAME))).join(regions, "name").drop("name"))
+    drop(regions)
+    found, blocks, work = [], [], None
+    for salt in range(ROUNDS + 2):
+        left = wanted.select("region", (F.col("n") * 8).alias("b")) if work is None else work.select("region", F.octet_length("set").alias("b"))
+        sizes = left.groupBy("region").agg(F.count("*").alias("n"), F.sum("b").alias("bytes"))
         sizes = cut(sizes.filter((F.col("n") > LIMIT) | (F.col("bytes") > LIMIT_BYTES)))
         n = sizes.count()
-        here = work.join(_hinted(sizes.select("region"), n), "region", "left_anti") if n else work
-        found.append(here.select("region", "node", "set").groupBy("region").applyInPandas(_links_of_region(p, q), "a long, b long"))
+
+        def those(how: str) -> DataFrame:
+            rows = wanted.drop("n") if work is None else work
+            rows = rows.join(_hinted(sizes.select("region"), n), "region", how) if n else rows
+            return fetch_sets(docs, rows, k) if work is None else rows
+
+        # Sets of small regions are only shuffled, and one round's shuffle ends before the next one's begins.
+        found.append(cut(those("left_anti").select("region", "node", "set").groupBy("region").applyInPandas(_links_of_region(p, q), "a long, b long")))
         if not n:
             break
-        big = cut(work.join(_hinted(sizes.select("region"), n), "region", "left_semi"))
-        if salt == ROUNDS:
-            blocks.append(big.withColumn("out", F.lit(True)).select("region", "node", "set", "out"))
+        big = cut(those("left_semi").select("region", "node", "set"))
+        if work is None:
+            work = cut(_peeled(big, p, q))
+            drop(big)
+            continue
+        drop(work)
+        if salt > ROUNDS:
+            blocks.append(big.withColumn("out", F.lit(True)))
             break
-        more, rest = _round(big.select("region", "node", "set"), sizes, n, p, q, salt)
+        more, rest = _round(big, sizes, n, p, q, salt)
+        drop(big)
         found.append(more)
-        blocks.append(rest.filter("not parted").drop("parted"))
-        work = rest.filter("parted").select("region", "node", "set")
+        blocks.append(cut(rest.filter("not parted").drop("parted")))
+        work = cut(rest.filter("parted").select("region", "node", "set"))
+        drop(rest)
     out = found[0]
     for x in found[1:]:
         out = out.union(x)

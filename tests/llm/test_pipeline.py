@@ -182,6 +182,60 @@ def test_part_hashes_are_not_held_while_they_are_sent(monkeypatch):
     assert len(held) > 2 and max(held) < 6 << 20
 
 
+def test_parts_that_meet_by_chance_make_no_large_regions(spark, monkeypatch):
+    """Texts of their own, each with a few lines of many: linked ones stay together, the others were one region before."""
+    rng = np.random.default_rng(5)
+    lines = [" ".join(f"l{i}x{j}" for j in range(24)) for i in range(12)]
+    texts = [" ".join([f"w{i}x{j}" for j in range(60)] + [lines[x] for x in rng.choice(12, 4, replace=False)]) for i in range(400)]
+    texts += [t + " more" for t in texts[:40]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(jaccard, "LIMIT", 60)
+    monkeypatch.setattr(jaccard, "_compared", lambda big, p, q, of=jaccard._compared: seen.append(big.count()) or of(big, p, q))
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_join(docs, 5, 4, 5).collect()}
+    assert got == {i: i - 400 if i >= 400 else i for i in range(440)}
+    assert sum(seen) < 100
+
+
+def test_sets_that_link_keep_as_many_parts_as_their_marks_ask_for():
+    rng = np.random.default_rng(6)
+    for p, q in ((9, 10), (4, 5)):
+        scheme = jaccard.Scheme(p, q)
+        for n in (3, 6, 9, 20, 33, 60, 110, 250, 900, 4000):
+            for _ in range(30):
+                a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+                b = np.delete(a, rng.permutation(len(a))[: rng.integers(1, jaccard.max_difference(len(a), p, q) + 2)])
+                if not len(b) or q * len(b) < p * len(a):
+                    continue
+                marked = [dict(zip(*(x.tolist() for x in scheme.marked(s, len(s))), strict=True)) for s in (a, b)]
+                both = set(marked[0]) & set(marked[1])
+                for m in marked:
+                    held = [m[x] for x in both]
+                    assert any(sum(x & 7 == y & 7 for x in held) >= y >> 3 for y in held)
+
+
+def test_packed_parts_come_back():
+    rng = np.random.default_rng(7)
+    tag, name, mark = np.sort(rng.integers(0, 1 << 40, 999)).astype(np.uint64), rng.integers(0, 1 << 48, 999).astype(np.uint64), rng.integers(0, 256, 999).astype(np.uint8)
+    for a, b in zip((tag, name, mark), jaccard._unpacked(jaccard._packed(tag, name, mark)), strict=True):
+        assert (a == b).all()
+
+
+def test_what_was_kept_and_shuffled_goes(spark):
+    """A dropped table's files are gone, and cut() leaves the session's setting as it was."""
+    from pathlib import Path
+
+    from sextant.llm.common import FREED, cut, drop
+
+    before = spark.conf.get(FREED)
+    kept = cut(spark.range(100).groupBy("id").count())
+    assert kept.count() == 100 and spark.conf.get(FREED) == before
+    at = Path(kept._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:"))
+    assert at.exists()
+    drop(kept)
+    assert not at.exists()
+
+
 def test_shingles_and_scores_take_little_more_than_their_texts():
     column = pa.array(_texts(1500))
     model = toxicity.Model(np.ones(1 << toxicity.BITS, np.float32), 0.1)
