@@ -649,3 +649,21 @@ def test_toxicity_odd_rows(spark):
     one = toxicity.fit(odd(spark), spark.createDataFrame([(4, 0), (7, 0), (8, None)], "doc_id long, toxic int"))
     assert all(0 <= r.score < 0.5 for r in toxicity.score(odd(spark), one).collect())
     assert toxicity.score(empty(spark), none).collect() == []
+
+
+def test_an_entity_is_classified_once():
+    """A column that a lambda names is computed for each of its elements: types and canonical values were, for each character."""
+    said = str(pii.surrogate(F.col("e"), pii.kind(F.col("e")), "k"))
+    assert said.count(pii.PARTICLES) <= 2 * str(pii.kind(F.col("e"))).count(pii.PARTICLES)
+
+
+def test_entities_that_touch(spark):
+    """What begins within a run of an address's characters, where the last entity ended, is found; the first look lets every kind pass."""
+    rows = {
+        "key=abcd/efghijk.foo@bar.com": ["secret", "email"], "a..b@c.d.ef": ["email"], "x@y z@w.org": ["email"], "1.2.3.4-foo@x.com": ["email"], "PASSWORD =\n'qwertyuiop'": ["secret"], "xkey: abcdefgh": ["secret"],
+        "sk-" + "a1" * 12: ["secret"], "ASIA" + "B2" * 8: ["secret"], "dead" * 8: ["secret"], "fe80::1": ["ipv6"], "a:b is none": [], "Frau Ä. Öz": ["name"], "Mme de la Tour": ["name"], "(030) 1234-5678": ["phone"], "+44 20 7946 0958": ["phone"], "keys of = abcdefgh": [],
+    }
+    out = pii.with_surrogates(spark.createDataFrame([(t,) for t in rows], "t string").withColumn("text", F.col("t")), "k")
+    assert {r.t: [e.type for e in r.entities] for r in out.collect()} == rows
+    held = spark.createDataFrame([(t,) for t in rows], "t string").select("t", pii.may_hold(F.col("t")).alias("h"), F.col("t").rlike(pii.HINT).alias("r"))
+    assert all(r.h == r.r and (r.h or not rows[r.t]) for r in held.collect())
