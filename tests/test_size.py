@@ -91,3 +91,19 @@ def test_similar_sections_meet_only_those_asked_for(spark):
     sets = {k: set(t.split()) for k, _, t in rows}
     best = {a: max((round(len(sets[a] & x) / len(sets[a] | x), 9), b) for b, x in sets.items() if b != a) for a in asked}
     assert got == {a: (b, s) for a, (s, b) in best.items() if s >= 0.12}
+
+
+def test_similar_sections_meet_in_passes(spark, monkeypatch):
+    """Rare tokens are shuffled a bounded number at a time, with the same result."""
+    import random
+
+    from sextant.operators import hygiene
+
+    rng = random.Random(8)
+    texts = [[f"word{rng.randrange(300)}" for _ in range(40)] for _ in range(40)]
+    texts += [[*t[:36], f"other{i}"] for i, t in enumerate(texts[:20])]
+    df = spark.createDataFrame([(f"c{i}", " ".join(t), "h") for i, t in enumerate(texts)], "chunk_id string, content string, heading string")
+    asked = df.filter("chunk_id < 'c3'").select("chunk_id")
+    whole = [sorted(hygiene.similar_sections(df, least=0.3, only=x).collect()) for x in (None, asked)]
+    monkeypatch.setattr(hygiene, "PASS", 700)
+    assert [sorted(hygiene.similar_sections(df, least=0.3, only=x).collect()) for x in (None, asked)] == whole and len(whole[0]) >= 40
